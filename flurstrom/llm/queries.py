@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .gif import read_back, to_media
 from .packing import best_fit
 
 
@@ -10,5 +11,9 @@ def op7_best_fit_packing(spark, sf_dir):
     return best_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing,)}
+def op10_media_columns(spark, sf_dir):
+    return read_back(to_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
