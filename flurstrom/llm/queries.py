@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import chat, decontaminate, gif, licenses, packing
 from .common import table
-from .gif import read_back, to_media
-from .packing import best_fit
+
+
+def op1_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    return best_fit(table(spark, sf_dir, "documents"))
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_chat_format(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("response"))
+    records = chat.records_of_rows(table(spark, sf_dir, "conversations")).unionByName(probe, allowMissingColumns=True)
+    return chat.read_back(chat.formatted(chat.canonical(records)))
 
 
 def op10_media_columns(spark, sf_dir):
-    return read_back(to_media(table(spark, sf_dir, "documents")))
+    return gif.read_back(gif.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns)}
+ORACLE_SQL = {
+    "op1_license_scan": licenses.sql(),
+    "op8_decontaminate": decontaminate.SQL,
+    "op9_chat_format": chat.SQL,
+}
