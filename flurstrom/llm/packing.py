@@ -32,6 +32,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SIMPLE = 0x250
 
 
+class Numbers(dict):
+    """Numbers words as they first appear."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class Encoder:
     """Token ids of texts, equal to the tokenizer's own, by way of its pre-tokens.
 
@@ -55,56 +63,52 @@ class Encoder:
         space = "\t\n\v\f\r \x85\xa0"
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^{space}{of('L')}{of('N')}]+")
         self.odd = re.compile(f"[^\x00-{chr(SIMPLE - 1)}]")
-        self.room, self.index = room, {}
-        self.ids, self.starts, self.counts = [], [], []
-        self.filled = 0
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.index) + len(words) > self.room:
-            self.index, self.ids, self.starts, self.counts, self.filled = {}, [], [], [], 0
-        words = list(words)
+        self.room = room
+        self.forget()
+
+    def forget(self) -> None:
+        self.index = Numbers()
+        self.ids, self.starts, self.counts = [np.zeros(0, t) for t in (np.uint32, np.int64, np.int64)]
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words, numbered in this order after those already known."""
+        ids, starts, counts, filled = [self.ids], [self.starts], [self.counts], len(self.ids)
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
+            own = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[own]) + 1
             if len(ends) != len(part):
                 raise ValueError("a pre-token doesn't end in a word-final token")
-            starts = np.concatenate([[0], ends[:-1]])
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
-            self.ids.append(ids)
-            self.starts.append(starts + self.filled)
-            self.counts.append(ends - starts)
-            self.filled += len(ids)
+            begins = np.concatenate([[0], ends[:-1]])
+            ids.append(own)
+            starts.append(begins + filled)
+            counts.append(ends - begins)
+            filled += len(own)
+        self.ids, self.starts, self.counts = np.concatenate(ids), np.concatenate(starts), np.concatenate(counts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.index) > self.room:
+            self.forget()
         found: list[np.ndarray | None] = [None] * len(texts)
-        plain, tokens, sizes = [], [], []
+        plain, numbers = [], []
+        number, known = self.index.__getitem__, len(self.index)
         for k, text in enumerate(texts):
-            if self.odd.search(text):
+            if not text.isascii() and (self.odd.search(text) or not unicodedata.is_normalized("NFC", text)):
                 found[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
-            text = text.lower() if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text).lower()
-            if self.odd.search(text):
-                found[k] = np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            low = text.lower()
+            if len(low) != len(text):  # a letter whose lower case is two characters
+                found[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
-            words = self.pattern.findall(text)
             plain.append(k)
-            sizes.append(len(words))
-            tokens += words
-        if fresh := set(tokens).difference(self.index):
-            before = len(self.index)
-            self.learn(fresh)
-            if len(self.index) < before + len(fresh):  # the cache began anew
-                self.learn(set(tokens).difference(self.index))
+            numbers.append(np.fromiter(map(number, self.pattern.findall(low)), np.int64))
+        if len(self.index) > known:
+            self.learn(list(self.index)[known:])
         if plain:
-            which = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-            if tokens:
-                self.ids, self.starts, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.starts)], [np.concatenate(self.counts)]
-                counts = self.counts[0][which]
-                flat = self.ids[0][ragged(self.starts[0][which], counts)]
-            else:
-                counts, flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-            upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+            which = np.concatenate(numbers)
+            counts = self.counts[which]
+            flat = self.ids[ragged(self.starts[which], counts)]
+            upto = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(x) for x in numbers])]
             for k, a, b in zip(plain, np.concatenate([[0], upto[:-1]]), upto):
                 found[k] = flat[a:b]
         return found
