@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import once
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: What may stand after "<" or "[" to make a control string.
 CONTROL = r"(/?s>|/?INST\]|</?SYS>>|\|[A-Za-z0-9_]+\|>)"
@@ -106,7 +108,7 @@ def canonical(records: DataFrame, id_col: str = "conv_id", mappings: tuple[Mappi
         turns = F.when(hit, mapped(m)) if turns is None else turns.when(hit, mapped(m))
         layout = F.when(hit, F.lit(m.name)) if layout is None else layout.when(hit, F.lit(m.name))
     empty = F.lit(None).cast("array<struct<role:string,text:string>>")
-    out = records.withColumn("fingerprint", fingerprint(records, id_col))
+    out = once(records, fingerprint=fingerprint(records, id_col))
     return out.select(id_col, "fingerprint", (F.lit("unknown") if layout is None else layout.otherwise("unknown")).alias("layout"), (empty if turns is None else turns).alias("turns"))
 
 
@@ -130,11 +132,11 @@ def unescape_role(role: Column) -> Column:
 def formatted(turns: DataFrame, learn: tuple[str, ...] = (ASSISTANT,)) -> DataFrame:
     """Adds formatted (the whole record in the template) and loss_mask (byte offset and length of each text to learn)."""
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("text"), t["role"].isin(*learn).alias("learn")))
-    out = turns.withColumn("parts", parts)
+    out = once(turns, parts=parts)
     size = lambda p: F.octet_length(p["head"]) + F.octet_length(p["text"]) + len(CLOSE)
     ends = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.try_element_at(a, F.lit(-1)) + size(p))))
     spans = F.transform("parts", lambda p, k: F.struct((F.get("begins", k) + F.octet_length(p["head"])).alias("start"), F.octet_length(p["text"]).cast("long").alias("length"), p["learn"].alias("learn")))
-    out = out.withColumn("formatted", F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(CLOSE))))).withColumn("begins", ends)
+    out = once(out, formatted=F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(CLOSE)))), begins=ends)
     mask = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"]))
     return out.withColumn("loss_mask", F.when(F.col("turns").isNotNull(), mask)).drop("parts", "begins")
 
@@ -152,9 +154,8 @@ def parsed(text: Column) -> Column:
 
 
 def masked(text: Column, mask: Column) -> Column:
-    """The unescaped texts under the loss mask, joined."""
-    raw = F.to_binary(text, F.lit("utf-8"))
-    return F.concat_ws("", F.transform(mask, lambda s: unescape(F.decode(F.substr(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")), "utf-8"))))
+    """The unescaped texts under the loss mask, joined; text as UTF-8 bytes."""
+    return F.concat_ws("", F.transform(mask, lambda s: unescape(F.decode(F.substr(text, (s["start"] + 1).cast("int"), s["length"].cast("int")), "utf-8"))))
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -166,7 +167,8 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", order_col: str = "
 
 def read_back(out: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Digest of formatted records, from the formatted string and the mask alone."""
-    got = out.select(id_col, "formatted", parsed(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    out = once(out.select(id_col, "formatted", "loss_mask"), raw=F.to_binary("formatted", F.lit("utf-8")), turns=parsed(F.col("formatted")))
+    got = once(out, loss=masked(F.col("raw"), F.col("loss_mask")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return got.select(
         id_col,

@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: Token offsets that count; together they meet each window of WINDOW tokens with at most SUBSTITUTIONS others.
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 6, 7))
 SPAN = 8
@@ -56,10 +58,10 @@ def best_window(match: Column, window: Column) -> Column:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", masks=MASKS, portion: int = PORTION) -> DataFrame:
     """doc_id, item_id, matched (most equal tokens in a window) and aligned (equal tokens over the whole overlap) of each verified pair."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") >= SPAN)
+    items = once(benchmark.select(F.col(item_col).alias("item_id"), "text"), t=tokens(F.col("text"))).where(F.size("t") >= SPAN).drop("text")
     total = items.agg(F.sum(F.size("t"))).first()[0] or 0
     parts = max(1, -(-total // portion))
-    own = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t")).where(F.size("t") >= SPAN)
+    own = once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), t=tokens(F.col("text"))).where(F.size("t") >= SPAN).drop("text")
     found = []
     for p in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == p) if parts > 1 else items
@@ -72,9 +74,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         start = F.col("at") - F.col("item_at") + lead
         length = F.least(F.size("item") - lead, F.size("t") - start)
         match = F.zip_with(F.slice("t", start + 1, length), F.slice("item", lead + 1, length), lambda a, b: F.when(a == b, 1).otherwise(0))
-        met = hits.select("doc_id", "item_id", F.size("item").alias("n"), match.alias("match"))
+        met = once(hits, match=match).select("doc_id", "item_id", F.size("item").alias("n"), "match")
         window = F.least(F.lit(WINDOW), F.col("n"))
-        met = met.where(F.size("match") >= window).withColumn("matched", best_window(F.col("match"), window))
+        met = once(met.where(F.size("match") >= window), matched=best_window(F.col("match"), window))
         met = met.where(F.col("matched") >= window - F.floor(window * SUBSTITUTIONS / WINDOW))
         found.append(met.select("doc_id", "item_id", "matched", F.aggregate("match", F.lit(0), lambda a, x: a + x).alias("aligned")))
     return reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("aligned").cast("long").alias("aligned"))

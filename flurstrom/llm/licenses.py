@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 THRESHOLD = 0.8
 #: The notices by which licences ask to be named, and opening terms of licence texts.
 TEMPLATES = (
@@ -73,10 +75,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPL
     bounds = F.broadcast(spark.createDataFrame(rows, "n int, license_id string, template array<string>, m int"))
     low, high = min(r[0] for r in rows), max(r[0] for r in rows)
     segs = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(segments(F.col(text_col))).alias("segment", "body"))
-    words = segs.select("doc_id", "segment", words_of(F.col("body")).alias("w")).where(F.size("w") > low)
+    words = once(segs, w=words_of(F.col("body"))).where(F.size("w") > low)
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda k: F.concat_ws(" ", F.get("w", k), F.get("w", k + 1))))
-    own = words.select("doc_id", "segment", pairs.alias("own")).withColumn("n", F.size("own")).where(F.col("n").between(low, high))
-    met = own.join(bounds, "n").withColumn("both", F.size(F.array_intersect("own", "template")))
+    own = once(words.select("doc_id", "segment", "w"), own=pairs).select("doc_id", "segment", "own", F.size("own").alias("n")).where(F.col("n").between(low, high))
+    met = once(own.join(bounds, "n"), both=F.size(F.array_intersect("own", "template")))
     met = met.withColumn("score", 2 * F.col("both") / (F.col("n") + F.col("m"))).where(F.col("score") >= threshold)
     best = met.groupBy("doc_id", "segment").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b"))
     return best.groupBy("doc_id", F.col("b.license_id").alias("license_id")).agg(F.count("*").alias("n_segments"), F.round(F.max(-F.col("b.s")), 6).alias("score"))
