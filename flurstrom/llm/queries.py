@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gif, language, licenses, packing, suffix, toxicity
+from . import chat, decontaminate, gif, language, licenses, minhash, packing, suffix, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held), held)
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_media_columns(spark, sf_dir):
     return gif.read_back(gif.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op4_language_id, op5_toxicity, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op4_language_id, op5_toxicity, op6_minhash_near_dedup, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns)}
 ORACLE_SQL = {
     "op1_license_scan": licenses.sql(),
     "op8_decontaminate": decontaminate.SQL,

@@ -29,14 +29,13 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, distinct_texts
 
 LENGTH = 400
 #: Windows in a bucket of step 3, about; a single hash with over HOT windows is counted instead.
@@ -228,16 +227,6 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """key, body (bytes) and copies of each different text, as a table bucketed by key."""
-    spark = docs.sparkSession
-    rows = docs.select(F.unhex(F.md5("body")).alias("key"), "body")
-    name = f"texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")).write.bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
-    return spark.table(name)
-
-
 def filed(texts: DataFrame, length: int) -> DataFrame:
     """key, s0, n, h: the runs of windows of each text."""
 
