@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gif, language, licenses, minhash, packing, suffix, toxicity
+from . import chat, decontaminate, gif, language, licenses, minhash, packing, pages, suffix, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"), pages.learnt())
+
+
 def op4_language_id(spark, sf_dir):
     docs, held = table(spark, sf_dir, "documents"), toxicity.held(2, 4)
     return language.predict(docs, language.fit(docs, held), held)
@@ -49,7 +53,7 @@ def op10_media_columns(spark, sf_dir):
     return gif.read_back(gif.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op4_language_id, op5_toxicity, op6_minhash_near_dedup, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_toxicity, op6_minhash_near_dedup, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns)}
 ORACLE_SQL = {
     "op1_license_scan": licenses.sql(),
     "op8_decontaminate": decontaminate.SQL,

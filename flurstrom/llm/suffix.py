@@ -317,9 +317,10 @@ def counted_windows(parts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_windows: int = BUCKET_WINDOWS, hot: int = HOT, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and with_text its
-    kept_text where anything was removed: the remaining bytes without characters that were cut in two."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, its other columns as the struct
+    ``row``, and with_text its kept_text: the remaining bytes without characters that were cut in two."""
+    others = F.struct(F.col(text_col).isNull().alias("no_text"), *(F.col(c) for c in docs.columns if c not in (text_col, "no_text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), others.alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
     texts = distinct_texts(rows)
     every = cut(filed(texts, length))
     shared = every.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
@@ -349,11 +350,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(body[at:a])
                     at = b
                 rest = b"".join([*kept, body[at:]])
-                out.append((bytes(key), len(body), len(body) - len(rest), len(own), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if own and with_text else None))
+                out.append((bytes(key), len(body), len(body) - len(rest), len(own), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
             yield pd.DataFrame(out, columns=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     done = texts.join(by_text, "key", "left").mapInPandas(of, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return rows.select("doc_id", F.unhex(F.md5("body")).alias("key")).join(done, "key").drop("key")
+    return rows.select("doc_id", "row", F.unhex(F.md5("body")).alias("key")).join(done, "key").drop("key")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

@@ -14,14 +14,13 @@ are scored alike; an empty table gives no rows; columns besides id and text are
 ignored.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of each label to learn from, at most; sampled by hash. More of label 0 keeps clean texts clean.
@@ -195,5 +194,18 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, SCORED)
 
 
+def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score as a column, for rows that keep their other columns."""
+    shared = spark.sparkContext.broadcast((model.weight, model.bias))
+
+    @F.pandas_udf("double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(Model(*shared.value))
+        for batch in texts:
+            yield pd.Series(np.concatenate([scorer([t or "" for t in batch.iloc[k : k + 500]]) for k in range(0, len(batch), 500)] or [np.zeros(0)]))
+
+    return of(text)
+
+
 def held(fold: int, of: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == fold
