@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = {1: 2500, 0: 5500}
 BUCKETS = 1 << 16
 DIM = 8
-EPOCHS = 12
+#: Passes over the sample: as many as make STEPS batches, within these bounds.
+EPOCHS, STEPS = (12, 60), 1500
 GRAMS = (3, 4, 5)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -81,7 +82,7 @@ class Model:
     bias: float
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed: int = 7) -> Model:
     """Minibatch Adagrad on the cross entropy; rows weigh alike."""
     if len(texts) == 0 or labels.min() == labels.max():
         share = float(labels.mean()) if len(texts) else 0.0
@@ -102,6 +103,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     bias = np.zeros(2, np.float32)
     seen = [np.full_like(x, 1e-8) for x in (table, out, bias)]
     size = 64
+    epochs = epochs or int(np.clip(STEPS * size // len(docs), *EPOCHS))
     for epoch in range(epochs):
         rate = 0.5 * (1 - epoch / epochs) + 0.02
         order = rng.permutation(len(docs))
