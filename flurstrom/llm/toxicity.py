@@ -175,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates()
     known = known.where(~F.coalesce(held_out, F.lit(False)))
     by = F.xxhash64("doc_id", F.lit(5))
-    chosen = sample(known, "label", most or SAMPLE_ROWS, by)  # ids and labels only: small, but joined by Spark all the same
+    most = most or SAMPLE_ROWS
+    chosen = F.broadcast(sample(known, "label", most, by))  # ids and labels, as many as ``most`` allows
     rows = chosen.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id").select("doc_id", "text", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
