@@ -1,0 +1,35 @@
+"""A folder that all executors share, for files that a job lands before it reads them."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def landing(spark: SparkSession, name: str) -> str:
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        top = sc.getCheckpointDir()
+    return f"{top.rstrip('/')}/landed-{name}-{uuid.uuid4().hex}"
+
+
+def land_lines(df: DataFrame, name: str, header: str | None = None) -> str:
+    """Writes a one-column frame as text files, each beginning with the header."""
+    path = landing(df.sparkSession, name)
+    if header is None:
+        df.write.text(path)
+    else:
+        column = df.columns[0]
+        df.withColumnRenamed(column, header).write.option("header", "true").option("quote", "").option("sep", "\x00").csv(path)
+    return path
+
+
+def land_documents(df: DataFrame, name: str) -> str:
+    """Writes each row of a one-column frame as a file of its own."""
+    path = landing(df.sparkSession, name)
+    df.write.option("maxRecordsPerFile", 1).text(path)
+    return path
