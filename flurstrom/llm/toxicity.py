@@ -96,7 +96,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
             k = index.setdefault(w, len(index))
             got[k] = got.get(k, 0) + 1
         docs.append((np.fromiter(got, np.int64, len(got)), np.fromiter(got.values(), np.float32, len(got))))
-    bucket, counts = grams(list(index))
+    words = list(index)
+    parts = [grams(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    bucket, counts = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts])
+    del parts, words, index
     begins = np.cumsum(counts) - counts
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
