@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,13 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage there."""
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects its garbage, by itself every 30 minutes only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back, which ends its lineage there; after a large step its shuffle files are freed."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if large:
+        free(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df as a table bucketed by key, whose joins on the key don't shuffle it; and the table's name, to drop it by."""
+    spark = df.sparkSession
+    name = f"by_{key}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
+    free(spark)
+    return spark.table(name), name
+
+
 def spans(lengths: list[int], limit: int) -> Iterator[slice]:
     """Slices of consecutive items whose lengths add up to about limit."""
     begin = total = 0
@@ -57,11 +77,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """key, body (bytes) and copies of each different text, as a table bucketed by key."""
-    spark = docs.sparkSession
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """key, body (bytes) and copies of each different text, as a table bucketed by key; and its name."""
     rows = docs.select(F.unhex(F.md5("body")).alias("key"), "body")
-    name = f"texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")).write.bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies")), "key")

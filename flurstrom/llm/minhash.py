@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, distinct_texts
+from .common import bucketed, cut, distinct_texts
 
 COORDS, MATCHES = 48, 24
 #: Of the two-bit symbols of all coordinates, so many agree at least (chance agreement is a quarter).
@@ -169,7 +169,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """u and the least node v of its component, for every node but the least, from links u > v."""
-    edges, before = cut(links.distinct()), None
+    edges, before = cut(links.distinct(), large=True), None
     while True:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
@@ -186,11 +186,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) and kept of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
-    texts = distinct_texts(rows)
+    texts, table_of_texts = distinct_texts(rows)
     sigs = cut(signed(texts, words))
     classes = sigs.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("values").alias("values"), F.first("key").alias("key"))
-    classes = cut(classes)
-    posts = cut(postings(classes))
+    classes = cut(classes, large=True)
+    posts = cut(postings(classes), large=True)
+    met_lists = posts.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
+    posts = cut(posts.join(met_lists, "value"))
     involved = posts.select("cls").distinct().join(classes.select("cls", "key"), "cls")
 
     def sets_of(batches):
@@ -200,7 +202,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 own = shingle_sets([bytes(bodies[k]) for k in part], words)
                 yield pd.DataFrame({"cls": batch["cls"].iloc[part], "own": [x.tobytes() for x in own]})
 
-    sets = cut(texts.join(involved, "key").select("cls", "body").mapInPandas(sets_of, "cls binary, own binary"))
+    # bucketed by class: pairs come to the sets, which stay where they are
+    sets, _ = bucketed(texts.join(involved, "key").select("cls", "body").mapInPandas(sets_of, "cls binary, own binary"), "cls")
+    docs.sparkSession.sql(f"DROP TABLE {table_of_texts}")  # all that is needed of it is stored
 
     # every member of a list against its hub, the class of the middle hash
     hubs = posts.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls", "n", "s1", "s2")).alias("h"), F.count("*").alias("c")).where("c > 1").select("value", "h.cls", "h.n", "h.s1", "h.s2")

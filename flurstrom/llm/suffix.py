@@ -321,7 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``row``, and with_text its kept_text: the remaining bytes without characters that were cut in two."""
     others = F.struct(F.col(text_col).isNull().alias("no_text"), *(F.col(c) for c in docs.columns if c not in (text_col, "no_text")))
     rows = docs.select(F.col(id_col).alias("doc_id"), others.alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
-    texts = distinct_texts(rows)
+    texts, _ = distinct_texts(rows)
     every = cut(filed(texts, length))
     shared = every.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
     found = cut(with_bytes(texts, every.join(shared.select("h", "w"), "h").select("key", "s0", "n", "h"), length))
