@@ -180,9 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     by = F.xxhash64("doc_id", F.lit(5))
     most = most or SAMPLE_ROWS
     chosen = F.broadcast(sample(known, "label", most, by))  # ids and labels, as many as ``most`` allows
-    rows = chosen.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+    rows = chosen.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id").select("doc_id", "text", "label")
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", "label", "text"])
+        model = train(frame["text"].tolist(), frame["label"].to_numpy(np.int64))
+        return pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias]})
+
+    # the sample is bounded, so one task can learn from it; the driver gets BUCKETS numbers
+    got = rows.groupBy(F.lit(0)).applyInPandas(of, "weight binary, bias double").collect()
+    return Model(np.frombuffer(got[0]["weight"], np.float32), got[0]["bias"]) if got else train([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
