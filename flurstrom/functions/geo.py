@@ -92,27 +92,6 @@ def interior_point(geometry: Column) -> Column:
     return F.coalesce(F.get(F.transform(one, inside), F.lit(0)), first)
 
 
-def distance_to(edge: Column, x: Column, y: Column) -> Column:
-    """Distance of a point to the nearest edge, 0 inside."""
-
-    def one(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        t = F.coalesce(F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.hypot(x - e["x1"] - t * dx, y - e["y1"] - t * dy)
-
-    return F.when(contains(edge, x, y), F.lit(0.0)).otherwise(F.array_min(F.transform(edge, one)))
-
-
-def polygons_distance(a: Column, b: Column) -> Column:
-    """Distance of two outlines given as edges: 0 where one holds the other's corner or edges cross, else the nearest corner to an edge."""
-    corner = lambda es, k: (F.get(es, F.lit(0))["x1"], F.get(es, F.lit(0))["y1"])
-    side = lambda e, x, y: F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
-    cross = F.exists(a, lambda e: F.exists(b, lambda f: (side(e, f["x1"], f["y1"]) * side(e, f["x2"], f["y2"]) < 0) & (side(f, e["x1"], e["y1"]) * side(f, e["x2"], e["y2"]) < 0)))
-    near = F.least(F.array_min(F.transform(a, lambda e: distance_to(b, e["x1"], e["y1"]))), F.array_min(F.transform(b, lambda e: distance_to(a, e["x1"], e["y1"]))))
-    return F.when(cross | contains(b, *corner(a, 0)) | contains(a, *corner(b, 0)), F.lit(0.0)).otherwise(near)
-
-
 #: GRS80 and the UTM scale.
 AXIS, FLATTENING, SCALE, EAST = 6378137.0, 1 / 298.257222101, 0.9996, 500000.0
 _N = FLATTENING / (2 - FLATTENING)

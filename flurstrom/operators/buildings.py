@@ -2,24 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .spatial import cell, filed
 
 REACH = 100.0
 
 
+def corners(edges) -> np.ndarray:
+    return np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in edges], float)
+
+
+def inside(edges: np.ndarray, x: float, y: float) -> bool:
+    x1, y1, x2, y2 = edges.T
+    cut = (y1 > y) != (y2 > y)
+    return bool((x < (x2[cut] - x1[cut]) * (y - y1[cut]) / (y2[cut] - y1[cut]) + x1[cut]).sum() % 2)
+
+
+def to_edges(edges: np.ndarray, points: np.ndarray) -> float:
+    """The least distance of any of the points to any of the edges."""
+    a, d = edges[None, :, :2], edges[None, :, 2:] - edges[None, :, :2]
+    p = points[:, None, :]
+    length = (d * d).sum(2)
+    t = np.clip(((p - a) * d).sum(2) / np.where(length > 0, length, 1), 0, 1)
+    return float(np.sqrt(((p - a - t[..., None] * d) ** 2).sum(2)).min())
+
+
+def crossing(a: np.ndarray, b: np.ndarray) -> bool:
+    side = lambda e, p: np.sign((e[:, None, 2] - e[:, None, 0]) * (p[None, :, 1] - e[:, None, 1]) - (e[:, None, 3] - e[:, None, 1]) * (p[None, :, 0] - e[:, None, 0]))
+    return bool(((side(a, b[:, :2]) * side(a, b[:, 2:]) < 0) & (side(b, a[:, :2]) * side(b, a[:, 2:]) < 0).T).any())
+
+
+def outlines_distance(a: Column, b: Column) -> Column:
+    """Distance of two geometries given as edges, 0 where they meet; computed for the few pairs that name the same address."""
+
+    @F.pandas_udf("double")
+    def of(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            x, y = corners(x), corners(y)
+            if not len(x) or not len(y):
+                out.append(None)
+            elif crossing(x, y) or inside(x, *y[0, :2]) or inside(y, *x[0, :2]):
+                out.append(0.0)
+            else:
+                out.append(min(to_edges(x, y[:, :2]), to_edges(y, x[:, :2])))
+        return pd.Series(out, dtype="float64")
+
+    return of(a, b)
+
+
 def nearest_building(addresses: DataFrame, buildings: DataFrame, reach: float = REACH) -> DataFrame:
     """parcel_id, pos and the interior point of the nearest building naming the address within reach of the parcel.
 
     addresses: parcel_id, pos, str, hnr, hnr_zus, geometry. Of equally near buildings the larger, then the lesser id."""
-    suffix = lambda c: F.upper(F.coalesce(F.col(c), F.lit("")))
+    # both sides are filed under the grid cells they meet, addresses with their reach, so a name that is common everywhere meets its neighbours only
+    size = 2 * reach
     named = buildings.where("lagebez IS NOT NULL").select("building_id", F.col("geometry").alias("b_geometry"), F.explode(text.addresses_in(F.col("lagebez"))).alias("t"))
-    named = named.select("building_id", "b_geometry", F.col("t.str").alias("str"), F.col("t.hnr").alias("hnr"), F.upper(F.coalesce("t.hnr_zus", F.lit(""))).alias("suffix"))
-    own = addresses.withColumn("suffix", suffix("hnr_zus"))
-    met = own.join(named, ["str", "hnr", "suffix"]).select("parcel_id", "pos", "building_id", "b_geometry", F.inline(F.array(F.struct(geo.edges(F.col("geometry")).alias("pe"), geo.edges(F.col("b_geometry")).alias("be")))))
-    far = met.select("parcel_id", "pos", "building_id", "b_geometry", F.inline(F.array(F.struct(geo.polygons_distance(F.col("pe"), F.col("be")).alias("d"), geo.area(F.col("b_geometry")).alias("size")))))
+    named = named.select("building_id", "b_geometry", F.col("t.str").alias("str"), F.col("t.hnr").alias("hnr"), F.upper(F.coalesce("t.hnr_zus", F.lit(""))).alias("suffix"), geo.envelope(F.col("b_geometry")).alias("box"))
+    wide = geo.envelope(F.col("geometry"))
+    own = addresses.withColumns({"suffix": F.upper(F.coalesce("hnr_zus", F.lit(""))), "box": F.struct((wide["min_x"] - reach).alias("min_x"), (wide["min_y"] - reach).alias("min_y"), (wide["max_x"] + reach).alias("max_x"), (wide["max_y"] + reach).alias("max_y"))})
+    met = filed(own, size).withColumnRenamed("box", "reached").join(filed(named, size), ["str", "hnr", "suffix", "cx", "cy"])
+    r, box = F.col("reached"), F.col("box")
+    met = met.where((box["min_x"] <= r["max_x"]) & (box["max_x"] >= r["min_x"]) & (box["min_y"] <= r["max_y"]) & (box["max_y"] >= r["min_y"]))
+    # a pair that shares several cells counts in the one that holds the corner of both boxes' overlap
+    first = lambda k: cell(F.greatest(r[f"min_{k}"], box[f"min_{k}"]), size) == F.col(f"c{k}")
+    met = met.where(first("x") & first("y"))
+    met = met.select("parcel_id", "pos", "building_id", "b_geometry", F.inline(F.array(F.struct(geo.edges(F.col("geometry")).alias("pe"), geo.edges(F.col("b_geometry")).alias("be")))))
+    far = met.select("parcel_id", "pos", "building_id", "b_geometry", outlines_distance(F.col("pe"), F.col("be")).alias("d"), geo.area(F.col("b_geometry")).alias("size"))
     best = Window.partitionBy("parcel_id", "pos").orderBy(F.col("d").asc(), F.col("size").desc(), F.col("building_id").asc())
     near = far.where(F.col("d") <= reach).withColumn("rn", F.row_number().over(best)).where("rn = 1")
     return near.select("parcel_id", "pos", "building_id", "d", geo.interior_point(F.col("b_geometry")).alias("p")).select("parcel_id", "pos", "building_id", F.col("d").alias("distance"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))

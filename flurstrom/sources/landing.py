@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def landing(spark: SparkSession, name: str) -> str:
@@ -33,3 +34,15 @@ def land_documents(df: DataFrame, name: str) -> str:
     path = landing(df.sparkSession, name)
     df.write.option("maxRecordsPerFile", 1).text(path)
     return path
+
+
+SPACES = "http://www.opengis.net/wfs/2.0 http://www.opengis.net/gml/3.2 urn:x-inspire:specification:gmlas:Addresses:3.0 urn:x-inspire:specification:gmlas:GeographicalNames:3.0 http://www.w3.org/1999/xlink urn:x".split()
+ROOT = "<wfs:FeatureCollection " + " ".join(f'xmlns:{p}="{u}"' for p, u in zip("wfs gml ad gn xlink x".split(), SPACES)) + ">"
+
+
+def land_members(df: DataFrame, name: str, each: int = 2000) -> str:
+    """Writes a one-column frame of feature members as XML files of about so many members."""
+    column = df.columns[0]
+    files = df.count() // each + 1
+    docs = df.groupBy(F.pmod(F.xxhash64(column), F.lit(files)).alias("file")).agg(F.array_join(F.collect_list(column), "\n").alias("body"))
+    return land_documents(docs.select(F.concat(F.lit(ROOT), "body", F.lit("</wfs:FeatureCollection>"))), name)
