@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
         return pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias]})
 
     # the sample is bounded, so one task can learn from it; the driver gets BUCKETS numbers
-    got = rows.groupBy(F.lit(0)).applyInPandas(of, "weight binary, bias double").collect()
+    got = rows.withColumn("of", F.lit("all")).groupBy("of").applyInPandas(of, "weight binary, bias double").collect()
     return Model(np.frombuffer(got[0]["weight"], np.float32), got[0]["bias"]) if got else train([], np.zeros(0, np.int64))
 
 
