@@ -8,8 +8,8 @@ sorts suffixes inside tasks.
    bucketed by their hash.
 2. Each window of ``length`` bytes is filed under the least hash of the grams of
    half its length inside it. Equal windows have equal hashes; neighbouring windows
-   mostly share theirs, and such a run is one row. Hashes met once are dropped by
-   an aggregation: their windows have no equal.
+   mostly share theirs, and such a run is one row. Hashes met at one place only are
+   dropped by an aggregation: their windows have no equal.
 3. The runs that are left bring their bytes. Equal runs are one row with a count;
    others are dealt by hash to buckets of bounded size, and each bucket's windows
    are sorted by two-stage suffix sorting: suffixes smaller than their successors
@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,21 +72,32 @@ def least_ahead(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 :])
 
 
-def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first window, number of windows and hash of each run of windows filed under one hash."""
+def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Text number, first window, number of windows and hash of each run of windows filed under one
+    hash, and whether grams with this hash stand at several places in the run, as in periodic text."""
     gram = length // 2
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    least = least_ahead(gram_hashes(data, gram), length - gram + 1)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+    grams = gram_hashes(data, gram)
+    width = length - gram + 1
+    least = least_ahead(grams, width)
     begins = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(texts)), n)
     first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     h = least[begins[owner] + first]
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-    return owner[new], first[new], np.diff(np.append(new, len(h))), h[new]
+    owner, first, n, h = owner[new], first[new], np.diff(np.append(new, len(h))), h[new]
+    # the first such gram is in the run's first window, the last one in its last
+    windows = sliding_window_view(grams, width)
+    several = np.zeros(len(h), bool)
+    for k in range(0, len(h), 2000):
+        at, value = begins[owner[k : k + 2000]] + first[k : k + 2000], h[k : k + 2000, None]
+        end = at + n[k : k + 2000] - 1
+        several[k : k + 2000] = at + (windows[at] == value).argmax(1) < end + width - 1 - (windows[end][:, ::-1] == value).argmax(1)
+    return owner, first, n, h, several
 
 
 class Words:
@@ -228,17 +240,17 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 
 def filed(texts: DataFrame, length: int) -> DataFrame:
-    """key, s0, n, h: the runs of windows of each text."""
+    """key, s0, n, h, several: the runs of windows of each text."""
 
     def of(batches):
         for batch in batches:
             group, size = [], 0
 
             def rows(group):
-                owner, first, n, h = runs([g[1] for g in group], length)
+                owner, first, n, h, several = runs([g[1] for g in group], length)
                 keys = np.array([g[0] for g in group], object)
                 offset = np.array([g[2] for g in group], np.int64)
-                return pd.DataFrame({"key": keys[owner], "s0": first + offset[owner], "n": n, "h": h.view(np.int64)})
+                return pd.DataFrame({"key": keys[owner], "s0": first + offset[owner], "n": n, "h": h.view(np.int64), "several": several})
 
             for key, body in zip(batch["key"], batch["body"]):
                 for at in range(0, len(body) - length + 1, BLOCK):
@@ -251,7 +263,7 @@ def filed(texts: DataFrame, length: int) -> DataFrame:
             if group:
                 yield rows(group)
 
-    return texts.select("key", "body").where(F.octet_length("body") >= length).mapInPandas(of, "key binary, s0 long, n long, h long")
+    return texts.select("key", "body").where(F.octet_length("body") >= length).mapInPandas(of, "key binary, s0 long, n long, h long, several boolean")
 
 
 def with_bytes(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -323,8 +335,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), others.alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
     texts, _ = distinct_texts(rows)
     every = cut(filed(texts, length))
-    shared = every.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
-    found = cut(with_bytes(texts, every.join(shared.select("h", "w"), "h").select("key", "s0", "n", "h"), length))
+    shared = every.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 OR s").select("h")
+    found = cut(with_bytes(texts, every.join(shared, "h").select("key", "s0", "n", "h"), length))
     crowded = found.groupBy("h").agg(F.sum("n").alias("w")).where(F.col("w") > hot).select("h")
     n_crowded = crowded.count()
     usual = found
