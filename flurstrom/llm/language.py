@@ -85,10 +85,10 @@ def machine(x: np.ndarray, y: np.ndarray, rounds: int = 80, c: float = 1.0) -> n
     """A linear support vector machine: squared hinge with an L2 bound, by accelerated gradient. Both sides weigh half."""
     y = y.astype(x.dtype)
     worth = (np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean()) * c / len(y)).astype(x.dtype)
-    v = np.ones(x.shape[1], x.dtype)
+    v = np.random.default_rng(1).normal(size=x.shape[1]).astype(x.dtype)
     for _ in range(8):  # the steepest curvature, for the step
         v = (worth * (x @ v)) @ x
-        v /= np.linalg.norm(v)
+        v /= max(float(np.linalg.norm(v)), 1e-12)
     step = 1 / (1e-3 + 2 * np.linalg.norm((worth * (x @ v)) @ x) * 1.2)
     step = x.dtype.type(step)
     w = z = np.zeros(x.shape[1], x.dtype)

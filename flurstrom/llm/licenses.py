@@ -8,7 +8,7 @@ compared to, by an equi-join on its number of bigrams.
 
 Defined cases: null or empty text has no segment; a segment of fewer than two
 words has no bigram and matches nothing; equal scores within a segment go to the
-licence first in code-point order; repeated rows add up; an empty table gives no
+licence first in code-point order; a repeated row counts once; an empty table gives no
 rows; columns besides id and text are ignored.
 """
 
@@ -75,12 +75,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPL
     bounds = F.broadcast(spark.createDataFrame(rows, "n int, license_id string, template array<string>, m int"))
     low, high = min(r[0] for r in rows), max(r[0] for r in rows)
     segs = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(segments(F.col(text_col))).alias("segment", "body"))
-    words = once(segs, w=words_of(F.col("body"))).where(F.size("w") > low)
+    words = once(segs, w=words_of(F.col("body"))).where(F.size("w") > low).withColumn("said", F.xxhash64("body"))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda k: F.concat_ws(" ", F.get("w", k), F.get("w", k + 1))))
-    own = once(words.select("doc_id", "segment", "w"), own=pairs).select("doc_id", "segment", "own", F.size("own").alias("n")).where(F.col("n").between(low, high))
+    own = once(words.select("doc_id", "segment", "said", "w"), own=pairs).select("doc_id", "segment", "said", "own", F.size("own").alias("n")).where(F.col("n").between(low, high))
     met = once(own.join(bounds, "n"), both=F.size(F.array_intersect("own", "template")))
     met = met.withColumn("score", 2 * F.col("both") / (F.col("n") + F.col("m"))).where(F.col("score") >= threshold)
-    best = met.groupBy("doc_id", "segment").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b"))
+    best = met.groupBy("doc_id", "segment", "said").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b"))
     return best.groupBy("doc_id", F.col("b.license_id").alias("license_id")).agg(F.count("*").alias("n_segments"), F.round(F.max(-F.col("b.s")), 6).alias("score"))
 
 
@@ -90,7 +90,7 @@ def sql(threshold: float = THRESHOLD, templates: tuple = TEMPLATES) -> str:
     values = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, bigrams_of(text)))}])" for name, text in templates)
     return rf"""
 WITH templates(license_id, template) AS (VALUES {values}),
-docs AS (SELECT doc_id, row_number() OVER () AS r, string_split("text", chr(10)) AS lines,
+docs AS (SELECT DISTINCT doc_id, "text" AS r, string_split("text", chr(10)) AS lines,
     list_filter(regexp_split_to_array("text", '\n[ \t\r]*\n'), lambda p: contains(trim(p, ' '), chr(10))) AS paragraphs FROM documents WHERE "text" IS NOT NULL),
 segs AS (SELECT doc_id, r, unnest(list_concat(lines, paragraphs)) AS body, generate_subscripts(list_concat(lines, paragraphs), 1) AS segment FROM docs),
 words AS (SELECT doc_id, r, segment, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') AS w FROM segs),

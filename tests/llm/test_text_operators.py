@@ -16,7 +16,7 @@ def test_license_lines_paragraphs_and_edges(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files\n(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
     rows = [(1, "Some prose.\nReleased under the MIT License.\nMore."), (2, None), (3, ""), (4, "mit"), (5, "x\n\n" + mit + "\n\ny"), (6, "RELEASED under -- the MIT   license"), (7, "Licensed under CC BY-NC 4.0."), (7, "Licensed under CC BY-NC 4.0."), (None, "Released under the MIT License."), (8, "word " * 50_000)]
     got = {(r["doc_id"], r["license_id"]): (r["n_segments"], r["score"]) for r in licenses.scan(docs(spark, rows)).collect()}
-    assert got == {(1, "MIT"): (1, 1.0), (5, "MIT"): (1, 1.0), (6, "MIT"): (1, 1.0), (7, "CC-BY-NC-4.0"): (2, 1.0), (None, "MIT"): (1, 1.0)}
+    assert got == {(1, "MIT"): (1, 1.0), (5, "MIT"): (1, 1.0), (6, "MIT"): (1, 1.0), (7, "CC-BY-NC-4.0"): (1, 1.0), (None, "MIT"): (1, 1.0)}
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
