@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, cut, distinct_texts
+from .common import bucketed, cut, distinct_texts, once
 
 COORDS, MATCHES = 48, 24
 #: Of the two-bit symbols of all coordinates, so many agree at least (chance agreement is a quarter).
@@ -152,19 +152,10 @@ def ordered(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are as similar as asked."""
-
-    def of(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[np.array(keep, bool), ["u", "v"]]
-
     left = sets.select(F.col("cls").alias("u"), F.col("own").alias("x"))
     right = sets.select(F.col("cls").alias("v"), F.col("own").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInPandas(of, "u binary, v binary")
+    both = once(pairs.join(left, "u").join(right, "v"), both=F.size(F.array_intersect("x", "y")))
+    return both.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,10 +191,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             bodies = batch["body"].tolist()
             for part in batches_of(bodies):
                 own = shingle_sets([bytes(bodies[k]) for k in part], words)
-                yield pd.DataFrame({"cls": batch["cls"].iloc[part], "own": [x.tobytes() for x in own]})
+                yield pd.DataFrame({"cls": batch["cls"].iloc[part], "own": [x.view(np.int64) for x in own]})
 
     # bucketed by class: pairs come to the sets, which stay where they are
-    sets, _ = bucketed(texts.join(involved, "key").select("cls", "body").mapInPandas(sets_of, "cls binary, own binary"), "cls")
+    sets, _ = bucketed(texts.join(involved, "key").select("cls", "body").mapInPandas(sets_of, "cls binary, own array<long>"), "cls")
     docs.sparkSession.sql(f"DROP TABLE {table_of_texts}")  # all that is needed of it is stored
 
     # every member of a list against its hub, the class of the middle hash

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of each label to learn from, at most; sampled by hash. More of label 0 keeps clean texts clean.
-SAMPLE_ROWS = {1: 2500, 0: 5500}
+SAMPLE_ROWS = {1: 1800, 0: 3400}
 BUCKETS = 1 << 16
 DIM = 8
 #: Passes over the sample: as many as make STEPS batches, within these bounds.
@@ -97,9 +97,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
             got[k] = got.get(k, 0) + 1
         docs.append((np.fromiter(got, np.int64, len(got)), np.fromiter(got.values(), np.float32, len(got))))
     words = list(index)
-    parts = [grams(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
-    bucket, counts = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts])
-    del parts, words, index
+    parts = []
+    for k in range(0, len(words), 20_000):
+        b, n = grams(words[k : k + 20_000])
+        parts.append((b.astype(np.int32), n))
+    del words, index
+    bucket, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
     begins = np.cumsum(counts) - counts
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -144,7 +148,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
 class Scorer:
     """Scores texts; a word's logit is computed once while the cache has room."""
 
-    def __init__(self, model: Model, room: int = 500_000):
+    def __init__(self, model: Model, room: int = 150_000):
         self.model, self.room, self.known = model, room, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
