@@ -83,7 +83,7 @@ def admission_stream(events: DataFrame) -> DataFrame:
         for frame in frames:
             frame = frame.sort_values(["ts", "event_id"])
             seconds = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-            yield frame.assign(admitted=admitted(list(seconds), kept))[["event_id", "user_id", "ts", "admitted"]]
+            yield frame.assign(admitted=admitted(seconds.tolist(), kept))[["event_id", "user_id", "ts", "admitted"]]
         state.update((list(kept),))
 
     rows = events.select("event_id", "user_id", "ts")
