@@ -65,3 +65,22 @@ def source_labels(df: DataFrame) -> DataFrame:
 def normalized(df: DataFrame) -> DataFrame:
     """Served rows with their names and codes standardized."""
     return df.withColumns({"gemeinde": text.place_name(F.col("gemeinde")), "ort": text.place_name(F.col("ort")), "str": text.street_name(F.col("str")), "plz": text.postcode(F.col("plz"))})
+
+
+def served_key(status: DataFrame) -> str:
+    """The set of runs that are served, as one text: what the options are valid for."""
+    rows = status.where("record_count > 0").agg(F.sort_array(F.collect_list(F.concat_ws("=", "source", F.col("served_run_id").cast("string")))).alias("k"))
+    return ",".join(rows.first()["k"])  # an entry for each source, of which there are a few
+
+
+def refresh_options(df: DataFrame, status: DataFrame, path: str) -> bool:
+    """Writes the filter options of the served set to its partition of the table at path, unless they are there; says whether it wrote."""
+    spark, key = df.sparkSession, served_key(status)
+    try:
+        if spark.read.parquet(path).where(F.col("served") == key).limit(1).count():
+            return False
+    except Exception as e:  # no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    filter_options(df).withColumn("served", F.lit(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("served").parquet(path)
+    return True

@@ -120,3 +120,12 @@ def test_pins_by_parcel_and_nearest_building(spark):
     houses = spark.createDataFrame([(1, "Weg 2", shape(102.0, 2.0, 2.0)), (2, "Weg 2", shape(104.0, 4.0, 4.0)), (3, "Weg 3 B", shape(300.0, 0.0, 5.0)), (4, "Weg 3b", shape(209.0, 0.0, 5.0))], f"building_id int, lagebez string, geometry {geo.GEOMETRY}")
     got = {(r["parcel_id"], r["pos"]): (r["kind"], r["x"], r["y"]) for r in buildings.pinned(parcels, houses).collect()}
     assert got == {(1, 0): ("parcel", 5.0, 5.0), (2, 0): ("building", 106.0, 6.0), (2, 1): ("building", 211.5, 2.5)}
+
+
+def test_options_are_rebuilt_only_for_another_served_set(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/options"
+    df = spark.createDataFrame([("1", "g"), ("2", None)], "plz string, gemeinde string")
+    states = spark.createDataFrame([("a", 1, 5), ("b", 2, 0)], "source string, served_run_id int, record_count int")
+    assert search.refresh_options(df, states, path) and not search.refresh_options(df, states, path)
+    assert search.refresh_options(df, states.withColumn("served_run_id", F.lit(3)), path)
+    assert spark.read.parquet(path).where("served = 'a=3'").count() == 3
