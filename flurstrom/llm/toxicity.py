@@ -134,11 +134,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
             g = p / len(part)
             to_doc = g @ out.T
             to_word = np.stack([np.bincount(back, share_of * to_doc[row, d], len(own)) for d in range(DIM)], 1) / n[:, None]
-            touched, where = np.unique(flat, return_inverse=True)
             spread = np.repeat(to_word, n, axis=0)
-            to_table = np.stack([np.bincount(where, spread[:, d], len(touched)) for d in range(DIM)], 1).astype(np.float32)
-            seen[0][touched] += to_table**2
-            table[touched] -= rate * to_table / np.sqrt(seen[0][touched])
+            to_table = np.stack([np.bincount(flat, spread[:, d], BUCKETS) for d in range(DIM)], 1).astype(np.float32)
+            seen[0] += to_table**2
+            table -= rate * to_table / np.sqrt(seen[0])
             for k, (x, dx) in enumerate(((out, doc_vec.T @ g), (bias, g.sum(0)))):
                 seen[k + 1] += dx**2
                 x -= rate * dx / np.sqrt(seen[k + 1])
