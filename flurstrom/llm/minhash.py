@@ -217,7 +217,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # what is left in different components of a list
     own = split_lists(tree)
-    met = own.alias("p").join(own.alias("h"), (F.col("p.value") == F.col("h.value")) & (F.col("p.root") < F.col("h.root")) & alike("p", "h", percent))
+    own = own.join(own.groupBy("cls").agg(F.collect_list("value").alias("values")), "cls")
+    first = F.array_min(F.array_intersect("p.values", "h.values")) == F.col("p.value")  # a pair is made once, however many values it shares
+    met = own.alias("p").join(own.alias("h"), (F.col("p.value") == F.col("h.value")) & (F.col("p.root") < F.col("h.root")) & alike("p", "h", percent) & first)
     tree = components(tree.unionByName(confirmed(ordered(met, "p.cls", "h.cls"), sets, percent)))
 
     mine = rows.select("doc_id", F.unhex(F.md5("body")).alias("key")).join(sigs.select("key", "n", "cls"), "key")
