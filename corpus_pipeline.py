@@ -17,6 +17,9 @@ from flurstrom.llm import minhash, packing, suffix
 from flurstrom.llm import toxicity as tox
 from flurstrom.llm.common import cut, table
 
+#: Words of a passage that goes from all documents in which it stands, whatever its bytes.
+PASSAGE = 51
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
@@ -34,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that repeat; n_chars is counted anew."""
-    out = suffix.remove_repeats(docs)
+    """Documents without the byte strings and the passages of PASSAGE words that repeat; n_chars is counted anew."""
+    out = suffix.remove_repeats(docs, words=PASSAGE)
     text = F.when(~F.col("row.no_text"), F.col("kept_text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))

@@ -19,6 +19,11 @@ sorts suffixes inside tasks.
    instead, which needs no group in one task.
 4. Marked windows return to their texts as ranges.
 
+With ``words``, a byte also goes if a passage of so many whole words (between ASCII
+white space, with what stands between them) that covers it starts anywhere else,
+however few bytes it takes: steps 2 and 3 over windows of words, settled by counting
+128-bit hashes of whole windows.
+
 Defined cases: null text is empty; texts shorter than ``length`` keep everything;
 repeated rows are copies, so all of a text of at least ``length`` bytes goes from
 each; rows with equal or null ids are kept apart by nothing but their text and get
@@ -28,7 +33,9 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, distinct_texts
+from .common import spans as spans_of
 
 LENGTH = 400
 #: Windows in a bucket of step 3, about; a single hash with over HOT windows is counted instead.
 BUCKET_WINDOWS = 400_000
 HOT = 4_000_000
 BLOCK = 1 << 20
+SPACE = np.frombuffer(b" \t\n\r\f\v", np.uint8)
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -100,6 +109,59 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return owner, first, n, h, several
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word."""
+    edge = np.flatnonzero(np.diff(np.r_[False, ~np.isin(data, SPACE), False]))
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of the bytes from each first to its end."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(data), ROOT, np.uint64))
+        back = np.cumprod(np.full(len(data), INVERSE, np.uint64))
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values(seed)[data] * power)])
+        h = (upto[end] - upto[first]) * back[first]
+        for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def pieces(body: bytes, words: int) -> Iterator[tuple[int, bytes]]:
+    """Parts of about BLOCK bytes, with their places, that hold each window of words once."""
+    if len(body) <= BLOCK:
+        yield 0, body
+        return
+    first, end = word_bounds(np.frombuffer(body, np.uint8))
+    per = max(1, BLOCK * len(first) // len(body))
+    for i in range(0, len(first) - words + 1, per):
+        yield int(first[i]), body[first[i] : end[min(i + per + words - 1, len(end)) - 1]]
+
+
+def word_runs(texts: list[bytes], words: int) -> tuple[np.ndarray, ...]:
+    """Text number, first byte, end and hash of each run of windows of words filed under one gram of half
+    as many words; one gram at two places makes two runs."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    first, end = word_bounds(data)
+    if len(first) < words:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    owner = np.searchsorted(begins, first, "right") - 1
+    gram = words // 2
+    grams = span_hashes(data, first[: len(first) - gram + 1], end[gram - 1 :])
+    order = np.argsort(grams, kind="stable")
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.arange(len(order), dtype=np.uint64)
+    at = order[least_ahead(rank, words - gram + 1).astype(np.int64)]
+    own = np.flatnonzero(owner[: len(first) - words + 1] == owner[words - 1 :])
+    if not len(own):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    new = np.flatnonzero(np.r_[True, at[own[1:]] != at[own[:-1]]])
+    a, z = own[new], own[np.append(new[1:], len(own)) - 1]
+    return owner[a], first[a] - begins[owner[a]], end[z + words - 1] - begins[owner[a]], grams[at[a]]
+
+
 class Words:
     """Eight bytes from each place on, as numbers that compare like them."""
 
@@ -328,7 +390,39 @@ def counted_windows(parts: DataFrame, length: int) -> DataFrame:
     return rows.join(twice, ["a", "b"]).select("key", F.array(F.array("s", F.col("s") + length)).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_windows: int = BUCKET_WINDOWS, hot: int = HOT, with_text: bool = True) -> DataFrame:
+def passages(texts: DataFrame, words: int) -> DataFrame:
+    """key and ranges of the windows of words that stand in more than one place, in whatever texts."""
+
+    def filed_words(batches):
+        for batch in batches:
+            every = [(key, at, part) for key, body in zip(batch["key"], batch["body"]) for at, part in pieces(bytes(body), words)]
+            for some in spans_of([len(part) for _, _, part in every], BLOCK):
+                group = every[some]
+                owner, first, end, h = word_runs([part for _, _, part in group], words)
+                keys, at = np.array([g[0] for g in group], object), np.array([g[1] for g in group], np.int64)
+                yield pd.DataFrame({"key": keys[owner], "s0": first + at[owner], "e0": end + at[owner], "h": h.view(np.int64)})
+
+    def windows(batches):
+        for batch in batches:
+            for key, body, own in zip(batch["key"], batch["body"], batch["runs"]):
+                for a, z in merged([(r["s0"], r["e0"]) for r in own]):
+                    for at, part in pieces(bytes(body[a:z]), words):
+                        data = np.frombuffer(part, np.uint8)
+                        first, end = word_bounds(data)
+                        first, end = first[: len(first) - words + 1], end[words - 1 :]
+                        x, y = (span_hashes(data, first, end, seed).view(np.int64) for seed in (2, 3))
+                        yield pd.DataFrame({"key": key, "s": first + a + at, "e": end + a + at, "x": x, "y": y})
+
+    own = texts.select("key", "body").where(F.octet_length("body") >= 2 * words - 1)
+    every = cut(own.mapInPandas(filed_words, "key binary, s0 long, e0 long, h long"))
+    shared = every.groupBy("h").count().where("count > 1").select("h")
+    lists = every.join(shared, "h").groupBy("key").agg(F.collect_list(F.struct("s0", "e0")).alias("runs"))
+    rows = cut(own.join(lists, "key").mapInPandas(windows, "key binary, s long, e long, x long, y long"), large=True)
+    twice = rows.groupBy("x", "y").count().where("count > 1").select("x", "y")
+    return rows.join(twice, ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_windows: int = BUCKET_WINDOWS, hot: int = HOT, with_text: bool = True, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, its other columns as the struct
     ``row``, and with_text its kept_text: the remaining bytes without characters that were cut in two."""
     others = F.struct(F.col(text_col).isNull().alias("no_text"), *(F.col(c) for c in docs.columns if c not in (text_col, "no_text")))
@@ -348,7 +442,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = marked_parts(usual, length, bucket_windows)
     moved = usual.select("key", "s0", "part_id").join(marks, "part_id")
     spans.append(moved.select("key", F.transform("spans", lambda s: F.transform(s, lambda x: x + F.col("s0"))).alias("spans")))
-    all_spans = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
+    if words:
+        spans = [cut(s, large=True) for s in spans]
+        spans.append(passages(texts, words))
+    all_spans = functools.reduce(DataFrame.unionByName, spans)
     by_text = all_spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def of(batches):
@@ -356,7 +453,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for key, body, copies, own in zip(batch["key"], batch["body"], batch["copies"], batch["spans"]):
                 body = bytes(body)
-                own = [(0, len(body))] if copies > 1 and len(body) >= length else merged(own) if own is not None else []
+                whole = copies > 1 and (len(body) >= length or words and len(body.split()) >= words)
+                own = [(0, len(body))] if whole else merged(own) if own is not None else []
                 at, kept = 0, []
                 for a, b in own:
                     kept.append(body[at:a])

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on a small table."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,43 @@ def test_run_on_an_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{top}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_of_51_words_go(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(n))
+    passage, fifty, short = text(51), text(50), " ".join(rng.choices("abcdefghijk", k=51))
+    assert len(short) < len(passage) < suffix.LENGTH
+    # of all windows of 51 words those that repeat; two neighbours that share 40 words each don't add up to one
+    left, right = text(40), text(40)
+    rows = [f"{text(60)} {passage} {text(60)}", f"{text(9)} {passage} {text(70)}", f"{text(60)} {fifty} {text(60)}", f"{text(9)} {fifty} {text(70)}", f"{short} {text(20)}", f"{text(20)} {short}"]
+    rows += [f"{text(20)} {left} {right} {text(20)}", f"{text(30)} {left} {text(30)}", f"{text(30)} {right} {text(30)}", text(200), text(51), text(30), "", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    gone = {0: passage, 1: passage, 4: short, 5: short}
+    assert {k: r["text"] for k, r in out.items()} == {k: t.replace(gone[k], "") if k in gone else t for k, t in enumerate(rows)}
+    assert all(r["n_chars"] == len(r["text"]) for r in out.values() if r["text"] is not None)
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(8)
+    stock = [" ".join(rng.choices("ab c de".split(), k=40)) for _ in range(6)]
+    rows = sorted({rng.choice([" ", "\n"]).join(rng.choices(stock, k=rng.randint(1, 4))) for _ in range(30)} | {"to and fro " * 30})
+    words, places = 45, {}
+    for t in rows:
+        w = list(re.finditer(r"\S+", t))
+        for i in range(len(w) - words + 1):
+            a, b = w[i].start(), w[i + words - 1].end()
+            places.setdefault(t[a:b], set()).add((t, a, b))
+    want = {p for own in places.values() if len(own) > 1 for p in own}
+    texts = spark.createDataFrame([(t.encode(), t.encode()) for t in rows], "key binary, body binary")
+    got = [(bytes(r["key"]).decode(), *r["spans"][0]) for r in suffix.passages(texts, words).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK", 300)
+    body = "  ".join("w" * (k % 7 + 1) for k in range(400)).encode()
+    ends = lambda t: [(m.start(), m.end()) for m in re.finditer(rb"\S+", t)]
+    got = [(a + at, b + at) for at, part in suffix.pieces(body, 51) for (a, _), (_, b) in zip(ends(part), ends(part)[50:])]
+    assert got == [(a, b) for (a, _), (_, b) in zip(ends(body), ends(body)[50:])]
