@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|template|noscript|svg|math|textarea|iframe|object|canvas|select)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[a-zA-Z/][^>]*\Z""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Any attribute with its whole value, so that names are never found in other names or in values.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?|"[^"]*"|'[^']*'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img".split())
 #: An opening tag that ends the open one of the same kind, unless a container stands between.
@@ -52,7 +53,7 @@ class Leaf:
 
 def hidden(attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower().replace(" ", "")
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower().replace(" ", "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value:
             return True
     return False
@@ -62,7 +63,7 @@ def names(tag: str, attributes: str) -> list[str]:
     out = [tag]
     if attributes and "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            if m[1].lower() in ("class", "id", "role") and m[2]:
+            if m[2] and m[1].lower() in ("class", "id", "role"):
                 out += ["." + w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2]).lower()) if len(w) > 1]
     return out
 

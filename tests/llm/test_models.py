@@ -94,3 +94,12 @@ def test_pages_of_unseen_layouts(spark):
     want = "The & title\nBold start of it.\nFirst paragraph with <tags> é in it.\nSecond one is here, too."
     assert sorted(got, key=str) == sorted([(1, want, len(want)), (1, want, len(want)), (None, want, len(want)), (2, "", 0), (3, "", 0), (4, "", 0), (5, "", 0)], key=str)
     assert pages.extract(table.limit(0), model).count() == 0
+
+
+def test_hidden_is_a_whole_attribute_name():
+    seen = lambda tag: [b.text for b in pages.leaves(f"<{tag}>some text</{tag.split()[0]}>")]
+    for tag in ('a href="/hidden-gems"', "a href=/hidden", 'article title="the hidden valley"', "article title='a hidden b'", 'div data-hidden="false"', "div data-x = hidden", 'div data-style="display:none"', 'div title="style=display:none"', 'div aria-hidden="false"', "div x-hidden", 'p title="a > hidden"'):
+        assert seen(tag) == ["some text"], tag
+    for tag in ("div hidden", "div HIDDEN=''", 'div class="a" hidden="until-found"', "div id=x hidden", 'div title="x"hidden', 'div aria-hidden = "true"', "div ARIA-HIDDEN=TRUE", 'div style="color:red; display: none"', 'div data-hidden="1" hidden', "div class=a/ hidden"):
+        assert seen(tag) == [], tag
+    assert pages.names("div", 'data-id="wrong" title="class=bad" class="mainText" id=top') == ["div", ".main", ".text", ".top"]
