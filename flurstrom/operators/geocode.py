@@ -2,35 +2,102 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.landing import landing
+
+#: Points of a key that are folded in one row; keys of more are settled by joins.
+MANY = 1000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, which ends its lineage there."""
+    path = landing(df.sparkSession, "points")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("key", text.address_key(F.col("gemeinde"), F.col("str"), F.col("hnr"), F.col("hnr_zus")))
 
 
-def cluster_points(points: DataFrame, near: float) -> DataFrame:
-    """key and its points in order, without those nearer than ``near`` (sum of both differences) to one already kept."""
+def few_kept(points: DataFrame, near: float) -> DataFrame:
+    """The fold of each key's points in one row, for keys of few points."""
 
     def keep(kept: Column, p: Column) -> Column:
         close = F.exists(kept, lambda k: F.abs(k["a"] - p["a"]) + F.abs(k["b"] - p["b"]) <= near)
-        return F.when(close, kept).otherwise(F.concat(kept, F.array(F.struct(p["a"].alias("a"), p["b"].alias("b")))))
+        return F.when(close, kept).otherwise(F.concat(kept, F.array(p)))
 
     ordered = points.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "a", "b"))).alias("all"))
-    none = F.array().cast("array<struct<a:float,b:float>>")
-    return ordered.select("key", F.aggregate("all", none, keep).alias("points"))
+    return ordered.select("key", F.inline(F.aggregate("all", F.slice("all", 1, 0), keep)))
+
+
+def many_kept(points: DataFrame, near: float) -> DataFrame:
+    """The same by rounds of joins on key and grid cell, which need no group in one task.
+
+    A point that comes before all that are left in its cell and those around it is kept,
+    as no other can drop it, and drops those near it; at most four of a round meet
+    a point. There are as many rounds as neighbouring cells whose first points follow one another."""
+    side = near * 1.001 or 1.0  # so that rounding doesn't take a near point two cells away
+    cell = lambda c: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), F.col(c).cast("double") / side)))
+    at = ["key", "cx", "cy"]
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
+    spread = lambda df, *more: df.select(*at, *more, around).select("key", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), *more)
+    same = lambda x, y: F.col(f"{x}.key").eqNullSafe(F.col(f"{y}.key")) & (F.col(f"{x}.cx") == F.col(f"{y}.cx")) & (F.col(f"{x}.cy") == F.col(f"{y}.cy"))
+    left, kept = stored(points.select("key", "ord", "a", "b", cell("a").alias("cx"), cell("b").alias("cy"))), []
+    while not left.isEmpty():
+        first = left.groupBy(*at).agg(F.min(F.struct("ord", "a", "b")).alias("p"))
+        least = spread(first, "p").groupBy(*at).agg(F.min("p").alias("least"))
+        new = stored(first.alias("f").join(least.alias("l"), same("f", "l") & (F.col("p") == F.col("least")), "left_semi"))
+        kept.append(new.select("key", "p.*"))
+        close = F.abs(F.col("p.a") - F.col("a")) + F.abs(F.col("p.b") - F.col("b")) <= near
+        left = stored(left.alias("f").join(spread(new, "p").alias("l"), same("f", "l") & close, "left_anti"))
+    return functools.reduce(DataFrame.unionByName, kept)
+
+
+def kept_points(points: DataFrame, near: float, many: int = MANY) -> DataFrame:
+    """key, ord, a, b of the points that aren't nearer than ``near`` (sum of both differences, 0 at least) to one kept before them.
+
+    Equal points are one first, by a partial aggregation, as all but the first would be dropped.
+    Points without two finite coordinates are near to none."""
+    finite = F.coalesce(F.abs("a") < float("inf"), F.lit(False)) & F.coalesce(F.abs("b") < float("inf"), F.lit(False))
+    points = points.select("key", "ord", "a", "b")
+    first = F.when(~F.bool_or(F.col("ord").isNull()), F.min("ord")).alias("ord")
+    one = stored(points.where(finite).groupBy("key", "a", "b").agg(first).select("key", "ord", "a", "b"))
+    crowded = stored(one.groupBy("key").count().where(F.col("count") > many).select("key"))
+    parts = [points.where(~finite)]
+    if crowded.isEmpty():
+        parts.append(few_kept(one, near))
+    else:
+        own = F.col("o.key").eqNullSafe(F.col("c.key"))
+        parts.append(few_kept(one.alias("o").join(crowded.alias("c"), own, "left_anti"), near))
+        parts.append(many_kept(one.alias("o").join(crowded.alias("c"), own, "left_semi"), near))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def cluster_points(points: DataFrame, near: float) -> DataFrame:
+    """key and its kept points in order, as one array."""
+    rows = kept_points(points, near).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "a", "b"))).alias("all"))
+    return rows.select("key", F.transform("all", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("points"))
+
+
+def counted(kept: DataFrame) -> DataFrame:
+    """key, its number of kept points, and the first of them."""
+    return kept.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("ord", "a", "b")).alias("p")).select("key", "n", "p.a", "p.b")
 
 
-def unique_points(clusters: DataFrame) -> DataFrame:
-    return clusters.where(F.size("points") == 1).select("key", F.col("points")[0]["a"].alias("a"), F.col("points")[0]["b"].alias("b"))
+def unique_points(kept: DataFrame) -> DataFrame:
+    return counted(kept).where("n = 1").drop("n")
 
 
-def candidates(clusters: DataFrame) -> DataFrame:
+def candidates(kept: DataFrame) -> DataFrame:
     """The points of keys that have several."""
-    return clusters.where(F.size("points") > 1).select("key", F.posexplode("points").alias("n", "p")).select("key", "n", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    several = kept.groupBy("key").count().where(F.col("count") > 1).select("key")
+    return kept.alias("o").join(several.alias("c"), F.col("o.key").eqNullSafe(F.col("c.key")), "left_semi").select("key", "a", "b")
 
 
 def resolvable(tagged: DataFrame) -> DataFrame:

@@ -33,18 +33,18 @@ SINGLE = f"(SELECT key, plz, min(a) AS a, min(b) AS b FROM {TAGGED} t WHERE plz
 
 
 def clusters(spark, sf_dir):
-    return geocode.cluster_points(house_points(spark, sf_dir), NEAR)
+    return geocode.kept_points(house_points(spark, sf_dir), NEAR)
 
 
 def tagged(spark, sf_dir):
-    own = geocode.candidates(clusters(spark, sf_dir)).withColumn("point", F.struct("key", "n"))
+    own = geocode.candidates(clusters(spark, sf_dir)).withColumn("point", F.struct("key", "a", "b"))
     found = spatial.containing(own.withColumnsRenamed({"a": "x", "b": "y"}), areas(spark, sf_dir), "point", "plz", 100.0)
     return own.join(found, "point", "left").drop("point")
 
 
 @query(f"SELECT key, len(points) AS n, points[1].a AS a, points[1].b AS b FROM {CLUSTERS} c")
 def cluster_points(spark, sf_dir):
-    return clusters(spark, sf_dir).select("key", F.size("points").cast("long").alias("n"), F.col("points")[0]["a"].alias("a"), F.col("points")[0]["b"].alias("b"))
+    return geocode.counted(clusters(spark, sf_dir))
 
 
 @query(f"SELECT p.id, u.a, u.b FROM (SELECT id, {KEY} AS key FROM v_properties) p LEFT JOIN {UNIQUE} u USING (key)")

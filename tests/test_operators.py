@@ -1,6 +1,7 @@
 """Search, status, gates, publishing, geocoding and buildings on small tables."""
 
 import datetime as dt
+import random
 import tempfile
 
 import pytest
@@ -129,3 +130,33 @@ def test_options_are_rebuilt_only_for_another_served_set(spark):
     assert search.refresh_options(df, states, path) and not search.refresh_options(df, states, path)
     assert search.refresh_options(df, states.withColumn("served_run_id", F.lit(3)), path)
     assert spark.read.parquet(path).where("served = 'a=3'").count() == 3
+
+
+def folded(rows, near):
+    out: dict = {}
+    for key, _, a, b in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2], r[3])):
+        kept = out.setdefault(key, [])
+        if all(abs(x - a) + abs(y - b) > near for x, y in kept):
+            kept.append((a, b))
+    return out
+
+
+def test_crowded_keys_are_settled_without_an_array(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(200), float(rng.randrange(60)) / 2, float(rng.randrange(40)) / 2) for k in ("x", "y", None) for _ in range(300)]
+    rows += [("line", n, float(n), 0.0) for n in range(12)] + [("same", n, 7.0, 7.0) for n in range(500)] + [("two", 1, 0.0, 0.0), ("two", 0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "key string, ord int, a float, b float")
+    want = {(k, p) for k, own in folded(rows, 3.0).items() for p in own}
+    for many in (5, 1000):
+        got = [(r["key"], (r["a"], r["b"])) for r in geocode.kept_points(df, 3.0, many=many).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # equal points are aggregated before anything is gathered
+    plan = geocode.kept_points(df.where("key = 'same'"), 3.0, many=5)
+    assert plan.count() == 1 and {r["key"]: r["n"] for r in geocode.counted(plan).collect()} == {"same": 1}
+
+
+def test_points_without_coordinates_are_near_to_none(spark):
+    rows = [("k", 1, None, 0.0), ("k", 2, None, 0.0), ("k", 3, float("nan"), 0.0), ("k", 4, float("inf"), 0.0), ("k", 5, float("inf"), 0.0), ("k", 6, 1.0, 1.0), ("k", 7, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "key string, ord int, a float, b float")
+    assert sorted(r["ord"] for r in geocode.kept_points(df, 3.0).collect()) == [1, 2, 3, 4, 5, 6]
+    assert len(geocode.cluster_points(df, 3.0).first()["points"]) == 6
