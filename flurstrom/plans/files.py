@@ -13,6 +13,17 @@ from .served import properties
 from .views import view
 
 
+#: Entries of a landed document, about.
+EACH = 2000
+
+
+def numbered(df, id_col: str, *by: str):
+    """df with the number of the document, among those of equal ``by``, into which a row goes."""
+    counts = df.groupBy(*by).agg((F.floor(F.count("*") / EACH) + 1).alias("n_files"))
+    rows = df.join(counts, [*by]) if by else df.crossJoin(F.broadcast(counts))
+    return rows.withColumn("no", F.pmod(F.xxhash64(id_col), "n_files")).drop("n_files")
+
+
 def csv(*columns, sep: str = ";"):
     quoted = lambda c: F.when(F.contains(c, F.lit(sep)) | F.contains(c, F.lit('"')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     return F.concat_ws(sep, *(F.coalesce(quoted(F.col(c).cast("string")) if isinstance(c, str) else c.cast("string"), F.lit("")) for c in columns))
@@ -87,7 +98,7 @@ def ingest_geojson_addresses(spark, sf_dir):
     p = view(spark, sf_dir, "v_points")
     there = F.col("address_id") % 12 != 0
     props = F.struct(F.lit("Weg").alias("STN"), (F.col("address_id") % 90).alias("HNR"), F.when(there, F.col("x") + 32_000_000.0).alias("XCOORD"), F.col("y").alias("YCOORD"), F.col("plz").cast("int").alias("PLZ"), F.col("gemeinde").alias("ONM"))
-    docs = p.groupBy((F.col("address_id") % 8).alias("page")).agg(F.collect_list(F.struct(props.alias("properties"))).alias("features"))
+    docs = numbered(p, "address_id").groupBy("no").agg(F.collect_list(F.struct(props.alias("properties"))).alias("features"))
     path = land_documents(docs.select(F.to_json(F.struct("features"))), "geojson")
     return documents.addresses(spark, path).drop("hnr_zus", "gemeinde")
 
@@ -156,9 +167,11 @@ def ingest_postcode_areas(spark, sf_dir):
 def latest_edition(spark, sf_dir):
     r = view(spark, sf_dir, "v_runs")
     file = F.struct(F.concat(F.lit("run"), F.col("run_id").cast("string")).alias("name"), F.lit(1).alias("size"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
-    sets = r.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("run_id", file.alias("f")))), lambda x: x["f"]).alias("files"))
-    docs = sets.select(F.to_json(F.struct(F.array(F.struct(F.col("source").alias("name"), "files")).alias("datasets"))))
-    return documents.latest_edition(spark, land_documents(docs, "manifests"))
+    # by ranges of ids, so that manifests in the order of their folders hold them in order
+    folder = F.lpad(F.floor(F.col("run_id") / (50 * EACH)).cast("string"), 15, "0").alias("folder")
+    sets = r.groupBy("source", folder).agg(F.transform(F.sort_array(F.collect_list(F.struct("run_id", file.alias("f")))), lambda x: x["f"]).alias("files"))
+    docs = sets.select("folder", F.to_json(F.struct(F.array(F.struct(F.col("source").alias("name"), "files")).alias("datasets"))).alias("doc"))
+    return documents.latest_edition(spark, land_documents(docs, "manifests", "folder"))
 
 
 @query("SELECT 'u' || run_id AS uri, 'file' || run_id || '|' || strftime(started_at, '%d.%m.%Y') AS version FROM v_runs WHERE run_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY CAST(started_at AS DATE) DESC, 'file' || run_id DESC) = 1")
@@ -166,9 +179,10 @@ def latest_listing_entry(spark, sf_dir):
     r = view(spark, sf_dir, "v_runs")
     k = F.col("run_id").cast("string")
     entry = F.struct(F.concat(F.lit("file"), k).alias("name"), F.when(F.col("run_id") % 3 == 0, "PDF").when(F.col("run_id") % 3 == 1, "zip").otherwise("ZIP").alias("fileExtension"), F.date_format("started_at", "dd.MM.yyyy").alias("creationDate"), F.struct(F.concat(F.lit("u"), k).alias("uri")).alias("downloadLink"))
-    docs = r.groupBy("source").agg(F.collect_list(entry).alias("downloads")).select(F.to_json(F.struct(F.struct("downloads").alias("searchresult"))))
-    path = land_documents(docs, "listings")
-    return documents.latest_listing_entry(spark, path, F.col("_metadata.file_path")).drop("listing")
+    docs = numbered(r, "run_id", "source").groupBy("source", "no").agg(F.collect_list(entry).alias("downloads")).select("source", F.to_json(F.struct(F.struct("downloads").alias("searchresult"))).alias("doc"))
+    path = land_documents(docs, "listings", "source")
+    # the files of a folder are one listing
+    return documents.latest_listing_entry(spark, path, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).drop("listing")
 
 
 @query("SELECT parcel_id, edge > 0 AND parcel_id % 4 <> 1 AS valid, CASE WHEN edge > 0 AND parcel_id % 4 <> 1 THEN edge * edge END AS size FROM v_parcels")
@@ -185,7 +199,7 @@ def parse_rings(spark, sf_dir):
 
 def component_files(spark, sf_dir):
     """Address members and the components they share, several ids the same in different files."""
-    p = view(spark, sf_dir, "v_points").withColumn("file", F.col("address_id") % 4)
+    p = numbered(view(spark, sf_dir, "v_points").withColumn("at", F.col("address_id") % 4), "address_id", "at")
     k = F.col("address_id")
     name = lambda v: F.concat(F.lit("<gn:GeographicalName><gn:spelling><gn:SpellingOfName><gn:text>"), v, F.lit("</gn:text></gn:SpellingOfName></gn:spelling></gn:GeographicalName>"))
     ref = lambda v: F.concat(F.lit('<ad:component xlink:href="#'), v, F.lit('"/>'))
@@ -195,15 +209,15 @@ def component_files(spark, sf_dir):
         F.lit("</gml:pos></gml:Point></ad:geometry></ad:GeographicPosition></ad:position><ad:locator><ad:AddressLocator>"), designator(k % 90, "addressNumber"), F.when(k % 4 == 1, designator(F.lit("b"), "addressNumberExtension")).otherwise(F.lit("")),
         F.lit("</ad:AddressLocator></ad:locator>"), ref(F.concat(F.lit("s"), (k % 10).cast("string"))), ref(F.lit("p1")), ref(F.lit("g1")), F.when(k % 3 == 0, ref(F.lit("d1"))).otherwise(F.lit("")), ref(F.lit("gone")), F.lit("</ad:Address></wfs:member>"),
     )
-    at = F.col("file").cast("string")
+    at = F.col("at").cast("string")
     part = F.explode(F.array(
         *(F.concat(F.lit(f'<wfs:member><ad:ThoroughfareName gml:id="s{i}"><ad:name><ad:ThoroughfareNameValue><ad:name>'), name(F.concat(F.lit(f"Weg {i} in "), at)), F.lit("</ad:name></ad:ThoroughfareNameValue></ad:name></ad:ThoroughfareName></wfs:member>")) for i in range(10)),
         F.concat(F.lit('<wfs:member><ad:PostalDescriptor gml:id="p1"><ad:postName>'), name(F.concat(F.lit("Post "), at)), F.lit("</ad:postName><ad:postCode>1000"), at, F.lit("</ad:postCode></ad:PostalDescriptor></wfs:member>")),
         F.concat(F.lit('<wfs:member><ad:AdminUnitName gml:id="g1"><ad:name>'), name(F.concat(F.lit("Gemeinde "), at)), F.lit('</ad:name><ad:level xlink:href="http://levels/6thOrder"/></ad:AdminUnitName></wfs:member>')),
         F.concat(F.lit('<wfs:member><ad:AdminUnitName gml:id="d1"><ad:name>'), name(F.concat(F.lit("Teil "), at)), F.lit("</ad:name><ad:code>0512345678</ad:code></ad:AdminUnitName></wfs:member>")),
     ))
-    lines = p.select("file", address.alias("line")).unionByName(p.select("file").distinct().select("file", part.alias("line")))
-    docs = lines.groupBy("file").agg(F.array_join(F.collect_list("line"), "\n").alias("doc"))
+    lines = p.select("at", "no", address.alias("line")).unionByName(p.select("at", "no").distinct().select("at", "no", part.alias("line")))
+    docs = lines.groupBy("at", "no").agg(F.array_join(F.collect_list("line"), "\n").alias("doc"))
     return land_documents(docs.select(F.concat(F.lit(ROOT), "doc", F.lit("</wfs:FeatureCollection>"))), "components")
 
 

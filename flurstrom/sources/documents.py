@@ -48,9 +48,9 @@ def postcode_areas(spark: SparkSession, path: str, box: tuple[float, float, floa
 
 
 def latest_edition(spark: SparkSession, path: str) -> DataFrame:
-    """The newest file of each dataset and its stamp; of equal times the first."""
-    d = documents(spark, path, MANIFEST, "datasets").select(F.explode("datasets").alias("d")).select("d.name", F.posexplode("d.files").alias("pos", "f"))
-    return newest(d.select(F.col("name").alias("dataset"), "pos", F.col("f.name").alias("file"), F.col("f.timestamp").alias("at")), "dataset")
+    """The newest file of each dataset, in whatever manifests, and its stamp; of equal times the first of the first manifest by path."""
+    d = documents(spark, path, MANIFEST, "datasets").select(F.col("_metadata.file_path").alias("path"), F.posexplode("datasets").alias("set", "d")).select("path", "set", "d.name", F.posexplode("d.files").alias("pos", "f"))
+    return newest(d.select(F.col("name").alias("dataset"), F.struct("path", "set", "pos").alias("pos"), F.col("f.name").alias("file"), F.col("f.timestamp").alias("at")), "dataset")
 
 
 def newest(files: DataFrame, key: str) -> DataFrame:

@@ -29,10 +29,10 @@ def land_lines(df: DataFrame, name: str, header: str | None = None) -> str:
     return path
 
 
-def land_documents(df: DataFrame, name: str) -> str:
-    """Writes each row of a one-column frame as a file of its own."""
+def land_documents(df: DataFrame, name: str, folder: str | None = None) -> str:
+    """Writes each row of a one-column frame as a file of its own, in the folder that another column names."""
     path = landing(df.sparkSession, name)
-    df.write.option("maxRecordsPerFile", 1).text(path)
+    df.write.partitionBy(*[folder] * (folder is not None)).option("maxRecordsPerFile", 1).text(path)
     return path
 
 

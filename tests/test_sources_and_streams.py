@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flurstrom.functions import geo
+from flurstrom.plans import QUERIES, files
 from flurstrom.sources import delimited, documents, gml
 from flurstrom.streaming import usage
 
@@ -108,3 +109,29 @@ def test_admission_equals_a_loop_in_batch_and_stream(spark):
     q = usage.admission_stream(spark.readStream.schema(e.schema).parquet(f"{top}/landed")).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["event_id"]: r["admitted"] for r in spark.read.parquet(f"{top}/out").collect()} == want
+
+
+def test_landed_documents_grow_in_number_not_in_size(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    names = ("resolve_components", "admin_unit_pick", "ingest_geojson_addresses", "latest_edition", "latest_listing_entry")
+    rows = lambda: {n: sorted(map(repr, QUERIES[n](spark, sf).collect())) for n in names}
+    want = rows()
+    paths = []
+    land = files.land_documents
+    monkeypatch.setattr(files, "land_documents", lambda df, name, *more: paths.append((name, land(df, name, *more))) or paths[-1][1])
+    monkeypatch.setattr(files, "EACH", 10)
+    assert rows() == want and len(paths) == len(names)
+    entry = {"components": "<ad:Address ", "geojson": '"properties"', "manifests": '"timestamp"', "listings": '"downloadLink"'}
+    for name, path in paths:
+        texts = [r["value"] for r in spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).collect()]
+        sizes = [t.count(entry[name]) for t in texts]
+        assert len(sizes) > 10 and max(sizes) <= (50 * 10 if name == "manifests" else 40), (name, sizes)
+
+
+def test_manifests_of_one_dataset(spark):
+    top = tempfile.mkdtemp(prefix="spark-")
+    one = lambda *f: '{"datasets":[{"name":"d","files":[' + ",".join(f'{{"name":"{n}","timestamp":"{t}"}}' for n, t in f) + "]}]}"
+    for k, body in enumerate([one(("a", "2024-01-01T00:00:00"), ("b", "2024-01-03T00:00:00")), one(("c", "2024-01-03T00:00:00"), ("e", "2024-01-02T00:00:00"))]):
+        with open(f"{top}/{k}.json", "w", encoding="utf-8") as f:
+            f.write(body)
+    assert [tuple(r) for r in documents.latest_edition(spark, top).collect()] == [("d", "b", "b@2024-01-03T00:00:00")]
