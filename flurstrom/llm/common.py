@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share. Only a local session, which has one machine, may leave it unset."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         there = sc.getCheckpointDir()
     return there.rstrip("/")
@@ -35,29 +40,50 @@ def free(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, large: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage there; after a large step its shuffle files are freed."""
+    """Write df to the shared folder and read it back, which ends its lineage there; after a large step its
+    shuffle files are freed. Who makes a table that isn't read any more discards it."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if large:
         free(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """df as a table bucketed by key, whose joins on the key don't shuffle it; and the table's name, to drop it by."""
-    spark = df.sparkSession
-    name = f"by_{key}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
-    free(spark)
-    return spark.table(name), name
+def discard(*stored: DataFrame) -> None:
+    """Deletes the files of tables that cut() made, once all that was read from them is stored elsewhere."""
+    for df in stored:
+        jvm, path = df.sparkSession._jvm, df.stored_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system; workers are reused and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in record batches whose texts have about limit bytes, however many rows Spark sends at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        for part in spans(sizes, limit, rows=2000):
+            yield batch.slice(part.start, part.stop - part.start)
+    give_back()
 
-def spans(lengths: list[int], limit: int) -> Iterator[slice]:
-    """Slices of consecutive items whose lengths add up to about limit."""
+
+def spans(lengths: list[int], limit: int, rows: int = 1 << 30) -> Iterator[slice]:
+    """Slices of consecutive items, ``rows`` at most, whose lengths add up to about limit."""
     begin = total = 0
     for k, n in enumerate(lengths):
         total += n
-        if total >= limit:
+        if total >= limit or k + 1 - begin >= rows:
             yield slice(begin, k + 1)
             begin, total = k + 1, 0
     if begin < len(lengths):
@@ -77,6 +103,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df as a table bucketed by key, whose joins on the key don't shuffle it; and the table's name, to drop it by."""
+    spark = df.sparkSession
+    name = f"by_{key}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
+    free(spark)
+    return spark.table(name), name
+
+
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
     """key, body (bytes) and copies of each different text, as a table bucketed by key; and its name."""
     rows = docs.select(F.unhex(F.md5("body")).alias("key"), "body")

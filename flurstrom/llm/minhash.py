@@ -4,15 +4,21 @@ A text's set of word shingles has a signature of COORDS minima. Texts with equal
 sets are one class. A pair of sets as similar as the threshold agrees in at least
 MATCHES coordinates (but for one pair in some ten million at the threshold
 itself), so it shares at least one of the COORDS - MATCHES + 1 coordinate values
-that are rarest in either: only this prefix is posted, and values that one class
-alone has need no posting. The other, longer posting lists are skipped; what they
-would add is counted from two bits of each coordinate that travel with a posting.
-Pairs above that count are confirmed on the full sets.
-
-Within a posting list pairs aren't all made. First every member meets the list's
-hub, then its neighbours in a hashed order; members already connected need no link
-of their own. Only members of one list that are still in different components
-are paired exhaustively, under the count as join condition. Components come from
+that are rarest in either: only this prefix is posted, values that one class alone
+has need no posting, and classes with fewer than MATCHES other values drop out. The
+longer posting lists are skipped; what they would add is counted from eight bits of
+each coordinate, which a class keeps beside its id.
+
+A list of up to SMALL members makes its pairs, at most SMALL - 1 for a member. In a
+longer list every member meets the hub only, the class of the list's least hash:
+members linked to the hub are connected. For any other link of two members a and b
+the triangle inequality of the Jaccard distance asks that their differences to the
+hub's set overlap, in so many elements that the rarest of a's and b's differences
+must meet: prefixes of differences are joined on (hub, element), and a pair is made
+only where sizes and places leave it a chance. Copies of one text with edits of
+their own have differences that don't meet, so no group makes all its pairs. All
+pairs, however found, have their agreeing coordinates counted, are retained with
+MATCHES or more, and are confirmed on the full sets. Components come from
 alternating large-star and small-star steps over the links.
 
 Defined cases: null text is empty; a text without words has no set and is linked
@@ -26,19 +32,25 @@ kept false); an empty table gives no rows; columns besides id and text are ignor
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, cut, distinct_texts, once
+from .common import byte_slices, cut, discard, free, once
 
 COORDS, MATCHES = 48, 24
-#: Of the two-bit symbols of all coordinates, so many agree at least (chance agreement is a quarter).
-SYMBOLS = 27
-#: Members of a posting list that one window of neighbours holds, about.
-NEIGHBOURS = 5000
+#: Members of a posting list whose pairs are made directly, at most.
+SMALL = 16
+#: Columns of eight symbols of eight bits.
+MARKS = [f"s{k}" for k in range(COORDS // 8)]
+#: Keys of texts whose sets are needed that are broadcast, at most (some 100 bytes each); more are joined by a shuffle.
+SMALL_KEYS = 500_000
+#: Bytes of text that a task works on at once.
+PORTION = 1 << 19
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACES = np.zeros(256, bool)
@@ -95,135 +107,179 @@ def signature(own: np.ndarray, coords: int = COORDS, seed: int = 3) -> np.ndarra
     return mix(low + np.arange(coords, dtype=np.uint64) * ROOT)
 
 
-def batches_of(bodies, limit: int = 1 << 20):
-    part, size = [], 0
-    for k, b in enumerate(bodies):
-        part.append(k)
-        size += len(b)
-        if size >= limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def signed(texts: DataFrame, words: int) -> DataFrame:
-    """key, n, cls (hash of the whole set), s1 and s2 (two bits of each coordinate) and values of each text."""
-    bits = np.uint64(1) << np.arange(COORDS, dtype=np.uint64)
+def signed(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, key (of the text), n, cls (hash of the whole set), values and MARKS of each row (doc_id, body); without a set cls is null."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, key binary, n long, cls binary, values array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
     def of(batches):
-        for batch in batches:
-            bodies = batch["body"].tolist()
-            for part in batches_of(bodies):
-                out = []
-                for k, own in zip(part, shingle_sets([bytes(bodies[k]) for k in part], words)):
-                    if not len(own):
-                        out.append((batch["key"].iloc[k], 0, None, 0, 0, []))
-                        continue
-                    sig = signature(own)
-                    s1, s2 = (int(bits[(sig >> np.uint64(s) & np.uint64(1)) == 1].sum()) for s in (7, 23))
-                    out.append((batch["key"].iloc[k], len(own), hashlib.md5(own.tobytes()).digest(), s1, s2, sig.view(np.int64)))
-                yield pd.DataFrame(out, columns=["key", "n", "cls", "s1", "s2", "values"])
-
-    return texts.select("key", "body").mapInPandas(of, "key binary, n long, cls binary, s1 long, s2 long, values array<long>")
-
-
-def postings(classes: DataFrame) -> DataFrame:
-    """value, cls, n, s1, s2 of the values in each class's prefix that other classes have too."""
-    pairs = classes.select("cls", F.explode("values").alias("value"))
+        for part in byte_slices(batches, "body", PORTION):
+            bodies = part.column("body").to_pylist()
+            sets = shingle_sets(bodies, words)
+            sigs = [signature(own) if len(own) else np.zeros(COORDS, np.uint64) for own in sets]
+            values = np.concatenate(sigs)
+            marks = (values & np.uint64(255)).astype(np.uint8).view(np.int64).reshape(-1, len(MARKS))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array([hashlib.md5(b).digest() for b in bodies], pa.binary()),
+                    pa.array([len(own) for own in sets], pa.int64()),
+                    pa.array([hashlib.md5(own.tobytes()).digest() if len(own) else None for own in sets], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDS, pa.int32()), pa.array(values.view(np.int64))),
+                    *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(len(MARKS))),
+                ],
+                names=["doc_id", "key", "n", "cls", "values", *MARKS],
+            )
+
+    return rows.mapInArrow(of, schema)
+
+
+def posted(classes: DataFrame) -> DataFrame:
+    """value, id, c (members of the value's list) and hub, of the values in each class's prefix that others have posted too."""
+    pairs = classes.select("id", F.explode("values").alias("value"))
     shared = pairs.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    own = pairs.join(shared, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("own"))
-    alone = COORDS - F.size("own")
-    prefix = own.select("cls", F.slice("own", 1, F.greatest(F.lit(0), COORDS - MATCHES + 1 - alone)).alias("own"))
-    return prefix.select("cls", F.explode("own.value").alias("value")).join(classes.select("cls", "n", "s1", "s2"), "cls")
+    own = pairs.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("own")).where(F.size("own") >= MATCHES)
+    posts = cut(own.select("id", F.explode(F.slice("own.value", 1, F.size("own") - (MATCHES - 1))).alias("value")), large=True)
+    lists = posts.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub")).where("c > 1")
+    out = cut(posts.join(lists, "value"))
+    discard(posts)
+    return out
+
 
+def unequal(a: Column, b: Column) -> Column:
+    """How many of the eight bytes of a and b differ."""
+    x = a.bitwiseXOR(b)
+    for k in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-def alike(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and counted symbols leave the pair a chance."""
-    c = lambda side, k: F.col(f"{side}.{k}")
-    agree = COORDS - F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1")).bitwiseOR(c(a, "s2").bitwiseXOR(c(b, "s2"))))
-    small, large = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
-    return (small * 100 >= large * percent) & (agree >= SYMBOLS)
 
+def retained(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that agree in MATCHES coordinates and whose sizes leave them a chance."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), *(F.col(m).alias(f"{x}{m}") for m in MARKS))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    agree = COORDS - reduce(add, (unequal(F.col(f"u{m}"), F.col(f"v{m}")) for m in MARKS))
+    return both.where((F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent) & (agree >= MATCHES)).select("u", "v")
 
-def ordered(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are as similar as asked."""
-    left = sets.select(F.col("cls").alias("u"), F.col("own").alias("x"))
-    right = sets.select(F.col("cls").alias("v"), F.col("own").alias("y"))
+    left = sets.select(F.col("id").alias("u"), F.col("own").alias("x"))
+    right = sets.select(F.col("id").alias("v"), F.col("own").alias("y"))
     both = once(pairs.join(left, "u").join(right, "v"), both=F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v")
 
 
+def sets_of(rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """id and own (the whole set) of each needed class (id, key), from a text that has it."""
+    schema = "id long, own array<long>"
+
+    def of(batches):
+        for part in byte_slices(batches, "body", PORTION):
+            sets = shingle_sets(part.column("body").to_pylist(), words)
+            ends = np.cumsum([0] + [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "own"])
+
+    few = needed.count() <= SMALL_KEYS
+    texts = rows.select(F.unhex(F.md5("body")).alias("key"), "body").join(F.broadcast(needed) if few else needed, "key")
+    return cut(texts.groupBy("id").agg(F.first("body").alias("body")).mapInArrow(of, schema), large=True)
+
+
+def differences(spokes: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, hub, n, m (sizes of the sets of both) and d, the elements that one of both sets has alone."""
+    left = sets.select("id", F.col("own").alias("x"))
+    right = sets.select(F.col("id").alias("hub"), F.col("own").alias("y"))
+    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    return cut(spokes.join(left, "id").join(right, "hub").select("id", "hub", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), apart.alias("d")))
+
+
+def meeting(spokes: DataFrame, percent: int) -> DataFrame:
+    """Pairs u > v of members of one hub, in different components, whose differences to it may overlap enough.
+
+    Two sets of x and y elements are linked if they differ in at most (x + y) * (100 - percent) / (100 + percent)
+    elements, so their differences to the hub share at least half of what both have beyond that. Both are put in
+    one order, rarest elements first; then the prefixes of those that share so much meet."""
+    elements = spokes.select("hub", "id", "n", "root", F.size("d").cast("long").alias("k"), F.explode("d").alias("e"))
+    shared = elements.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1")
+    own = elements.join(shared, ["hub", "e"]).groupBy("hub", "id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("f", "e"))).alias("own"))
+    placed = own.select("hub", "id", "n", "root", "k", F.posexplode("own.e").alias("p", "e"), F.size("own").alias("size"))
+    placed = placed.withColumn("p", F.col("k") - F.col("size") + F.col("p") + 1).drop("size")
+    # with a partner of fewer elements in its difference, and with one of as many or more
+    far, near = F.floor(F.col("n") * (100 - percent) / percent) + 1, F.floor(F.col("n") * (100 - percent) / (2 * percent)) + 1
+    placed = cut(placed.where(F.col("p") <= far))
+    b = placed.alias("b")
+    a = placed.where(F.col("p") <= near).alias("a")
+    first = (F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
+    asked = (F.col("a.k") + F.col("b.k")) - (F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent)
+    chance = 2 * (1 + F.least(F.col("a.k") - F.col("a.p"), F.col("b.k") - F.col("b.p"))) >= asked - 1e-6
+    met = a.join(b, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root")) & first & chance)
+    out = cut(ordered(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))))
+    discard(placed)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
-    """u and the least node v of its component, for every node but the least, from links u > v."""
+    """u and the least node v of its component, for every node but the least, from links u > v; stored."""
     edges, before = cut(links.distinct(), large=True), None
     while True:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             return edges
-        before = seen
+        before, last = seen, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").toDF("u", "v").unionByName(least.toDF("u", "v"))
         edges = cut(small.distinct())
+        discard(last)
+
+
+def with_root(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """rows (id, ...) with the root of their component."""
+    return rows.join(tree.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) and kept of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
-    texts, table_of_texts = distinct_texts(rows)
-    sigs = cut(signed(texts, words))
-    classes = sigs.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("values").alias("values"), F.first("key").alias("key"))
-    classes = cut(classes, large=True)
-    posts = cut(postings(classes), large=True)
-    met_lists = posts.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
-    posts = cut(posts.join(met_lists, "value"))
-    involved = posts.select("cls").distinct().join(classes.select("cls", "key"), "cls")
-
-    def sets_of(batches):
-        for batch in batches:
-            bodies = batch["body"].tolist()
-            for part in batches_of(bodies):
-                own = shingle_sets([bytes(bodies[k]) for k in part], words)
-                yield pd.DataFrame({"cls": batch["cls"].iloc[part], "own": [x.view(np.int64) for x in own]})
-
-    # bucketed by class: pairs come to the sets, which stay where they are
-    sets, _ = bucketed(texts.join(involved, "key").select("cls", "body").mapInPandas(sets_of, "cls binary, own array<long>"), "cls")
-    docs.sparkSession.sql(f"DROP TABLE {table_of_texts}")  # all that is needed of it is stored
-
-    # every member of a list against its hub, the class of the middle hash
-    hubs = posts.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls", "n", "s1", "s2")).alias("h"), F.count("*").alias("c")).where("c > 1").select("value", "h.cls", "h.n", "h.s1", "h.s2")
-    met = posts.alias("p").join(hubs.alias("h"), (F.col("p.value") == F.col("h.value")) & (F.col("p.cls") != F.col("h.cls")) & alike("p", "h", percent))
-    tree = components(confirmed(ordered(met, "p.cls", "h.cls"), sets, percent))
-
-    def split_lists(tree: DataFrame) -> DataFrame:
-        """Postings with their component, of lists that still hold several."""
-        own = posts.join(tree.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        several = own.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 <> r1").select("value", "c")
-        return cut(own.join(several, "value"))
-
-    # neighbours in an order that differs from list to list
-    own = split_lists(tree)
-    window = Window.partitionBy("value", F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / NEIGHBOURS))).orderBy(F.xxhash64("value", "cls"))
-    last = F.lag(F.struct("cls", "n", "s1", "s2", "root")).over(window)
-    met = own.select(F.struct("cls", "n", "s1", "s2", "root").alias("p"), last.alias("h")).where((F.col("p.root") != F.col("h.root")) & alike("p", "h", percent))
-    tree = components(tree.unionByName(confirmed(ordered(met, "p.cls", "h.cls"), sets, percent)))
-
-    # what is left in different components of a list
-    own = split_lists(tree)
-    own = own.join(own.groupBy("cls").agg(F.collect_list("value").alias("values")), "cls")
-    first = F.array_min(F.array_intersect("p.values", "h.values")) == F.col("p.value")  # a pair is made once, however many values it shares
-    met = own.alias("p").join(own.alias("h"), (F.col("p.value") == F.col("h.value")) & (F.col("p.root") < F.col("h.root")) & alike("p", "h", percent) & first)
-    tree = components(tree.unionByName(confirmed(ordered(met, "p.cls", "h.cls"), sets, percent)))
-
-    mine = rows.select("doc_id", F.unhex(F.md5("body")).alias("key")).join(sigs.select("key", "n", "cls"), "key")
-    mine = cut(mine.join(tree.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root")))
-    least = mine.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = mine.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    sigs = cut(signed(rows, words))
+    first = lambda *names: [F.first(c).alias(c) for c in names]
+    classes = sigs.where("cls IS NOT NULL").groupBy("cls").agg(*first("n", "key", "values", *MARKS), F.min("doc_id").alias("least"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), large=True)
+    posts = posted(classes)
+
+    few, many = posts.where(F.col("c") <= SMALL), posts.where(F.col("c") > SMALL)
+    a, b = (few.select("value", F.col("id").alias(x)) for x in "ab")
+    found = cut(retained(ordered(a.join(b, "value").where("a < b")), classes, percent), large=True)
+    spokes = cut(many.where("id <> hub").select("id", "hub").distinct())
+    needed = reduce(DataFrame.union, [found.select("u"), found.select("v"), spokes.select("id"), spokes.select("hub")]).distinct().toDF("id")
+    needed = cut(needed.join(classes.select("id", "key"), "id"))
+    sets = sets_of(rows, needed, words)
+    apart = differences(spokes, sets)
+    # x + y elements, of which d lie in one of both sets only
+    to_hub = apart.where((F.col("n") + F.col("m")) * (100 - percent) >= F.size("d") * (100 + percent)).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v"))
+    tree = components(confirmed(found, sets, percent).unionByName(to_hub))
+
+    roots = cut(with_root(apart, tree))
+    several = roots.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hub")
+    met = meeting(roots.join(several, "hub"), percent)
+    more = cut(confirmed(retained(met, classes, percent), sets, percent))
+    if not more.isEmpty():
+        last, tree = tree, components(tree.unionByName(more))
+        discard(last)
+
+    named = with_root(classes.select("id", "cls", "least"), tree)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select("cls", "component_id")
+    mine = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    out = mine.where("cls IS NOT NULL").join(named, "cls").select("doc_id", "n_shingles", "component_id")
+    alone = mine.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = cut(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+    discard(sigs, classes, posts, found, spokes, needed, sets, apart, roots, met, more, tree)
+    free(docs.sparkSession)
+    return out

@@ -61,18 +61,51 @@ def test_components_equal_brute_force(spark, words):
     assert got == brute_components(rows, words, 80)
 
 
-def test_large_group_of_near_copies_and_empty_table(spark):
+@pytest.mark.parametrize("edits, own_words", [((0, 6), True), ((4, 14), True), ((6, 16), False)])
+def test_large_groups_of_near_copies(spark, edits, own_words):
+    """Copies above, around and below the threshold, with words of their own or from a common stock."""
     rng = random.Random(9)
     base = [f"b{k}" for k in range(100)]
     rows = []
     for i in range(400):
         w = list(base)
-        for p in rng.sample(range(100), rng.randint(0, 6)):
-            w[p] = f"e{i}-{p}"
+        for p in rng.sample(range(100), rng.randint(*edits)):
+            w[p] = f"e{i}-{p}" if own_words else rng.choice("tuvwxyz")
         rows.append((i, " ".join(w)))
+    # two halves that share a passage, and texts that have little besides it
+    rows += [(1000 + i, " ".join([*base[:60], *(f"o{i}-{k}" for k in range(rng.randint(5, 50)))])) for i in range(60)]
     got = sorted((tuple(r) for r in minhash.near_duplicates(table(spark, rows), words=2).collect()), key=str)
-    assert got == brute_components(rows, 2, 80)
+    want = brute_components(rows, 2, 80)
+    assert got == want and len({w[2] for w in want}) > 20
+
+
+def test_pairs_that_meet_are_few_and_complete(spark):
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(100)]
+    texts = []
+    for i in range(600):
+        w = list(base)
+        for p in rng.sample(range(100), rng.randint(5, 9)):
+            w[p] = f"e{i}-{p}"
+        texts.append(" ".join(w))
+    sets = minhash.shingle_sets([t.encode() for t in texts], 2)
+    hub = set(sets[0].tolist())
+    rows = [(i, 0, len(own), i, [int(x) for x in np.array(sorted(hub ^ set(own.tolist())), np.uint64).view(np.int64)]) for i, own in enumerate(sets) if i]
+    met = {(r["u"], r["v"]) for r in minhash.meeting(spark.createDataFrame(rows, "id long, hub long, n long, root long, d array<long>"), 80).collect()}
+    linked = set()
+    for a, b in combinations(range(1, len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        near_hub = [10 * len(hub & set(sets[x].tolist())) >= 8 * len(hub | set(sets[x].tolist())) for x in (a, b)]
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and not all(near_hub):
+            linked.add((b, a))
+    assert linked <= met and len(met) < 0.05 * len(sets) ** 2 / 2
+
+
+def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, []), words=2).count() == 0
+    docs = table(spark, [(1, "a b c d"), (2, "a b c d"), (2, "q r s t")])
+    clashing = docs.select("*", *(docs["key"].alias(c) for c in ("id", "hub", "value", "values", "n", "u", "v", "least", "s0", "body", "own", "kept", "component_id")))
+    assert sorted(tuple(r) for r in minhash.near_duplicates(clashing, words=2).collect()) == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 2, True)]
 
 
 def brute_spans(bodies, length):
