@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from itertools import combinations
@@ -25,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, spans
 from .toxicity import sample
 
-#: Texts of each language to learn from, at most; sampled by hash.
-SAMPLE_TEXTS = 400
+#: Texts of each language to learn from, at most; sampled by hash. SAMPLE_ALL bounds all languages' together.
+SAMPLE_TEXTS, SAMPLE_ALL = 400, 4000
 BUCKETS = 1 << 12
 #: Families of languages by ISO 639-1 code; others form one family.
 FAMILIES = {
@@ -44,12 +46,17 @@ FAMILIES = {
     "dravidian": "kn ml ta te",
     "austronesian": "id jv ms tl",
 }
-LETTER = re.compile(r"[^\W\d_]")
+WORDLY = re.compile(r"[^\W\d_]")  # letters, and numerals such as ½ besides
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Letters below are looked up; above, each code point stands for itself.
 TABLE = 0x3000
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L."""
+    return any(m[0].isalpha() for m in WORDLY.finditer(text))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, own in FAMILIES.items() if lang.split("-")[0].lower() in own.split()), "other")
 
@@ -172,9 +179,21 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """A model from at most ``most`` texts of each language among the rows that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     known = [r["lang"] for r in rows.select("lang").distinct().collect()]  # as many as there are languages
-    got = sample(rows, "lang", dict.fromkeys(known, most), F.xxhash64("doc_id", F.lit(4))).collect()
-    got = sorted((r for r in got if LETTER.search(r["text"])), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    chosen = sample(rows, "lang", dict.fromkeys(known, max(1, min(most, SAMPLE_ALL // max(1, len(known))))), F.xxhash64("doc_id", F.lit(4)))
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[[has_letter(t) for t in frame["text"]]].sort_values(["doc_id", "lang", "text"])
+        model = train(frame["text"].tolist(), frame["lang"].tolist())
+        del frame
+        give_back()
+        return pd.DataFrame({"families": [json.dumps(model.families)], "pairs": [json.dumps(model.pairs)], "weights": [model.weights.tobytes()], "bias": [model.bias.tobytes()]})
+
+    # the sample is bounded, so one task can learn from it; the driver gets a column of weights for each machine
+    got = chosen.select("doc_id", "text", "lang").withColumn("of", F.lit("all")).groupBy("of").applyInPandas(of, "families string, pairs string, weights binary, bias binary").collect()
+    if not got:
+        return train([], [])
+    families, pairs = ([tuple(x) for x in json.loads(got[0][k])] for k in ("families", "pairs"))
+    return Model(families, pairs, np.frombuffer(got[0]["weights"], np.float32).reshape(3 * BUCKETS, -1), np.frombuffer(got[0]["bias"], np.float64))
 
 
 def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,11 +203,11 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
     def of(batches):
         own, table = Model(*shared.value), lower_letters()
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                rows = batch.iloc[k : k + 200]
+            for part in spans([len(t) if t else 0 for t in batch["text"]], 1 << 20, rows=200):
+                rows = batch.iloc[part]
                 texts = [t or "" for t in rows["text"]]
                 m = margins(own, texts, table)
-                said = [decide(own, m[k]) if own.families and LETTER.search(t) else ("und", 0.0) for k, t in enumerate(texts)]
+                said = [decide(own, m[k]) if own.families and has_letter(t) else ("und", 0.0) for k, t in enumerate(texts)]
                 yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "lang_pred": [s[0] for s in said], "score": [s[1] for s in said]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, PREDICTED)

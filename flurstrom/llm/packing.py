@@ -20,11 +20,11 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ragged, spans
+from .common import byte_slices, cut, ragged
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,14 +44,17 @@ class Encoder:
     """Token ids of texts, equal to the tokenizer's own, by way of its pre-tokens.
 
     Ids of a pre-token don't depend on its neighbours, so each distinct one is
-    encoded once and kept while the cache has room.
+    encoded once and kept while the cache has room. A text that the pattern can't
+    split as the tokenizer does, or that names one of its added tokens, is given to
+    the tokenizer whole.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 100_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         self.words = Tokenizer(Tokenizer.from_file(path).model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
@@ -93,11 +96,9 @@ class Encoder:
         plain, numbers = [], []
         number, known = self.index.__getitem__, len(self.index)
         for k, text in enumerate(texts):
-            if not text.isascii() and (self.odd.search(text) or not unicodedata.is_normalized("NFC", text)):
-                found[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
             low = text.lower()
-            if len(low) != len(text):  # a letter whose lower case is two characters
+            plainly = text.isascii() or not self.odd.search(text) and not self.odd.search(low) and len(low) == len(text) and unicodedata.is_normalized("NFC", text)
+            if not plainly or self.added.search(text):
                 found[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             plain.append(k)
@@ -123,18 +124,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         import public_tokenizers
 
         encoder = Encoder(public_tokenizers.path(tokenizer))
-        for batch in batches:
-            for part in spans([len(t) if t else 0 for t in batch["text"]], 4_000_000):
-                rows = batch.iloc[part]
-                out = []
-                for doc, ids in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]])):
-                    ids = np.append(ids, np.uint32(0)).astype("<u4")
-                    for p, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        out.append((doc, p, at, len(own), zlib.crc32(own.tobytes())))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, PIECES)
+        for rows in byte_slices(batches, "text", 1 << 20):
+            which, columns = [], {name: [] for name in ("piece", "start", "length", "ids_crc32")}
+            for k, ids in enumerate(encoder.encode([t or "" for t in rows.column("text").to_pylist()])):
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    which.append(k)
+                    for name, value in zip(columns, (p, at, len(own), zlib.crc32(own.tobytes()))):
+                        columns[name].append(value)
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(which, pa.int32())), *(pa.array(v, t) for v, t in zip(columns.values(), types))], names=["doc_id", *columns])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

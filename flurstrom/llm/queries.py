@@ -13,7 +13,7 @@ def op1_license_scan(spark, sf_dir):
 
 
 def op2_suffix_dedup(spark, sf_dir):
-    return suffix.digest(table(spark, sf_dir, "documents"))
+    return suffix.digest(table(spark, sf_dir, "documents"), words=suffix.PASSAGE)
 
 
 def op3_html_extraction(spark, sf_dir):

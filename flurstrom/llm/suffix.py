@@ -15,8 +15,9 @@ sorts suffixes inside tasks.
    are sorted by two-stage suffix sorting: suffixes smaller than their successors
    are sorted directly, the rest are induced by scanning the buckets of first
    bytes; adjacent common prefixes of ``length`` or more mark windows.
-   A hash under which too many windows meet is settled by counting whole windows
-   instead, which needs no group in one task.
+   Windows of a hash that would fill a bucket alone are filed anew under the hash of
+   what they have around that gram, all but STRIDE - 1 of their bytes: what is still
+   together is equal there, so no hash, however frequent, is one large group.
 4. Marked windows return to their texts as ranges.
 
 With ``words``, a byte also goes if a passage of so many whole words (between ASCII
@@ -27,8 +28,8 @@ however few bytes it takes: steps 2 and 3 over windows of words, settled by coun
 Defined cases: null text is empty; texts shorter than ``length`` keep everything;
 repeated rows are copies, so all of a text of at least ``length`` bytes goes from
 each; rows with equal or null ids are kept apart by nothing but their text and get
-a result each; an empty table gives no rows; columns besides id and text are
-ignored.
+a result each; an empty table gives no rows; other columns, whatever their names,
+are carried and change nothing.
 """
 
 from __future__ import annotations
@@ -43,14 +44,17 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, distinct_texts
+from .common import cut, discard, distinct_texts, give_back
 from .common import spans as spans_of
 
 LENGTH = 400
-#: Windows in a bucket of step 3, about; a single hash with over HOT windows is counted instead.
-BUCKET_WINDOWS = 400_000
-HOT = 4_000_000
-BLOCK = 1 << 20
+#: Words of a passage that counts whatever its bytes, where passages are asked for.
+PASSAGE = 51
+#: Windows in a bucket of step 3, about; a single hash with more is split.
+BUCKET_WINDOWS = 200_000
+#: Of a split hash's windows, so many neighbours stay together.
+STRIDE = 25
+BLOCK = 1 << 19
 SPACE = np.frombuffer(b" \t\n\r\f\v", np.uint8)
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -324,6 +328,7 @@ def filed(texts: DataFrame, length: int) -> DataFrame:
                         group, size = [], 0
             if group:
                 yield rows(group)
+        give_back()
 
     return texts.select("key", "body").where(F.octet_length("body") >= length).mapInPandas(of, "key binary, s0 long, n long, h long, several boolean")
 
@@ -342,6 +347,35 @@ def with_bytes(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return texts.select("key", "body").join(lists, "key").mapInPandas(of, "key binary, s0 long, n long, h long, part binary, part_id binary")
 
 
+def split(parts: DataFrame, length: int) -> DataFrame:
+    """The runs in pieces of up to STRIDE windows whose first gram of hash h stands at like places, each under
+    the hash of the bytes that all its windows have in common. Equal windows come under equal hashes."""
+    gram = length // 2
+    stride = min(STRIDE, length - gram + 1)
+
+    def of(batches):
+        for batch in batches:
+            for key, s0, h, part in zip(batch["key"], batch["s0"], batch["h"], batch["part"]):
+                part = bytes(part)
+                data = np.frombuffer(part, np.uint8)
+                n = len(part) - length + 1
+                at = np.flatnonzero(gram_hashes(data, gram).view(np.int64) == h)
+                place = at[np.searchsorted(at, np.arange(n))]
+                block = (place - np.arange(n)) // stride
+                new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (block[1:] != block[:-1])])
+                out = []
+                for a, k in zip(new.tolist(), np.diff(np.append(new, n)).tolist()):
+                    low = int(place[a] - block[a] * stride)  # where the last window of the block begins
+                    common = part[low : low - (stride - 1) + length]
+                    own = hashlib.md5(b"%d %d " % (h, block[a]) + common).digest()
+                    piece = part[a : a + k + length - 1]
+                    out.append((key, s0 + a, k, int.from_bytes(own[:8], "little", signed=True), piece, hashlib.md5(piece).digest()))
+                yield pd.DataFrame(out, columns=["key", "s0", "n", "h", "part", "part_id"])
+        give_back()
+
+    return parts.select("key", "s0", "h", "part").mapInPandas(of, "key binary, s0 long, n long, h long, part binary, part_id binary")
+
+
 def marked_parts(parts: DataFrame, length: int, bucket_windows: int) -> DataFrame:
     """part_id and the ranges that its repeated windows cover: of equal parts all, of others those that sorting finds."""
     one = parts.groupBy("h", "part_id").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.count("*").alias("c"))
@@ -370,28 +404,14 @@ def marked_parts(parts: DataFrame, length: int, bucket_windows: int) -> DataFram
                     own = np.ones(len(own), bool)
                 if own.any():
                     out.append((part_id, ranges(own, length)))
+        give_back()
         return pd.DataFrame(out, columns=["part_id", "spans"])
 
     return one.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(of, "part_id binary, spans array<array<long>>")
 
 
-def counted_windows(parts: DataFrame, length: int) -> DataFrame:
-    """key and ranges of the windows of parts that occur more than once, by counting 128-bit hashes of whole windows."""
-
-    def of(batches):
-        for batch in batches:
-            for key, s0, part in zip(batch["key"], batch["s0"], batch["part"]):
-                data = np.frombuffer(part, np.uint8)
-                a, b = (gram_hashes(data, length, seed).view(np.int64) for seed in (2, 3))
-                yield pd.DataFrame({"key": key, "s": s0 + np.arange(len(a)), "a": a, "b": b})
-
-    rows = cut(parts.select("key", "s0", "part").mapInPandas(of, "key binary, s long, a long, b long"))
-    twice = rows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return rows.join(twice, ["a", "b"]).select("key", F.array(F.array("s", F.col("s") + length)).alias("spans"))
-
-
 def passages(texts: DataFrame, words: int) -> DataFrame:
-    """key and ranges of the windows of words that stand in more than one place, in whatever texts."""
+    """key and ranges of the windows of words that stand in more than one place, in whatever texts; stored."""
 
     def filed_words(batches):
         for batch in batches:
@@ -418,56 +438,84 @@ def passages(texts: DataFrame, words: int) -> DataFrame:
     shared = every.groupBy("h").count().where("count > 1").select("h")
     lists = every.join(shared, "h").groupBy("key").agg(F.collect_list(F.struct("s0", "e0")).alias("runs"))
     rows = cut(own.join(lists, "key").mapInPandas(windows, "key binary, s long, e long, x long, y long"), large=True)
+    discard(every)
     twice = rows.groupBy("x", "y").count().where("count > 1").select("x", "y")
-    return rows.join(twice, ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans"))
+    out = cut(rows.join(twice, ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans")), large=True)
+    discard(rows)
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_windows: int = BUCKET_WINDOWS, hot: int = HOT, with_text: bool = True, words: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, its other columns as the struct
-    ``row``, and with_text its kept_text: the remaining bytes without characters that were cut in two."""
-    others = F.struct(F.col(text_col).isNull().alias("no_text"), *(F.col(c) for c in docs.columns if c not in (text_col, "no_text")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), others.alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
-    texts, _ = distinct_texts(rows)
+def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None) -> DataFrame:
+    """key, copies, spans and passages (ranges by bytes and by words) of each different text (body) that has copies or ranges; stored."""
+    texts, name = distinct_texts(docs)
     every = cut(filed(texts, length))
     shared = every.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 OR s").select("h")
-    found = cut(with_bytes(texts, every.join(shared, "h").select("key", "s0", "n", "h"), length))
-    crowded = found.groupBy("h").agg(F.sum("n").alias("w")).where(F.col("w") > hot).select("h")
-    n_crowded = crowded.count()
-    usual = found
-    spans = []
-    if n_crowded:
-        crowded = cut(crowded)
-        usual = found.join(crowded, "h", "left_anti")
-        spans.append(counted_windows(found.join(crowded, "h", "left_semi"), length))
-    marks = marked_parts(usual, length, bucket_windows)
-    moved = usual.select("key", "s0", "part_id").join(marks, "part_id")
-    spans.append(moved.select("key", F.transform("spans", lambda s: F.transform(s, lambda x: x + F.col("s0"))).alias("spans")))
+    found = cut(with_bytes(texts, every.join(shared, "h").select("key", "s0", "n", "h"), length), large=True)
+    discard(every)
+    # of equal parts one is sorted
+    crowded = found.groupBy("h", "part_id").agg(F.first("n").alias("n")).groupBy("h").agg(F.sum("n").alias("w")).where(F.col("w") > bucket_windows).select("h")
+    crowded = cut(crowded)
+    parts = found
+    if not crowded.isEmpty():
+        parts = cut(found.join(crowded, "h", "left_anti").unionByName(split(found.join(crowded, "h"), length)), large=True)
+        discard(found)
+    moved = parts.select("key", "s0", "part_id").join(marked_parts(parts, length, bucket_windows), "part_id")
+    own = cut(moved.select("key", F.transform("spans", lambda s: F.transform(s, lambda x: x + F.col("s0"))).alias("spans")), large=True)
+    discard(parts, crowded)
+    stored = [own]
+    kinds = [own.select("key", "spans", F.lit(None).cast("array<array<long>>").alias("passages"))]
     if words:
-        spans = [cut(s, large=True) for s in spans]
-        spans.append(passages(texts, words))
-    all_spans = functools.reduce(DataFrame.unionByName, spans)
-    by_text = all_spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        stored.append(passages(texts, words))
+        kinds.append(stored[-1].select("key", F.lit(None).cast("array<array<long>>").alias("spans"), F.col("spans").alias("passages")))
+    lists = functools.reduce(DataFrame.unionByName, kinds).groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")))
+    out = cut(texts.select("key", "copies").join(lists, "key", "left").where("copies > 1 OR spans IS NOT NULL"), large=True)
+    discard(*stored)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # all that is needed of it is stored
+    return out
 
-    def of(batches):
-        for batch in batches:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_windows: int = BUCKET_WINDOWS, with_text: bool = True, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, its other columns as the struct
+    ``row``, and with_text its kept_text: the remaining bytes without characters that were cut in two.
+
+    These are of the byte strings alone. With ``words``, n_passage_bytes counts the bytes that go as the
+    passages of so many words do besides, and kept_text is without both."""
+    others = F.struct(F.col(text_col).isNull().alias("no_text"), *(F.col(c) for c in docs.columns if c not in (text_col, "no_text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), others.alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
+    lists = repeats(rows.select("body"), length, bucket_windows, words)
+
+    def without(body: bytes, own: list[tuple[int, int]]) -> bytes:
+        at, kept = 0, []
+        for a, b in own:
+            kept.append(body[at:a])
+            at = b
+        return b"".join([*kept, body[at:]])
+
+    # two columns go through Python and one comes back; the others stay where they are
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept_text string")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for bodies, copies, spans, passages_ in batches:
             out = []
-            for key, body, copies, own in zip(batch["key"], batch["body"], batch["copies"], batch["spans"]):
+            for body, c, own, also in zip(bodies, copies, spans, passages_):
                 body = bytes(body)
-                whole = copies > 1 and (len(body) >= length or words and len(body.split()) >= words)
-                own = [(0, len(body))] if whole else merged(own) if own is not None else []
-                at, kept = 0, []
-                for a, b in own:
-                    kept.append(body[at:a])
-                    at = b
-                rest = b"".join([*kept, body[at:]])
-                out.append((bytes(key), len(body), len(body) - len(rest), len(own), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
-            yield pd.DataFrame(out, columns=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    done = texts.join(by_text, "key", "left").mapInPandas(of, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return rows.select("doc_id", "row", F.unhex(F.md5("body")).alias("key")).join(done, "key").drop("key")
+                size = len(body)
+                by_bytes = [(0, size)] if c > 1 and size >= length else merged(own) if own is not None else []
+                rest = without(body, by_bytes)
+                both, least = by_bytes, rest
+                if words and by_bytes != [(0, size)]:
+                    whole = c > 1 and len(body.split()) >= words
+                    both = [(0, size)] if whole else merged([*by_bytes, *(also if also is not None else [])])
+                    least = without(body, both)
+                out.append((size - len(rest), len(by_bytes), hashlib.sha256(rest).hexdigest(), size - len(least), least.decode("utf-8", "ignore") if with_text else None))
+            yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept_text"])
+        give_back()
+
+    met = rows.withColumn("key", F.unhex(F.md5("body"))).join(lists, "key", "left")
+    done = met.select("doc_id", "row", F.octet_length("body").cast("long").alias("n_bytes"), of("body", F.coalesce("copies", F.lit(1)), "spans", "passages").alias("r"))
+    extra = ["n_passage_bytes"] * bool(words) + ["kept_text"] * with_text
+    return done.select("doc_id", "row", "n_bytes", *(f"r.{c}" for c in ("n_removed", "n_spans", "kept_sha256", *extra)))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """The result without texts."""
-    out = remove_repeats(docs, with_text=False, **options)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, with_text=False, **options).drop("row")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import give_back, spans
+
 #: Rows of each label to learn from, at most; sampled by hash. More of label 0 keeps clean texts clean.
 SAMPLE_ROWS = {1: 1800, 0: 3400}
 BUCKETS = 1 << 16
@@ -38,13 +40,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def fnv(raw: bytes) -> int:
-    h = 2166136261
-    for b in raw:
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h
-
-
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of each word and of itself, and how many each word has. Vectorised over all words at once."""
     n = len(words)
@@ -147,10 +142,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
 class Scorer:
     """Scores texts; a word's logit is computed once while the cache has room."""
 
-    def __init__(self, model: Model, room: int = 150_000):
+    def __init__(self, model: Model, room: int = 50_000):
         self.model, self.room, self.known = model, room, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        """Scores of the texts, some megabyte of them at a time."""
+        return np.concatenate([np.zeros(0), *(self.some(texts[part]) for part in spans([len(t) for t in texts], 1 << 20, rows=500))])
+
+    def some(self, texts: list[str]) -> np.ndarray:
         found = [words_of(t) for t in texts]
         if len(self.known) > self.room:
             self.known = {}
@@ -188,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "label", "text"])
         model = train(frame["text"].tolist(), frame["label"].to_numpy(np.int64))
+        give_back()
         return pd.DataFrame({"weight": [model.weight.tobytes()], "bias": [model.bias]})
 
     # the sample is bounded, so one task can learn from it; the driver gets BUCKETS numbers
@@ -201,11 +201,11 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
 
     def of(batches):
         scorer = Scorer(Model(*shared.value))
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                rows = batch.iloc[k : k + 500]
-                s = scorer([t or "" for t in rows["text"]])
-                yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+        for rows in batches:
+            s = scorer([t or "" for t in rows["text"]])
+            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+        del scorer
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, SCORED)
 
@@ -218,7 +218,9 @@ def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(Model(*shared.value))
         for batch in texts:
-            yield pd.Series(np.concatenate([scorer([t or "" for t in batch.iloc[k : k + 500]]) for k in range(0, len(batch), 500)] or [np.zeros(0)]))
+            yield pd.Series(scorer([t or "" for t in batch]))
+        del scorer
+        give_back()
 
     return of(text)
 
