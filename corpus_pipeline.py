@@ -1,8 +1,7 @@
 """A corpus made fit for training: five stages, each over all that the one before kept.
 
 All stages but the last return the columns of ``documents``. A null text is treated
-as empty and stays null; extra columns stay; rows without doc_id pass the
-near-duplicate stage as they are, since its groups are named by ids.
+as empty and stays null; extra columns stay, whatever their names but for key_ and nth_.
 """
 
 from __future__ import annotations
@@ -17,10 +16,6 @@ from flurstrom.llm import minhash, packing, suffix
 from flurstrom.llm import toxicity as tox
 from flurstrom.llm.common import cut, table
 
-#: Words of a passage that goes from all documents in which it stands, whatever its bytes.
-PASSAGE = 51
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
     model = tox.fit(docs, table(spark, sf_dir, "labels"), tox.held(0, 5))
@@ -28,19 +23,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, 0.8) the document with the least id."""
-    kept = minhash.near_duplicates(docs.where("doc_id IS NOT NULL")).where("kept").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi")
-    # an id that stands on several rows is one document; rows of an id are already together here
-    one = stay.withColumn("nth_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("nth_row = 1").drop("nth_row")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """Of each component of near duplicates (five-word shingles, 0.8) the document with the least id.
+
+    A document is a row's id and text: rows with one id and other texts are others, rows without id come last."""
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")))
+    ids = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key")).alias("id"), "text")
+    kept = minhash.near_duplicates(ids, id_col="id").where("kept").select(F.col("doc_id.key").alias("key_")).distinct()
+    # of rows with equal id and text one stays
+    once = docs.withColumn("key_", key).join(kept, "key_", "left_semi")
+    return once.withColumn("nth_", F.row_number().over(Window.partitionBy("key_").orderBy("key_"))).where("nth_ = 1").drop("key_", "nth_")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings and the passages of PASSAGE words that repeat; n_chars is counted anew."""
-    out = suffix.remove_repeats(docs, words=PASSAGE)
+    """Documents without the byte strings and the passages of suffix.PASSAGE words that repeat; n_chars is counted anew."""
+    out = suffix.remove_repeats(docs, words=suffix.PASSAGE)
     text = F.when(~F.col("row.no_text"), F.col("kept_text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))}
+    new = {"text": text, "n_chars": F.when(F.col("n_passage_bytes") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
