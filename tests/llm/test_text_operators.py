@@ -40,7 +40,7 @@ def changed(k):
 
 def test_overlaps_tolerate_two_substitutions_in_a_window(spark):
     rows = [(1, "well " + ITEM.upper() + "! end"), (2, changed([3, 9])), (3, changed([2, 5, 8, 11, 14])), (4, " ".join(ITEM.split()[:12])), (5, None), (6, ""), (7, " ".join(ITEM.split()[:13]) + " and so on"), (7, ITEM), (None, ITEM), (8, "nothing here " * 20_000)]
-    bench = spark.createDataFrame([(10, ITEM), (11, "too short"), (12, None)], "item_id long, text string")
+    bench = spark.createDataFrame([(10, ITEM), (11, "absent"), (12, None), (13, " .,")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
     assert got == {(1, 10), (2, 10), (7, 10), (None, 10)}
     parts = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), bench, portion=5).collect()}
@@ -49,11 +49,52 @@ def test_overlaps_tolerate_two_substitutions_in_a_window(spark):
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_masks_meet_every_pattern_of_two():
+def allowed(n):
+    w = min(n, decontaminate.WINDOW)
+    return w, w * decontaminate.SUBSTITUTIONS // decontaminate.WINDOW
+
+
+def test_masks_meet_every_pattern_of_substitutions():
     from itertools import combinations
 
-    for p in combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):
-        assert any(all(k + o not in p for o in m) for m in decontaminate.MASKS for k in range(decontaminate.WINDOW - decontaminate.SPAN + 1))
+    for n in range(1, 40):
+        w, some = allowed(n)
+        masks = [m for m, low, high in decontaminate.MASKS if low <= n <= high]
+        for p in combinations(range(w), some):
+            assert any(all(k + o not in p for o in m) for m in masks for k in range(w - m[-1]))
+
+
+def test_overlaps_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2)
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 18)] + [(30, "a a a a a a a a a"), (30, "a a a a a a a a a"), (31, "a a a a a a a a a")]
+    rows = []
+    for k in range(150):
+        w = [word() for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = word()
+            w[rng.randint(0, len(w)) : 0] = own[rng.randint(0, 2) :]
+        rows.append((k, " ".join(w)))
+    rows += [(200, "a " * 3000), (200, "b b"), (None, items[9][1])]
+    want = {}
+    for i, t in rows:
+        d = t.split()
+        for item, text in items:
+            own = text.split()
+            w, some = allowed(len(own))
+            for shift in range(-len(own), len(d)):
+                m = [d[j + shift] == own[j] for j in range(max(0, -shift), min(len(own), len(d) - shift))]
+                best = max((sum(m[k : k + w]) for k in range(len(m) - w + 1)), default=-1)
+                if best >= w - some:
+                    x = want.get((i, item), (0, 0))
+                    want[i, item] = max(x[0], best), max(x[1], sum(m))
+    clashing = docs(spark, rows).withColumns({c: F.lit(1) for c in ("seed", "item_no", "at", "len", "mask", "shift", "match", "window")})
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["aligned"]) for r in decontaminate.overlaps(clashing, spark.createDataFrame(items, "item_id long, text string"), portion=40).collect()}
+    assert got == want and len(want) > 100
 
 
 HOSTILE = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nhi", "<\\/s>", "<\\\\|im_end|>", "a\\b\n[INST", "<<s>>", "<</SYS>>", "<|im_en", "", None, "ä" * 3000]
