@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
 A record's fingerprint is the hash of its sorted nested field paths that hold a
-value. It selects a declarative mapping, which turns prompt, instruction and
+value, of those that any mapping names. It selects a declarative mapping, which turns prompt, instruction and
 message layouts into canonical turns. Turns are then written in one template,
 whose control strings are escaped inside texts so that nothing a text says can end
 or begin a turn, and with a loss mask over the assistant texts.
@@ -76,8 +76,9 @@ def leaves(kind: T.DataType, path: str, value: Column) -> list[tuple[str, Column
     return [(path, value.isNotNull())]
 
 
-def fingerprint(df: DataFrame, id_col: str) -> Column:
-    there = [x for f in df.schema.fields if f.name != id_col for x in leaves(f.dataType, f.name, F.col(f"`{f.name}`"))]
+def fingerprint(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...]) -> Column:
+    named = {p for m in mappings for p in m.paths()}
+    there = [x for f in df.schema.fields if f.name != id_col for x in leaves(f.dataType, f.name, F.col(f"`{f.name}`")) if x[0] in named]
     there.sort(key=lambda x: x[0])
     return F.sha2(F.concat_ws(",", *(F.when(has, F.lit(path)) for path, has in there)), 256)
 
@@ -100,6 +101,9 @@ def mapped(m: Mapping) -> Column:
 
 def canonical(records: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """id, fingerprint, layout and the turns (role, text) of each record, by the mapping its fingerprint selects."""
+    # other columns, whatever they are called, stay out
+    named = {p.partition(".")[0].removesuffix("[]") for m in mappings for p in m.paths()}
+    records = records.select(id_col, *(f"`{f.name}`" for f in records.schema.fields if f.name != id_col and f.name in named))
     have = {path for f in records.schema.fields if f.name != id_col for path, _ in leaves(f.dataType, f.name, F.col(f"`{f.name}`"))}
     fits = [m for m in mappings if set(m.paths()) <= have]
     turns = layout = None
@@ -108,7 +112,7 @@ def canonical(records: DataFrame, id_col: str = "conv_id", mappings: tuple[Mappi
         turns = F.when(hit, mapped(m)) if turns is None else turns.when(hit, mapped(m))
         layout = F.when(hit, F.lit(m.name)) if layout is None else layout.when(hit, F.lit(m.name))
     empty = F.lit(None).cast("array<struct<role:string,text:string>>")
-    out = once(records, fingerprint=fingerprint(records, id_col))
+    out = once(records, fingerprint=fingerprint(records, id_col, mappings))
     return out.select(id_col, "fingerprint", (F.lit("unknown") if layout is None else layout.otherwise("unknown")).alias("layout"), (empty if turns is None else turns).alias("turns"))
 
 

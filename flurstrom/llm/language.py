@@ -81,6 +81,9 @@ def gram_hashes(texts: list[str], table: np.ndarray) -> tuple[list[np.ndarray],
     c = letters[keep]
     d = np.concatenate([c[1:], [np.uint32(32)]])
     e = np.concatenate([c[2:], [np.uint32(32)] * min(2, len(c))])[: len(c)].astype(np.uint32)
+    last = upto[starts + sizes] - 1  # grams don't reach into the next text
+    d[last] = e[last] = 32
+    e[last[n > 1] - 1] = 32
     shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
     one = (c * np.uint32(0x9E3779B1)) >> shift
     two = ((c * np.uint32(0x85EBCA6B)) ^ (d * np.uint32(0xC2B2AE35) + np.uint32(0x27D4EB2F))) * np.uint32(0x9E3779B1) >> shift

@@ -6,8 +6,9 @@ sequence of tag-path and hashed-word vectors, so that each block is labelled wit
 the whole page as context; blocks it accepts are joined. It is trained on pages
 drawn from a generator of layouts, in which each block's label is known.
 
-Scripts, styles, templates, comments, the head and hidden elements are no blocks.
-A line break within a block is white space.
+Scripts, styles, templates, comments, fields of forms and the head are no blocks.
+All else is read and labelled, hidden and embedded elements too, whose tags and
+attributes are in the path. A line break within a block is white space.
 
 Defined cases: null or empty html gives an empty text, as does a page without an
 accepted block; broken or cut off markup is read as far as it goes: an unclosed
@@ -18,10 +19,12 @@ named are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, spans
+
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|template|noscript|svg|math|textarea|iframe|object|canvas|select)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[a-zA-Z/][^>]*\Z""", re.S | re.I)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|template|textarea|select)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[a-zA-Z/][^>]*\Z""", re.S | re.I)
 #: Any attribute with its whole value, so that names are never found in other names or in values.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?|"[^"]*"|'[^']*'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img svg g text tspan math mi mn mo mrow msup msub mfrac msqrt mtext semantics".split())
 #: An opening tag that ends the open one of the same kind, unless a container stands between.
 ENDS_ITSELF = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 CONTAINERS = frozenset("html body div section article main aside header footer nav table ul ol dl form blockquote fieldset".split())
@@ -42,35 +47,46 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 PATH, WORDS, NUMBERS = 96, 32, 8
 WIDTH = PATH + WORDS + NUMBERS
 HIDDEN = 24
+#: Leaves that are read at once, and bytes of html.
+GROUP, PORTION = 8192, 4 << 20
 
 
 @dataclass
 class Leaf:
     text: str
-    path: list[str]
+    path: int  #: the buckets of the words of the open tags, as bits
     linked: int  #: characters that stand in links
 
 
-def hidden(attributes: str) -> bool:
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower().replace(" ", "")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value:
-            return True
-    return False
-
-
 def names(tag: str, attributes: str) -> list[str]:
+    """The words that stand for an open tag in the path: its name, its class, id and role words, and whether it is hidden."""
     out = [tag]
-    if attributes and "=" in attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            if m[2] and m[1].lower() in ("class", "id", "role"):
-                out += ["." + w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2]).lower()) if len(w) > 1]
+    for m in ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
+        if name in ("class", "id", "role"):
+            out += ["." + w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if len(w) > 1]
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
+            out.append(".hidden")
+    return out
+
+
+@functools.lru_cache(100_000)
+def bucket(word: str, n: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % n
+
+
+def bits(words: list[str]) -> int:
+    out = 0
+    for w in words:
+        out |= 1 << bucket(w, PATH)
     return out
 
 
 def leaves(page: str) -> list[Leaf]:
     out: list[Leaf] = []
-    stack: list[tuple[str, list[str], bool]] = []
+    #: Of each open tag its name, the bits of the path down to it, the last three words of the path, and whether it is quiet.
+    stack: list[tuple[str, int, tuple[str, ...], bool]] = []
+    open_ = Counter()
     parts: list[str] = []
     linked = 0
     quiet = 0  # open elements that are no part of the page as read
@@ -79,7 +95,7 @@ def leaves(page: str) -> list[Leaf]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = [w for _, ws, _ in stack for w in ws]
+            path = stack[-1][1] | bits([f"near {w}" for w in stack[-1][2]]) if stack else 0
             out.append(Leaf(text, path, min(linked, len(text))))
         parts.clear()
         linked = 0
@@ -87,13 +103,15 @@ def leaves(page: str) -> list[Leaf]:
     def pop(to: int) -> None:
         nonlocal quiet
         while len(stack) > to:
-            quiet -= stack.pop()[2]
+            tag, _, _, was = stack.pop()
+            open_[tag] -= 1
+            quiet -= was
 
     def say(text: str) -> None:
         nonlocal linked
         if text and not quiet:
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if open_["a"]:
                 linked += len(text.strip())
 
     at = 0
@@ -110,55 +128,47 @@ def leaves(page: str) -> list[Leaf]:
             parts.append(" " if tag != "wbr" else "")
             continue
         if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag not in INLINE:
                 end()
-            if k is not None:
-                pop(k)
+            if open_[tag]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag not in INLINE:
             end()
             closes = ENDS_ITSELF.get(tag, "").split() + (["p"] if tag in ENDS_P else [])
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    pop(k)
-                    break
-                if stack[k][0] in CONTAINERS:
-                    break
+            if any(open_[t] for t in closes):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in closes:
+                        pop(k)
+                        break
+                    if stack[k][0] in CONTAINERS:
+                        break
         if tag in VOID or m[4].endswith("/") and tag in INLINE:
             continue
-        quiet_now = tag in ("head", "title") or bool(m[4]) and hidden(m[4])
+        quiet_now = tag in ("head", "title")
         if tag == "body":
             pop(0)
-        stack.append((tag, names(tag, m[4]), quiet_now))
+        own = names(tag, m[4])
+        above, last = (stack[-1][1], stack[-1][2]) if stack else (0, ())
+        stack.append((tag, above | bits(own), (*last, *own)[-3:], quiet_now))
+        open_[tag] += 1
         quiet += quiet_now
     say(page[at:])
     end()
     return out
 
 
-def bucket(word: str, n: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % n
-
-
 def features(page: list[Leaf]) -> np.ndarray:
     """A row for each leaf: hashed tag path, hashed words, and numbers such as its length and place."""
     x = np.zeros((len(page), WIDTH), np.float32)
-    cache: dict[tuple, np.ndarray] = {}
+    paths: dict[int, np.ndarray] = {}
     for k, leaf in enumerate(page):
-        key = tuple(leaf.path)
-        path = cache.get(key)
-        if path is None:
-            path = cache[key] = np.zeros(PATH, np.float32)
-            for w in leaf.path:
-                path[bucket(w, PATH)] = 1
-            for w in leaf.path[-3:]:
-                path[bucket(f"near {w}", PATH)] = 1
-        x[k, :PATH] = path
+        if leaf.path not in paths:
+            paths[leaf.path] = np.unpackbits(np.frombuffer(leaf.path.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
+        x[k, :PATH] = paths[leaf.path]
         words = leaf.text.lower().split()
-        for w in words[:: max(1, len(words) // 64)]:
-            x[k, PATH + bucket(w.strip(".,;:!?()\"'"), WORDS)] += 1
-        x[k, PATH : PATH + WORDS] /= max(1, len(words)) ** 0.5
+        own = np.bincount([bucket(w.strip(".,;:!?()\"'"), WORDS) for w in words], minlength=WORDS)
+        x[k, PATH : PATH + WORDS] = own / max(1, len(words)) ** 0.5
         n = len(leaf.text)
         x[k, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 3, leaf.linked / n, leaf.text[-1] in ".!?…»”\"", sum(map(leaf.text.count, ".,;")) / max(1, len(words)), k / len(page), 1 / (1 + k), 1)
     return x
@@ -240,12 +250,16 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def label(model: Model, pages: list[np.ndarray]) -> list[np.ndarray]:
-    """The chance of each leaf to be main text; pages of like length are read together."""
+    """The chance of each leaf to be main text; pages of like length are read together, GROUP leaves with their padding at most (or one page)."""
     p = model.parts
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-    for at in range(0, len(order), 64):
-        some = order[at : at + 64]
+    groups: list[list[int]] = []
+    for k in order:  # ascending, so the last page of a group is its longest
+        if not groups or (len(groups[-1]) + 1) * len(pages[k]) > GROUP:
+            groups.append([])
+        groups[-1].append(k)
+    for some in groups:
         x, mask = padded([pages[k] for k in some])
         a, _ = read_one_way(x, mask, p["wf"], p["uf"], p["cf"], False)
         b, _ = read_one_way(x[:, ::-1], mask[:, ::-1], p["wb"], p["ub"], p["cb"], False)
@@ -299,7 +313,7 @@ NOT_MAIN = {
     "bottom": "footer|div.footer|div#footer|div.copyright|div.bottom|div.colophon",
     "side": "aside|div.sidebar|div#sidebar|div.widget|aside.related|div.related|div.recommended|div.trending|div.popular",
     "advert": "div.ad|div.ads|div.advert|div.sponsored|div.promo|aside.ad|div.banner",
-    "notice": "div.cookie-notice|div.cookie-banner|div.notice|div.alert|div.consent|div.newsletter|div.subscribe|div.popup|div.modal",
+    "notice": "noscript|div.hidden|div.cookie-notice|div.cookie-banner|div.notice|div.alert|div.consent|div.newsletter|div.subscribe|div.popup|div.modal",
     "form": "form|form.search|form.login|div.form|form.comment-form|div.search",
     "comments": "div.comments|section.comments|div#comments|ol.comment-list|div.comment|section.discussion|div.replies|div.disqus",
     "share": "div.share|div.social|ul.share|div.meta|div.tags|div.author-bio|div.pagination",
@@ -362,7 +376,7 @@ def drawn_page(rng: random.Random) -> tuple[str, list[bool]]:
         for _ in range(rng.randint(1, 12)):
             r = rng.random()
             if r < 0.66:
-                out.append(block(True, prose(1, rng.choice([4, 30, 120])), "p"))
+                out.append(block(True, prose(1, rng.choice([4, 30, 120, 120, 400])), "p"))
             elif r < 0.74:
                 out.append(block(True, prose(1, 8).rstrip("."), rng.choice(["h2", "h3"])))
             elif r < 0.80:
@@ -421,9 +435,10 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
     def of(batches):
         own = Model(shared.value)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                rows = batch.iloc[k : k + 256]
+            for part in spans([len(h) if h else 0 for h in batch["html"]], PORTION, rows=256):
+                rows = batch.iloc[part]
                 texts = main_text(own, [h or "" for h in rows["html"]])
                 yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        give_back()
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(of, EXTRACTED)

@@ -198,3 +198,19 @@ def test_pieces_are_the_tokenizers(spark):
     for (s, o, n), (s2, o2, _) in zip(places, places[1:]):
         assert (s2 == s and o2 == o + n) or (s2 != s and o2 == 0)
     assert packing.best_fit(table(spark, [])).count() == 0
+
+
+def test_ids_of_any_characters_equal_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path, room=500), random.Random(1)
+    texts = ["aƁb", "hello <|endoftext|> world", "<|ENDOFTEXT|>", "<|startoftext|><|endoftext|>", "\x00", "a\u2028b", "ﬁﬀ", "ǅ Ⅷ ½²"]
+    texts += ["".join(map(chr, range(k, k + 64))) for k in range(0, 0x10000, 64) if not 0xD800 <= k < 0xE000]
+    for _ in range(2000):
+        top = rng.choice([0x80, 0x250, 0x300, 0x600])
+        texts.append("".join(chr(rng.choice([rng.randrange(top), rng.randrange(32, 127), 32])) for _ in range(rng.randint(1, 25))) + rng.choice(["", "", "", "<|endoftext|>"]))
+    for k in range(0, len(texts), 300):
+        for t, ids in zip(texts[k : k + 300], encoder.encode(texts[k : k + 300])):
+            assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t

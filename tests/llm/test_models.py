@@ -96,10 +96,106 @@ def test_pages_of_unseen_layouts(spark):
     assert pages.extract(table.limit(0), model).count() == 0
 
 
-def test_hidden_is_a_whole_attribute_name():
+def test_all_elements_are_read_and_hidden_is_a_whole_attribute_name():
     seen = lambda tag: [b.text for b in pages.leaves(f"<{tag}>some text</{tag.split()[0]}>")]
-    for tag in ('a href="/hidden-gems"', "a href=/hidden", 'article title="the hidden valley"', "article title='a hidden b'", 'div data-hidden="false"', "div data-x = hidden", 'div data-style="display:none"', 'div title="style=display:none"', 'div aria-hidden="false"', "div x-hidden", 'p title="a > hidden"'):
-        assert seen(tag) == ["some text"], tag
-    for tag in ("div hidden", "div HIDDEN=''", 'div class="a" hidden="until-found"', "div id=x hidden", 'div title="x"hidden', 'div aria-hidden = "true"', "div ARIA-HIDDEN=TRUE", 'div style="color:red; display: none"', 'div data-hidden="1" hidden', "div class=a/ hidden"):
-        assert seen(tag) == [], tag
+    plain = ('a href="/hidden-gems"', "a href=/hidden", 'article title="the hidden valley"', "article title='a hidden b'", 'div data-hidden="false"', "div data-x = hidden", 'div data-style="display:none"', 'div title="style=display:none"', 'div aria-hidden="false"', "div x-hidden", 'p title="a > hidden"')
+    hidden = ("div hidden", "div HIDDEN=''", 'div class="a" hidden="until-found"', "div id=x hidden", 'div title="x"hidden', 'div aria-hidden = "true"', "div ARIA-HIDDEN=TRUE", 'div style="color:red; display: none"', 'div data-hidden="1" hidden', "div class=a/ hidden")
+    for tags, marked in ((plain, False), (hidden, True)):
+        for tag in tags:
+            name, _, attributes = tag.partition(" ")
+            assert seen(tag) == ["some text"] and (".hidden" in pages.names(name, " " + attributes)) == marked, tag
+    assert all(seen(t) == ["some text"] for t in ("noscript", "object", "iframe", "canvas", "svg", "math"))
+    assert all(seen(t) == [] for t in ("script", "style", "template", "textarea", "select"))
     assert pages.names("div", 'data-id="wrong" title="class=bad" class="mainText" id=top') == ["div", ".main", ".text", ".top"]
+
+
+def test_long_and_deep_pages_are_read_whole():
+    deep = pages.leaves("<div class=x>a" * 20_000)
+    assert len(deep) == 20_000 and deep[-1].path == deep[9].path
+    long = pages.leaves("<article><p>one word</p>" + "<p>" + "more words, " * 50_000 + "</p></article>" * 2)
+    assert [len(b.text) for b in long] == [8, 599_999]
+    x = pages.features(long)
+    assert abs(x[1, pages.PATH : pages.PATH + pages.WORDS].sum() - 100_000**0.5) < 0.1
+
+
+def test_labels_equal_a_plain_lstm():
+    """Each page alone, step by step and gate by gate."""
+    rng = random.Random(4)
+    model = pages.learnt(pages=40, epochs=1)
+    p = model.parts
+    read = [pages.features(pages.leaves(pages.drawn_page(rng)[0])) for _ in range(30)] + [np.zeros((0, pages.WIDTH), np.float32)]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(x, d):
+        h, s, out = np.zeros(pages.HIDDEN), np.zeros(pages.HIDDEN), []
+        for row in x:
+            z = row.astype(float) @ p[f"w{d}"] + p[f"c{d}"] + h @ p[f"u{d}"]
+            i, f, o, g = z.reshape(4, -1)
+            s = sig(f) * s + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(s)
+            out.append(h)
+        return np.array(out)
+
+    for x, got in zip(read, pages.label(model, read)):
+        if len(x):
+            both = np.concatenate([states(x, "f"), states(x[::-1], "b")[::-1]], 1)
+            assert np.allclose(got, sig(both @ p["o"] + x @ p["s"] + p["bias"]), atol=1e-4)
+        else:
+            assert len(got) == 0
+
+
+def test_margins_equal_a_plain_sum_over_grams():
+    rng = random.Random(6)
+    texts = [prose(v, rng, 60) for v in SYLLABLES for _ in range(6)]
+    model = language.train(texts, [v for v in SYLLABLES for _ in range(6)])
+    odd = ["", "a", "Ab  ½ 9", "x" * 500, "日本 語", "é-ü,,ß"] + texts[:4]
+    m32 = lambda v: v & 0xFFFFFFFF
+
+    def grams(text):
+        letters = [ord(c.lower()[0]) if ord(c) >= language.TABLE or c.isalpha() else 32 for c in f" {text}  "]
+        c = [x for k, x in enumerate(letters) if k == 0 or x != 32 or letters[k - 1] != 32]
+        for k in range(len(c)):
+            a, b, d = (*c[k:], 32, 32)[:3]
+            yield 0, m32(a * 0x9E3779B1)
+            yield 1, m32((m32(a * 0x85EBCA6B) ^ m32(b * 0xC2B2AE35 + 0x27D4EB2F)) * 0x9E3779B1)
+            yield 2, m32((m32(a * 0x165667B1) ^ m32(b * 0x27D4EB2D) ^ m32(d * 0x9E3779B1 + 0x51ED270B)) * 0x85EBCA6B)
+
+    for text in odd:
+        rows = [g * language.BUCKETS + (h >> 20) for g, h in grams(text)]
+        plain = model.weights[rows].sum(0) / (len(rows) / 3) + model.bias
+        assert np.allclose(language.margins(model, [text], language.lower_letters())[0], plain, atol=1e-4), text
+    together = language.margins(model, odd, language.lower_letters())
+    assert np.allclose(together[3], language.margins(model, odd[3:4], language.lower_letters())[0], atol=1e-6)
+
+
+def test_numerals_are_no_letters(spark):
+    model = language.train(["ab ab ab", "cd cd cd"] * 3, ["en", "de"] * 3)
+    docs = spark.createDataFrame([(1, "½ ² ³ Ⅷ"), (2, "½ a"), (3, "١٢٣ _")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model, toxicity.held(2, 4)).collect()}
+    assert got[1] == got[3] == "und" and got[2] != "und"
+
+
+def test_scores_equal_a_plain_mean_over_subwords():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.3)
+    mix, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def buckets(word):
+        w = f"<{word}>"
+        for n in toxicity.GRAMS:
+            for k in range(len(w) - n + 1):
+                h = 0
+                for c in w[k : k + n]:
+                    h = (h ^ ord(c)) * mix & full
+                    h ^= h >> 29
+                if n < len(w):
+                    yield (h >> 20) % toxicity.BUCKETS
+        whole = sum(ord(c) * pow(mix, k, 1 << 64) for k, c in enumerate(w)) & full
+        yield (((whole ^ whole >> 31) * mix & full) >> 20) % toxicity.BUCKETS
+
+    texts = ["", "a", "Don't do it", "x1y_z", "ungefährlich É", "the the the cat", "12 ..."]
+    scorer = toxicity.Scorer(model)
+    for text, got in zip(texts, scorer(texts)):
+        words = toxicity.words_of(text)
+        logits = [np.mean([model.weight[b] for b in buckets(w)]) for w in words]
+        assert abs(got - 1 / (1 + np.exp(-((np.mean(logits) if words else 0) + model.bias)))) < 1e-5, text

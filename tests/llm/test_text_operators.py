@@ -121,6 +121,9 @@ def test_chat_round_trip_and_mask(spark):
         ("conv_id long, conversations array<struct<from:string,value:string>>", (1, [("human", "h"), ("gpt", "g")]), "dialogue", [("user", "h"), ("assistant", "g")]),
         ("conv_id long, data struct<question:string,answer:string>", (1, ("q", "a")), "question-answer", [("user", "q"), ("assistant", "a")]),
         ("conv_id long, odd string", (1, "x"), "unknown", None),
+        ("conv_id long, prompt string, response string, source string, layout string, turns string", (1, "p", "r", "web", "l", "t"), "prompt-response", [("user", "p"), ("assistant", "r")]),
+        ("conv_id long, messages array<struct<role:string,content:string,name:string>>, fingerprint string", (1, [("user", "x", None)], "f"), "messages", [("user", "x")]),
+        ("conv_id long, messages array<struct<role:string,content:string>>", (1, []), "messages", []),
     ],
 )
 def test_fingerprints_select_mappings(spark, schema, row, layout, turns):
