@@ -1,5 +1,11 @@
 """The driver's contract."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__
 
 
@@ -9,3 +15,16 @@ def test_every_query_with_sql_is_registered():
 
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    top = Path(__file__).resolve().parents[1]
+    for name in ("flurstrom", "tests"):
+        shutil.copytree(top / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(top / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'search_ordered' in q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    for with_pipeline in (False, True):
+        if with_pipeline and (top / "corpus_pipeline.py").exists():
+            shutil.copy(top / "corpus_pipeline.py", tmp_path)
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
