@@ -13,11 +13,36 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c, BLANK, ""), F.lit(""))
 
 
+#: Head nouns in which municipal titles end, and titles that stand before a name.
+TITLE_ENDS = ("stadt", "gemeinde", "flecken", "bad", "kurort")
+TITLES = ("Stadtgemeinde", "Stadt", "Gemeinde")
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, BLANK, "")
+
+
+def before(c: Column, rest: Column) -> Column:
+    """c without the mark and the text ``rest`` that follow at its end."""
+    return F.substr(c, F.lit(1), F.char_length(c) - F.char_length(rest) - 1)
+
+
 def place_name(c: Column) -> Column:
-    """A municipality without its second-language name and its title."""
-    c = F.regexp_replace(F.regexp_replace(c, BLANK, ""), r"(?U)\s*\[[^\]]*\]\s*$", "")
-    c = F.regexp_replace(c, r"(?iu),\s*[\p{L}\-. ]*?(?:stadt|gemeinde|flecken|bad|kurort)$", "")
-    return F.nullif(F.regexp_replace(c, r"^(Stadtgemeinde|Stadt|Gemeinde)\s+", ""), F.lit(""))
+    """A municipality without the second-language name in brackets behind it, the title behind its last comma, and one title before it."""
+    name = trimmed(c)
+    # what the last pair of brackets holds
+    held = F.substring_index(F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - 1)), "]", -1)
+    held = F.substr(held, F.instr(held, "[") + 1)
+    name = F.when(name.endswith("]") & F.contains(name, F.lit("[")), F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - F.char_length(held) - 2))).otherwise(name)
+    last = F.substring_index(name, ",", -1)
+    ends = F.lit(False)
+    for noun in TITLE_ENDS:
+        ends = ends | F.lower(last).endswith(noun)
+    titled = F.contains(name, F.lit(",")) & ends & (F.regexp_replace(last, r"[^\p{L}\s.\-]", "") == last)
+    name = F.when(titled, before(name, last)).otherwise(name)
+    first = F.substring_index(F.regexp_replace(name, r"(?U)\s", " "), " ", 1)
+    name = F.when(first.isin(*TITLES) & (first != name), F.ltrim(F.substr(name, F.char_length(first) + 1))).otherwise(name)
+    return F.nullif(name, F.lit(""))
 
 
 def street_name(c: Column) -> Column:
@@ -51,10 +76,16 @@ def address_key(gemeinde: Column, street: Column, number: Column, suffix: Column
 
 def epsg(c: Column) -> Column:
     """Code of a CRS name in its urn, URL, short or state-survey form; NULL where it is none."""
-    c = F.regexp_replace(c, BLANK, "")
-    code = F.nullif(F.regexp_extract(c, r"(?i)epsg(?:::|:|/0/|/)(\d+)$", 1), F.lit(""))
-    zone = F.nullif(F.regexp_extract(c, r"(?i)ETRS89_UTM(3[1-3])(?!\d)", 1), F.lit(""))
-    return F.coalesce(F.try_to_number(code, F.lit("9999999999")).cast("int"), zone.cast("int") + 25800)
+    name = F.upper(trimmed(c))
+    parts = F.split(name, "[:/]")
+    at = lambda k: F.try_element_at(parts, F.lit(k))
+    # the authority, then at most an empty or zero version, then digits
+    named = (at(-2) == "EPSG") | (at(-2).isin("", "0") & (at(-3) == "EPSG"))
+    digits = F.when(F.translate(at(-1), "0123456789", "") == "", F.nullif(at(-1), F.lit("")))
+    code = F.when(named, F.try_to_number(digits, F.lit("9999999999")).cast("int"))
+    survey = F.element_at(F.split(name, "ETRS89_UTM"), -1)
+    zone = F.when(F.contains(name, F.lit("ETRS89_UTM")) & F.translate(F.substr(survey, F.lit(3), F.lit(1)), "0123456789", "").eqNullSafe(F.substr(survey, F.lit(3), F.lit(1))), F.substr(survey, F.lit(1), F.lit(2)))
+    return F.coalesce(code, F.when(zone.isin("31", "32", "33"), zone.cast("int") + 25800))
 
 
 def joined(sep: str, *parts: Column) -> Column:
@@ -137,26 +168,40 @@ def state_name(source: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lower(source)), source)
 
 
-#: Streets and house numbers of a parcel text; a street ends before the first number that begins a valid list.
-PART = r"^(\S.*?)\s+(\d+ ?[A-Za-z]?(?:\s*,\s*\d+ ?[A-Za-z]?)*)$"
+#: A house number, with one letter perhaps.
+HOUSE = "[0-9]+( ?[A-Za-z])?"
+#: The longest list of house numbers in which a part ends, behind white space.
+HOUSES = rf"(?<=\s){HOUSE}(\s*,\s*{HOUSE})*$"
 
 
 def text_parts(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.regexp_replace(p, BLANK, ""))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), ";"), trimmed)
+
+
+def street_of(part: Column, numbers: Column) -> Column:
+    """What stands before the list of numbers."""
+    return F.regexp_replace(F.substr(part, F.lit(1), F.char_length(part) - F.char_length(numbers)), r"(?U)\s+$", "")
 
 
 def addresses_in(text: Column) -> Column:
-    """array<struct<str, hnr, hnr_zus>> of the addresses a parcel text names, each once, in order."""
+    """array<struct<str, hnr, hnr_zus>> of the addresses a parcel text names, each once, in order.
+
+    A part names a street with two letters at least, then its house numbers up to the part's end."""
 
     def of(part: Column) -> Column:
-        street, numbers = F.regexp_extract(part, PART, 1), F.regexp_extract(part, PART, 2)
+        numbers = F.regexp_extract(part, HOUSES, 0)
+        street = street_of(part, numbers)
         letters = F.char_length(F.regexp_replace(street, r"[^\p{L}]", ""))
-        each = F.transform(F.split(numbers, ","), lambda t: F.struct(street.alias("str"), F.regexp_extract(t, r"(\d+)", 1).alias("hnr"), F.nullif(F.regexp_extract(t, r"\d+ ?([A-Za-z])", 1), F.lit("")).alias("hnr_zus")))
-        return F.when((street != "") & (letters >= 2), each).otherwise(F.array().cast("array<struct<str:string,hnr:string,hnr_zus:string>>"))
+
+        def one(n: Column) -> Column:
+            digits = F.regexp_extract(n, "[0-9]+", 0)
+            return F.struct(street.alias("str"), digits.alias("hnr"), F.nullif(F.trim(F.substr(F.trim(n), F.char_length(digits) + 1)), F.lit("")).alias("hnr_zus"))
+
+        return F.when((numbers != "") & (letters >= 2), F.transform(F.transform(F.split(numbers, ","), trimmed), one)).otherwise(F.array().cast("array<struct<str:string,hnr:string,hnr_zus:string>>"))
 
     return F.array_distinct(F.flatten(F.transform(text_parts(text), of)))
 
 
 def unread_parts(text: Column) -> Column:
-    """How many parts hold a digit but no address."""
-    return F.size(F.filter(text_parts(text), lambda p: ~p.rlike(PART) & p.rlike("[0-9]")))
+    """How many parts hold a digit but end in no list of house numbers behind a street."""
+    return F.size(F.filter(text_parts(text), lambda p: (F.regexp_extract(p, HOUSES, 0) == "") & p.rlike("[0-9]")))

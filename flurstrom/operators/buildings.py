@@ -13,47 +13,63 @@ from .spatial import cell, filed
 REACH = 100.0
 
 
-def corners(edges) -> np.ndarray:
-    return np.array([[e["x1"], e["y1"], e["x2"], e["y2"]] for e in edges], float)
+#: Numbers that one step of a batch's distances may hold, about.
+ROOM = 2_000_000
 
 
-def inside(edges: np.ndarray, x: float, y: float) -> bool:
-    x1, y1, x2, y2 = edges.T
+def inside(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each point lies in its shape (pairs, edges, 4)."""
+    x1, y1, x2, y2 = np.moveaxis(e, 2, 0)
+    x, y = x[:, None], y[:, None]
     cut = (y1 > y) != (y2 > y)
-    return bool((x < (x2[cut] - x1[cut]) * (y - y1[cut]) / (y2[cut] - y1[cut]) + x1[cut]).sum() % 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (cut & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(1) % 2 == 1
 
 
-def to_edges(edges: np.ndarray, points: np.ndarray) -> float:
-    """The least distance of any of the points to any of the edges."""
-    a, d = edges[None, :, :2], edges[None, :, 2:] - edges[None, :, :2]
-    p = points[:, None, :]
-    length = (d * d).sum(2)
-    t = np.clip(((p - a) * d).sum(2) / np.where(length > 0, length, 1), 0, 1)
-    return float(np.sqrt(((p - a - t[..., None] * d) ** 2).sum(2)).min())
+def to_edges(e: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The least distance of any of a pair's points (pairs, points, 2) to any of its edges (pairs, edges, 4)."""
+    a, d = e[:, None, :, :2], (e[..., 2:] - e[..., :2])[:, None]
+    p = points[:, :, None, :]
+    length = (d * d).sum(3)
+    t = np.clip(((p - a) * d).sum(3) / np.where(length > 0, length, 1), 0, 1)
+    return np.sqrt(((p - a - t[..., None] * d) ** 2).sum(3).min((1, 2)))
 
 
-def crossing(a: np.ndarray, b: np.ndarray) -> bool:
-    side = lambda e, p: np.sign((e[:, None, 2] - e[:, None, 0]) * (p[None, :, 1] - e[:, None, 1]) - (e[:, None, 3] - e[:, None, 1]) * (p[None, :, 0] - e[:, None, 0]))
-    return bool(((side(a, b[:, :2]) * side(a, b[:, 2:]) < 0) & (side(b, a[:, :2]) * side(b, a[:, 2:]) < 0).T).any())
+def crossing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether an edge of one shape crosses one of the other, pair by pair."""
+
+    def side(e: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.sign((e[:, :, None, 2] - e[:, :, None, 0]) * (p[:, None, :, 1] - e[:, :, None, 1]) - (e[:, :, None, 3] - e[:, :, None, 1]) * (p[:, None, :, 0] - e[:, :, None, 0]))
+
+    apart = lambda e, f: side(e, f[..., :2]) * side(e, f[..., 2:]) < 0
+    return (apart(a, b) & apart(b, a).transpose(0, 2, 1)).any((1, 2))
+
+
+def distances(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Distance of the shapes of each pair, given as edges (x1, y1, x2, y2 and so on), all pairs of like sizes at once."""
+    sizes = np.array([(len(x) // 4, len(y) // 4) for x, y in zip(xs, ys)], int).reshape(-1, 2)
+    out = np.full(len(xs), np.nan)
+    for n, m in np.unique(sizes, axis=0):
+        if n and m:
+            own = np.flatnonzero((sizes == (n, m)).all(1))
+            step = max(1, int(ROOM // (4 * n * m)))
+            for k in range(0, len(own), step):
+                at = own[k : k + step]
+                a, b = np.stack([xs[i] for i in at]).reshape(-1, n, 4), np.stack([ys[i] for i in at]).reshape(-1, m, 4)
+                meet = crossing(a, b) | inside(a, *b[:, 0, :2].T) | inside(b, *a[:, 0, :2].T)
+                out[at] = np.where(meet, 0.0, np.minimum(to_edges(a, b[..., :2]), to_edges(b, a[..., :2])))
+    return out
 
 
 def outlines_distance(a: Column, b: Column) -> Column:
-    """Distance of two geometries given as edges, 0 where they meet; computed for the few pairs that name the same address."""
+    """Distance of two geometries given as edges, 0 where they meet; NULL where one has no edge."""
+    flat = lambda e: F.flatten(F.transform(e, lambda v: F.array(v["x1"], v["y1"], v["x2"], v["y2"])))
 
     @F.pandas_udf("double")
     def of(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys):
-            x, y = corners(x), corners(y)
-            if not len(x) or not len(y):
-                out.append(None)
-            elif crossing(x, y) or inside(x, *y[0, :2]) or inside(y, *x[0, :2]):
-                out.append(0.0)
-            else:
-                out.append(min(to_edges(x, y[:, :2]), to_edges(y, x[:, :2])))
-        return pd.Series(out, dtype="float64")
-
-    return of(a, b)
+        return pd.Series(distances(xs.tolist(), ys.tolist()))
+
+    return F.nanvl(of(flat(a), flat(b)), F.lit(None).cast("double"))
 
 
 def nearest_building(addresses: DataFrame, buildings: DataFrame, reach: float = REACH) -> DataFrame:

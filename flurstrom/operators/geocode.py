@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.landing import landing
+from .storage import landing
 
 #: Points of a key that are folded in one row; keys of more are settled by joins.
 MANY = 1000

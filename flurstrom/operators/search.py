@@ -40,13 +40,14 @@ def top(df: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).select(column).distinct()
+    """Each value once, sorted, without NULL."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
 
 
 def filter_options(df: DataFrame) -> DataFrame:
-    """Postcodes, then municipalities, each once."""
-    names = lambda c, is_plz: distinct_values(df, c).select(F.col(c).alias("name"), F.lit(is_plz).alias("is_plz"))
-    return names("plz", True).unionByName(names("gemeinde", False))
+    """Postcodes, then municipalities, each once and sorted."""
+    names = lambda c, is_plz: df.where(F.col(c).isNotNull()).select(F.col(c).alias("name"), F.lit(is_plz).alias("is_plz")).distinct()
+    return names("plz", True).unionByName(names("gemeinde", False)).orderBy(F.col("is_plz").desc(), "name")
 
 
 def display_lines(df: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def with_links(df: DataFrame) -> DataFrame:
 
 
 def source_labels(df: DataFrame) -> DataFrame:
-    return df.select(text.state_name(F.col("source")).alias("name")).distinct()
+    """Names of the sources' states, each once, in code-point order."""
+    return df.select(text.state_name(F.col("source")).alias("name")).distinct().orderBy("name")
 
 
 def normalized(df: DataFrame) -> DataFrame:

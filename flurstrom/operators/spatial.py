@@ -1,8 +1,9 @@
 """Spatial joins and partitions on grid cells.
 
-Shapes are filed under every cell their envelope meets and points under their own,
-so a join is an equi-join on the cell with the exact predicate behind it; a crowded
-cell is split by adaptive execution like any skewed key."""
+A shape is filed under the cells its envelope meets on the level where cells are about
+as wide as it (four at most, however large it is), and a point under its cell on each
+level that shapes have; so a join is an equi-join on level and cell with the exact
+predicate behind it. A crowded cell is split by adaptive execution like any skewed key."""
 
 from __future__ import annotations
 
@@ -28,10 +29,28 @@ def filed(shapes: DataFrame, size: float) -> DataFrame:
     return shapes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
 
+def layered(shapes: DataFrame, size: float) -> DataFrame:
+    """A row for each cell that a shape's envelope (box) meets on its own level: cells double in width with each level."""
+    width = F.greatest(F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y"))
+    own = shapes.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest(width, F.lit(size)) / size)), F.lit(0)).cast("int"))
+    at = lambda a: F.floor(F.col(f"box.{a}") / (size * F.pow(F.lit(2.0), "level")))
+    return own.withColumn("cx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+
+
+def on_levels(points: DataFrame, filed_shapes: DataFrame, size: float) -> DataFrame:
+    """A row for each point and level that shapes are filed on, of which there are some dozens at most."""
+    levels = filed_shapes.agg(F.collect_set("level").alias("levels"))
+    each = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")  # one row
+    at = lambda a: F.floor(F.col(a) / (size * F.pow(F.lit(2.0), "level")))
+    return each.withColumns({"cx": at("x"), "cy": at("y")})
+
+
 def containing(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str, size: float, carry: tuple[str, ...] = ()) -> DataFrame:
-    """point_id with the smallest shape that contains it (ties: least id) and its carried columns. Points on an edge are in none."""
-    own = points.select(point_id, "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    met = own.join(filed(with_edges(shapes), size), ["cx", "cy"])
+    """point_id with the smallest shape that contains it (ties: least id) and its carried columns. Points on an edge are in none.
+
+    size: about the width of the smallest shapes."""
+    own = layered(with_edges(shapes), size)
+    met = on_levels(points.select(point_id, "x", "y"), own, size).join(own, ["level", "cx", "cy"])
     box = F.col("box")
     met = met.where((F.col("x") > box["min_x"]) & (F.col("x") < box["max_x"]) & (F.col("y") > box["min_y"]) & (F.col("y") < box["max_y"]))
     met = met.where(geo.contains(F.col("edges"), F.col("x"), F.col("y")))
@@ -79,21 +98,25 @@ def tiles(extents: DataFrame, size: float) -> DataFrame:
 
 def meeting_boxes(points: DataFrame, boxes: DataFrame, point_id: str, box_id: str, size: float) -> DataFrame:
     """Pairs of points and boxes (min_x..max_y) that hold them, edges included."""
-    own = points.select(point_id, "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    filed_boxes = filed(boxes.withColumn("box", F.struct("min_x", "min_y", "max_x", "max_y")), size)
-    met = own.join(filed_boxes, ["cx", "cy"])
+    own = layered(boxes.withColumn("box", F.struct("min_x", "min_y", "max_x", "max_y")), size)
+    met = on_levels(points.select(point_id, "x", "y"), own, size).join(own, ["level", "cx", "cy"])
     return met.where(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))).select(point_id, box_id)
 
 
 def quadtree(points: DataFrame, point_id: str, side: float, limit: int, levels: int) -> DataFrame:
     """For each point the coarsest cell (level, cx, cy) that holds fewer points than the limit; level NULL where none does.
 
-    Counts only fall from a cell to its quarters, so the first level that fits is found by counting all levels at once."""
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(F.col("x") * F.pow(F.lit(2.0), k) / side).alias("cx"), F.floor(F.col("y") * F.pow(F.lit(2.0), k) / side).alias("cy"))))
-    cells = points.select(point_id, at.alias("c")).select(point_id, "c.*")
-    fitting = cells.groupBy("level", "cx", "cy").count().where(F.col("count") < limit).drop("count")
-    found = cells.join(fitting, ["level", "cx", "cy"]).groupBy(point_id).agg(F.min(F.struct("level", "cx", "cy")).alias("c"))
-    return points.select(point_id).join(found, point_id, "left").select(point_id, F.col("c.level").alias("level"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
+    Points are counted once, on the finest level; the levels above are sums of these counts. As counts only
+    fall from a cell to its quarters, the first level that fits is the least."""
+    finest = lambda a: F.floor(F.col(a) * 2.0**levels / side)
+    own = points.select(point_id, finest("x").alias("fx"), finest("y").alias("fy"))
+    fine = own.groupBy("fx", "fy").agg(F.count("*").alias("n"))
+    up = lambda a, k: F.floor(F.col(a) / F.pow(F.lit(2.0), F.lit(levels) - k))
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), up("fx", k).alias("cx"), up("fy", k).alias("cy"))))
+    cells = fine.select("fx", "fy", "n", above.alias("c")).select("fx", "fy", "n", "c.*")
+    fitting = cells.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n")).where(F.col("n") < limit).drop("n")
+    found = cells.drop("n").join(fitting, ["level", "cx", "cy"]).groupBy("fx", "fy").agg(F.min(F.struct("level", "cx", "cy")).alias("c"))
+    return own.join(found, ["fx", "fy"], "left").select(point_id, F.col("c.level").alias("level"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
 
 
 def anchored(shapes: DataFrame, shape_id: str, size: float) -> DataFrame:

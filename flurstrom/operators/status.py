@@ -116,10 +116,20 @@ def sweep_unfinished(runs: DataFrame, now: Column, error: str) -> DataFrame:
     return runs.withColumns({"failed_at": F.when(open_, now).otherwise(F.col("failed_at")), "error": F.substring(F.when(open_, F.lit(error)).otherwise(F.col("error")), 1, 2000)})
 
 
-def failed_run(runs: DataFrame, run_id: int, now: Column, error: str) -> DataFrame:
-    mine = F.col("run_id") == run_id
-    return runs.withColumns({"failed_at": F.when(mine, now).otherwise(F.col("failed_at")), "error": F.when(mine, F.substring(F.lit(error), 1, 2000)).otherwise(F.col("error"))})
+def started(runs: DataFrame, due: DataFrame, now: Column) -> DataFrame:
+    """A new run for each source due, numbered after all runs in the order of the sources, of which there are some dozens."""
+    last = F.broadcast(runs.agg(F.coalesce(F.max("run_id"), F.lit(0)).alias("last")))  # one row
+    nth = F.row_number().over(Window.partitionBy("last").orderBy("source"))
+    return due.crossJoin(last).select((F.col("last") + nth).alias("run_id"), *due.columns, now.alias("started_at"))
 
 
-def discarded(runs: DataFrame, run_id: int) -> DataFrame:
-    return runs.where(F.col("run_id") != run_id)
+def failed_runs(runs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """Runs after some (run_id, error) have failed; an error is cut at 2000 characters."""
+    own = failures.select("run_id", F.substring("error", 1, 2000).alias("new_error"), F.lit(True).alias("hit"))
+    both = runs.join(own, "run_id", "left")
+    return both.withColumns({"failed_at": F.when(F.col("hit"), now).otherwise(F.col("failed_at")), "error": F.when(F.col("hit"), F.col("new_error")).otherwise(F.col("error"))}).drop("new_error", "hit")
+
+
+def discarded_runs(runs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Runs without those of the given run_ids."""
+    return runs.join(gone.select("run_id"), "run_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import quality
 from ..sources import delimited, documents, gml
-from ..sources.landing import ROOT, land_documents, land_lines, land_members
+from .landing import ROOT, land_documents, land_lines, land_members
 from .registry import query
 from .served import properties
 from .views import view
@@ -104,6 +104,7 @@ def ingest_geojson_addresses(spark, sf_dir):
 
 
 HK_HEAD = "nba;oid;qua;gmd;ott;str;hnr;adz;zone;ostwert;nordwert;postplz"
+HK_OTHER = "nordwert|postplz|hnr|ostwert|str|qua|gmd|ott|adz"
 
 
 def house_lines(spark, sf_dir):
@@ -112,9 +113,15 @@ def house_lines(spark, sf_dir):
     quality_ = F.when(k % 5 == 0, F.lit("C")).when(k % 5 == 1, F.lit("b")).otherwise(F.lit("A"))
     east = F.when(k % 11 == 0, F.lit("NaN")).otherwise((F.col("x") + 300000).cast("string"))
     ott = F.when(k % 3 == 0, F.lit("Mitte Bezirk 12")).when(k % 3 == 1, F.lit("Altdorf"))
-    line = csv(F.lit("n"), k, quality_, F.col("gemeinde"), ott, F.lit("Weg"), k % 90, F.when(k % 4 == 0, F.lit("a")), F.lit("32"), east, F.col("y"), F.col("plz"))
-    whole = F.when(k % 17 == 0, F.concat(line, F.lit(";more"))).otherwise(line)
-    return land_lines(p.select(whole.alias("line")), "houses", header=HK_HEAD)
+    place = F.when(k % 7 == 0, F.concat("gemeinde", F.lit(", Stadt"))).otherwise(F.col("gemeinde"))
+    suffix = F.when(k % 4 == 0, F.lit("a"))
+    first = csv(F.lit("n"), k, quality_, place, ott, F.lit("Weg"), k % 90, suffix, F.lit("32"), east, F.col("y"), F.col("plz"))
+    # half of the files have other columns in another order behind another separator
+    second = csv(F.col("y"), F.col("plz"), k % 90, east, F.lit("Weg"), quality_, place, ott, suffix, sep="|")
+    with_more = lambda line, sep: F.when(k % 17 == 0, F.concat(line, F.lit(f"{sep}more"))).otherwise(line)
+    one = land_lines(p.where(k % 2 == 0).select(with_more(first, ";").alias("line")), "houses", header=HK_HEAD)
+    land_lines(p.where(k % 2 == 1).select(with_more(second, "|").alias("line")), "houses", header=HK_OTHER, path=f"{one}/other")
+    return f"{one}/{{*.csv,other/*.csv}}"
 
 
 VERDICT = "CASE WHEN address_id % 17 = 0 THEN 'malformed' WHEN address_id % 5 = 0 THEN 'other quality' WHEN address_id % 11 = 0 THEN 'malformed' ELSE 'accepted' END"
@@ -158,7 +165,7 @@ def ingest_postcode_areas(spark, sf_dir):
     shape = F.concat(F.lit('{"type":"'), F.when(two, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":'), F.when(two, F.to_json(F.array(ring(0.0), ring(2000.0)))).otherwise(F.to_json(ring(0.0))), F.lit("}"))
     code = F.when(F.col("plz") == "10007", F.lit("66-400")).otherwise(F.col("plz"))
     feature = F.concat(F.lit('{"properties":{"postcode":"'), code, F.lit('"},"geometry":'), shape, F.lit("}"))
-    docs = v.groupBy((F.col("plz").cast("int") % 3).alias("file")).agg(F.array_join(F.collect_list(feature), ",").alias("f"))
+    docs = numbered(v.withColumn("file", F.col("plz").cast("int") % 3), "plz", "file").groupBy("file", "no").agg(F.array_join(F.collect_list(feature), ",").alias("f"))
     path = land_documents(docs.select(F.concat(F.lit('{"features":['), "f", F.lit("]}"))), "areas")
     return documents.postcode_areas(spark, path, (200.0, 200.0, 600.0, 600.0)).select("plz", "size")
 
@@ -248,10 +255,10 @@ def foreign_crs(spark, sf_dir):
     return quality.foreign_crs(p, "page", "epsg", 25832)
 
 
-@query("SELECT address_id % 11 AS page, count(*) AS members FROM v_points GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 11 + 1 FROM v_points)")
+@query("SELECT address_id % 11 AS page, count(*) AS members FROM v_points GROUP BY 1 HAVING count(*) >= 137")
 def full_pages(spark, sf_dir):
     p = view(spark, sf_dir, "v_points").select((F.col("address_id") % 11).alias("page"))
-    return quality.full_pages(p, "page", p.count() // 11 + 1)
+    return quality.full_pages(p, "page", 137)
 
 
 @query("SELECT count(*) AS delivered, count(*) - count(DISTINCT address_id // 2) AS repeated, count(*) <= 1000 + 100 AS passes FROM v_points")

@@ -141,7 +141,33 @@ def clicks_by_tag(spark, sf_dir):
     return usage.clicks_by_tag(view(spark, sf_dir, "v_usage"))
 
 
-@query()
+#: Each user's events in order, folded: one is let in if fewer than 20 let in before are under 60 seconds old.
+FOLDED = """(SELECT user_id, unnest(list_reduce(list_prepend([], list_transform(list(struct_pack(event_id := event_id, ts := ts, admitted := TRUE) ORDER BY ts, event_id), lambda p: [p])),
+  lambda kept, p: list_concat(kept, [struct_pack(event_id := p[1].event_id, ts := p[1].ts, admitted := len(list_filter(kept, lambda q: q.admitted AND epoch(p[1].ts) - epoch(q.ts) < 60)) < 20)]))) AS e
+  FROM (SELECT CASE WHEN user_id % 50 <> 7 THEN user_id % 3 END AS user_id, event_id, DATE_TRUNC('hour', ts) + to_seconds(event_id % 240) AS ts FROM v_usage) u WHERE user_id IS NOT NULL GROUP BY user_id)"""
+
+
+@query(f"""SELECT e.event_id AS event_id, user_id, e.ts AS ts, e.admitted AS admitted FROM {FOLDED} f
+UNION ALL SELECT event_id, NULL, DATE_TRUNC('hour', ts) + to_seconds(event_id % 240), NULL FROM v_usage WHERE user_id % 50 = 7""")
 def admission_labels(spark, sf_dir):
-    """No SQL: whether an event is let in depends on which before it were. Tested against a loop over each user's events."""
-    return usage.admission_labels(view(spark, sf_dir, "v_usage"))
+    """Events of busy users: three of them, in the first minutes of each hour."""
+    v = view(spark, sf_dir, "v_usage")
+    busy = v.withColumns({"user_id": F.when(F.col("user_id") % 50 != 7, F.col("user_id") % 3), "ts": F.expr("date_trunc('hour', ts) + make_dt_interval(0, 0, 0, event_id % 240)").cast("timestamp_ntz")})
+    return usage.admission_labels(busy)
+
+
+@query("""SELECT run_id, CASE WHEN run_id % 97 = 0 THEN TIMESTAMP '2002-01-01 00:00:00' ELSE failed_at END AS failed_at, CASE WHEN run_id % 97 = 0 THEN 'lost ' || run_id ELSE error END AS error FROM v_runs WHERE run_id % 89 <> 0""")
+def fail_and_discard(spark, sf_dir):
+    """Runs of which some are failed and others forgotten."""
+    r = runs(spark, sf_dir)
+    failed = r.where("run_id % 97 = 0").select("run_id", F.concat(F.lit("lost "), F.col("run_id").cast("string")).alias("error"))
+    out = status.failed_runs(r, failed, F.expr(NOW).cast("timestamp_ntz"))
+    return status.discarded_runs(out, r.where("run_id % 89 = 0").select("run_id")).select("run_id", "failed_at", "error")
+
+
+@query("""WITH last AS (SELECT max(run_id) AS m FROM v_runs), n AS (SELECT source, max(fingerprint) AS fingerprint FROM v_runs GROUP BY source)
+SELECT m + row_number() OVER (ORDER BY source) AS run_id, source, fingerprint, TIMESTAMP '2002-01-01 00:00:00' AS started_at FROM n, last""")
+def start_runs(spark, sf_dir):
+    """A new run for each source, numbered after all before."""
+    r = runs(spark, sf_dir)
+    return status.started(r, r.groupBy("source").agg(F.max("fingerprint").alias("fingerprint")), F.expr(NOW).cast("timestamp_ntz")).select("run_id", "source", "fingerprint", "started_at")

@@ -1,26 +1,16 @@
-"""A folder that all executors share, for files that a job lands before it reads them."""
+"""Files in the shapes of the sources, landed in a folder that all executors share, for the queries that ingest them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def landing(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not top:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        top = sc.getCheckpointDir()
-    return f"{top.rstrip('/')}/landed-{name}-{uuid.uuid4().hex}"
+from ..operators.storage import landing
 
 
-def land_lines(df: DataFrame, name: str, header: str | None = None) -> str:
+def land_lines(df: DataFrame, name: str, header: str | None = None, path: str | None = None) -> str:
     """Writes a one-column frame as text files, each beginning with the header."""
-    path = landing(df.sparkSession, name)
+    path = path or landing(df.sparkSession, name)
     if header is None:
         df.write.text(path)
     else:
@@ -43,6 +33,7 @@ ROOT = "<wfs:FeatureCollection " + " ".join(f'xmlns:{p}="{u}"' for p, u in zip("
 def land_members(df: DataFrame, name: str, each: int = 2000) -> str:
     """Writes a one-column frame of feature members as XML files of about so many members."""
     column = df.columns[0]
-    files = df.count() // each + 1
-    docs = df.groupBy(F.pmod(F.xxhash64(column), F.lit(files)).alias("file")).agg(F.array_join(F.collect_list(column), "\n").alias("body"))
+    files = df.agg((F.floor(F.count("*") / each) + 1).alias("files"))
+    rows = df.crossJoin(F.broadcast(files))  # one row
+    docs = rows.groupBy(F.pmod(F.xxhash64(column), "files").alias("file")).agg(F.array_join(F.collect_list(column), "\n").alias("body"))
     return land_documents(docs.select(F.concat(F.lit(ROOT), "body", F.lit("</wfs:FeatureCollection>"))), name)

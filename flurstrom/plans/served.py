@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import geocode, publish, quality, search
-from ..sources.landing import landing
+from ..operators.storage import landing
 from .registry import query
 from .views import view
 
@@ -42,7 +45,12 @@ def filter_options(spark, sf_dir):
     return search.filter_options(properties(spark, sf_dir))
 
 
-@query(r"SELECT id, nullif(regexp_replace(regexp_replace(regexp_replace(trim(gemeinde), '\s*\[[^\]]*\]\s*$', ''), ',\s*[\p{L}\-. ]*?(stadt|gemeinde|flecken|bad|kurort)$', '', 'i'), '^(Stadtgemeinde|Stadt|Gemeinde)\s+', ''), '') AS gemeinde FROM v_properties")
+#: Titles cut off word by word: the last of the comma parts if it ends in a title noun, then one title before the name.
+PLAIN_PLACES = """(SELECT id, CASE WHEN len(p) > 1 AND len(list_filter(['stadt', 'gemeinde', 'flecken', 'bad', 'kurort'], lambda t: suffix(lower(p[-1]), t))) > 0 THEN array_to_string(p[:-2], ',') ELSE g END AS n
+  FROM (SELECT id, g, string_split(g, ',') AS p FROM (SELECT id, CASE WHEN suffix(trim(gemeinde), ']') THEN rtrim(string_split(trim(gemeinde), '[')[1]) ELSE trim(gemeinde) END AS g FROM v_properties) a) b)"""
+
+
+@query(f"SELECT id, nullif(CASE WHEN string_split(n, ' ')[1] IN ('Stadtgemeinde', 'Stadt', 'Gemeinde') AND contains(n, ' ') THEN ltrim(n[strpos(n, ' ') :]) ELSE n END, '') AS gemeinde FROM {PLAIN_PLACES} c")
 def normalize_places(spark, sf_dir):
     return search.normalized(properties(spark, sf_dir)).select("id", "gemeinde")
 
@@ -108,13 +116,38 @@ def union_sources(spark, sf_dir):
     return publish.union_sources([properties(spark, sf_dir).select("id", "source", "plz", "gemeinde"), texts])
 
 
-@query("SELECT id, source, CASE WHEN source = 'src3' THEN str || '!' ELSE str END AS str, plz FROM v_properties WHERE source IN ('src3', 'src4', 'src5')")
+def replaced(spark, sf_dir):
+    """A store in which every source was imported, then src3 replaced, and an import of src4 that lost rows refused."""
+    rows = properties(spark, sf_dir).select("id", "str", "plz", "gemeinde", "source")
+    store = publish.Store(landing(spark, "store"))
+    at = lambda day: datetime.datetime(2024, 1, day)
+    k = F.substr(F.col("source"), F.lit(4))
+    publish.seed(spark, store, rows.withColumns({"run_id": k.cast("long") + 1, "fingerprint": F.concat(F.lit("f"), k)}), "Initial", at(1))
+    run = publish.start(spark, store, "src3", "probed", "Changed", at(3))
+    publish.replace(spark, store, run, rows.where("source = 'src3'").withColumn("str", F.concat("str", F.lit("!"))), at(4), skipped=2, fingerprint="imported")
+    run = publish.start(spark, store, "src4", "worse", "Changed", at(5))
+    with contextlib.suppress(quality.GateError):
+        publish.replace(spark, store, run, rows.where("source = 'src4' AND id % 4 = 0"), at(6))
+    publish.discard(spark, store, publish.start(spark, store, "src5", None, "Retry", at(7)))
+    publish.start(spark, store, "src6", "open", "MaxAge", at(8))
+    return store
+
+
+@query("SELECT id, source, CASE WHEN source = 'src3' THEN str || '!' ELSE str END AS str, plz, CASE WHEN source = 'src3' THEN 14 ELSE CAST(substr(source, 4) AS BIGINT) + 1 END AS run_id FROM v_properties")
 def replace_partition(spark, sf_dir):
-    rows = properties(spark, sf_dir).where("source IN ('src3', 'src4', 'src5')").select("id", "str", "plz", "gemeinde", "source")
-    served, staging = landing(spark, "served"), landing(spark, "staging")
-    rows.write.partitionBy("source").parquet(served)
-    new = rows.withColumn("str", F.when(F.col("source") == "src3", F.concat("str", F.lit("!"))).otherwise(F.col("str")))
-    return publish.replace_source(spark, served, new, "src3", staging).select("id", "source", "str", "plz")
+    return publish.served(spark, replaced(spark, sf_dir)).select("id", "source", "str", "plz", "run_id")
+
+
+@query("""WITH n AS (SELECT CAST(substr(source, 4) AS BIGINT) AS k, source, count(*) AS c FROM v_properties GROUP BY ALL)
+SELECT k + 1 AS run_id, source, 'f' || k AS fingerprint, 'Initial' AS reason, c AS record_count, 0 AS skipped_parts, TRUE AS completed, FALSE AS failed, k <> 3 AS served FROM n
+UNION ALL SELECT 14, source, 'imported', 'Changed', c, 2, TRUE, FALSE, TRUE FROM n WHERE k = 3
+UNION ALL VALUES (15, 'src4', 'worse', 'Changed', NULL, NULL, FALSE, TRUE, FALSE), (17, 'src6', 'open', 'MaxAge', NULL, NULL, FALSE, FALSE, FALSE)""")
+def import_runs(spark, sf_dir):
+    """Start, completion, failure and discard of runs, and which are served."""
+    store = replaced(spark, sf_dir)
+    served = publish.states(spark, store).select(F.col("served_run_id").alias("run_id"), F.lit(True).alias("served"))
+    out = publish.runs(spark, store).join(served, "run_id", "left")
+    return out.select("run_id", "source", "fingerprint", "reason", "record_count", "skipped_parts", F.col("completed_at").isNotNull().alias("completed"), F.col("failed_at").isNotNull().alias("failed"), F.coalesce("served", F.lit(False)).alias("served"))
 
 
 @query("""SELECT source, count(*) AS previous, count(*) FILTER (id % 40 <> 0 OR source = 'src1') AS rows,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +18,20 @@ def number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
-def fields(lines: DataFrame, sep: str = ";", width: int = 64, column: str = "value") -> DataFrame:
-    """Adds f: the fields of each line, with quoted separators and doubled quotes read as RFC 4180 has them."""
-    schema = ", ".join(f"c{k} string" for k in range(width))
-    parsed = F.from_csv(F.col(column), schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    # as many as the line has separators outside quotes, and one
-    bare = F.regexp_replace(F.col(column), r'"(?:[^"]|"")*"', "")
-    n = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-    return lines.select("*", F.inline(F.array(F.struct(parsed.alias("p"), n.cast("int").alias("n"))))).withColumn("f", F.slice(F.array(*(F.col(f"p.c{k}") for k in range(width))), 1, F.least(F.col("n"), F.lit(width)))).drop("p")
+def fields(line: Column, sep: str = ";") -> Column:
+    """The fields of a line, however many, with quoted separators and doubled quotes read as RFC 4180 has them."""
+    s = "\\" + sep if sep == "|" else sep
+    # with a separator before the first field too, no match is empty
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{s}("[^"]*+(?:""[^"]*+)*+"(?={s}|$)|[^{s}]*+)'), F.lit(1))
+    quoted = lambda f: f.startswith('"') & f.endswith('"') & (F.char_length(f) > 1)
+    return F.transform(found, lambda f: F.when(quoted(f), F.replace(F.substr(f, F.lit(2), F.char_length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
 
 
 def bulk(spark: SparkSession, path: str, columns: dict[str, int] = BULK_COLUMNS, least: int = 17) -> DataFrame:
     """Rows of every file below path but its first line; without street or number they are dropped, bad codes and areas become NULL."""
     heads = spark.read.option("header", "true").option("sep", "\x00").option("quote", "").csv(path)  # one column: each file's lines after the first
     body = heads.toDF("value").where("value IS NOT NULL")
-    out = fields(body).where(F.col("n") >= least)
+    out = body.select(F.inline(F.array(F.struct(fields(F.col("value")).alias("f"))))).where(F.size("f") >= least)
     take = lambda k: text.blank_to_null(F.get("f", F.lit(columns[k])))
     some = lambda c: F.when(F.lower(c) != "null", c)
     got = out.select(*(some(take(k)).alias(k) for k in columns))
@@ -42,46 +39,54 @@ def bulk(spark: SparkSession, path: str, columns: dict[str, int] = BULK_COLUMNS,
     return got.withColumns({"plz": text.postcode(F.col("plz")), "gemeinde": F.when(F.col("gemeinde").rlike(r"^\p{L}"), F.col("gemeinde")), "flaeche_amtl": number(F.col("flaeche_amtl"))})
 
 
-def separator(header: str) -> str:
-    """The most frequent of ; , tab and | outside quotes."""
-    quoted, seen = False, Counter()
-    for c in header:
-        quoted ^= c == '"'
-        if not quoted and c in ";,\t|":
-            seen[c] += 1
-    return max(";,\t|", key=lambda c: seen[c])
-
-
+SEPARATORS = ";,\t|"
 REQUIRED = ("qua", "gmd", "str", "hnr", "ostwert", "nordwert")
 OPTIONAL = ("ott", "adz", "zone", "postplz")
 
 
+def separator(header: Column) -> Column:
+    """The most frequent of SEPARATORS outside quotes; of equally frequent ones the first."""
+    bare = F.regexp_replace(header, '"[^"]*"', "")
+    count = lambda s: F.char_length(bare) - F.char_length(F.replace(bare, F.lit(s), F.lit("")))
+    best = F.array_max(F.array(*(F.struct(count(s).alias("n"), F.lit(-k).alias("k")) for k, s in enumerate(SEPARATORS))))
+    return F.substr(F.lit(SEPARATORS), 1 - best["k"], F.lit(1))
+
+
+def by_separator(line: Column, sep: Column) -> Column:
+    out = F.when(sep == SEPARATORS[0], fields(line, SEPARATORS[0]))
+    for s in SEPARATORS[1:]:
+        out = out.when(sep == s, fields(line, s))
+    return out
+
+
 def house_coordinates(spark: SparkSession, path: str, zone: int = 32, qualities: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """A row for each line with its verdict: accepted, other quality, malformed or other zone.
-
-    Columns are found by the header's names. Quality is judged before coordinates are read."""
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿|\r$", "")).where(F.trim("value") != "")
-    header = lines.where(F.lower("value").contains("ostwert")).limit(1).collect()  # one line
-    if not header:
-        raise ValueError("no header line")
-    sep = separator(header[0]["value"])
-    names = [n.strip().strip('"').lower() for n in header[0]["value"].split(sep)]
-    missing = [n for n in REQUIRED if n not in names]
-    if missing:
-        raise ValueError(f"columns missing: {missing}")
-    rows = fields(lines.where(F.col("value") != header[0]["value"]), sep, len(names) + 1)
-    take = lambda n: text.blank_to_null(F.get("f", F.lit(names.index(n)))) if n in names else F.lit(None).cast("string")
-    got = rows.select((F.col("n") == len(names)).alias("whole"), *(take(n).alias(n) for n in REQUIRED + OPTIONAL))
+    """A row for each line of every file below path with its verdict: accepted, other quality or malformed.
+
+    Each file has its own separator and order of columns, which its header tells by name; a file without
+    a header of the required columns fails the job. Quality is judged before coordinates are read, and a
+    line with coordinates in another UTM zone fails the job, as it would land kilometres off. The byte
+    order mark and blank lines are left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value")).where(F.trim("value") != "")
+    # of each file the line that names the columns; there are as many rows as files
+    heads = lines.where(F.lower("value").contains("ostwert")).select("file", "value", separator(F.col("value")).alias("sep"))
+    heads = heads.withColumn("names", F.transform(by_separator(F.col("value"), F.col("sep")), lambda n: F.lower(F.trim(n))))
+    heads = heads.where(F.size(F.array_intersect("names", F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED)).groupBy("file").agg(F.min(F.struct("value", "sep", "names")).alias("head"))
+    rows = lines.join(heads, "file", "left").where(F.when(F.col("head").isNull(), F.raise_error(F.concat(F.lit("no header with the columns "), F.lit(", ".join(REQUIRED)), F.lit(" in "), "file"))).otherwise(F.col("value") != F.col("head.value")))
+    rows = rows.select(F.col("head.names").alias("names"), F.inline(F.array(F.struct(by_separator(F.col("value"), F.col("head.sep")).alias("f")))))
+    take = lambda n: F.when(F.array_contains("names", n), text.blank_to_null(F.get("f", (F.array_position("names", F.lit(n)) - 1).cast("int"))))
+    got = rows.select((F.size("f") == F.size("names")).alias("whole"), *(take(n).alias(n) for n in REQUIRED + OPTIONAL))
     x, y = number(F.col("ostwert")), number(F.col("nordwert"))
+    foreign = F.col("zone").isNotNull() & ~F.equal_null(F.col("zone").try_cast("int"), F.lit(zone))
     verdict = (
         F.when(~F.col("whole"), "malformed")
         .when(~F.coalesce(F.upper("qua").isin(*(q.upper() for q in qualities)), F.lit(False)), "other quality")
         .when(x.isNull() | y.isNull(), "malformed")
-        .when(F.col("zone").isNotNull() & (F.col("zone").try_cast("int") != zone), "other zone")
+        .when(foreign, F.raise_error(F.concat(F.lit("UTM zone "), "zone", F.lit(f" in place of {zone}"))).cast("string"))
         .otherwise("accepted")
     )
-    ort = F.coalesce(text.named_district(F.col("ott")), F.col("gmd"))
-    return got.select("str", "hnr", F.col("adz").alias("hnr_zus"), text.postcode(F.col("postplz")).alias("plz"), ort.alias("ort"), F.col("gmd").alias("gemeinde"), x.alias("x"), y.alias("y"), verdict.alias("verdict"))
+    gemeinde = text.place_name(F.col("gmd"))
+    ort = F.coalesce(text.place_name(text.named_district(F.col("ott"))), gemeinde)
+    return got.select("str", "hnr", F.col("adz").alias("hnr_zus"), text.postcode(F.col("postplz")).alias("plz"), ort.alias("ort"), gemeinde.alias("gemeinde"), x.alias("x"), y.alias("y"), verdict.alias("verdict"))
 
 
 def accepted(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
+import re
 import zipfile
 
 import pandas as pd
@@ -69,26 +71,27 @@ def latest_listing_entry(spark: SparkSession, path: str, key: Column | None = No
 
 
 def zip_lines(spark: SparkSession, path: str, pattern: str, only_one: bool = False) -> DataFrame:
-    """archive, member and line of the members whose name fits the pattern; an archive is read by one task, streaming.
+    """archive, member and line of the members whose name fits the pattern.
 
+    Paths are dealt out; a task opens its archive as a stream, seeks its members and sends their lines in
+    portions, so an archive of any size needs the memory of one portion. An archive is read by one task.
     only_one: an archive without exactly one such member fails the job."""
 
     def of(batches):
+        from pyarrow import fs
+
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in batch["path"]:
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(at) as raw_file, zipfile.ZipFile(raw_file) as z:
                     own = [m for m in z.namelist() if fnmatch.fnmatchcase(m.rsplit("/", 1)[-1].lower(), pattern.lower())]
                     if only_one and len(own) != 1:
                         raise ValueError(f"{name}: {len(own)} members fit {pattern}")
                     for m in own:
                         with z.open(m) as f:
-                            lines = []
-                            for raw in io.TextIOWrapper(f, "utf-8-sig", errors="replace"):
-                                lines.append(raw.rstrip("\r\n"))
-                                if len(lines) == 20_000:
-                                    yield pd.DataFrame({"archive": name, "member": m, "line": lines})
-                                    lines = []
-                            yield pd.DataFrame({"archive": name, "member": m, "line": lines})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(of, "archive string, member string, line string")
+                            lines = io.TextIOWrapper(f, "utf-8-sig", errors="replace")
+                            while some := list(itertools.islice(lines, 20_000)):
+                                yield pd.DataFrame({"archive": name, "member": m, "line": [v.rstrip("\r\n") for v in some]})
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # the content isn't read
+    return files.repartition(max(1, len(files.inputFiles()))).mapInPandas(of, "archive string, member string, line string")

@@ -57,8 +57,16 @@ def admitted(times: list[float], state: deque, window: float = WINDOW_S, most: i
     return out
 
 
+def told_apart(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with user and time, and the others, labelled NULL."""
+    rows, known = events.select("event_id", "user_id", "ts"), F.col("user_id").isNotNull() & F.col("ts").isNotNull()
+    return rows.where(known), rows.where(~known).withColumn("admitted", F.lit(None).cast("boolean"))
+
+
 def admission_labels(events: DataFrame) -> DataFrame:
-    """Each event with whether its user's window had room. A task reads its users' events in order, holding one window at a time."""
+    """Each event with whether its user's window had room; without user or time that can't be told and is NULL.
+
+    A task reads its users' events in order, holding one window at a time."""
 
     def of(batches):
         user, state = None, deque()
@@ -71,8 +79,8 @@ def admission_labels(events: DataFrame) -> DataFrame:
                 out += admitted([t], state)
             yield batch.assign(admitted=out)
 
-    rows = events.select("event_id", "user_id", "ts").where("user_id IS NOT NULL AND ts IS NOT NULL")
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(of, LABELLED)
+    rows, odd = told_apart(events)
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(of, LABELLED).unionByName(odd)
 
 
 def admission_stream(events: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def admission_stream(events: DataFrame) -> DataFrame:
             yield frame.assign(admitted=admitted(seconds.tolist(), kept))[["event_id", "user_id", "ts", "admitted"]]
         state.update((list(kept),))
 
-    rows = events.select("event_id", "user_id", "ts")
-    return rows.groupBy("user_id").applyInPandasWithState(of, LABELLED, "times array<double>", "append", "NoTimeout")
+    rows, odd = told_apart(events)
+    return rows.groupBy("user_id").applyInPandasWithState(of, LABELLED, "times array<double>", "append", "NoTimeout").unionByName(odd)
 
 

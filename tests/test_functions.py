@@ -18,6 +18,7 @@ def test_place_names(spark):
         "Pirna, Stadt": "Pirna", "Kiel, Landeshauptstadt": "Kiel", "Juist, Inselgemeinde": "Juist", "Stadtgemeinde Bremen": "Bremen", "Stadt Stadt Wehlen": "Stadt Wehlen",
         " Bautzen [Budyšin] ": "Bautzen", "Göttingen, Berg- und Universitätsstadt": "Göttingen", "Norderney, Nordseebad": "Norderney", "Masserberg, Kurort": "Masserberg", "Lilienthal": "Lilienthal",
         "Halstenbek, gemeinde": "Halstenbek", "Stadthagen": "Stadthagen", " ": None, "": None, None: None, "Bodenteich, Klosterflecken": "Bodenteich",
+        "Foo, Bar, Stadt": "Foo, Bar", "Foo, 2. Stadt": "Foo, 2. Stadt", "Foo, Stadtteil": "Foo, Stadtteil", "Gemeinde": "Gemeinde", "Stadt  Pirna": "Pirna", "A [b] [c]": "A [b]", "A [b] c": "A [b] c", "A]": "A]", "Cottbus [Chóśebuz], Stadt": "Cottbus [Chóśebuz]",
     }
     assert apply(spark, cases, text.place_name) == list(cases.values())
 
@@ -36,7 +37,7 @@ def test_address_keys_agree(spark):
 
 
 def test_crs_names(spark):
-    cases = {"urn:ogc:def:crs:EPSG::25832": 25832, "http://www.opengis.net/def/crs/EPSG/0/25833": 25833, "EPSG:4258": 4258, "ETRS89_UTM32*DE_DHHN2016_NH": 25832, "ETRS89_UTM34": None, "local": None, None: None}
+    cases = {"urn:ogc:def:crs:EPSG::25832": 25832, "http://www.opengis.net/def/crs/EPSG/0/25833": 25833, "EPSG:4258": 4258, "ETRS89_UTM32*DE_DHHN2016_NH": 25832, "ETRS89_UTM34": None, "urn:adv:crs:ETRS89_UTM331": None, "etrs89_utm33": 25833, "epsg/25831": 25831, "EPSG:x1": None, "EPSG:": None, "25832": None, "local": None, None: None}
     assert apply(spark, cases, text.epsg) == list(cases.values())
 
 
@@ -48,6 +49,10 @@ def test_crs_names(spark):
         ("Straße des 17. Juni 5", [("Straße des 17. Juni", "5", None)], 0),
         ("Gasse 3, 3 A, 7b; Zollplatz 15,16b", [("Gasse", "3", None), ("Gasse", "3", "A"), ("Gasse", "7", "b"), ("Zollplatz", "15", None), ("Zollplatz", "16", "b")], 0),
         ("L 12; Kurze 5 Morgen", [], 1),
+        ("Haus 3 4", [("Haus 3", "4", None)], 0),
+        ("Weg, 3", [("Weg,", "3", None)], 0),
+        ("Alt, Neu 3 ,4 b", [("Alt, Neu", "3", None), ("Alt, Neu", "4", "b")], 0),
+        ("5; 7, 8", [], 1),
         ("Kleingartenanlage", [], 0),
         (" ", [], 0),
         (None, [], 0),

@@ -1,5 +1,7 @@
 """Search, status, gates, publishing, geocoding and buildings on small tables."""
 
+import dataclasses
+import datetime
 import datetime as dt
 import random
 import tempfile
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flurstrom.functions import geo
-from flurstrom.operators import buildings, geocode, publish, quality, search, spatial, status
+from flurstrom.operators import buildings, geocode, imports, publish, quality, search, spatial, status
 
 
 def test_search_order_is_german_and_numeric(spark):
@@ -37,7 +39,8 @@ def test_latest_failed_ignores_unfinished_runs(spark):
     assert [(x["source"], x["run_id"]) for x in status.latest_failed(r).collect()] == [("a", 2)]
     swept = {x["run_id"]: x["error"] for x in status.sweep_unfinished(r, F.lit(T(2024, 2, 1)).cast("timestamp_ntz"), "z" * 3000).collect()}
     assert len(swept[3]) == 2000 and swept[2] == "x"
-    assert status.discarded(r, 3).count() == 4 and status.failed_run(r, 3, F.lit(T(2024, 2, 1)).cast("timestamp_ntz"), "e").where("run_id = 3").collect()[0]["error"] == "e"
+    one = spark.createDataFrame([(3, "e" * 3000)], "run_id long, error string")
+    assert status.discarded_runs(r, one).count() == 4 and status.failed_runs(r, one, F.lit(T(2024, 2, 1)).cast("timestamp_ntz")).where("run_id = 3").collect()[0]["error"] == "e" * 2000
 
 
 DAY = 86_400
@@ -84,17 +87,71 @@ def test_gates(spark):
         quality.enforce(quality.readability(lines.limit(0), "ok"), "lines")
 
 
+def table_of(spark, source, n, first=0):
+    return spark.range(first, first + n).select("id", F.lit("1").alias("plz"), F.lit("g").alias("gemeinde"), F.lit(source).alias("source"))
+
+
 def test_refused_import_leaves_what_was_served(spark):
-    top = tempfile.mkdtemp(prefix="spark-")
-    rows = spark.createDataFrame([(k, "1", "g", s) for s in ("a", "b") for k in range(50)], "k int, plz string, gemeinde string, source string")
-    rows.write.partitionBy("source").parquet(f"{top}/served")
-    changed = rows.withColumn("k", F.col("k") + 100)
-    out = publish.replace_source(spark, f"{top}/served", changed, "a", f"{top}/s1")
-    assert {(r["source"], r["least"]) for r in out.groupBy("source").agg(F.min("k").alias("least")).collect()} == {("a", 100), ("b", 0)}
-    with pytest.raises(quality.GateError):
-        publish.replace_source(spark, f"{top}/served", rows.limit(10), "a", f"{top}/s2")
-    assert spark.read.parquet(f"{top}/served").where("source = 'a'").count() == 50
-    assert publish.replace_source(spark, f"{top}/fresh", rows, "b", f"{top}/s3").count() == 50
+    store = publish.Store(tempfile.mkdtemp(prefix="spark-"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+    least = lambda: {r["source"]: (r["run_id"], r["a"], r["n"]) for r in publish.served(spark, store).groupBy("source", "run_id").agg(F.min("id").alias("a"), F.count("*").alias("n")).collect()}
+    for source in "ab":
+        publish.replace(spark, store, publish.start(spark, store, source, "f1", "Initial", day(1)), table_of(spark, source, 50), day(2))
+    publish.replace(spark, store, publish.start(spark, store, "a", "f2", "Changed", day(3)), table_of(spark, "a", 49, 100), day(4), skipped=1, fingerprint="f2b")
+    assert least() == {"a": (3, 100, 49), "b": (2, 0, 50)}
+    bad = spark.createDataFrame([(False,)], "passes boolean")
+    for rows, gates in ((table_of(spark, "a", 48), ()), (table_of(spark, "a", 0), ()), (table_of(spark, "a", 60), (("join", bad),)), (table_of(spark, "a", 60).withColumn("id", F.raise_error(F.lit("x" * 3000)).cast("long")), ())):
+        with pytest.raises(Exception):
+            publish.replace(spark, store, publish.start(spark, store, "a", "f3", "Changed", day(5)), rows, day(6), gates)
+    assert least() == {"a": (3, 100, 49), "b": (2, 0, 50)}
+    publish.discard(spark, store, publish.start(spark, store, "b", None, "Retry", day(7)))
+    runs = {r["run_id"]: r for r in publish.runs(spark, store).collect()}
+    assert sorted(runs) == [1, 2, 3, 4, 5, 6, 7] and all(runs[k]["failed_at"] == day(6) and len(runs[k]["error"]) <= 2000 for k in (4, 5, 6, 7))
+    assert (runs[3]["record_count"], runs[3]["skipped_parts"], runs[3]["fingerprint"], runs[2]["fingerprint"]) == (49, 1, "f2b", "f1")
+    assert publish.sweep(spark, store) >= 2 and least() == {"a": (3, 100, 49), "b": (2, 0, 50)}
+    # an import may run again under its id, as after a lost driver
+    publish.replace(spark, store, publish.Run(8, "c"), table_of(spark, "c", 3), day(8))
+    assert least()["c"] == (8, 0, 3)
+
+
+@dataclasses.dataclass
+class Job:
+    id: str
+    print: str = "v1"
+    n: int = 20
+    broken: str = ""
+    kind: str = "Exact"
+    min_age_s: int = 0
+    max_age_s: int = 10**9
+
+    def probe(self, spark):
+        if self.broken == "probe":
+            raise ValueError("no answer")
+        return self.print
+
+    def rows(self, spark, fetched):
+        if self.broken == "rows":
+            raise ValueError("cut off")
+        fetched.skipped = 1
+        fetched.gates.append(("completeness", quality.shrink_check(table_of(spark, self.id, 0), table_of(spark, self.id, self.n))))
+        return table_of(spark, self.id, self.n)
+
+
+def test_a_round_of_imports(spark):
+    store = publish.Store(tempfile.mkdtemp(prefix="spark-"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+    jobs = {j.id: j for j in (Job("a"), Job("b"), Job("c", broken="rows"), Job("d", broken="probe"))}
+    said = lambda d: {r["source"]: (r["label"], r["action"]) for r in imports.refresh(spark, store, jobs, day(d)).collect()}
+    assert said(1) == {x: ("Initial", "import") for x in "abc"}
+    assert {r["source"] for r in publish.states(spark, store).collect()} == {"a", "b"}
+    jobs["a"].print, jobs["c"].broken, jobs["d"].broken = "v2", "", ""
+    assert said(2) == {"a": ("Changed", "import"), "c": ("Initial", "import"), "d": ("Initial", "import")}
+    jobs["b"].print, jobs["b"].n = "v2", 3  # too few rows
+    assert said(3) == {"b": ("Changed", "import")}
+    now = {r["source"]: r for r in publish.states(spark, store).collect()}
+    assert now["b"]["last_checked_at"] == day(2) and now["a"]["last_checked_at"] == day(3)
+    assert publish.served(spark, store).where("source = 'b'").count() == 20
+    assert said(4) == {"b": ("Retry", "import")}
 
 
 def shape(x, y, e):

@@ -29,8 +29,29 @@ def test_house_coordinates_in_both_dialects(spark):
     assert got["1"]["plz"] == "12345" and got["3"]["plz"] is None and got["3"]["ort"] == "Stadt" and got["1"]["ort"] == "Ort"
     b = put("b.txt", '"qua","gmd","str","hnr","ostwert","nordwert"\r\n"A","S, Neu","Weg","7","1.5","2.5"\r\n')
     assert [(r["gemeinde"], r["x"]) for r in delimited.accepted(delimited.house_coordinates(spark, b)).collect()] == [("S, Neu", 1.5)]
-    with pytest.raises(ValueError):
-        delimited.house_coordinates(spark, put("c.txt", "qua;ostwert\nA;1\n"))
+    with pytest.raises(Exception, match="no header"):
+        delimited.house_coordinates(spark, put("c.txt", "qua;ostwert\nA;1\n")).collect()
+
+
+def test_house_files_of_different_layouts_in_one_folder(spark):
+    top = tempfile.mkdtemp(prefix="spark-")
+    for name, body in (("a.txt", "qua;gmd;str;hnr;ostwert;nordwert;ott;zone\nA;Pirna, Stadt;Weg;1;1;2;Copitz, Stadt;32\n"), ("b.txt", '"nordwert"|"ostwert"|"hnr"|"str"|"gmd"|"qua"|"postplz"\n2|1|2|"A|B"|Stadt Wehlen|B|01829\n')):
+        with open(f"{top}/{name}", "w", encoding="utf-8") as f:
+            f.write(body)
+    got = delimited.house_coordinates(spark, top)
+    assert tuple(delimited.read_tally(got).collect()[0]) == (2, 2, 0, 0)
+    assert sorted((r["hnr"], r["str"], r["ort"], r["gemeinde"], r["plz"], r["x"], r["y"]) for r in got.collect()) == [("1", "Weg", "Copitz", "Pirna", None, 1.0, 2.0), ("2", "A|B", "Wehlen", "Wehlen", "01829", 1.0, 2.0)]
+    for zone in ("33", "3x"):
+        with pytest.raises(Exception, match="UTM zone"):
+            delimited.house_coordinates(spark, put("z.txt", f"qua;gmd;str;hnr;ostwert;nordwert;zone\nA;O;Weg;1;1;2;{zone}\n")).collect()
+    # what isn't accepted isn't asked for its zone
+    assert delimited.house_coordinates(spark, put("z.txt", "qua;gmd;str;hnr;ostwert;nordwert;zone\nC;O;Weg;1;1;2;33\nA;O;Weg;1;NaN;2;33\n")).count() == 2
+
+
+def test_fields_of_wide_and_quoted_lines(spark):
+    lines = [";".join(map(str, range(200))), "", ";", '"a;""b""";c', '"open;x', 'x"y;"";"z"']
+    got = [r["f"] for r in spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, v string").orderBy("k").select(delimited.fields(F.col("v")).alias("f")).collect()]
+    assert got == [list(map(str, range(200))), [""], ["", ""], ['a;"b"', "c"], ['"open', "x"], ['x"y', "", "z"]]
 
 
 def test_bulk_file_with_quoted_separators(spark):
@@ -93,6 +114,7 @@ def test_daily_counters_stream_equals_batch(spark):
 
 
 def test_admission_equals_a_loop_in_batch_and_stream(spark):
+    odd = spark.createDataFrame([(9000, None, None), (9001, 3, None)], "event_id long, user_id long, ts timestamp_ntz")
     e = events(spark, 1500).withColumn("ts", F.timestamp_seconds(F.lit(1_704_000_000) + F.pmod(F.xxhash64("event_id"), F.lit(900))).cast("timestamp_ntz"))
     rows = sorted((r["user_id"], r["ts"], r["event_id"]) for r in e.collect())
     state, want = {}, {}
@@ -104,6 +126,8 @@ def test_admission_equals_a_loop_in_batch_and_stream(spark):
         if want[k]:
             own.append(t)
     assert {r["event_id"]: r["admitted"] for r in usage.admission_labels(e).collect()} == want and not all(want.values())
+    e, want = e.select("event_id", "user_id", "ts").unionByName(odd), want | {9000: None, 9001: None}
+    assert {r["event_id"]: r["admitted"] for r in usage.admission_labels(e).collect()} == want
     top = tempfile.mkdtemp(prefix="spark-")
     e.coalesce(1).write.parquet(f"{top}/landed")
     q = usage.admission_stream(spark.readStream.schema(e.schema).parquet(f"{top}/landed")).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/cp").trigger(availableNow=True).start()
