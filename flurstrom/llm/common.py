@@ -59,6 +59,18 @@ def discard(*stored: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: Bytes of a batch of rows between the JVM and Python, at most, where the session has Spark's default of 64 MB.
+BATCH = "8m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Python small batches; batches exist several times over, in the JVM and in each worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, BATCH)
+    return df
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system; workers are reused and would keep it."""
     gc.collect()

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 BLOCK = 576
 WIDTH = 24
 #: A frame holds so many blocks at most; longer payloads take more frames.
@@ -260,7 +262,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 media = [encode(p + b"\xff" * (BLOCK - len(p) if not p else -len(p) % BLOCK)) for p in payloads]
                 yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_bytes": [len(p) for p in payloads], "media": media})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, "doc_id long, n_bytes long, media binary")
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, spans
+from .common import bounded, give_back, spans
 from .toxicity import sample
 
 #: Texts of each language to learn from, at most; sampled by hash. SAMPLE_ALL bounds all languages' together.
@@ -180,7 +180,7 @@ def decide(model: Model, margin: np.ndarray) -> tuple[str, float]:
 
 def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_TEXTS) -> Model:
     """A model from at most ``most`` texts of each language among the rows that aren't held out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
+    rows = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     known = [r["lang"] for r in rows.select("lang").distinct().collect()]  # as many as there are languages
     chosen = sample(rows, "lang", dict.fromkeys(known, max(1, min(most, SAMPLE_ALL // max(1, len(known))))), F.xxhash64("doc_id", F.lit(4)))
 
@@ -213,4 +213,4 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
                 said = [decide(own, m[k]) if own.families and has_letter(t) else ("und", 0.0) for k, t in enumerate(texts)]
                 yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "lang_pred": [s[0] for s in said], "score": [s[1] for s in said]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, PREDICTED)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, PREDICTED)

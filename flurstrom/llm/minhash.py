@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, cut, discard, free, once
+from .common import bounded, byte_slices, cut, discard, free, once
 
 COORDS, MATCHES = 48, 24
 #: Members of a posting list whose pairs are made directly, at most.
@@ -246,7 +246,7 @@ def with_root(rows: DataFrame, tree: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) and kept of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
+    rows = bounded(docs).select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
     sigs = cut(signed(rows, words))
     first = lambda *names: [F.first(c).alias(c) for c in names]
     classes = sigs.where("cls IS NOT NULL").groupBy("cls").agg(*first("n", "key", "values", *MARKS), F.min("doc_id").alias("least"))

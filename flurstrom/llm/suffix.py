@@ -40,11 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, distinct_texts, give_back
+from .common import bounded, byte_slices, cut, discard, distinct_texts, give_back
 from .common import spans as spans_of
 
 LENGTH = 400
@@ -144,13 +145,13 @@ def pieces(body: bytes, words: int) -> Iterator[tuple[int, bytes]]:
 
 def word_runs(texts: list[bytes], words: int) -> tuple[np.ndarray, ...]:
     """Text number, first byte, end and hash of each run of windows of words filed under one gram of half
-    as many words; one gram at two places makes two runs."""
+    as many words, and two hashes of the whole run; one gram at two places makes two runs."""
     data = np.frombuffer(b" ".join(texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.cumsum(sizes) - sizes
     first, end = word_bounds(data)
     if len(first) < words:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     owner = np.searchsorted(begins, first, "right") - 1
     gram = words // 2
     grams = span_hashes(data, first[: len(first) - gram + 1], end[gram - 1 :])
@@ -160,10 +161,11 @@ def word_runs(texts: list[bytes], words: int) -> tuple[np.ndarray, ...]:
     at = order[least_ahead(rank, words - gram + 1).astype(np.int64)]
     own = np.flatnonzero(owner[: len(first) - words + 1] == owner[words - 1 :])
     if not len(own):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     new = np.flatnonzero(np.r_[True, at[own[1:]] != at[own[:-1]]])
     a, z = own[new], own[np.append(new[1:], len(own)) - 1]
-    return owner[a], first[a] - begins[owner[a]], end[z + words - 1] - begins[owner[a]], grams[at[a]]
+    whole = (span_hashes(data, first[a], end[z + words - 1], seed) for seed in (2, 3))
+    return owner[a], first[a] - begins[owner[a]], end[z + words - 1] - begins[owner[a]], grams[at[a]], *whole
 
 
 class Words:
@@ -305,46 +307,67 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
+def keyed(keys: list[bytes], owner: np.ndarray, **columns) -> pa.RecordBatch:
+    """Rows of the texts that owner numbers, with one array for each other column."""
+    own = pa.array(keys, pa.binary()).take(pa.array(owner, pa.int64()))
+    return pa.RecordBatch.from_arrays([own, *(pa.array(v) for v in columns.values())], names=["key", *columns])
+
+
+def pairs_of(batches, *columns: str):
+    """The rows of record batches as tuples of Python values."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
 def filed(texts: DataFrame, length: int) -> DataFrame:
     """key, s0, n, h, several: the runs of windows of each text."""
 
+    def rows(group: list) -> pa.RecordBatch:
+        owner, first, n, h, several = runs([g[1] for g in group], length)
+        offset = np.array([g[2] for g in group], np.int64)
+        return keyed([g[0] for g in group], owner, s0=first + offset[owner], n=n.astype(np.int64), h=h.view(np.int64), several=several)
+
     def of(batches):
-        for batch in batches:
-            group, size = [], 0
-
-            def rows(group):
-                owner, first, n, h, several = runs([g[1] for g in group], length)
-                keys = np.array([g[0] for g in group], object)
-                offset = np.array([g[2] for g in group], np.int64)
-                return pd.DataFrame({"key": keys[owner], "s0": first + offset[owner], "n": n, "h": h.view(np.int64), "several": several})
-
-            for key, body in zip(batch["key"], batch["body"]):
-                for at in range(0, len(body) - length + 1, BLOCK):
-                    own = body[at : at + BLOCK + length - 1]
-                    group.append((key, own, at))
-                    size += len(own)
-                    if size > BLOCK:
-                        yield rows(group)
-                        group, size = [], 0
-            if group:
-                yield rows(group)
+        group, size = [], 0
+        for key, body in pairs_of(batches, "key", "body"):
+            for at in range(0, len(body) - length + 1, BLOCK):
+                own = body[at : at + BLOCK + length - 1]
+                group.append((key, own, at))
+                size += len(own)
+                if size > BLOCK:
+                    yield rows(group)
+                    group, size = [], 0
+        if group:
+            yield rows(group)
         give_back()
 
-    return texts.select("key", "body").where(F.octet_length("body") >= length).mapInPandas(of, "key binary, s0 long, n long, h long, several boolean")
+    return texts.select("key", "body").where(F.octet_length("body") >= length).mapInArrow(of, "key binary, s0 long, n long, h long, several boolean")
 
 
 def with_bytes(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """The runs with the bytes their windows cover, and the hash of these."""
 
+    def rows(out: list) -> pa.RecordBatch:
+        key, s0, n, h, part = zip(*out)
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, s0, n, h, part, [hashlib.md5(p).digest() for p in part]), types)], names=["key", "s0", "n", "h", "part", "part_id"])
+
     def of(batches):
-        for batch in batches:
-            for key, body, own in zip(batch["key"], batch["body"], batch["runs"]):
-                out = [(key, r["s0"], r["n"], r["h"], bytes(body[r["s0"] : r["s0"] + r["n"] + length - 1])) for r in own]
-                frame = pd.DataFrame(out, columns=["key", "s0", "n", "h", "part"])
-                yield frame.assign(part_id=[hashlib.md5(p).digest() for p in frame["part"]])
+        out, size = [], 0
+        for key, body, own in pairs_of(batches, "key", "body", "runs"):
+            for r in own:
+                part = body[r["s0"] : r["s0"] + r["n"] + length - 1]
+                out.append((key, r["s0"], r["n"], r["h"], part))
+                size += len(part)
+                if size > BLOCK:
+                    yield rows(out)
+                    out, size = [], 0
+        if out:
+            yield rows(out)
+        give_back()
 
     lists = found.groupBy("key").agg(F.collect_list(F.struct("s0", "n", "h")).alias("runs"))
-    return texts.select("key", "body").join(lists, "key").mapInPandas(of, "key binary, s0 long, n long, h long, part binary, part_id binary")
+    return texts.select("key", "body").join(lists, "key").mapInArrow(of, "key binary, s0 long, n long, h long, part binary, part_id binary")
 
 
 def split(parts: DataFrame, length: int) -> DataFrame:
@@ -411,43 +434,59 @@ def marked_parts(parts: DataFrame, length: int, bucket_windows: int) -> DataFram
 
 
 def passages(texts: DataFrame, words: int) -> DataFrame:
-    """key and ranges of the windows of words that stand in more than one place, in whatever texts; stored."""
+    """key and ranges of the windows of words that stand in more than one place, in whatever texts; stored.
+
+    Of runs filed under one gram those that are equal as a whole are ranges as they are. Where a gram has
+    other runs too, one of each kind brings its windows, which are counted by 128-bit hashes."""
 
     def filed_words(batches):
-        for batch in batches:
-            every = [(key, at, part) for key, body in zip(batch["key"], batch["body"]) for at, part in pieces(bytes(body), words)]
+        for batch in byte_slices(batches, "body", BLOCK):
+            every = [(key, at, part) for key, body in pairs_of([batch], "key", "body") for at, part in pieces(body, words)]
             for some in spans_of([len(part) for _, _, part in every], BLOCK):
                 group = every[some]
-                owner, first, end, h = word_runs([part for _, _, part in group], words)
-                keys, at = np.array([g[0] for g in group], object), np.array([g[1] for g in group], np.int64)
-                yield pd.DataFrame({"key": keys[owner], "s0": first + at[owner], "e0": end + at[owner], "h": h.view(np.int64)})
+                owner, first, end, *hashes = word_runs([part for _, _, part in group], words)
+                at = np.array([g[1] for g in group], np.int64)[owner]
+                yield keyed([g[0] for g in group], owner, s0=first + at, e0=end + at, **{c: h.view(np.int64) for c, h in zip("hxy", hashes)})
 
     def windows(batches):
-        for batch in batches:
-            for key, body, own in zip(batch["key"], batch["body"], batch["runs"]):
-                for a, z in merged([(r["s0"], r["e0"]) for r in own]):
-                    for at, part in pieces(bytes(body[a:z]), words):
-                        data = np.frombuffer(part, np.uint8)
-                        first, end = word_bounds(data)
-                        first, end = first[: len(first) - words + 1], end[words - 1 :]
-                        x, y = (span_hashes(data, first, end, seed).view(np.int64) for seed in (2, 3))
-                        yield pd.DataFrame({"key": key, "s": first + a + at, "e": end + a + at, "x": x, "y": y})
+        def rows(out: list) -> pa.RecordBatch:
+            return keyed([o[0] for o in out], np.repeat(np.arange(len(out)), [len(o[1]) for o in out]), **{c: np.concatenate([o[k] for o in out]) for k, c in enumerate("sexy", 1)})
+
+        out, size = [], 0
+        for key, body, own in pairs_of(batches, "key", "body", "runs"):
+            for a, z in merged([(r["s0"], r["e0"]) for r in own]):
+                for at, part in pieces(body[a:z], words):
+                    data = np.frombuffer(part, np.uint8)
+                    first, end = word_bounds(data)
+                    first, end = first[: len(first) - words + 1], end[words - 1 :]
+                    out.append((key, first + a + at, end + a + at, *(span_hashes(data, first, end, seed).view(np.int64) for seed in (2, 3))))
+                    size += len(first)
+                    if size > BLOCK // 16:
+                        yield rows(out)
+                        out, size = [], 0
+        if out:
+            yield rows(out)
+        give_back()
 
     own = texts.select("key", "body").where(F.octet_length("body") >= 2 * words - 1)
-    every = cut(own.mapInPandas(filed_words, "key binary, s0 long, e0 long, h long"))
+    every = cut(own.mapInArrow(filed_words, "key binary, s0 long, e0 long, h long, x long, y long"))
     shared = every.groupBy("h").count().where("count > 1").select("h")
-    lists = every.join(shared, "h").groupBy("key").agg(F.collect_list(F.struct("s0", "e0")).alias("runs"))
-    rows = cut(own.join(lists, "key").mapInPandas(windows, "key binary, s long, e long, x long, y long"), large=True)
+    met = cut(every.join(shared, "h"), large=True)
     discard(every)
+    kinds = cut(met.groupBy("h", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "e0")).alias("one")))
+    whole = met.join(kinds.where("n > 1").select("h", "x", "y"), ["h", "x", "y"]).select("key", F.array(F.array("s0", "e0")).alias("spans"))
+    several = kinds.groupBy("h").count().where("count > 1").select("h")
+    lists = kinds.join(several, "h").groupBy("one.key").agg(F.collect_list(F.struct("one.s0", "one.e0")).alias("runs"))
+    rows = cut(own.join(lists, "key").mapInArrow(windows, "key binary, s long, e long, x long, y long"), large=True)
     twice = rows.groupBy("x", "y").count().where("count > 1").select("x", "y")
-    out = cut(rows.join(twice, ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans")), large=True)
-    discard(rows)
+    out = cut(rows.join(twice, ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans")).unionByName(whole), large=True)
+    discard(met, kinds, rows)
     return out
 
 
 def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None) -> DataFrame:
     """key, copies, spans and passages (ranges by bytes and by words) of each different text (body) that has copies or ranges; stored."""
-    texts, name = distinct_texts(docs)
+    texts, name = distinct_texts(bounded(docs))
     every = cut(filed(texts, length))
     shared = every.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 OR s").select("h")
     found = cut(with_bytes(texts, every.join(shared, "h").select("key", "s0", "n", "h"), length), large=True)

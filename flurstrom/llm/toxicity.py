@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, spans
+from .common import bounded, give_back, spans
 
 #: Rows of each label to learn from, at most; sampled by hash. More of label 0 keeps clean texts clean.
 SAMPLE_ROWS = {1: 1800, 0: 3400}
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     by = F.xxhash64("doc_id", F.lit(5))
     most = most or SAMPLE_ROWS
     chosen = F.broadcast(sample(known, "label", most, by))  # ids and labels, as many as ``most`` allows
-    rows = chosen.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id").select("doc_id", "text", "label")
+    rows = chosen.join(bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id").select("doc_id", "text", "label")
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "label", "text"])
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
         del scorer
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, SCORED)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInPandas(of, SCORED)
 
 
 def score_of(text: Column, model: Model, spark: SparkSession) -> Column:

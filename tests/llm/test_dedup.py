@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flurstrom.llm import minhash, packing, suffix
 
@@ -159,6 +160,17 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, bucket_windows, str
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_suffix_carries_columns_of_any_name(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = text(500)
+    rows = [(1, text(400_000)), (2, text(300) + passage), (3, passage + text(300)), (4, None)]
+    docs = table(spark, rows).select("*", *(F.lit(c).alias(c) for c in "spans copies passages h s0 part no_text kept_text body r".split()))
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs).collect()}
+    assert [got[k]["n_removed"] for k in (1, 2, 3, 4)] == [0, 500, 500, 0] and got[2]["kept_text"] == rows[1][1][:300]
+    assert got[1]["row"]["spans"] == "spans" and got[4]["row"]["kept_text"] == "kept_text"
+
+
 def test_suffix_of_an_empty_table(spark):
     assert suffix.digest(table(spark, [])).count() == 0
 
