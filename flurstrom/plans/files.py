@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import quality
 from ..sources import delimited, documents, gml
-from .landing import ROOT, land_documents, land_lines, land_members
+from .landing import ROOT, land_archives, land_documents, land_lines, land_members
 from .registry import query
 from .served import properties
 from .views import view
@@ -44,6 +44,15 @@ def ingest_delimited(spark, sf_dir):
     return delimited.bulk(spark, land_lines(p.select(line.alias("line")), "bulk", header="header"))
 
 
+@query("SELECT CAST(id AS VARCHAR) || ';' || coalesce(str, '') AS line FROM v_properties WHERE id % 3 <> 0")
+def zip_members(spark, sf_dir):
+    """Lines of the CSV members of archives; members of other kinds stay closed."""
+    p = properties(spark, sf_dir)
+    member = F.when(F.col("id") % 3 == 0, "notes/read.txt").when(F.col("id") % 3 == 1, "data/Part.CSV").otherwise("other.csv")
+    path = land_archives(p.select(member.alias("member"), F.concat_ws(";", F.col("id").cast("string"), F.coalesce("str", F.lit(""))).alias("line")).repartition(3), "archives")
+    return documents.zip_lines(spark, path, "*.csv").select("line")
+
+
 SQUARE = "<gml:Polygon srsName=\"urn:ogc:def:crs:EPSG::25832\"><gml:exterior><gml:LinearRing><gml:posList>%1$s %2$s %3$s %2$s %3$s %4$s %1$s %4$s %1$s %2$s</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon>"
 
 

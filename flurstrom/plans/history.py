@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import status
+from ..operators.storage import landing
 from ..streaming import usage
 from .registry import query
 from .views import view
@@ -141,6 +142,16 @@ def clicks_by_tag(spark, sf_dir):
     return usage.clicks_by_tag(view(spark, sf_dir, "v_usage"))
 
 
+@query("SELECT event_id, user_id, kind FROM v_usage")
+def incremental_ingest(spark, sf_dir):
+    """Landed files moved to staging by a stream, which counts once it has ended."""
+    top = landing(spark, "stream")
+    rows = view(spark, sf_dir, "v_usage").select("event_id", "user_id", "kind")
+    rows.repartition(4).write.parquet(f"{top}/landed")
+    usage.ingest(spark, f"{top}/landed", rows.schema, f"{top}/staging", f"{top}/progress").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{top}/staging")
+
+
 #: Each user's events in order, folded: one is let in if fewer than 20 let in before are under 60 seconds old.
 FOLDED = """(SELECT user_id, unnest(list_reduce(list_prepend([], list_transform(list(struct_pack(event_id := event_id, ts := ts, admitted := TRUE) ORDER BY ts, event_id), lambda p: [p])),
   lambda kept, p: list_concat(kept, [struct_pack(event_id := p[1].event_id, ts := p[1].ts, admitted := len(list_filter(kept, lambda q: q.admitted AND epoch(p[1].ts) - epoch(q.ts) < 60)) < 20)]))) AS e

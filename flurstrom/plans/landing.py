@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zipfile
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +43,29 @@ def land_members(df: DataFrame, name: str, each: int = 2000) -> str:
     rows = df.crossJoin(F.broadcast(files))  # one row
     docs = rows.groupBy(F.pmod(F.xxhash64(column), "files").alias("file")).agg(F.array_join(F.collect_list(column), "\n").alias("body"))
     return land_documents(docs.select(F.concat(F.lit(ROOT), "body", F.lit("</wfs:FeatureCollection>"))), name)
+
+
+def land_archives(df: DataFrame, name: str) -> str:
+    """Writes a frame (member, line) as ZIP archives of text members, one archive a partition, into the shared folder."""
+    path = landing(df.sparkSession, name)
+
+    def of(batches):
+        out, n = None, 0
+        key = f"part-{TaskContext.get().partitionId()}"  # a task that runs again replaces its archive
+        for batch in batches:
+            if out is None:
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                store.create_dir(at)
+                raw = store.open_output_stream(f"{at}/{key}.zip")
+                out = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
+            for member, lines in batch.groupby("member")["line"]:
+                folder, _, file = member.rpartition("/")
+                n += 1
+                out.writestr(f"{folder}/{n}-{file}", "\n".join(lines) + "\n")
+                yield pd.DataFrame({"n": [len(lines)]})
+        if out is not None:
+            out.close()
+            raw.close()
+
+    df.select("member", "line").mapInPandas(of, "n long").write.format("noop").mode("overwrite").save()
+    return path

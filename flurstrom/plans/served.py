@@ -55,6 +55,12 @@ def normalize_places(spark, sf_dir):
     return search.normalized(properties(spark, sf_dir)).select("id", "gemeinde")
 
 
+@query("SELECT id, nullif(trim(CASE id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || str || '  ' ELSE str END), '') AS str FROM v_properties")
+def normalize_streets(spark, sf_dir):
+    said = F.expr("CASE id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || str || '  ' ELSE str END")
+    return properties(spark, sf_dir).select("id", text.street_name(said).alias("str"))
+
+
 @query("SELECT id, CASE WHEN regexp_matches(trim(code), '^[0-9]{5}$') THEN trim(code) END AS plz FROM (SELECT id, CASE id % 4 WHEN 0 THEN ' ' || plz WHEN 1 THEN plz || '1' ELSE plz END AS code FROM v_properties) t")
 def normalize_plz(spark, sf_dir):
     code = F.expr("CASE id % 4 WHEN 0 THEN ' ' || plz WHEN 1 THEN plz || '1' ELSE plz END")
