@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geo import let
+
 BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -29,20 +31,25 @@ def before(c: Column, rest: Column) -> Column:
 
 def place_name(c: Column) -> Column:
     """A municipality without the second-language name in brackets behind it, the title behind its last comma, and one title before it."""
-    name = trimmed(c)
-    # what the last pair of brackets holds
-    held = F.substring_index(F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - 1)), "]", -1)
-    held = F.substr(held, F.instr(held, "[") + 1)
-    name = F.when(name.endswith("]") & F.contains(name, F.lit("[")), F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - F.char_length(held) - 2))).otherwise(name)
-    last = F.substring_index(name, ",", -1)
-    ends = F.lit(False)
-    for noun in TITLE_ENDS:
-        ends = ends | F.lower(last).endswith(noun)
-    titled = F.contains(name, F.lit(",")) & ends & (F.regexp_replace(last, r"[^\p{L}\s.\-]", "") == last)
-    name = F.when(titled, before(name, last)).otherwise(name)
-    first = F.substring_index(F.regexp_replace(name, r"(?U)\s", " "), " ", 1)
-    name = F.when(first.isin(*TITLES) & (first != name), F.ltrim(F.substr(name, F.char_length(first) + 1))).otherwise(name)
-    return F.nullif(name, F.lit(""))
+
+    def without_brackets(name: Column) -> Column:
+        # what the last pair of brackets holds
+        inner = F.substring_index(F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - 1)), "]", -1)
+        held = let(inner, lambda h: F.char_length(h) - F.instr(h, "["))
+        return F.when(name.endswith("]") & F.contains(name, F.lit("[")), F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - held - 2))).otherwise(name)
+
+    def without_end(name: Column) -> Column:
+        def of(last: Column) -> Column:
+            ends = F.exists(F.array(*map(F.lit, TITLE_ENDS)), lambda noun: F.endswith(F.lower(last), noun))
+            plain = F.regexp_replace(last, r"[^\p{L}\s.\-]", "") == last
+            return F.when(F.contains(name, F.lit(",")) & ends & plain, before(name, last)).otherwise(name)
+
+        return let(F.substring_index(name, ",", -1), of)
+
+    def without_title(name: Column) -> Column:
+        return let(F.substring_index(F.regexp_replace(name, r"(?U)\s", " "), " ", 1), lambda first: F.when(first.isin(*TITLES) & (first != name), F.ltrim(F.substr(name, F.char_length(first) + 1))).otherwise(name))
+
+    return F.nullif(let(let(let(trimmed(c), without_brackets), without_end), without_title), F.lit(""))
 
 
 def street_name(c: Column) -> Column:
@@ -57,7 +64,10 @@ def postcode(c: Column) -> Column:
 
 def named_district(c: Column) -> Column:
     """NULL for numbered districts, which say no more than the municipality."""
-    return F.when(~c.rlike(r"^.+ Bezirk [0-9]+$"), c)
+    words = F.split(c, " ")
+    at = lambda k: F.try_element_at(words, F.lit(k))
+    numbered = (F.size(words) > 2) & (at(-2) == "Bezirk") & (at(-1) != "") & (F.translate(at(-1), "0123456789", "") == "")
+    return F.when(~F.coalesce(numbered, F.lit(False)), c)
 
 
 def key_part(c: Column, spaces: bool) -> Column:
