@@ -49,12 +49,11 @@ class Encoder:
     the tokenizer whole.
     """
 
-    def __init__(self, path: str, room: int = 100_000):
+    def __init__(self, path: str, room: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.words = Tokenizer(Tokenizer.from_file(path).model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
@@ -98,7 +97,7 @@ class Encoder:
         for k, text in enumerate(texts):
             low = text.lower()
             plainly = text.isascii() or not self.odd.search(text) and not self.odd.search(low) and len(low) == len(text) and unicodedata.is_normalized("NFC", text)
-            if not plainly or self.added.search(text):
+            if not plainly or any(t in low for t in self.added):
                 found[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             plain.append(k)
