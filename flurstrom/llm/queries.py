@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gif, language, licenses, minhash, packing, pages, suffix, toxicity
+from . import align, chat, decontaminate, fingerprint, gif, language, licenses, minhash, packing, pages, repair, suffix, toxicity
 from .common import table
 
 
@@ -53,9 +53,23 @@ def op10_media_columns(spark, sf_dir):
     return gif.read_back(gif.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_toxicity, op6_minhash_near_dedup, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns)}
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
+
+
+def op13_document_fingerprints(spark, sf_dir):
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_toxicity, op6_minhash_near_dedup, op7_best_fit_packing, op8_decontaminate, op9_chat_format, op10_media_columns, op11_cross_tokenizer_alignment, op12_conversation_repair, op13_document_fingerprints)}
 ORACLE_SQL = {
     "op1_license_scan": licenses.sql(),
     "op8_decontaminate": decontaminate.SQL,
     "op9_chat_format": chat.SQL,
+    "op13_document_fingerprints": fingerprint.sql(),
 }
