@@ -8,8 +8,7 @@ are, how much of one lies in the other, and how many distinct shingles there are
 Each document is also compared with the next one by ascending id. Rows are dealt to
 ranges of ids (an id with very many rows to ranges of its texts' hashes) of bounded
 size, by boundaries that an approximate quantile of the ids gives; inside a range the
-next row is a window's lead, and the last row of a range meets the first of the next
-one by a join of one row for each range.
+next row is a window's lead, and the first row of the next range is a guest at its end.
 
 Defined cases: null text is empty; an empty text has an empty fingerprint, like that of
 another empty text (1) and unlike all others (0); a text with fewer words than a shingle
@@ -145,39 +144,34 @@ def ranged(rows: DataFrame, range_bytes: int) -> DataFrame:
     return own.withColumn("range", (F.col("low") + F.floor(share * (F.col("high") - F.col("low") + 1))).cast("int")).drop("low", "high")
 
 
-def compared(rows: DataFrame, k: int, words: int, *kept: str) -> DataFrame:
-    """The result of rows (doc_id, text, fingerprint, next: text and fingerprint), and the columns kept."""
-    df = once(rows, edited=edited(F.col("text"), F.col("next.text")))
-    df = once(df, mine=read(F.col("fingerprint")), changed=sketch(F.col("edited"), k, words), following=read(F.col("next.fingerprint")))
-    return df.select(
-        "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        written(F.col("changed")).alias("edited_fingerprint"),
-        resemblance(F.col("mine"), F.col("changed"), k).alias("near_edited"),
-        resemblance(F.col("mine"), F.col("following"), k).alias("near_next"),
-        *kept,
-    )
-
-
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, the fingerprints of the text and of its edited text, and how like the
     former is to the latter (near_edited) and to the next document's fingerprint (near_next)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = ranged(rows, range_bytes).withColumn("fingerprint", written(sketch(F.col("text"), k, words)))
-    place = Window.partitionBy("range").orderBy("order", "key")
-    rows = rows.withColumns({"next": F.lead(F.struct("text", "fingerprint")).over(place), "first": F.row_number().over(place) == 1})
-    # the last row of a range waits for the first of the next one; both keep their texts
-    rows = rows.withColumn("last", F.col("next").isNull()).withColumn("own", F.when(F.col("first") | F.col("last"), F.col("text")))
-    stored = cut(compared(rows, k, words, "range", "first", "last", "own"))
-    heads = stored.where("first").select("range", F.struct(F.col("own").alias("text"), "fingerprint").alias("next"))
-    # the range before each one, in a circle; there are RANGES at most
+    rows = ranged(rows, range_bytes).select("range", "order", "key", "doc_id", "text", F.lit(False).alias("guest"))
+    # a row for each range, of which there are RANGES at most: its first place, and the range before it, in a circle
+    heads = rows.groupBy("range").agg(F.min(F.struct("order", "key")).alias("head"))
     turn, all_ = Window.partitionBy(F.lit(0)).orderBy("range"), Window.partitionBy(F.lit(0))
-    before = heads.select("range", F.coalesce(F.lag("range").over(turn), F.max("range").over(all_)).alias("before"))
-    met = before.join(heads, "range").select(F.col("before").alias("range"), "next")
-    waiting = stored.where("last").select("doc_id", F.col("own").alias("text"), "fingerprint", "range").join(met, "range")
-    return stored.where("NOT last").drop("range", "first", "last", "own").unionByName(compared(waiting, k, words))
+    heads = cut(heads.select("head.*", F.coalesce(F.lag("range").over(turn), F.max("range").over(all_)).alias("before")))
+    # the first row of each range is a guest at the end of the range before; of equal rows any
+    met = rows.join(F.broadcast(heads), ["order", "key"]).groupBy("before").agg(*(F.first(c).alias(c) for c in ("order", "key", "text")))
+    guests = met.select(F.col("before").alias("range"), "order", "key", F.lit(None).cast(dict(rows.dtypes)["doc_id"]).alias("doc_id"), "text", F.lit(True).alias("guest"))
+    # sketched after the one shuffle of the texts
+    every = rows.unionByName(guests).repartition("range")
+    every = once(every, sketch=sketch(F.col("text"), k, words))
+    place = Window.partitionBy("range").orderBy("guest", "order", "key")
+    every = every.withColumn("next", F.lead(F.struct("text", "sketch")).over(place)).where("NOT guest")
+    every = once(every, edited=edited(F.col("text"), F.col("next.text")))
+    every = once(every, changed=sketch(F.col("edited"), k, words))
+    return every.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        written(F.col("sketch")).alias("fingerprint"),
+        written(F.col("changed")).alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("changed"), k).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next.sketch"), k).alias("near_next"),
+    )
 
 
 def sql(k: int = K, words: int = WORDS) -> str:
