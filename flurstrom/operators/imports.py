@@ -43,16 +43,21 @@ class SourceJob(Protocol):
         """Standardized rows; what is skipped, another fingerprint and further gates go to ``fetched``."""
 
 
-def probed(spark: SparkSession, jobs: Mapping[str, SourceJob]) -> DataFrame:
-    """A row for each source: its policy, and its probe's fingerprint or error."""
+def probed(spark: SparkSession, jobs: Mapping[str, SourceJob]) -> list[dict]:
+    """The fingerprint or the error of each source's probe."""
     out = []
     for job in jobs.values():
         try:
-            found, error = job.probe(spark), None
+            out.append({"source": job.id, "fingerprint": job.probe(spark)})
         except Exception as e:  # the source is left out of this round
-            found, error = None, str(e)[: publish.ERROR]
-        out.append((job.id, None if error else job.kind, job.min_age_s, job.max_age_s, found, error))
-    return spark.createDataFrame(out, PLAN)
+            out.append({"source": job.id, "error": str(e)[: publish.ERROR]})
+    return out
+
+
+def planned(spark: SparkSession, jobs: Mapping[str, SourceJob], probes: list[dict]) -> DataFrame:
+    """A row for each source: its policy, if its probe answered, and what the probe told."""
+    rows = [(p["source"], None if "error" in p else j.kind, j.min_age_s, j.max_age_s, p.get("fingerprint"), p.get("error")) for p in probes for j in [jobs[p["source"]]]]
+    return spark.createDataFrame(rows, PLAN)
 
 
 def due(spark: SparkSession, store: publish.Store, probes: DataFrame, now: datetime.datetime, cap: int) -> DataFrame:
@@ -64,16 +69,29 @@ def due(spark: SparkSession, store: publish.Store, probes: DataFrame, now: datet
     return status.refresh_plan(status.refresh_due(table, F.lit(now)), cap)
 
 
-def refresh(spark: SparkSession, store: publish.Store, jobs: Mapping[str, SourceJob], now: datetime.datetime, cap: int = 3) -> DataFrame:
-    """One round: probes all sources, imports those due, confirms the others; returns each source's label and action.
+def health(spark: SparkSession, store: publish.Store, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """The health report of a store."""
+    runs = publish.runs(spark, store)
+    return status.health_report(status.source_status(publish.known(spark, store), runs), status.latest_failed(runs), disabled)
+
 
-    A source that fails is recorded and the round goes on."""
+def refresh(spark: SparkSession, store: publish.Store, jobs: Mapping[str, SourceJob], now: datetime.datetime, cap: int = 3, lease: datetime.timedelta = datetime.timedelta(days=1)) -> DataFrame:
+    """One round: fails the runs that a lost job left, probes the sources, confirms those up to date and imports
+    those due; returns each source's label and action.
+
+    A source that fails is recorded and the round goes on. A round under way raises Busy; one that
+    began a lease ago is taken for dead, and what it still does is fenced off."""
+    round = publish.begin_round(spark, store, now, lease)
+    publish.sweep(spark, store)
     probes = probed(spark, jobs)
-    plan = due(spark, store, probes, now, cap).select("source", "label", "action", "rank", "probe_fingerprint").collect()  # a row for each source
+    publish.record_probes(spark, store, probes, now, round)
+    plan = due(spark, store, planned(spark, jobs, probes), now, cap).select("source", "label", "action", "rank", "probe_fingerprint").collect()  # a row for each source
+    busy = {r["source"] for r in plan}
+    publish.confirm(spark, store, [p["source"] for p in probes if "error" not in p and p["source"] not in busy], now, round)
     for r in sorted(plan, key=lambda r: (r["label"] != "Initial", r["rank"])):
         if r["action"] != "import":
             continue
-        run = publish.start(spark, store, r["source"], r["probe_fingerprint"], r["label"], now)
+        run = publish.start(spark, store, r["source"], r["probe_fingerprint"], r["label"], now, round)
         fetched = Fetched()
         try:
             rows = jobs[r["source"]].rows(spark, fetched)
@@ -82,10 +100,9 @@ def refresh(spark: SparkSession, store: publish.Store, jobs: Mapping[str, Source
             continue
         try:
             publish.replace(spark, store, run, rows, now, tuple(fetched.gates), fetched.skipped, fetched.fingerprint)
+        except publish.Fenced:  # another round goes on
+            raise
         except Exception:  # recorded by replace; other sources go on
             continue
-    busy = {r["source"] for r in plan}
-    for r in probes.where("last_probe_error IS NULL").select("source").collect():
-        if r["source"] not in busy:
-            publish.confirm(spark, store, r["source"], now)
+    publish.end_round(spark, store, round)
     return spark.createDataFrame([(r["source"], r["label"], r["action"]) for r in plan], "source string, label string, action string")

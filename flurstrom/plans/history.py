@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from ..operators import status
+from ..operators import publish, status
 from ..operators.storage import landing
 from ..streaming import usage
 from .registry import query
@@ -144,12 +146,13 @@ def clicks_by_tag(spark, sf_dir):
 
 @query("SELECT event_id, user_id, kind FROM v_usage")
 def incremental_ingest(spark, sf_dir):
-    """Landed files moved to staging by a stream, which counts once it has ended."""
-    top = landing(spark, "stream")
+    """Landed files moved to staging by a stream, and served by their run once it has ended."""
+    top, day = landing(spark, "stream"), datetime.datetime(2024, 1, 1)
     rows = view(spark, sf_dir, "v_usage").select("event_id", "user_id", "kind")
     rows.repartition(4).write.parquet(f"{top}/landed")
-    usage.ingest(spark, f"{top}/landed", rows.schema, f"{top}/staging", f"{top}/progress").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{top}/staging")
+    store = publish.Store(f"{top}/store")
+    usage.staged_import(spark, store, publish.start(spark, store, "usage", "v1", "Initial", day), f"{top}/landed", rows.schema, day)
+    return publish.served(spark, store).select(*rows.columns)
 
 
 #: Each user's events in order, folded: one is let in if fewer than 20 let in before are under 60 seconds old.

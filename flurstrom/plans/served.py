@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
 import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import geocode, publish, quality, search
+from ..operators import geocode, imports, publish, quality, search
 from ..operators.storage import landing
 from .registry import query
 from .views import view
@@ -156,6 +158,68 @@ def import_runs(spark, sf_dir):
     return out.select("run_id", "source", "fingerprint", "reason", "record_count", "skipped_parts", F.col("completed_at").isNotNull().alias("completed"), F.col("failed_at").isNotNull().alias("failed"), F.coalesce("served", F.lit(False)).alias("served"))
 
 
+@dataclasses.dataclass
+class Listed:
+    """A source of a round: what its probe tells, and its rows with the version they report."""
+
+    id: str
+    told: str
+    table: DataFrame | None = None
+    reported: str | None = None
+    kind: str = "Exact"
+    min_age_s: int = 0
+    max_age_s: int = 10**9
+
+    def probe(self, spark):
+        if self.table is None:
+            raise ValueError("no answer")
+        return self.told
+
+    def rows(self, spark, fetched):
+        fetched.fingerprint = self.reported
+        return self.table
+
+
+def round_of_imports(spark, sf_dir):
+    """A store of all sources, an import of src5 that was cut short, then a round over some sources: a changed one that
+    reports another version than its probe, one that lost rows, the one cut short, one without change, two whose probes fail."""
+    rows = properties(spark, sf_dir).select("id", "str", "plz", "gemeinde", "source")
+    store = publish.Store(landing(spark, "store"))
+    at = lambda day: datetime.datetime(2024, 1, day)
+    k = F.substr(F.col("source"), F.lit(4))
+    publish.seed(spark, store, rows.withColumns({"run_id": k.cast("long") + 1, "fingerprint": F.concat(F.lit("f"), k)}), "Initial", at(1))
+    publish.start(spark, store, "src5", "lost", "Changed", at(2))
+    own = lambda s: rows.where(F.col("source") == s)
+    jobs = [Listed("src1", "f1", own("src1")), Listed("src3", "new3", own("src3"), "read3"), Listed("src4", "new4", own("src4").where("id % 4 = 0")), Listed("src5", "new5", own("src5")), Listed("src6", "new6"), Listed("src99", "new99")]
+    imports.refresh(spark, store, {j.id: j for j in jobs}, at(10))
+    return store
+
+
+@query("""WITH n AS (SELECT CAST(substr(source, 4) AS BIGINT) AS k, source, count(*) AS c FROM v_properties GROUP BY ALL)
+SELECT k + 1 AS run_id, source, 'f' || k AS fingerprint, 'Initial' AS reason, c AS record_count, 'completed' AS outcome, k NOT IN (3, 5) AS served FROM n
+UNION ALL SELECT 14, source, 'lost', 'Changed', NULL, 'interrupted', FALSE FROM n WHERE k = 5
+UNION ALL SELECT 15, source, 'read3', 'Changed', c, 'completed', TRUE FROM n WHERE k = 3
+UNION ALL SELECT 16, source, 'new4', 'Changed', NULL, 'refused', FALSE FROM n WHERE k = 4
+UNION ALL SELECT 17, source, 'new5', 'Retry', c, 'completed', TRUE FROM n WHERE k = 5""")
+def import_round(spark, sf_dir):
+    """Runs after a round: what each came to, its fingerprint and whether it is served."""
+    store = round_of_imports(spark, sf_dir)
+    served = publish.states(spark, store).select(F.col("served_run_id").alias("run_id"), F.lit(True).alias("served"))
+    outcome = F.when(F.col("error") == publish.INTERRUPTED, "interrupted").when(F.col("failed_at").isNotNull(), "refused").when(F.col("completed_at").isNotNull(), "completed")
+    return publish.runs(spark, store).join(served, "run_id", "left").select("run_id", "source", "fingerprint", "reason", "record_count", outcome.alias("outcome"), F.coalesce("served", F.lit(False)).alias("served"))
+
+
+@query("""WITH n AS (SELECT DISTINCT source, CAST(substr(source, 4) AS BIGINT) AS k FROM v_properties)
+SELECT source, TIMESTAMP '2024-01-01 00:00:00' + to_days(CASE WHEN k IN (1, 3, 5) THEN 9 ELSE 0 END) AS last_checked_at,
+  CASE WHEN k IN (3, 4, 5) THEN 'new' || k WHEN k = 1 THEN 'f1' END AS probe_fingerprint, CASE WHEN k = 6 THEN 'no answer' END AS last_probe_error, CASE WHEN k = 4 THEN 'latest import failed' END AS problem FROM n
+UNION ALL SELECT 'src99', NULL, NULL, 'no answer', 'no data and probe failing'""")
+def store_health(spark, sf_dir):
+    """Sources after a round: when their rows were last current, what their probes told, and the health report."""
+    store = round_of_imports(spark, sf_dir)
+    known = publish.known(spark, store).select("source", "last_checked_at", "probe_fingerprint", "last_probe_error")
+    return known.join(imports.health(spark, store).select("source", "problem"), "source", "left")
+
+
 @query("""SELECT source, count(*) AS previous, count(*) FILTER (id % 40 <> 0 OR source = 'src1') AS rows,
   count(*) FILTER (id % 40 <> 0 OR source = 'src1') >= count(*) * 0.98 AS passes FROM v_properties GROUP BY source""")
 def shrink_check(spark, sf_dir):

@@ -5,6 +5,7 @@ import datetime
 import datetime as dt
 import random
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,70 @@ def test_a_round_of_imports(spark):
     assert said(4) == {"b": ("Retry", "import")}
 
 
+def test_a_round_records_versions_probes_and_lost_runs(spark):
+    store = publish.Store(tempfile.mkdtemp(prefix="spark-"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+
+    class Reports(Job):
+        def rows(self, spark, fetched):
+            fetched.fingerprint = f"real-{self.print}"
+            return super().rows(spark, fetched)
+
+    jobs = {j.id: j for j in (Reports("a", "v1"), Job("b", "v1"), Job("c", broken="probe"))}
+    imports.refresh(spark, store, jobs, day(1))
+    lost = publish.start(spark, store, "b", "v2", "Changed", day(2))  # its job is lost
+    table_of(spark, "b", 9).withColumn("run_id", F.lit(lost.run_id)).write.mode("append").partitionBy("source", "run_id").parquet(store.served)
+    jobs["b"].print, jobs["a"].broken, jobs["a"].print = "v2", "probe", "v9"
+    got = {r["source"]: (r["label"], r["action"]) for r in imports.refresh(spark, store, jobs, day(3)).collect()}
+    assert got == {"b": ("Retry", "import")}
+    runs = {r["run_id"]: r for r in publish.runs(spark, store).collect()}
+    assert {r["source"]: r["fingerprint"] for k, r in runs.items() if r["completed_at"] == day(1)} == {"a": "real-v1", "b": "v1"}
+    assert runs[lost.run_id]["error"] == publish.INTERRUPTED and runs[lost.run_id]["fingerprint"] == "v2" and runs[lost.run_id]["failed_at"] == day(3)
+    assert not spark._jvm.java.io.File(f"{store.served}/source=b/run_id={lost.run_id}").exists()
+    known = {r["source"]: r for r in publish.known(spark, store).collect()}
+    assert (known["a"]["probe_fingerprint"], known["a"]["last_probe_error"], known["a"]["last_probe_at"]) == ("v1", "no answer", day(3))
+    assert known["b"]["last_probe_error"] is None and known["c"]["served_run_id"] is None
+    assert {(r["source"], r["problem"]) for r in imports.health(spark, store).collect()} == {("a", "skipped parts"), ("b", "skipped parts"), ("c", "no data and probe failing")}
+    assert publish.sweep(spark, store) == 1 and publish.sweep(spark, store) == 0  # the rows of b's first run
+
+
+def test_writers_that_were_overtaken_are_fenced_off(spark):
+    store = publish.Store(tempfile.mkdtemp(prefix="spark-"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda s: publish.start(spark, store, s, "f", "Initial", day(1)).run_id, "abcdefgh"))
+    assert sorted(ids) == list(range(1, 9))
+    old, new = (publish.start(spark, store, "x", f, "Initial", day(2)) for f in ("f1", "f2"))
+    publish.replace(spark, store, new, table_of(spark, "x", 5), day(3))
+    with pytest.raises(publish.Fenced):
+        publish.replace(spark, store, old, table_of(spark, "x", 50), day(4))
+    assert publish.served(spark, store).where("source = 'x'").count() == 5
+    first = publish.begin_round(spark, store, day(5), dt.timedelta(days=2))
+    with pytest.raises(publish.Busy):
+        publish.begin_round(spark, store, day(6), dt.timedelta(days=2))
+    slow = publish.start(spark, store, "y", "f", "Initial", day(5), first)
+    second = publish.begin_round(spark, store, day(8), dt.timedelta(days=2))
+    assert second == first + 1
+    for late in (lambda: publish.replace(spark, store, slow, table_of(spark, "y", 5), day(9)), lambda: publish.start(spark, store, "z", "f", "Initial", day(9), first), lambda: publish.confirm(spark, store, ["x"], day(9), first)):
+        with pytest.raises(publish.Fenced):
+            late()
+    assert publish.served(spark, store).where("source = 'y'").count() == 0
+    publish.end_round(spark, store, second)
+    publish.begin_round(spark, store, day(9), dt.timedelta(days=2))
+
+
+def test_a_snapshot_holds_all_commits(spark, monkeypatch):
+    store = publish.Store(tempfile.mkdtemp(prefix="spark-"))
+    monkeypatch.setattr(publish, "EACH", 4)
+    at = datetime.datetime(2024, 1, 1)
+    for k in range(11):
+        publish.record_probes(spark, store, [{"source": f"s{k}", "fingerprint": "f"}], at)
+    last, paths = publish.log_files(spark, store)
+    assert last == 11 and len(paths) == 4 and publish.known(spark, store).count() == 11
+    at_, fs = publish.files_at(spark, store.log)
+    assert len([s for s in fs.listStatus(at_)]) <= 9
+
+
 def shape(x, y, e):
     p = [(x, y), (x + e, y), (x + e, y + e), (x, y + e), (x, y)]
     return [[p]]

@@ -1,5 +1,8 @@
 """Files of the landed shapes, and streams against their batch twins."""
 
+import datetime as dt
+import glob
+import os
 import random
 import tempfile
 import zipfile
@@ -9,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flurstrom.functions import geo
+from flurstrom.operators import publish
 from flurstrom.plans import QUERIES, files
 from flurstrom.sources import delimited, documents, gml
 from flurstrom.streaming import usage
@@ -106,13 +110,70 @@ def test_daily_counters_stream_equals_batch(spark):
     e = events(spark)
     e.repartition(3).write.parquet(f"{top}/landed")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/landed")
-    usage.write_daily(stream, f"{top}/daily", f"{top}/cp", late="30 days").awaitTermination()
+    usage.write_daily(stream, f"{top}/daily", f"{top}/cp").awaitTermination()
     want = sorted(tuple(r) for r in usage.daily(e).collect())
     assert sorted(tuple(r) for r in spark.read.parquet(f"{top}/daily").select("day", *usage.KINDS).collect()) == want
     usage.ingest(spark, f"{top}/landed", e.schema, f"{top}/staged", f"{top}/cp2").awaitTermination()
     assert spark.read.parquet(f"{top}/staged").count() == e.count()
 
 
+def test_late_events_count_and_replays_change_nothing(spark, monkeypatch):
+    top = tempfile.mkdtemp(prefix="spark-")
+    e = events(spark)
+    old = e.limit(7).withColumns({"kind": F.lit("searches"), "ts": F.expr("ts - INTERVAL 3 DAYS")})
+    e.coalesce(1).write.mode("append").parquet(f"{top}/landed")
+    run = lambda: usage.write_daily(spark.readStream.schema(e.schema).parquet(f"{top}/landed"), f"{top}/daily", f"{top}/cp").awaitTermination()
+    got = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{top}/daily").select("day", *usage.KINDS).collect())
+    run()
+    assert got() == sorted(tuple(r) for r in usage.daily(e).collect())
+    old.coalesce(1).write.mode("append").parquet(f"{top}/landed")
+    run()
+    want = sorted(tuple(r) for r in usage.daily(e.unionByName(old)).collect())
+    assert got() == want
+    os.remove(f"{top}/cp/commits/1")  # as if the driver was lost before the last batch was committed
+    for crc in glob.glob(f"{top}/cp/commits/.1.crc"):
+        os.remove(crc)
+    run()
+    assert got() == want
+
+
+def test_a_staged_import_is_served_once_and_only_at_its_end(spark, monkeypatch):
+    top, day = tempfile.mkdtemp(prefix="spark-"), dt.datetime(2024, 1, 1)
+    e = events(spark).select("event_id", "user_id")
+    store = publish.Store(f"{top}/store")
+    publish.replace(spark, store, publish.start(spark, store, "u", "v0", "Initial", day), e.limit(10), day)
+    e.repartition(3).write.parquet(f"{top}/landed")
+    run = publish.start(spark, store, "u", "v1", "Changed", day)
+    with monkeypatch.context() as m:  # the driver is lost behind the stream's end
+        m.setattr(publish, "replace", lambda *a, **b: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            usage.staged_import(spark, store, run, f"{top}/landed", e.schema, day)
+    assert publish.served(spark, store).count() == 10
+    usage.staged_import(spark, store, run, f"{top}/landed", e.schema, day)
+    assert sorted(r["event_id"] for r in publish.served(spark, store).collect()) == sorted(r["event_id"] for r in e.collect())
+    assert not os.path.exists(f"{store.staging}/u-{run.run_id}")
+
+
+def test_admission_forgets_quiet_users(spark):
+    """Two users over several batches: the one that falls quiet has no state left; labels are those of the batch job."""
+    top = tempfile.mkdtemp(prefix="spark-")
+    base = dt.datetime(2024, 1, 1)
+    steps = [[(1, 7, 0), *((10 + k, 8, k) for k in range(30))], [(2, 8, 3 * 3600)], [(3, 8, 6 * 3600), (4, 8, 6 * 3600 + 1)]]
+    rows = []
+    seen = []
+    for step in steps:
+        own = [(k, u, base + dt.timedelta(seconds=s)) for k, u, s in step]
+        rows += own
+        spark.createDataFrame(own, "event_id long, user_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{top}/landed")
+        out = usage.admission_stream(spark.readStream.schema("event_id long, user_id long, ts timestamp_ntz").parquet(f"{top}/landed"))
+        out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/cp").trigger(availableNow=True).start().awaitTermination()
+        kept = spark.read.format("statestore").option("path", f"{top}/cp").option("stateVarName", "times").load()
+        seen.append({r["key"]["user_id"] for r in kept.collect()})
+    want = {r["event_id"]: r["admitted"] for r in usage.admission_labels(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")).collect()}
+    assert {r["event_id"]: r["admitted"] for r in spark.read.parquet(f"{top}/out").collect()} == want and sum(want.values()) == 24
+    assert seen[0] == {7, 8} and 7 not in seen[1]
+
+
 def test_admission_equals_a_loop_in_batch_and_stream(spark):
     odd = spark.createDataFrame([(9000, None, None), (9001, 3, None)], "event_id long, user_id long, ts timestamp_ntz")
     e = events(spark, 1500).withColumn("ts", F.timestamp_seconds(F.lit(1_704_000_000) + F.pmod(F.xxhash64("event_id"), F.lit(900))).cast("timestamp_ntz"))
