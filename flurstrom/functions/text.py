@@ -29,25 +29,36 @@ def before(c: Column, rest: Column) -> Column:
     return F.substr(c, F.lit(1), F.char_length(c) - F.char_length(rest) - 1)
 
 
+def lead(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+", "")
+
+
+def tail(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+$", "")
+
+
 def place_name(c: Column) -> Column:
     """A municipality without the second-language name in brackets behind it, the title behind its last comma, and one title before it."""
 
     def without_brackets(name: Column) -> Column:
-        # what the last pair of brackets holds
-        inner = F.substring_index(F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - 1)), "]", -1)
-        held = let(inner, lambda h: F.char_length(h) - F.instr(h, "["))
-        return F.when(name.endswith("]") & F.contains(name, F.lit("[")), F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - held - 2))).otherwise(name)
+        # what stands between the last closing bracket and the one before it, or the name's begin
+        def of(inner: Column) -> Column:
+            held = F.char_length(inner) - F.instr(inner, "[")  # behind the first opening bracket
+            cut = tail(F.substr(name, F.lit(1), F.char_length(name) - held - 2))
+            return F.when(name.endswith("]") & F.contains(inner, F.lit("[")), cut).otherwise(name)
+
+        return let(F.substring_index(F.substr(name, F.lit(1), F.char_length(name) - 1), "]", -1), of)
 
     def without_end(name: Column) -> Column:
         def of(last: Column) -> Column:
             ends = F.exists(F.array(*map(F.lit, TITLE_ENDS)), lambda noun: F.endswith(F.lower(last), noun))
-            plain = F.regexp_replace(last, r"[^\p{L}\s.\-]", "") == last
+            plain = let(lead(last), lambda words: F.regexp_replace(words, r"[^\p{L}. \-]", "") == words)
             return F.when(F.contains(name, F.lit(",")) & ends & plain, before(name, last)).otherwise(name)
 
         return let(F.substring_index(name, ",", -1), of)
 
     def without_title(name: Column) -> Column:
-        return let(F.substring_index(F.regexp_replace(name, r"(?U)\s", " "), " ", 1), lambda first: F.when(first.isin(*TITLES) & (first != name), F.ltrim(F.substr(name, F.char_length(first) + 1))).otherwise(name))
+        return let(F.substring_index(F.regexp_replace(name, r"(?U)\s", " "), " ", 1), lambda first: F.when(first.isin(*TITLES) & (first != name), lead(F.substr(name, F.char_length(first) + 1))).otherwise(name))
 
     return F.nullif(let(let(let(trimmed(c), without_brackets), without_end), without_title), F.lit(""))
 
@@ -84,18 +95,24 @@ def address_key(gemeinde: Column, street: Column, number: Column, suffix: Column
     return F.concat_ws("\x1f", key_part(gemeinde, True), street_key(street), key_part(number, False), key_part(suffix, False))
 
 
+#: What stands before the digits of a CRS name.
+AUTHORITIES = ("EPSG::", "EPSG:", "EPSG/0/", "EPSG/")
+DIGITS = "0123456789"
+
+
 def epsg(c: Column) -> Column:
     """Code of a CRS name in its urn, URL, short or state-survey form; NULL where it is none."""
-    name = F.upper(trimmed(c))
-    parts = F.split(name, "[:/]")
-    at = lambda k: F.try_element_at(parts, F.lit(k))
-    # the authority, then at most an empty or zero version, then digits
-    named = (at(-2) == "EPSG") | (at(-2).isin("", "0") & (at(-3) == "EPSG"))
-    digits = F.when(F.translate(at(-1), "0123456789", "") == "", F.nullif(at(-1), F.lit("")))
-    code = F.when(named, F.try_to_number(digits, F.lit("9999999999")).cast("int"))
-    survey = F.element_at(F.split(name, "ETRS89_UTM"), -1)
-    zone = F.when(F.contains(name, F.lit("ETRS89_UTM")) & F.translate(F.substr(survey, F.lit(3), F.lit(1)), "0123456789", "").eqNullSafe(F.substr(survey, F.lit(3), F.lit(1))), F.substr(survey, F.lit(1), F.lit(2)))
-    return F.coalesce(code, F.when(zone.isin("31", "32", "33"), zone.cast("int") + 25800))
+
+    def of(name: Column) -> Column:
+        ahead = F.rtrim(name, F.lit(DIGITS))
+        digits = F.nullif(F.substr(name, F.char_length(ahead) + 1), F.lit(""))
+        told = F.exists(F.array(*map(F.lit, AUTHORITIES)), lambda a: F.endswith(ahead, a))
+        code = F.when(told, F.try_to_number(digits, F.lit("9999999999")).try_cast("int"))
+        # the first survey name of zone 31 to 33 that no digit follows
+        zones = F.filter(F.slice(F.split(name, "ETRS89_UTM"), 2, 1_000_000), lambda p: F.left(p, F.lit(2)).isin("31", "32", "33") & ~F.contains(F.lit(DIGITS), F.nullif(F.substr(p, F.lit(3), F.lit(1)), F.lit(""))).eqNullSafe(True))
+        return F.coalesce(code, F.left(F.get(zones, F.lit(0)), F.lit(2)).cast("int") + 25800)
+
+    return let(F.upper(trimmed(c)), of)
 
 
 def joined(sep: str, *parts: Column) -> Column:
@@ -178,19 +195,68 @@ def state_name(source: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lower(source)), source)
 
 
-#: A house number, with one letter perhaps.
-HOUSE = "[0-9]+( ?[A-Za-z])?"
-#: The longest list of house numbers in which a part ends, behind white space.
-HOUSES = rf"(?<=\s){HOUSE}(\s*,\s*{HOUSE})*$"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ADDRESS = "struct<str:string,hnr:string,hnr_zus:string>"
 
 
 def text_parts(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), ";"), trimmed)
 
 
-def street_of(part: Column, numbers: Column) -> Column:
-    """What stands before the list of numbers."""
-    return F.regexp_replace(F.substr(part, F.lit(1), F.char_length(part) - F.char_length(numbers)), r"(?U)\s+$", "")
+def without_letter(token: Column, use) -> Column:
+    """use(what stands before the letter at a token's end and one space before that, the letter or NULL), the token being computed once."""
+
+    def of(token: Column, last: Column) -> Column:
+        lettered = (last != "") & (F.translate(F.lower(last), LETTERS, "") == "")
+        cut = F.left(token, F.char_length(token) - 1)
+        body = F.when(lettered, F.when(cut.endswith(" "), F.left(cut, F.char_length(cut) - 1)).otherwise(cut)).otherwise(token)
+        return let(body, lambda b: use(b, F.when(lettered, last)))
+
+    return let(token, lambda t: let(F.right(t, F.lit(1)), lambda last: of(t, last)))
+
+
+def house(token: Column) -> Column:
+    """hnr and hnr_zus of a token that is a house number: digits, then a letter perhaps, with a space before it perhaps. Else NULL."""
+    return without_letter(token, lambda body, letter: F.when((body != "") & (F.translate(body, DIGITS, "") == ""), F.struct(body.alias("hnr"), letter.alias("hnr_zus"))))
+
+
+def street_and_house(piece: Column) -> Column:
+    """str, hnr and hnr_zus of a piece that ends in a house number behind white space and a street. Else NULL."""
+
+    def of(body: Column, letter: Column) -> Column:
+        def apart(ahead: Column) -> Column:
+            digits = F.substr(body, F.char_length(ahead) + 1)
+            return let(tail(ahead), lambda street: F.when((digits != "") & (street != "") & (street != ahead), F.struct(street.alias("str"), digits.alias("hnr"), letter.alias("hnr_zus"))))
+
+        return let(F.rtrim(body, F.lit(DIGITS)), apart)
+
+    return without_letter(tail(piece), of)
+
+
+def read_part(part: Column) -> Column:
+    """array of the addresses of one part, NULL if it ends in no list of house numbers behind a street.
+
+    Pieces between commas are read from the right: those that are house numbers, and the one before
+    them if it ends in one; the street is what stands before."""
+
+    def of(pieces: Column) -> Column:
+        return let(F.transform(pieces, lambda p: house(trimmed(p))), lambda alone: whole(pieces, alone))
+
+    def whole(pieces: Column, alone: Column) -> Column:
+        last = F.array_max(F.transform(alone, lambda h, i: F.when(h.isNull(), i + 1).otherwise(0)))  # the last piece that is no house number
+        return let(last, lambda k: let(F.when(k > 0, street_and_house(F.get(pieces, k - 1))), lambda end: listed(pieces, alone, k, end)))
+
+    def listed(pieces: Column, alone: Column, k: Column, end: Column) -> Column:
+        # without a number in that piece, the first house number behind a comma and white space begins the list
+        begins = F.array_min(F.transform(pieces, lambda p, i: F.when((i >= k) & (lead(p) != p), i + 1)))
+        joined_ = lambda n: F.array_join(F.slice(pieces, 1, n), ",")
+        with_end = F.concat(F.array(F.struct(F.concat(F.when(k > 1, F.concat(joined_(F.greatest(k - 1, F.lit(0))), F.lit(","))).otherwise(F.lit("")), end["str"]).alias("str"), end["hnr"].alias("hnr"), end["hnr_zus"].alias("hnr_zus"))), F.transform(F.slice(alone, k + 1, F.size(alone)), lambda h: F.struct(F.lit(None).cast("string").alias("str"), h["hnr"].alias("hnr"), h["hnr_zus"].alias("hnr_zus"))))
+        behind = let(begins, lambda b: F.when(b > 1, F.transform(F.slice(alone, b, F.size(alone)), lambda h: F.struct(F.concat(joined_(b - 1), F.lit(",")).alias("str"), h["hnr"].alias("hnr"), h["hnr_zus"].alias("hnr_zus")))))
+        first = F.when(end.isNotNull(), with_end).otherwise(behind)
+        # one street for all
+        return let(first, lambda all_: F.transform(all_, lambda x: F.struct(F.get(all_, F.lit(0))["str"].alias("str"), x["hnr"].alias("hnr"), x["hnr_zus"].alias("hnr_zus"))))
+
+    return let(F.split(part, ","), of)
 
 
 def addresses_in(text: Column) -> Column:
@@ -198,20 +264,13 @@ def addresses_in(text: Column) -> Column:
 
     A part names a street with two letters at least, then its house numbers up to the part's end."""
 
-    def of(part: Column) -> Column:
-        numbers = F.regexp_extract(part, HOUSES, 0)
-        street = street_of(part, numbers)
-        letters = F.char_length(F.regexp_replace(street, r"[^\p{L}]", ""))
-
-        def one(n: Column) -> Column:
-            digits = F.regexp_extract(n, "[0-9]+", 0)
-            return F.struct(street.alias("str"), digits.alias("hnr"), F.nullif(F.trim(F.substr(F.trim(n), F.char_length(digits) + 1)), F.lit("")).alias("hnr_zus"))
-
-        return F.when((numbers != "") & (letters >= 2), F.transform(F.transform(F.split(numbers, ","), trimmed), one)).otherwise(F.array().cast("array<struct<str:string,hnr:string,hnr_zus:string>>"))
+    def named(read: Column) -> Column:
+        letters = F.char_length(F.regexp_replace(F.get(read, F.lit(0))["str"], r"[^\p{L}]", ""))
+        return F.when(read.isNotNull() & (letters >= 2), read).otherwise(F.array().cast(f"array<{ADDRESS}>"))
 
-    return F.array_distinct(F.flatten(F.transform(text_parts(text), of)))
+    return F.array_distinct(F.flatten(F.transform(text_parts(text), lambda p: let(read_part(p), named))))
 
 
 def unread_parts(text: Column) -> Column:
     """How many parts hold a digit but end in no list of house numbers behind a street."""
-    return F.size(F.filter(text_parts(text), lambda p: (F.regexp_extract(p, HOUSES, 0) == "") & p.rlike("[0-9]")))
+    return F.size(F.filter(text_parts(text), lambda p: p.rlike("[0-9]") & read_part(p).isNull()))

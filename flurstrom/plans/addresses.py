@@ -74,16 +74,25 @@ def vague_rows(spark, sf_dir):
 
 VAGUE = """(SELECT id, gemeinde, str, hnr, CASE WHEN id % 3 = 0 THEN 'uneindeutig' WHEN id % 7 = 0 THEN 'zz' ELSE hnr_zus END AS hnr_zus,
   CASE WHEN id % 2 = 0 THEN str || ' ' || hnr ELSE t.lagebez END AS lagebez FROM v_properties p JOIN v_parcel_texts t ON t.parcel_id = p.id)"""
-PART = r"'^(\S.*?)\s+(\d+ ?[A-Za-z]?(?:\s*,\s*\d+ ?[A-Za-z]?)*)$'"
+#: Of a trimmed token: whether its last character is a letter, and what stands before that and one space.
+LETTER = "(right({t}, 1) <> '' AND translate(lower(right({t}, 1)), 'abcdefghijklmnopqrstuvwxyz', '') = '')"
+BODY = f"(CASE WHEN {LETTER} THEN CASE WHEN suffix({{t}}[:-2], ' ') THEN {{t}}[:-3] ELSE {{t}}[:-2] END ELSE {{t}} END)"
+SUFFIX = f"(CASE WHEN {LETTER} THEN right({{t}}, 1) END)"
 
 
 def exploded_sql(rows: str, key: str) -> str:
-    """Addresses of the texts in a relation, each once, numbered in order."""
-    token = "string_split(numbers, ',')[k]"
-    return f"""(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY part_no, k) - 1 AS pos FROM (SELECT * FROM
-    (SELECT *, regexp_extract({token}, '(\\d+)', 1) AS nr, nullif(regexp_extract({token}, '\\d+ ?([A-Za-z])', 1), '') AS suffix FROM (SELECT *, unnest(range(1, len(string_split(numbers, ',')) + 1)) AS k FROM
-    (SELECT r.*, p.part_no, regexp_extract(p.part, {PART}, 1) AS street, regexp_extract(p.part, {PART}, 2) AS numbers FROM {rows} r, LATERAL (SELECT unnest(list_transform(string_split(r.lagebez, ';'), lambda x: trim(x))) AS part, generate_subscripts(string_split(r.lagebez, ';'), 1) AS part_no) p WHERE r.lagebez IS NOT NULL) q
-    WHERE street <> '' AND length(regexp_replace(street, '[^\\p{{L}}]', '', 'g')) >= 2) z) y
+    """Addresses of the texts in a relation, each once, numbered in order; parts are read at commas, from the right."""
+    body, letter = BODY.format(t="trim(c)"), SUFFIX.format(t="trim(c)")
+    pure = f"({body} <> '' AND translate({body}, '0123456789', '') = '')"
+    parts = f"(SELECT r.*, p.part_no, p.part, string_split(p.part, ',') AS cs FROM {rows} r, LATERAL (SELECT unnest(list_transform(string_split(r.lagebez, ';'), lambda x: trim(x))) AS part, generate_subscripts(string_split(r.lagebez, ';'), 1) AS part_no) p WHERE r.lagebez IS NOT NULL)"
+    # the last piece that is no number alone, and what it is without the number at its end
+    pieces = f"(SELECT *, coalesce(list_max(list_transform(cs, lambda c, i: CASE WHEN {pure} THEN 0 ELSE i END)), 0) AS last FROM {parts} a)"
+    last_body = BODY.format(t="rtrim(cs[last])")
+    ends = f"(SELECT *, rtrim({last_body}, '0123456789') AS ahead, {last_body} AS b, {SUFFIX.format(t='rtrim(cs[last])')} AS z FROM {pieces} e WHERE last > 0)"
+    read = f"(SELECT * EXCLUDE (ahead, b, z), CASE WHEN last > 1 THEN array_to_string(cs[: last - 1], ',') || ',' ELSE '' END || rtrim(ahead) AS street, b[len(ahead) + 1 :] AS first_nr, z AS first_z FROM {ends} f WHERE b <> ahead AND rtrim(ahead) <> ahead AND rtrim(ahead) <> '')"
+    houses = f"list_concat([struct_pack(nr := first_nr, suffix := first_z)], list_transform(cs[last + 1 :], lambda c: struct_pack(nr := {body}, suffix := {letter})))"
+    each = f"(SELECT * EXCLUDE (h), h.nr AS nr, h.suffix AS suffix FROM (SELECT *, unnest(hs) AS h, generate_subscripts(hs, 1) AS k FROM (SELECT *, {houses} AS hs FROM {read} g) i WHERE length(regexp_replace(street, '[^\\p{{L}}]', '', 'g')) >= 2) j)"
+    return f"""(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY part_no, k) - 1 AS pos FROM (SELECT * FROM {each} y
     QUALIFY row_number() OVER (PARTITION BY {key}, street, nr, suffix ORDER BY part_no, k) = 1) w)"""
 
 
@@ -92,7 +101,12 @@ def explode_addresses(spark, sf_dir):
     return geocode.exploded(view(spark, sf_dir, "v_parcel_texts")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"SELECT count(*) AS unread FROM (SELECT unnest(list_transform(string_split(lagebez, ';'), lambda x: trim(x))) AS part FROM v_parcel_texts WHERE lagebez IS NOT NULL) t WHERE NOT regexp_matches(part, {PART}) AND regexp_matches(part, '[0-9]')")
+#: Whether a part ends in a number behind white space (none of these texts has a street of digits and commas alone).
+ENDING = BODY.format(t="string_split(part, ',')[-1]")
+READS = f"({ENDING} <> rtrim({ENDING}, '0123456789') AND rtrim(rtrim({ENDING}, '0123456789')) <> rtrim({ENDING}, '0123456789') OR trim({ENDING}) <> '' AND translate(trim({ENDING}), '0123456789', '') = '' AND contains(part, ','))"
+
+
+@query(f"SELECT count(*) AS unread FROM (SELECT unnest(list_transform(string_split(lagebez, ';'), lambda x: trim(x))) AS part FROM v_parcel_texts WHERE lagebez IS NOT NULL) t WHERE translate(part, '0123456789', '') <> part AND NOT {READS}")
 def unread_parts(spark, sf_dir):
     return geocode.unread(view(spark, sf_dir, "v_parcel_texts"))
 

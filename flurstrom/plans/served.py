@@ -57,6 +57,27 @@ def normalize_places(spark, sf_dir):
     return search.normalized(properties(spark, sf_dir)).select("id", "gemeinde")
 
 
+BARE = "replace(gemeinde, ', Stadt', '')"
+ODD = f"""CASE id % 6 WHEN 0 THEN 'Stadt' || chr(160) || {BARE} WHEN 1 THEN chr(160) || 'Gemeinde' || chr(9) || {BARE} || ' ' WHEN 2 THEN {BARE} || chr(160) || '[x y]'
+  WHEN 3 THEN {BARE} || ',' || chr(160) || 'Bad' WHEN 4 THEN {BARE} || ' [a] b]' ELSE chr(9) || {BARE} || ' [ü ]' END"""
+
+
+@query(f"SELECT id, CASE id % 6 WHEN 4 THEN {BARE} || ' [a] b]' ELSE {BARE} END AS gemeinde FROM v_properties")
+def odd_place_names(spark, sf_dir):
+    """Names with white space of all kinds and brackets that don't pair."""
+    return properties(spark, sf_dir).select("id", text.place_name(F.expr(ODD)).alias("gemeinde"))
+
+
+CRS = """CASE id % 8 WHEN 0 THEN 'EPSG:0:25832' WHEN 1 THEN 'x-EPSG:' || CAST(25831 + id % 3 AS STRING) WHEN 2 THEN 'EPSG//25832' WHEN 3 THEN 'epsg::' || CAST(25831 + id % 3 AS STRING)
+  WHEN 4 THEN chr(160) || 'EPSG/0/25833' WHEN 5 THEN 'ETRS89_UTM331,ETRS89_UTM32*DE' WHEN 6 THEN 'EPSG:::25832' ELSE 'EPSG/25831 ' END"""
+
+
+@query("SELECT id, CAST(CASE id % 8 WHEN 1 THEN 25831 + id % 3 WHEN 3 THEN 25831 + id % 3 WHEN 4 THEN 25833 WHEN 5 THEN 25832 WHEN 7 THEN 25831 END AS INTEGER) AS epsg FROM v_properties")
+def odd_crs_names(spark, sf_dir):
+    """CRS names in forms near those that are told."""
+    return properties(spark, sf_dir).select("id", text.epsg(F.expr(CRS)).alias("epsg"))
+
+
 @query("SELECT id, nullif(trim(CASE id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || str || '  ' ELSE str END), '') AS str FROM v_properties")
 def normalize_streets(spark, sf_dir):
     said = F.expr("CASE id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || str || '  ' ELSE str END")

@@ -1,6 +1,7 @@
 """Column functions on small tables of cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,49 @@ def test_parcel_texts(spark, said, addresses, unread):
     assert [tuple(x) for x in r["a"]] == addresses and r["u"] == unread
 
 
+def read_plainly(said):
+    """Addresses and unread parts, by trying every white space of a part as the end of its street."""
+
+    def number(token):
+        digits = token.rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") if len(token) > 1 and not token[-2:].isalpha() else token
+        gone = token[len(digits) :]
+        digits = digits[:-1] if gone and digits.endswith(" ") else digits
+        return (digits, gone or None) if digits and all(c in "0123456789" for c in digits) else None
+
+    out, unread = [], 0
+    for part in map(str.strip, (said or "").split(";")):
+        found = None
+        for at in range(1, len(part)):
+            if part[at - 1].isspace() and not part[at].isspace():
+                numbers = [number(t.strip()) for t in part[at:].split(",")]
+                if all(numbers) and part[:at].strip():
+                    found = part[:at].rstrip(), numbers
+                    break
+        if found is None:
+            unread += any(c in "0123456789" for c in part)
+        elif sum(c.isalpha() for c in found[0]) >= 2:
+            out += [(found[0], *n) for n in found[1] if (found[0], *n) not in out]
+    return out, unread
+
+
+def test_parcel_texts_read_as_a_plain_reader_does(spark):
+    rng = random.Random(8)
+    said = ["".join(rng.choices(["Weg", "Am", "L", "3", "17", "5", "a", "B", " ", " ", " ", ",", ",", ";", "\u00a0", ".", "St1"], k=rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(said)), "k int, v string").repartition(8)
+    for r in df.select("v", text.addresses_in(F.col("v")).alias("a"), text.unread_parts(F.col("v")).alias("u")).collect():
+        assert ([tuple(x) for x in r["a"]], r["u"]) == read_plainly(r["v"]), r["v"]
+
+
+def test_place_names_with_odd_space_and_brackets(spark):
+    cases = {"Stadt\u00a0Pirna": "Pirna", "Stadt\tPirna": "Pirna", "\u00a0Stadt \u2003Pirna ": "Pirna", "A\u00a0[b]": "A", "A [b ]": "A", "a [b] c]": "a [b] c]", "a [b [c]": "a", "Kiel,\u00a0Stadt": "Kiel", "Kiel, Alt\u00a0Stadt": "Kiel, Alt\u00a0Stadt", "Stadt , Stadt": None, "[x]": None, "Kiel , Stadt": "Kiel "}
+    assert apply(spark, cases, text.place_name) == list(cases.values())
+
+
+def test_odd_crs_names(spark):
+    cases = {"EPSG:0:25832": None, "EPSG//25832": None, "x-EPSG:25832": 25832, "EPSG/0/25832": 25832, "epsg::25833 ": 25833, "EPSG:::25832": None, "EPSG/25831": 25831, "EPSG:99999999999": None, "ETRS89_UTM331 ETRS89_UTM32": 25832, "a ETRS89_UTM31,ETRS89_UTM33": 25831, "EPSG:25832:": None}
+    assert apply(spark, cases, text.epsg) == list(cases.values())
+
+
 def test_lines_and_links(spark):
     df = spark.createDataFrame([("Kölner Str.", "17", "uneindeutig", "50823", "Köln", "Köln", "nrw", 50.5, 7.25), (None, None, None, None, None, "X", "sh", None, None)], "s string, n string, z string, p string, o string, g string, q string, a double, b double")
     c = {k: F.col(k) for k in df.columns}
