@@ -33,17 +33,30 @@ def edges(geometry: Column) -> Column:
     return F.flatten(F.transform(F.flatten(geometry), of))
 
 
+def level_with(e: Column, y: Column) -> Column:
+    return (e["y1"] > y) != (e["y2"] > y)
+
+
+def meets(e: Column, y: Column) -> Column:
+    """Where an edge meets the level line of y."""
+    return F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+
+
+def on_edge(e: Column, x: Column, y: Column) -> Column:
+    flat = (e["x2"] - e["x1"]) * (y - e["y1"]) == (x - e["x1"]) * (e["y2"] - e["y1"])
+    return flat & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
+
 def contains(edge: Column, x: Column, y: Column) -> Column:
     """Whether the point lies inside, not on an edge: an odd number of edges to its right."""
+    right = F.filter(edge, lambda e: level_with(e, y) & (x < meets(e, y)))
+    return (F.size(right) % 2 == 1) & ~F.exists(edge, lambda e: on_edge(e, x, y))
 
-    def crossed(e: Column) -> Column:
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"])
-
-    def on(e: Column) -> Column:
-        flat = (e["x2"] - e["x1"]) * (y - e["y1"]) == (x - e["x1"]) * (e["y2"] - e["y1"])
-        return flat & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-    return (F.size(F.filter(edge, crossed)) % 2 == 1) & ~F.exists(edge, on)
+def right_of(edge: Column, inside: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies inside, not on an edge, given some edges and whether what lies left of them is inside."""
+    left = F.filter(edge, lambda e: level_with(e, y) & ~(x < meets(e, y)))
+    return ((F.size(left) + inside.cast("int")) % 2 == 1) & ~F.exists(edge, lambda e: on_edge(e, x, y))
 
 
 def ring_area(ring: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -36,6 +38,38 @@ def point_in_polygon(spark, sf_dir):
     return spatial.containing(points(spark, sf_dir), parcels(spark, sf_dir), "address_id", "parcel_id", CELL, ("area_m2",))
 
 
+@query(f"SELECT * FROM {PIP}")
+def dealt_point_in_polygon(spark, sf_dir):
+    """The same with points dealt by a quadtree, so that crowded places are many cells."""
+    own = points(spark, sf_dir)
+    return spatial.containing(own, parcels(spark, sf_dir), "address_id", "parcel_id", 1.0, ("area_m2",), limit=2000, levels=12)
+
+
+def round_areas(spark, sf_dir):
+    """Areas as rings of 400 edges about the middle of each parcel, with a hole of 100 and with their tips on two circles by turns."""
+    v = view(spark, sf_dir, "v_parcels").where("edge > 0")
+    mid = lambda a: F.col(f"min_{a}") + F.col("edge") / 2
+    tip = lambda k, n, r: F.struct((mid("x") + r * F.cos(k * (2 * math.pi / n))).alias("x"), (mid("y") + r * F.sin(k * (2 * math.pi / n))).alias("y"))
+    ring = lambda n, r: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: tip(k % n, n, F.col("edge") * r(k)))
+    return v.withColumn("geometry", F.array(F.array(ring(400, lambda k: F.when(k % 2 == 0, 0.5).otherwise(0.45)), ring(100, lambda k: F.lit(0.125)))))
+
+
+TURN = "2 * pi() / 400"
+#: A point is inside the ring if it is on the inner side of the edge over its angle, and outside the hole alike.
+ROUND = f"""(SELECT address_id, parcel_id, edge FROM (SELECT p.address_id, s.parcel_id, s.edge, (p.x - (s.min_x + s.edge / 2)) / s.edge AS u, (p.y - (s.min_y + s.edge / 2)) / s.edge AS v FROM v_points p JOIN v_parcels s
+    ON p.x BETWEEN s.min_x AND s.min_x + s.edge AND p.y BETWEEN s.min_y AND s.min_y + s.edge) d,
+  LATERAL (SELECT CAST(floor((CASE WHEN atan2(v, u) < 0 THEN atan2(v, u) + 2 * pi() ELSE atan2(v, u) END) / ({TURN})) AS INT) AS k, CAST(floor((CASE WHEN atan2(v, u) < 0 THEN atan2(v, u) + 2 * pi() ELSE atan2(v, u) END) / (2 * pi() / 100)) AS INT) AS h) a,
+  LATERAL (SELECT CASE k % 2 WHEN 0 THEN 0.5 ELSE 0.45 END AS r1, CASE k % 2 WHEN 0 THEN 0.45 ELSE 0.5 END AS r2) b
+  WHERE (r2 * cos((k + 1) * {TURN}) - r1 * cos(k * {TURN})) * (v - r1 * sin(k * {TURN})) - (r2 * sin((k + 1) * {TURN}) - r1 * sin(k * {TURN})) * (u - r1 * cos(k * {TURN})) > 1e-12
+    AND (cos((h + 1) * 4 * {TURN}) - cos(h * 4 * {TURN})) * (v - 0.125 * sin(h * 4 * {TURN})) - (sin((h + 1) * 4 * {TURN}) - sin(h * 4 * {TURN})) * (u - 0.125 * cos(h * 4 * {TURN})) < -1e-12)"""
+
+
+@query(f"SELECT address_id, parcel_id FROM {ROUND} r QUALIFY row_number() OVER (PARTITION BY address_id ORDER BY edge, parcel_id) = 1")
+def point_in_round_area(spark, sf_dir):
+    """Shapes of many edges, prepared."""
+    return spatial.containing(points(spark, sf_dir), round_areas(spark, sf_dir), "address_id", "parcel_id", CELL)
+
+
 @query(f"SELECT p.address_id, a.area_plz AS plz FROM v_points p LEFT JOIN {AREA} a USING (address_id)")
 def postcode_lookup(spark, sf_dir):
     own = points(spark, sf_dir)

@@ -3,6 +3,7 @@
 import dataclasses
 import datetime
 import datetime as dt
+import math
 import random
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
@@ -231,6 +232,57 @@ def test_smallest_container_wins_and_edges_are_outside(spark):
     assert got == {1: 2, 2: 1, 4: 1}
 
 
+def star(rng, n, x, y, r):
+    """A closed ring of n vertices about a middle, at angles in order and at distances of any kind."""
+    p = [(x + math.cos(2 * math.pi * k / n) * d, y + math.sin(2 * math.pi * k / n) * d) for k in range(n) for d in [rng.choice([r, r * rng.uniform(0.6, 1), r * 0.75])]]
+    return [*p, p[0]]
+
+
+def test_prepared_shapes_hold_what_a_test_of_all_edges_finds(spark):
+    rng = random.Random(6)
+    teeth = [(float(k // 2 if k % 2 else (k + 1) // 2) / 4, 30.0 if k % 4 in (1, 2) else 31.0 + (k % 7)) for k in range(400)]
+    comb = [(0.0, 20.0), *teeth, (50.0, 20.0), (0.0, 20.0)]
+    stairs = [p for k in range(60) for p in ((k * 0.5, k * 0.5), (k * 0.5 + 0.5, k * 0.5))] + [(30.0, 0.0), (0.0, 0.0)]
+    shapes = [(1, [[star(rng, 900, 50.0, 50.0, 40.0), star(rng, 300, 50.0, 50.0, 12.0)], [star(rng, 200, 5.0, 90.0, 4.0)]]), (2, [[comb]]), (3, [[stairs]]), (4, shape(10.0, 10.0, 60.0)), (5, [[[(80.0, 80.0), *((80.0 + k / 20, 81.0) for k in range(100)), (85.0, 80.0), (80.0, 80.0)]]]), (6, [[comb]])]
+    df = spark.createDataFrame(shapes, f"id int, geometry {geo.GEOMETRY}").repartition(3)
+    at = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(1200)] + [(float(rng.randrange(0, 200)) / 4, float(rng.randrange(0, 160)) / 4) for _ in range(800)] + [v for _, g in shapes for part in g for r in part for v in rng.sample(r, min(len(r), 30))]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "p int, x double, y double")
+    e = df.select("id", geo.edges(F.col("geometry")).alias("e"), geo.area(F.col("geometry")).alias("s"))
+    met = points.crossJoin(e).where(geo.contains(F.col("e"), F.col("x"), F.col("y"))).groupBy("p").agg(F.min(F.struct("s", "id")).alias("b"))
+    want = {r["p"]: r["b"]["id"] for r in met.collect()}
+    assert len(set(want.values())) == 5
+    for limit in (None, 100):
+        got = {r["p"]: r["id"] for r in spatial.containing(points, df, "p", "id", 10.0, limit=limit).collect()}
+        assert got == want, limit
+
+
+def test_a_shape_of_many_edges_costs_a_point_few(spark):
+    n = 100_000
+    circle = spark.range(1).select(F.lit(1).alias("id"), F.array(F.array(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.struct((F.cos(k % n * (2 * math.pi / n)) * 1000).alias("x"), (F.sin(k % n * (2 * math.pi / n)) * 1000).alias("y"))))).alias("geometry"))
+    own = spatial.stripped(spatial.with_edges(circle))
+    found = spatial.pieces(own).select("strip", "bucket", F.coalesce(F.size("some"), F.lit(0)).alias("edges")).groupBy("strip", "bucket").agg(F.sum("edges").alias("edges"), F.count("*").alias("n"))
+    most = found.agg(F.max("edges"), F.max("n"), F.sum("edges")).first()
+    assert most[0] < 1500 and most[1] < 20 and most[2] < 3 * n
+    points = spark.createDataFrame([(k, math.cos(k) * k * 4, math.sin(k) * k * 4) for k in range(400)], "id long, x double, y double")
+    got = {r["id"] for r in spatial.containing(points, circle.withColumnRenamed("id", "shape"), "id", "shape", 100.0).collect()}
+    assert got == {k for k in range(400) if k * 4 < 1000}
+
+
+def test_a_crowded_city_is_many_cells_and_one_place_an_error(spark):
+    rng = random.Random(2)
+    at = [(k, 5000 + rng.gauss(0, 20), 5000 + rng.gauss(0, 20)) for k in range(4000)] + [(10_000 + k, rng.uniform(0, 10_000), rng.uniform(0, 10_000)) for k in range(200)]
+    points = spark.createDataFrame(at, "p int, x double, y double")
+    shapes = spark.createDataFrame([(k, shape(k % 10 * 1000.0, k // 10 * 1000.0, 1000.0)) for k in range(100)], f"id int, geometry {geo.GEOMETRY}")
+    met = spatial.dealt(points, spatial.stripped(spatial.with_edges(shapes)), "p", 1.0, 50, 14)
+    cells = spatial.quadtree(points, "p", 2.0**14, 50, 14, strict=True).groupBy("level", "cx", "cy").count().agg(F.max("count"), F.count("*")).first()
+    assert met.select("p").distinct().count() == len(at) and cells[0] < 50 and cells[1] > 80
+    got = {r["p"]: r["id"] for r in spatial.containing(points, shapes, "p", "id", 1.0, limit=50, levels=14).collect()}
+    assert got == {p: int(x // 1000) + 10 * int(y // 1000) for p, x, y in at}
+    same = spark.createDataFrame([(k, 3.5, 3.5) for k in range(60)], "p int, x double, y double")
+    with pytest.raises(Exception, match="holds 50 points or more"):
+        spatial.containing(same, shapes, "p", "id", 1.0, limit=50, levels=14).collect()
+
+
 def test_points_of_a_key_are_clustered_in_order(spark):
     rows = [("k", 1, 0.0, 0.0), ("k", 2, 0.5, 0.4), ("k", 3, 2.0, 0.0), ("k", 4, 1.2, 0.0), ("u", 1, 5.0, 5.0)]
     df = spark.createDataFrame(rows, "key string, ord int, a float, b float")
