@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .storage import landing
+from .storage import discard, stored
 
-#: Points of a key that are folded in one row; keys of more are settled by joins.
-MANY = 1000
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage there."""
-    path = landing(df.sparkSession, "points")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Points of a key that are folded in one row; keys of more are settled by tiles of so many points.
+MANY, TILE = 1000, 20_000
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -36,30 +31,80 @@ def few_kept(points: DataFrame, near: float) -> DataFrame:
     return ordered.select("key", F.inline(F.aggregate("all", F.slice("all", 1, 0), keep)))
 
 
-def many_kept(points: DataFrame, near: float) -> DataFrame:
-    """The same by rounds of joins on key and grid cell, which need no group in one task.
-
-    A point that comes before all that are left in its cell and those around it is kept,
-    as no other can drop it, and drops those near it; at most four of a round meet
-    a point. There are as many rounds as neighbouring cells whose first points follow one another."""
-    side = near * 1.001 or 1.0  # so that rounding doesn't take a near point two cells away
-    cell = lambda c: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), F.col(c).cast("double") / side)))
-    at = ["key", "cx", "cy"]
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
-    spread = lambda df, *more: df.select(*at, *more, around).select("key", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), *more)
-    same = lambda x, y: F.col(f"{x}.key").eqNullSafe(F.col(f"{y}.key")) & (F.col(f"{x}.cx") == F.col(f"{y}.cx")) & (F.col(f"{x}.cy") == F.col(f"{y}.cy"))
-    left, kept = stored(points.select("key", "ord", "a", "b", cell("a").alias("cx"), cell("b").alias("cy"))), []
-    while not left.isEmpty():
-        first = left.groupBy(*at).agg(F.min(F.struct("ord", "a", "b")).alias("p"))
-        least = spread(first, "p").groupBy(*at).agg(F.min("p").alias("least"))
-        new = stored(first.alias("f").join(least.alias("l"), same("f", "l") & (F.col("p") == F.col("least")), "left_semi"))
-        kept.append(new.select("key", "p.*"))
-        close = F.abs(F.col("p.a") - F.col("a")) + F.abs(F.col("p.b") - F.col("b")) <= near
-        left = stored(left.alias("f").join(spread(new, "p").alias("l"), same("f", "l") & close, "left_anti"))
-    return functools.reduce(DataFrame.unionByName, kept)
-
-
-def kept_points(points: DataFrame, near: float, many: int = MANY) -> DataFrame:
+def tiled(points: DataFrame, near: float, limit: int) -> DataFrame:
+    """Adds home, the tile of each point, and targets, the other tiles that have points less than ``near`` away, perhaps.
+
+    Tiles are the cells of a quadtree over each key's points: the coarsest that hold fewer points than the limit, or
+    the finest, which are about twice as wide as near."""
+    side = near * 2.002 or 1.0  # so that rounding doesn't take a near point two cells away
+    cell = lambda c: F.floor(F.greatest(F.lit(-(2.0**61)), F.least(F.lit(2.0**61), F.col(c).cast("double") / side)))
+    own = points.withColumns({"own": F.coalesce(F.concat(F.lit("k"), F.col("key").cast("string")), F.lit("n")), "fx": cell("a"), "fy": cell("b")})
+    fine = own.groupBy("own", "fx", "fy").agg(F.count("*").alias("n"))
+    up = lambda c, k: F.floor(F.col(c) / F.pow(F.lit(2.0), k)).cast("long")
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.struct(k.alias("up"), up("fx", k).alias("cx"), up("fy", k).alias("cy")))).alias("c")
+    cells = fine.select("own", "fx", "fy", "n", above).select("own", "fx", "fy", "n", "c.*")
+    fitting = cells.groupBy("own", "up", "cx", "cy").agg(F.sum("n").alias("n")).where((F.col("n") < limit) | (F.col("up") == 0)).drop("n")
+    tile = F.max(F.struct("up", "cx", "cy")).alias("tile")
+    found = stored(cells.drop("n").join(fitting, ["own", "up", "cx", "cy"]).groupBy("own", "fx", "fy").agg(tile))
+    placed = own.join(found, ["own", "fx", "fy"]).withColumnRenamed("tile", "home")
+    # only what lies at a tile's border has cells of others around it
+    edge = lambda c: (F.floor((F.col(f"f{c}") - 1) / F.pow(F.lit(2.0), "home.up")) != F.col(f"home.c{c}")) | (F.floor((F.col(f"f{c}") + 1) / F.pow(F.lit(2.0), "home.up")) != F.col(f"home.c{c}"))
+    around = F.explode(F.array(*(F.struct((F.col("fx") + i).alias("fx"), (F.col("fy") + j).alias("fy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
+    at = placed.where(edge("x") | edge("y")).select("own", "ord", "a", "b", "home", around.alias("f")).select("own", "ord", "a", "b", "home", "f.*")
+    others = at.join(found, ["own", "fx", "fy"]).where(F.col("tile") != F.col("home")).groupBy("own", "a", "b").agg(F.collect_set("tile").alias("targets"))
+    return placed.join(others, ["own", "a", "b"], "left").select("key", "own", "ord", "a", "b", "home", F.coalesce("targets", F.array().cast(dict(others.dtypes)["targets"])).alias("targets"))
+
+
+def settled(near: float):
+    """Of one tile's points and those around it, in order: which of its own are kept, and which can't be told yet, because
+    one before them and outside, or one that depends on it, can't."""
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(some=frame["ord"].notna()).sort_values(["some", "ord", "a", "b"], ignore_index=True)
+        a, b = frame["a"].to_numpy(), frame["b"].to_numpy()
+        own, kept = frame["at_home"].to_numpy(), frame["kept"].to_numpy().copy()
+        side = near or 1.0
+        cells = np.stack([np.floor(np.clip(v.astype(float) / side, -(2.0**61), 2.0**61)) for v in (a, b)], 1).astype(np.int64).tolist()
+        grid: dict[tuple[int, int], list[int]] = {}
+        open_ = np.zeros(len(frame), bool)
+        gone = np.zeros(len(frame), bool)
+        for k, (x, y) in enumerate(cells):
+            before = [j for i in (x - 1, x, x + 1) for q in (y - 1, y, y + 1) for j in grid.get((i, q), ()) if float(abs(a[j] - a[k]) + abs(b[j] - b[k])) <= near]  # a sum of floats is one, as in Spark
+            if kept[k]:
+                pass
+            elif any(kept[j] for j in before):
+                gone[k] = True
+                continue
+            elif own[k] and not any(open_[j] for j in before):
+                kept[k] = True
+            else:
+                open_[k] = True
+            grid.setdefault((x, y), []).append(k)
+        out = frame.assign(kept=kept)[own & ~gone]
+        return out[["key", "own", "ord", "a", "b", "home", "targets", "kept"]]
+
+    return of
+
+
+def many_kept(points: DataFrame, near: float, limit: int = TILE) -> DataFrame:
+    """The same for keys of many points, by tiles in parallel.
+
+    In a round each tile settles all its points that depend on nothing unsettled outside it, however long a row of them
+    does; so there are as many rounds as tiles that a row of points, each near the one before, goes through in order."""
+    left = stored(tiled(points, near, limit).withColumn("kept", F.lit(False)))
+    open_ = 1
+    while open_:
+        told = Observation()
+        here = left.withColumn("tile", F.explode(F.concat(F.array("home"), "targets"))).withColumn("at_home", F.col("tile") == F.col("home"))
+        new = here.groupBy("own", "tile").applyInPandas(settled(near), left.schema).observe(told, F.count_if(~F.col("kept")).alias("open"))
+        after = stored(new)
+        open_ = told.get["open"]
+        discard(left)
+        left = after
+    return left.select("key", "ord", "a", "b")
+
+
+def kept_points(points: DataFrame, near: float, many: int = MANY, limit: int = TILE) -> DataFrame:
     """key, ord, a, b of the points that aren't nearer than ``near`` (sum of both differences, 0 at least) to one kept before them.
 
     Equal points are one first, by a partial aggregation, as all but the first would be dropped.
@@ -67,15 +112,16 @@ def kept_points(points: DataFrame, near: float, many: int = MANY) -> DataFrame:
     finite = F.coalesce(F.abs("a") < float("inf"), F.lit(False)) & F.coalesce(F.abs("b") < float("inf"), F.lit(False))
     points = points.select("key", "ord", "a", "b")
     first = F.when(~F.bool_or(F.col("ord").isNull()), F.min("ord")).alias("ord")
-    one = stored(points.where(finite).groupBy("key", "a", "b").agg(first).select("key", "ord", "a", "b"))
-    crowded = stored(one.groupBy("key").count().where(F.col("count") > many).select("key"))
+    one = stored(points.where(finite).groupBy("key", "a", "b").agg(first).select("key", "ord", "a", "b"))  # it is read several times
+    counts = one.groupBy("key").count()
     parts = [points.where(~finite)]
-    if crowded.isEmpty():
+    if (counts.agg(F.max("count")).first()[0] or 0) <= many:
         parts.append(few_kept(one, near))
     else:
+        crowded = stored(counts.where(F.col("count") > many).select("key"))
         own = F.col("o.key").eqNullSafe(F.col("c.key"))
         parts.append(few_kept(one.alias("o").join(crowded.alias("c"), own, "left_anti"), near))
-        parts.append(many_kept(one.alias("o").join(crowded.alias("c"), own, "left_semi"), near))
+        parts.append(many_kept(one.alias("o").join(crowded.alias("c"), own, "left_semi"), near, limit))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

@@ -1,11 +1,11 @@
-"""A folder that all executors share, for what a job stores between its steps."""
+"""A folder that all executors share, and what a job stores there between its steps."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def landing(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,19 @@ def landing(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         top = sc.getCheckpointDir()
     return f"{top.rstrip('/')}/landed-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, which ends its lineage there. Who makes a table that isn't read any more discards it."""
+    path = landing(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables, once all that was read from them is stored elsewhere."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

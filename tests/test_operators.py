@@ -329,6 +329,25 @@ def test_crowded_keys_are_settled_without_an_array(spark):
     assert plan.count() == 1 and {r["key"]: r["n"] for r in geocode.counted(plan).collect()} == {"same": 1}
 
 
+def test_small_tiles_settle_the_same_points(spark):
+    rng = random.Random(11)
+    rows = [(k, rng.randrange(500), float(rng.randrange(90)) / 2, float(rng.randrange(90)) / 2) for k in ("x", None) for _ in range(700)]
+    rows += [("line", n, float(n), 0.0) for n in range(150)] + [("back", -n, float(n), 1e300 if n == 7 else 0.0) for n in range(150)]
+    df = spark.createDataFrame(rows, "key string, ord int, a float, b double")
+    want = {(k, p) for k, own in folded(rows, 3.0).items() for p in own}
+    got = [(r["key"], (r["a"], r["b"])) for r in geocode.kept_points(df, 3.0, many=5, limit=40).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_long_line_of_points_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 100_000, []
+    keep = geocode.settled
+    monkeypatch.setattr(geocode, "settled", lambda near: rounds.append(1) or keep(near))
+    df = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("ord"), F.col("id").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    got = geocode.kept_points(df, 2.5).select("a")
+    assert got.count() == (n + 2) // 3 and got.where("a % 3 != 0").isEmpty() and len(rounds) <= 12
+
+
 def test_points_without_coordinates_are_near_to_none(spark):
     rows = [("k", 1, None, 0.0), ("k", 2, None, 0.0), ("k", 3, float("nan"), 0.0), ("k", 4, float("inf"), 0.0), ("k", 5, float("inf"), 0.0), ("k", 6, 1.0, 1.0), ("k", 7, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "key string, ord int, a float, b float")
