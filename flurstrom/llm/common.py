@@ -116,14 +116,21 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """df as a table bucketed by key, whose joins on the key don't shuffle it; and the table's name, to drop it by."""
+    """df as a table bucketed by key in the shared folder, whose joins on the key don't shuffle it; and the table's name, to drop it by."""
     spark = df.sparkSession
     name = f"by_{key}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     free(spark)
     return spark.table(name), name
 
 
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    """Drops a table that bucketed() made, and its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
     """key, body (bytes) and copies of each different text, as a table bucketed by key; and its name."""
     rows = docs.select(F.unhex(F.md5("body")).alias("key"), "body")

@@ -16,8 +16,9 @@ sorts suffixes inside tasks.
    are sorted directly, the rest are induced by scanning the buckets of first
    bytes; adjacent common prefixes of ``length`` or more mark windows.
    Windows of a hash that would fill a bucket alone are filed anew under the hash of
-   what they have around that gram, all but STRIDE - 1 of their bytes: what is still
-   together is equal there, so no hash, however frequent, is one large group.
+   what they have around that gram, all but 24 of their bytes; where that is still too
+   much (as many texts share nearly a window) all but 4, then all of them: equal windows
+   are one part with a count, so no hash, however frequent, is one large group.
 4. Marked windows return to their texts as ranges.
 
 With ``words``, a byte also goes if a passage of so many whole words (between ASCII
@@ -45,16 +46,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_slices, cut, discard, distinct_texts, give_back
+from .common import bounded, byte_slices, cut, discard, distinct_texts, drop_bucketed, give_back
 from .common import spans as spans_of
 
 LENGTH = 400
 #: Words of a passage that counts whatever its bytes, where passages are asked for.
 PASSAGE = 51
-#: Windows in a bucket of step 3, about; a single hash with more is split.
-BUCKET_WINDOWS = 200_000
-#: Of a split hash's windows, so many neighbours stay together.
-STRIDE = 25
+#: Windows in a bucket of step 3, about, and bytes for each; a single hash with more is split.
+BUCKET_WINDOWS, WINDOW_BYTES = 200_000, 80
+#: Of a split hash's windows, so many neighbours stay together, then so many.
+STRIDES = (25, 5, 1)
 BLOCK = 1 << 19
 SPACE = np.frombuffer(b" \t\n\r\f\v", np.uint8)
 ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -370,20 +371,22 @@ def with_bytes(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return texts.select("key", "body").join(lists, "key").mapInArrow(of, "key binary, s0 long, n long, h long, part binary, part_id binary")
 
 
-def split(parts: DataFrame, length: int) -> DataFrame:
-    """The runs in pieces of up to STRIDE windows whose first gram of hash h stands at like places, each under
-    the hash of the bytes that all its windows have in common. Equal windows come under equal hashes."""
+def split(parts: DataFrame, length: int, stride: int) -> DataFrame:
+    """The runs in pieces of up to ``stride`` windows whose place (of the first gram of hash h, or of what the pieces of
+    their hash have in common) is alike, each under the hash of the bytes that all its windows have in common. Equal
+    windows come under equal hashes; with a stride of 1 a hash has nothing but equal windows."""
     gram = length // 2
-    stride = min(STRIDE, length - gram + 1)
 
     def of(batches):
         for batch in batches:
-            for key, s0, h, part in zip(batch["key"], batch["s0"], batch["h"], batch["part"]):
+            for key, s0, h, part, shared in zip(batch["key"], batch["s0"], batch["h"], batch["part"], batch["shared"]):
                 part = bytes(part)
-                data = np.frombuffer(part, np.uint8)
                 n = len(part) - length + 1
-                at = np.flatnonzero(gram_hashes(data, gram).view(np.int64) == h)
-                place = at[np.searchsorted(at, np.arange(n))]
+                if shared < 0:
+                    at = np.flatnonzero(gram_hashes(np.frombuffer(part, np.uint8), gram).view(np.int64) == h)
+                    place = at[np.searchsorted(at, np.arange(n))]
+                else:
+                    place = np.full(n, shared)
                 block = (place - np.arange(n)) // stride
                 new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (block[1:] != block[:-1])])
                 out = []
@@ -392,18 +395,24 @@ def split(parts: DataFrame, length: int) -> DataFrame:
                     common = part[low : low - (stride - 1) + length]
                     own = hashlib.md5(b"%d %d " % (h, block[a]) + common).digest()
                     piece = part[a : a + k + length - 1]
-                    out.append((key, s0 + a, k, int.from_bytes(own[:8], "little", signed=True), piece, hashlib.md5(piece).digest()))
-                yield pd.DataFrame(out, columns=["key", "s0", "n", "h", "part", "part_id"])
+                    out.append((key, s0 + a, k, int.from_bytes(own[:8], "little", signed=True), piece, hashlib.md5(piece).digest(), low - a))
+                yield pd.DataFrame(out, columns=["key", "s0", "n", "h", "part", "part_id", "shared"])
         give_back()
 
-    return parts.select("key", "s0", "h", "part").mapInPandas(of, "key binary, s0 long, n long, h long, part binary, part_id binary")
+    return parts.select("key", "s0", "h", "part", "shared").mapInPandas(of, "key binary, s0 long, n long, h long, part binary, part_id binary, shared long")
+
+
+def crowded_hashes(parts: DataFrame, bucket_windows: int) -> DataFrame:
+    """h of those whose different parts have more windows, or bytes, than a bucket may."""
+    each = parts.groupBy("h", "part_id").agg(F.first("n").alias("n"), F.first(F.octet_length("part")).alias("bytes"))
+    return each.groupBy("h").agg(F.sum("n").alias("w"), F.sum("bytes").alias("bytes"), F.count("*").alias("c")).where((F.col("c") > 1) & ((F.col("w") > bucket_windows) | (F.col("bytes") > WINDOW_BYTES * bucket_windows))).select("h")
 
 
 def marked_parts(parts: DataFrame, length: int, bucket_windows: int) -> DataFrame:
     """part_id and the ranges that its repeated windows cover: of equal parts all, of others those that sorting finds."""
     one = parts.groupBy("h", "part_id").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.count("*").alias("c"))
-    windows = parts.select(F.sum("n")).first()[0] or 0
-    buckets = max(1, windows // bucket_windows)
+    size = one.agg(F.sum("n").alias("windows"), F.sum(F.octet_length("part")).alias("bytes")).first()
+    buckets = max(1, (size["windows"] or 0) // bucket_windows, (size["bytes"] or 0) // (WINDOW_BYTES * bucket_windows))
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         out, at = [], 0
@@ -491,16 +500,18 @@ def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None
     shared = every.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 OR s").select("h")
     found = cut(with_bytes(texts, every.join(shared, "h").select("key", "s0", "n", "h"), length), large=True)
     discard(every)
-    # of equal parts one is sorted
-    crowded = found.groupBy("h", "part_id").agg(F.first("n").alias("n")).groupBy("h").agg(F.sum("n").alias("w")).where(F.col("w") > bucket_windows).select("h")
-    crowded = cut(crowded)
-    parts = found
-    if not crowded.isEmpty():
-        parts = cut(found.join(crowded, "h", "left_anti").unionByName(split(found.join(crowded, "h"), length)), large=True)
-        discard(found)
+    # of equal parts one is sorted; what is still too large for a bucket is filed anew, until nothing but equal windows would be together
+    parts = found.withColumn("shared", F.lit(-1).cast("long"))
+    for stride in STRIDES:
+        crowded = cut(crowded_hashes(parts, bucket_windows))
+        if crowded.isEmpty():
+            break
+        before, parts = found, cut(parts.join(crowded, "h", "left_anti").unionByName(split(parts.join(crowded, "h"), length, min(stride, length - length // 2 + 1))), large=True)
+        found = parts
+        discard(before, crowded)
     moved = parts.select("key", "s0", "part_id").join(marked_parts(parts, length, bucket_windows), "part_id")
     own = cut(moved.select("key", F.transform("spans", lambda s: F.transform(s, lambda x: x + F.col("s0"))).alias("spans")), large=True)
-    discard(parts, crowded)
+    discard(found)
     stored = [own]
     kinds = [own.select("key", "spans", F.lit(None).cast("array<array<long>>").alias("passages"))]
     if words:
@@ -509,7 +520,7 @@ def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None
     lists = functools.reduce(DataFrame.unionByName, kinds).groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")))
     out = cut(texts.select("key", "copies").join(lists, "key", "left").where("copies > 1 OR spans IS NOT NULL"), large=True)
     discard(*stored)
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # all that is needed of it is stored
+    drop_bucketed(docs.sparkSession, name)  # all that is needed of it is stored
     return out
 
 

@@ -138,9 +138,36 @@ def test_two_stage_sorting_marks_what_counting_marks(length, letters):
             assert got == brute_spans(parts, length)
 
 
+def test_boilerplate_just_under_the_length_is_no_large_group(spark, monkeypatch):
+    """Texts that share all but two bytes of a window: none of it goes, but for the few that share the two bytes as well."""
+    rng = random.Random(12)
+    shared = "".join(rng.choices("abcdefgh ", k=398))
+    rows = [(k, f"{k:05d}" + "".join(rng.choices("xyz", k=20)) + shared + "".join(rng.choices("uvw", k=20)) + f"{k:05d}") for k in range(2000)]
+    largest = []
+    marked = suffix.marked_parts
+
+    def looked_at(parts, length, bucket_windows):
+        each = parts.groupBy("h", "part_id").agg(F.first("n").alias("n"), F.first(F.octet_length("part")).alias("b")).groupBy("h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("c"))
+        largest.append(tuple(each.where("c > 1").agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()))
+        return marked(parts, length, bucket_windows)
+
+    monkeypatch.setattr(suffix, "marked_parts", looked_at)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.digest(table(spark, rows), bucket_windows=2000).collect()}
+    assert largest[0][0] <= 2000 and largest[0][1] <= 2000 * suffix.WINDOW_BYTES
+    counts = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
+    want = {}
+    for k, t in rows:
+        hit = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if counts[t[i : i + 400]] > 1:
+                hit[i : i + 400] = True
+        want[k] = (int(hit.sum()), int((np.diff(np.r_[0, hit]) == 1).sum()))
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 1000
+
+
 @pytest.mark.parametrize("bucket_windows, stride", [(100_000, 25), (300, 3)])
 def test_removed_bytes_equal_brute_force(spark, monkeypatch, bucket_windows, stride):
-    monkeypatch.setattr(suffix, "STRIDE", stride)
+    monkeypatch.setattr(suffix, "STRIDES", (stride, 2, 1))
     rng = random.Random(4)
     texts = []
     for _ in range(50):
