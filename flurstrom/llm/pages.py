@@ -39,7 +39,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 #: Any attribute with its whole value, so that names are never found in other names or in values.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?|"[^"]*"|'[^']*'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img svg g text tspan math mi mn mo mrow msup msub mfrac msqrt mtext semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img svg g text tspan path circle ellipse rect line polyline polygon use desc math mi mn mo mrow msup msub mfrac msqrt mtext semantics".split())
 #: An opening tag that ends the open one of the same kind, unless a container stands between.
 ENDS_ITSELF = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
 CONTAINERS = frozenset("html body div section article main aside header footer nav table ul ol dl form blockquote fieldset".split())
@@ -124,6 +124,8 @@ def leaves(page: str) -> list[Leaf]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag == "title" and open_["svg"]:  # a word for a picture within a line
+            continue
         if tag in ("br", "wbr", "img"):
             parts.append(" " if tag != "wbr" else "")
             continue
@@ -307,6 +309,8 @@ def train(pages: list[np.ndarray], marks: list[np.ndarray], epochs: int = 8, see
 
 #: Layouts of the generator: container tags with class words, by what they hold.
 MAIN = "article|article.post|main|div.content|div#content|div.entry-content|div.article-body|section.post-content|div.main-content|div.story|div.text|main.page"
+#: Containers that say nothing: bare ones, and ones with class words of any kind.
+BARE = "div|div|section|div.inner|div.wrapper|div.container|div.row|div.col|div.box|div.block|div.page|div#root|div#wrap|div.body|div.area|div.view|center"
 NOT_MAIN = {
     "menu": "nav|div.menu|ul.nav|div#navigation|div.navbar|header|div.breadcrumbs|div.toolbar|nav.breadcrumb",
     "top": "header|div.header|div#header|div.masthead|div.topbar|div.site-title",
@@ -314,9 +318,11 @@ NOT_MAIN = {
     "side": "aside|div.sidebar|div#sidebar|div.widget|aside.related|div.related|div.recommended|div.trending|div.popular",
     "advert": "div.ad|div.ads|div.advert|div.sponsored|div.promo|aside.ad|div.banner",
     "notice": "noscript|div.hidden|div.cookie-notice|div.cookie-banner|div.notice|div.alert|div.consent|div.newsletter|div.subscribe|div.popup|div.modal",
-    "form": "form|form.search|form.login|div.form|form.comment-form|div.search",
+    "form": "form|form.search|form.login|div.form|form.comment-form|div.search|form.newsletter",
     "comments": "div.comments|section.comments|div#comments|ol.comment-list|div.comment|section.discussion|div.replies|div.disqus",
-    "share": "div.share|div.social|ul.share|div.meta|div.tags|div.author-bio|div.pagination",
+    "share": "div.share|div.social|ul.share|div.meta|div.tags|div.pagination|p.byline|div.byline",
+    "author": "div.author-bio|div.author|aside.author|div.bio|section.author-box|div.about-author|div.vcard",
+    "script": "noscript|noscript|noscript|div.noscript|object|iframe",
 }
 SAYS = {
     "menu": "home about contact news blog shop products login register search help menu start kontakt accueil inicio",
@@ -328,6 +334,8 @@ SAYS = {
     "form": "name email submit search password send message your required",
     "comments": "reply says comment posted ago like great thanks agree i think",
     "share": "share tweet facebook tags author posted by on previous next page",
+    "author": "about the author written by is a writer reporter editor contributor follow posts",
+    "script": "please enable javascript to view this page your browser does not support",
 }
 PIECES = "an en er ti re on st th in ha le ou que ión os as ra do ung ich sch ver ein de la es ment eau ä é ñ ö ß ly nd".split()
 
@@ -350,6 +358,16 @@ def drawn_page(rng: random.Random) -> tuple[str, list[bool]]:
         at = f' id="{cls[1:]}"' if cls.startswith("#") else f' class="{cls}{rng.choice(["", " box", " wide", ""])}"' if cls else ""
         return f"<{tag}{at}>{inner}</{tag}>"
 
+    def bare() -> str:
+        """A container that says nothing of what it holds."""
+        made = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 7)))
+        return rng.choice([rng.choice(BARE.split("|")), rng.choice(BARE.split("|")), f"div.{made}", f"div.{made}-{rng.randint(1, 99)} {made}", f"section#{made}"])
+
+    def wrapped(inner: str, most: int) -> str:
+        for _ in range(rng.randint(0, most)):
+            inner = box(bare(), inner)
+        return inner
+
     def block(main: bool, text: str, tag: str) -> str:
         marks.append(main)
         return f"<{tag}>{text}</{tag}>" if tag else text
@@ -360,6 +378,13 @@ def drawn_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def other(kind: str) -> str:
         spec = rng.choice(NOT_MAIN[kind].split("|"))
+        if kind in ("menu", "bottom", "share") and rng.random() < 0.2:  # told by what it holds alone
+            spec = bare()
+            links = [block(False, f'<a href="/{k}">{rng.choice(SAYS[kind].split())}</a>', rng.choice(["", "p", "div"])) for k in range(rng.randint(3, 8))]
+            return box(spec, "".join(f"<div>{x}</div>" if x.startswith("<a") else x for x in links))
+        if kind in ("author", "script"):
+            texts = [" ".join(rng.choices(SAYS[kind].split(), k=rng.randint(3, 14))) if rng.random() < 0.6 else prose(4, 30) for _ in range(rng.randint(1, 2))]
+            return box(spec, "".join(block(False, t, "p") for t in texts) if len(texts) > 1 else block(False, texts[0], rng.choice(["", "p", "div"])))
         if kind in ("menu", "share") or rng.random() < 0.3:
             body = "<ul>" + "".join("<li>" + block(False, f'<a href="/{k}">{said(kind) if rng.random() < 0.4 else word()}</a>', "") + "</li>" for k in range(rng.randint(2, 8))) + "</ul>"
         elif kind == "comments":
@@ -388,28 +413,45 @@ def drawn_page(rng: random.Random) -> tuple[str, list[bool]]:
             elif r < 0.95:
                 out.append("<p><b>" + block(True, prose(2, 12), "") + "<br>")
             else:
-                out.append(other(rng.choice(["advert", "share", "notice", "side"])))
+                out.append(other(rng.choice(["advert", "share", "notice", "side", "author", "script"])))
+        if rng.random() < 0.1:
+            out.append(other("author"))
         return "".join(out)
 
     def title() -> str:
         return block(True, prose(1, 14).rstrip("."), "h1")
 
     before = [other(k) for k in rng.sample(["menu", "top", "advert", "notice", "side", "form"], rng.randint(0, 4))]
+    marks_before = marks[:]
     head = title() if rng.random() < 0.85 else ""
     if rng.random() < 0.06:
         middle = ""
     else:
-        middle = box(rng.choice(MAIN.split("|")), head + inside())
+        r = rng.random()
+        spec = rng.choice(MAIN.split("|")) if r < 0.6 else bare() if r < 0.92 else ""
+        middle = wrapped(head + inside(), 2 if r >= 0.6 or rng.random() < 0.3 else 0)
+        middle = wrapped(box(spec, middle) if spec else middle, 2 if rng.random() < 0.3 else 0)
         head = ""
     if head:
         marks.pop()
         head = ""
+    marks_middle = marks[len(marks_before) :]
     after = [other(k) for k in rng.sample(["comments", "side", "share", "advert", "notice", "form"], rng.randint(0, 3))] + ([other("bottom")] if rng.random() < 0.8 else [])
-    page = "<html><head><title>" + prose(2, 8) + "</title></head><body>" + "".join(before) + middle + "".join(after)
+    if middle and rng.random() < 0.2:  # nothing but the article
+        first, n = len(marks_before), len(marks_middle)
+        before, after, marks[:] = [], [], marks[first : first + n]
+    r = rng.random()
+    if r < 0.08:  # a table that lays the page out
+        body = "<table><tr>" + "".join(f"<td>{x}</td>" for x in (*before, middle, *after)) + "</tr></table>"
+    elif r < 0.3:
+        body = wrapped("".join(before) + middle + "".join(after), 2)
+    else:
+        body = "".join(before) + middle + "".join(after)
+    page = "<html><head><title>" + prose(2, 8) + "</title></head><body>" + body
     return page + rng.choice(["</body></html>", ""]), marks
 
 
-def learnt(pages: int = 900, epochs: int = 8, seed: int = 5) -> Model:
+def learnt(pages: int = 2000, epochs: int = 9, seed: int = 5) -> Model:
     """A model trained on so many drawn pages."""
     rng = random.Random(seed)
     x, y = [], []

@@ -71,7 +71,7 @@ def test_toxicity_shares_subwords_with_misspellings(spark):
 
 
 def test_pages_of_unseen_layouts(spark):
-    model = pages.learnt(pages=400, epochs=6)
+    model = pages.learnt()
     rng = random.Random(77)
     wrong = total = 0
     for _ in range(80):
@@ -199,3 +199,30 @@ def test_scores_equal_a_plain_mean_over_subwords():
         words = toxicity.words_of(text)
         logits = [np.mean([model.weight[b] for b in buckets(w)]) for w in words]
         assert abs(got - 1 / (1 + np.exp(-((np.mean(logits) if words else 0) + model.bias)))) < 1e-5, text
+
+
+def test_pages_written_by_hand():
+    """Pages that the generator can't draw: containers without a telling name, notices and author boxes inside articles."""
+    said = (
+        "The county council has voted to keep the old bridge open for another year. Engineers will inspect it in spring, and residents can attend a public meeting.",
+        "Dr. Lane said the study, which followed 1,200 people, showed no rise in risk. Others were less sure; a second trial is planned for autumn.",
+        "Prices fell again on Monday. Traders blamed weak demand from abroad, while officials pointed to a late harvest and full warehouses.",
+        "It was the third such decision this month, and it will not be the last, as the mayor told reporters on the steps of the town hall.",
+    )
+    ps, text = "".join(f"<p>{t}</p>" for t in said), "\n".join(said)
+    titled = "Bridge stays open\n" + text
+    cases = [
+        (f'<div class="inner">{ps}</div>', text),
+        (f"<div><div>{ps}</div></div>", text),
+        (f'<div><div class="css-1x2"><div>{ps}</div></div></div>', text),
+        (ps, text),
+        (f"<article><h1>Bridge stays open</h1><noscript>Please enable JavaScript to view this page.</noscript>{ps}</article>", titled),
+        (f'<nav><a href="/">Home</a></nav><article><h1>Bridge stays open</h1>{ps}<div class="author-bio"><p>Jane Roe is a reporter who covers local politics.</p></div></article><footer>Copyright 2024</footer>', titled),
+        (f'<table><tr><td><a href="/">Home</a></td><td><a href="/n">News</a></td></tr><tr><td>{ps}</td></tr></table>', text),
+        (f'<table><tr><td class="menu"><a href="/">Home</a><br><a href="/n">News</a></td><td>{ps}</td></tr></table>', text),
+        (f'<div id="root"><div class="x9"><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/c">Contact</a></li></ul></div><div class="k3 z"><h1>Bridge stays open</h1>{ps}</div><div class="q1"><a href="/p">Privacy</a> <a href="/t">Terms</a></div></div>', titled),
+        (f'<article>{ps}<p>Look <svg><title>an arrow</title><path d="M0 0"/></svg> here for more of it, and then go on.</p></article>', text + "\nLook an arrow here for more of it, and then go on."),
+    ]
+    got = pages.main_text(pages.learnt(), [f"<html><head><title>t</title></head><body>{body}</body></html>" for body, _ in cases])
+    for (body, want), text in zip(cases, got):
+        assert text == want, body[:80]
