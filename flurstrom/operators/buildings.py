@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from .spatial import cell, filed
+from .spatial import level_of
 
 REACH = 100.0
 
@@ -45,14 +45,43 @@ def crossing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (apart(a, b) & apart(b, a).transpose(0, 2, 1)).any((1, 2))
 
 
+def near_edges(e: np.ndarray, other: np.ndarray, most: float) -> np.ndarray:
+    """The edges (edges, 4) whose boxes come as near as most to the other shape's box."""
+    low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    box = other.reshape(-1, 2)
+    gap = np.maximum(np.maximum(low - box.max(0), box.min(0) - high), 0)
+    return e[np.hypot(*gap.T) <= most]
+
+
+def long_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Distance of two shapes of many edges: those too far from the other shape are left out, the others meet in blocks of ROOM numbers."""
+    if inside(a[None], *b[:1, :2].T)[0] or inside(b[None], *a[:1, :2].T)[0]:
+        return 0.0
+    # no more than between some of their vertices
+    some = [e[:: max(1, len(e) // 64), :2] for e in (a, b)]
+    best = float(np.hypot(*np.moveaxis(some[0][:, None] - some[1], 2, 0)).min())
+    a, b = near_edges(a, b, best), near_edges(b, a, best)
+    step = max(1, int((ROOM / 8) ** 0.5))
+    for i in range(0, len(a), step):
+        for j in range(0, len(b), step):
+            x, y = a[None, i : i + step], b[None, j : j + step]
+            if crossing(x, y)[0]:
+                return 0.0
+            best = min(best, float(to_edges(x, y[..., :2])[0]), float(to_edges(x, y[..., 2:])[0]), float(to_edges(y, x[..., :2])[0]), float(to_edges(y, x[..., 2:])[0]))
+    return best
+
+
 def distances(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """Distance of the shapes of each pair, given as edges (x1, y1, x2, y2 and so on), all pairs of like sizes at once."""
     sizes = np.array([(len(x) // 4, len(y) // 4) for x, y in zip(xs, ys)], int).reshape(-1, 2)
     out = np.full(len(xs), np.nan)
     for n, m in np.unique(sizes, axis=0):
-        if n and m:
-            own = np.flatnonzero((sizes == (n, m)).all(1))
-            step = max(1, int(ROOM // (4 * n * m)))
+        own = np.flatnonzero((sizes == (n, m)).all(1))
+        if n and m and 4 * n * m > ROOM:
+            for i in own:
+                out[i] = long_distance(xs[i].reshape(-1, 4), ys[i].reshape(-1, 4))
+        elif n and m:
+            step = int(ROOM // (4 * n * m))
             for k in range(0, len(own), step):
                 at = own[k : k + step]
                 a, b = np.stack([xs[i] for i in at]).reshape(-1, n, 4), np.stack([ys[i] for i in at]).reshape(-1, m, 4)
@@ -72,22 +101,51 @@ def outlines_distance(a: Column, b: Column) -> Column:
     return F.nanvl(of(flat(a), flat(b)), F.lit(None).cast("double"))
 
 
-def nearest_building(addresses: DataFrame, buildings: DataFrame, reach: float = REACH) -> DataFrame:
-    """parcel_id, pos and the interior point of the nearest building naming the address within reach of the parcel.
+def on_own_and_higher(boxes: DataFrame, levels: DataFrame, size: float) -> DataFrame:
+    """A row for each cell that a box meets on its own level, where cells are about as wide as it, and on each higher level in use: four a level at most."""
+    each = boxes.crossJoin(F.broadcast(levels)).withColumn("on", F.explode(F.filter("levels", lambda k: k >= F.col("level")))).drop("levels")  # one row
+    at = lambda a: F.floor(F.col(f"box.{a}") / (size * F.pow(F.lit(2.0), "on")))
+    return each.withColumn("cx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
 
-    addresses: parcel_id, pos, str, hnr, hnr_zus, geometry. Of equally near buildings the larger, then the lesser id."""
+
+def box_bounds(p: Column, q: Column) -> tuple[Column, Column]:
+    """What the distance of two shapes can't be less than, and can't be more than, by their boxes, whose sides they all touch."""
+    gap = lambda a: F.greatest(q[f"min_{a}"] - p[f"max_{a}"], p[f"min_{a}"] - q[f"max_{a}"], F.lit(0.0))
+    far = lambda a: F.greatest(q[f"max_{a}"] - p[f"min_{a}"], p[f"max_{a}"] - q[f"min_{a}"])
+    between = lambda a: F.least(F.abs(q[f"min_{a}"] - p[f"max_{a}"]), F.abs(p[f"min_{a}"] - q[f"max_{a}"]))
+    return F.hypot(gap("x"), gap("y")), F.least(F.hypot(between("x"), far("y")), F.hypot(between("y"), far("x")))
+
+
+def candidate_pairs(addresses: DataFrame, buildings: DataFrame, reach: float) -> DataFrame:
+    """parcel_id, pos, geometry, building_id and b_geometry of the pairs whose exact distance can decide: the building names
+    the address, its box comes within reach, and no other building of the address is nearer by the boxes alone."""
     # both sides are filed under the grid cells they meet, addresses with their reach, so a name that is common everywhere meets its neighbours only
     size = 2 * reach
     named = buildings.where("lagebez IS NOT NULL").select("building_id", F.col("geometry").alias("b_geometry"), F.explode(text.addresses_in(F.col("lagebez"))).alias("t"))
     named = named.select("building_id", "b_geometry", F.col("t.str").alias("str"), F.col("t.hnr").alias("hnr"), F.upper(F.coalesce("t.hnr_zus", F.lit(""))).alias("suffix"), geo.envelope(F.col("b_geometry")).alias("box"))
-    wide = geo.envelope(F.col("geometry"))
-    own = addresses.withColumns({"suffix": F.upper(F.coalesce("hnr_zus", F.lit(""))), "box": F.struct((wide["min_x"] - reach).alias("min_x"), (wide["min_y"] - reach).alias("min_y"), (wide["max_x"] + reach).alias("max_x"), (wide["max_y"] + reach).alias("max_y"))})
-    met = filed(own, size).withColumnRenamed("box", "reached").join(filed(named, size), ["str", "hnr", "suffix", "cx", "cy"])
+    own = addresses.withColumns({"suffix": F.upper(F.coalesce("hnr_zus", F.lit(""))), "tight": geo.envelope(F.col("geometry"))})
+    wide = F.col("tight")
+    own = own.withColumn("box", F.struct((wide["min_x"] - reach).alias("min_x"), (wide["min_y"] - reach).alias("min_y"), (wide["max_x"] + reach).alias("max_x"), (wide["max_y"] + reach).alias("max_y")))
+    own, named = (d.withColumn("level", level_of(F.col("box"), size)).where("level IS NOT NULL") for d in (own, named))
+    levels = own.select("level").unionByName(named.select("level")).agg(F.collect_set("level").alias("levels"))
+    left = on_own_and_higher(own, levels, size).withColumnsRenamed({"box": "reached", "level": "own_level"})
+    met = left.join(on_own_and_higher(named, levels, size), ["str", "hnr", "suffix", "on", "cx", "cy"]).where(F.col("on") == F.greatest("own_level", "level"))
     r, box = F.col("reached"), F.col("box")
     met = met.where((box["min_x"] <= r["max_x"]) & (box["max_x"] >= r["min_x"]) & (box["min_y"] <= r["max_y"]) & (box["max_y"] >= r["min_y"]))
     # a pair that shares several cells counts in the one that holds the corner of both boxes' overlap
-    first = lambda k: cell(F.greatest(r[f"min_{k}"], box[f"min_{k}"]), size) == F.col(f"c{k}")
-    met = met.where(first("x") & first("y"))
+    first = lambda k: F.floor(F.greatest(r[f"min_{k}"], box[f"min_{k}"]) / (size * F.pow(F.lit(2.0), "on"))) == F.col(f"c{k}")
+    low, high = box_bounds(F.col("tight"), box)
+    met = met.where(first("x") & first("y")).select("parcel_id", "pos", "geometry", "building_id", "b_geometry", low.alias("low"), high.alias("high"))
+    least = F.min("high").over(Window.partitionBy("parcel_id", "pos"))
+    # a little more, for what rounding takes
+    return met.withColumn("least", least).where((F.col("low") <= reach) & (F.col("low") <= F.col("least") * (1 + 1e-9)))
+
+
+def nearest_building(addresses: DataFrame, buildings: DataFrame, reach: float = REACH) -> DataFrame:
+    """parcel_id, pos and the interior point of the nearest building naming the address within reach of the parcel.
+
+    addresses: parcel_id, pos, str, hnr, hnr_zus, geometry. Of equally near buildings the larger, then the lesser id."""
+    met = candidate_pairs(addresses, buildings, reach)
     met = met.select("parcel_id", "pos", "building_id", "b_geometry", F.inline(F.array(F.struct(geo.edges(F.col("geometry")).alias("pe"), geo.edges(F.col("b_geometry")).alias("be")))))
     far = met.select("parcel_id", "pos", "building_id", "b_geometry", outlines_distance(F.col("pe"), F.col("be")).alias("d"), geo.area(F.col("b_geometry")).alias("size"))
     best = Window.partitionBy("parcel_id", "pos").orderBy(F.col("d").asc(), F.col("size").desc(), F.col("building_id").asc())

@@ -30,16 +30,15 @@ def with_edges(shapes: DataFrame) -> DataFrame:
     return out.where("size > 0")
 
 
-def filed(shapes: DataFrame, size: float) -> DataFrame:
-    """A row for each cell that a shape's envelope (box) meets."""
-    span = lambda a: F.sequence(cell(F.col(f"box.min_{a}"), size), cell(F.col(f"box.max_{a}"), size))
-    return shapes.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+def level_of(box: Column, size: float) -> Column:
+    """The level on which cells are about as wide as a box; they are size wide on level 0 and double in width with each level."""
+    width = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+    return F.greatest(F.ceil(F.log2(F.greatest(width, F.lit(size)) / size)), F.lit(0)).cast("int")
 
 
 def layered(shapes: DataFrame, size: float) -> DataFrame:
     """A row for each cell that a shape's envelope (box) meets on its own level: cells double in width with each level."""
-    width = F.greatest(F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y"))
-    own = shapes.withColumn("level", F.greatest(F.ceil(F.log2(F.greatest(width, F.lit(size)) / size)), F.lit(0)).cast("int"))
+    own = shapes.withColumn("level", level_of(F.col("box"), size))
     at = lambda a: F.floor(F.col(f"box.{a}") / (size * F.pow(F.lit(2.0), "level")))
     return own.withColumn("cx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
 

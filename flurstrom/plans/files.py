@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import quality
-from ..sources import delimited, documents, gml
+from ..operators.imports import Fetched
+from ..sources import configured, delimited, documents, gml
 from .landing import ROOT, land_archives, land_documents, land_lines, land_members
 from .registry import query
 from .served import properties
@@ -93,23 +96,46 @@ def ingest_buildings(spark, sf_dir):
     return got.select("building_id", "lagebez", geo.area(F.col("geometry")).alias("size"))
 
 
-@query("SELECT CAST(address_id AS VARCHAR) AS id, x, y, 'Weg' AS str, CAST(address_id % 90 AS VARCHAR) AS hnr, plz, 'Bremen' AS ort, 'Bremen' AS gemeinde FROM v_points WHERE address_id % 12 <> 0")
-def ingest_flat_addresses(spark, sf_dir):
+def landed_addresses(spark, sf_dir):
     p = view(spark, sf_dir, "v_points")
     at = F.when(F.col("address_id") % 12 != 0, F.concat(F.lit("<x:geom><gml:Point><gml:pos>"), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit("</gml:pos></gml:Point></x:geom>"))).otherwise(F.lit(""))
-    path = land_members(p.select(member("adressen", element("oid", F.col("address_id")), element("stn", F.lit("Weg")), element("hnr", F.col("address_id") % 90), element("plz", F.col("plz")), at)), "flat")
-    fields = {"id": "oid", "str": "stn", "hnr": "hnr", "plz": "plz", "point": "geom"}
-    return gml.flat_addresses(spark, path, "adressen", fields, fixed_gemeinde="Bremen").drop("hnr_zus")
+    return land_members(p.select(member("adressen", element("oid", F.col("address_id")), element("stn", F.lit("Weg")), element("hnr", F.col("address_id") % 90), element("plz", F.col("plz")), at)), "flat")
+
+
+FLAT = {"id": "oid", "str": "stn", "hnr": "hnr", "plz": "plz", "point": "geom"}
+
+
+@query("SELECT CAST(address_id AS VARCHAR) AS id, x, y, 'Weg' AS str, CAST(address_id % 90 AS VARCHAR) AS hnr, plz, 'Bremen' AS ort, 'Bremen' AS gemeinde FROM v_points WHERE address_id % 12 <> 0")
+def ingest_flat_addresses(spark, sf_dir):
+    return gml.flat_addresses(spark, landed_addresses(spark, sf_dir), "adressen", FLAT, fixed_gemeinde="Bremen").drop("hnr_zus")
+
+
+@query("""SELECT 'Weg' AS str, CAST(address_id % 90 AS VARCHAR) AS hnr, plz, 'Bremen' AS ort, 'Bremen' AS gemeinde, area_m2 AS flaeche_amtl FROM (SELECT p.*, s.area_m2 FROM v_points p JOIN v_parcels s
+  ON p.x > s.min_x AND p.x < s.min_x + s.edge AND p.y > s.min_y AND p.y < s.min_y + s.edge WHERE s.parcel_id % 10 <> 0 AND p.address_id % 12 <> 0 QUALIFY row_number() OVER (PARTITION BY p.address_id ORDER BY s.edge, s.parcel_id) = 1) m""")
+def configured_source(spark, sf_dir):
+    """A source of flat addresses and parcels, as a configuration has it."""
+    own = {"id": "hb", "epsg": 25832, "parcels": {"path": landed_parcels(spark, sf_dir), "feature": "Flurstueck", "fields": FIELDS}, "addresses": {"kind": "flat", "path": landed_addresses(spark, sf_dir), "feature": "adressen", "fields": FLAT, "fixed_gemeinde": "Bremen"}, "gates": {"max_unmatched": 1.0}}
+    rows = configured.sources(json.dumps({"sources": [own]}))["hb"].rows(spark, Fetched())
+    return rows.select("str", "hnr", "plz", "ort", "gemeinde", "flaeche_amtl")
 
 
 @query("SELECT 'Weg' AS str, CAST(address_id % 90 AS VARCHAR) AS hnr, plz, gemeinde AS ort, x, y FROM v_points WHERE address_id % 12 <> 0")
 def ingest_geojson_addresses(spark, sf_dir):
+    return documents.addresses(spark, landed_geojson(spark, sf_dir)).drop("hnr_zus", "gemeinde")
+
+
+def landed_geojson(spark, sf_dir):
     p = view(spark, sf_dir, "v_points")
     there = F.col("address_id") % 12 != 0
     props = F.struct(F.lit("Weg").alias("STN"), (F.col("address_id") % 90).alias("HNR"), F.when(there, F.col("x") + 32_000_000.0).alias("XCOORD"), F.col("y").alias("YCOORD"), F.col("plz").cast("int").alias("PLZ"), F.col("gemeinde").alias("ONM"))
     docs = numbered(p, "address_id").groupBy("no").agg(F.collect_list(F.struct(props.alias("properties"))).alias("features"))
-    path = land_documents(docs.select(F.to_json(F.struct("features"))), "geojson")
-    return documents.addresses(spark, path).drop("hnr_zus", "gemeinde")
+    return land_documents(docs.select(F.to_json(F.struct("features"))), "geojson")
+
+
+@query("SELECT count(*) AS members, count(*) FILTER (address_id % 12 = 0) AS skipped FROM v_points")
+def skipped_features(spark, sf_dir):
+    """Features delivered and skipped."""
+    return documents.feature_tally(documents.features(spark, landed_geojson(spark, sf_dir)))
 
 
 HK_HEAD = "nba;oid;qua;gmd;ott;str;hnr;adz;zone;ostwert;nordwert;postplz"

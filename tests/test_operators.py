@@ -8,6 +8,7 @@ import random
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,59 @@ def test_pins_by_parcel_and_nearest_building(spark):
     assert got == {(1, 0): ("parcel", 5.0, 5.0), (2, 0): ("building", 106.0, 6.0), (2, 1): ("building", 211.5, 2.5)}
 
 
+def edge_distance(p, q):
+    """Distance of two shapes of one ring each, edge by edge."""
+
+    def to(a, b, c):
+        d = (b[0] - a[0], b[1] - a[1])
+        t = max(0.0, min(1.0, ((c[0] - a[0]) * d[0] + (c[1] - a[1]) * d[1]) / ((d[0] ** 2 + d[1] ** 2) or 1)))
+        return math.hypot(c[0] - a[0] - t * d[0], c[1] - a[1] - t * d[1])
+
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
+    within = lambda r, c: sum((a[1] > c[1]) != (b[1] > c[1]) and c[0] < (b[0] - a[0]) * (c[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(r, r[1:])) % 2 == 1
+    if within(p, q[0]) or within(q, p[0]):
+        return 0.0
+    out = 1e18
+    for a, b in zip(p, p[1:]):
+        for c, d in zip(q, q[1:]):
+            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                return 0.0
+            out = min(out, to(a, b, c), to(a, b, d), to(c, d, a), to(c, d, b))
+    return out
+
+
+def test_nearest_buildings_equal_brute_force_and_few_pairs_are_measured(spark, monkeypatch):
+    rng = random.Random(13)
+    ring = lambda n, r: star(rng, n, rng.uniform(0, 1500), rng.uniform(0, 1500), r)
+    parcels = [(k, ring(rng.choice([5, 9, 40]), rng.choice([10.0, 30.0, 300.0]))) for k in range(60)]
+    houses = [(k, ring(rng.choice([4, 8]), rng.choice([6.0, 15.0, 150.0]))) for k in range(150)]
+    at = spark.createDataFrame([(k, 0, "Weg", "1", None, [[r]]) for k, r in parcels], f"parcel_id int, pos int, str string, hnr string, hnr_zus string, geometry {geo.GEOMETRY}")
+    named = spark.createDataFrame([(k, "Weg 1", [[r]]) for k, r in houses], f"building_id int, lagebez string, geometry {geo.GEOMETRY}")
+    want = {}
+    for p, r in parcels:
+        near = min((edge_distance(r, h), -area_of(h), b) for b, h in houses)
+        if near[0] <= 100:
+            want[p] = (near[2], round(near[0], 6))
+    got = {r["parcel_id"]: (r["building_id"], round(r["distance"], 6)) for r in buildings.nearest_building(at, named).collect()}
+    assert got == want and len(want) > 30
+    # of many small buildings around an address, few can be the nearest
+    close = lambda n, r: [[star(rng, n, rng.uniform(0, 300), rng.uniform(0, 300), r)]]
+    at = spark.createDataFrame([(k, 0, "Weg", "1", None, close(5, 8.0)) for k in range(20)], at.schema)
+    named = spark.createDataFrame([(k, "Weg 1", close(4, 5.0)) for k in range(200)], named.schema)
+    assert buildings.candidate_pairs(at, named, 100.0).count() < 200
+    # pairs of many edges are measured in blocks
+    monkeypatch.setattr(buildings, "ROOM", 1000)
+    shapes = [ring(n, 100.0) for n in (30, 80, 300, 5)]
+    for p in shapes:
+        for q in shapes:
+            flat = [np.array([v for a, b in zip(r, r[1:]) for v in (*a, *b)]) for r in (p, q)]
+            assert abs(buildings.distances([flat[0]], [flat[1]])[0] - (0 if p is q else edge_distance(p, q))) < 1e-9
+
+
+def area_of(r):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))) / 2
+
+
 def test_options_are_rebuilt_only_for_another_served_set(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/options"
     df = spark.createDataFrame([("1", "g"), ("2", None)], "plz string, gemeinde string")

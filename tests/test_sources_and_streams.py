@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import json
 import os
 import random
 import tempfile
@@ -12,9 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flurstrom.functions import geo
-from flurstrom.operators import publish
+from flurstrom.operators import geocode, publish
+from flurstrom.operators.imports import Fetched
 from flurstrom.plans import QUERIES, files
-from flurstrom.sources import delimited, documents, gml
+from flurstrom.sources import configured, delimited, documents, gml
 from flurstrom.streaming import usage
 
 
@@ -196,6 +198,84 @@ def test_admission_equals_a_loop_in_batch_and_stream(spark):
     assert {r["event_id"]: r["admitted"] for r in spark.read.parquet(f"{top}/out").collect()} == want
 
 
+GOOD = {"id": "hb", "epsg": 25832, "parcels": {"path": "p", "feature": "F", "fields": {"id": "i", "area": "a", "geometry": "g"}}, "addresses": {"kind": "geojson", "path": "q"}, "gates": {"max_unmatched": 0.5}}
+
+
+@pytest.mark.parametrize(
+    "change, message",
+    [
+        ({"id": "Hb"}, "Hb: id must be of a-z, 0-9 and hyphens"),
+        ({"id": "taken"}, "taken: id is used twice"),
+        ({"epsg": 4326}, "hb: epsg must be one of 25831, 25832, 25833, was 4326"),
+        ({"colour": 1}, "hb: colour is unknown"),
+        ({"parcels": {"path": "p", "feature": "F", "fields": {"id": "i", "geometry": "g"}}}, "hb: parcels.fields.area is missing"),
+        ({"parcels": {"path": "p", "feature": "F F", "fields": {"id": "i", "area": "a", "geometry": "g"}}}, "hb: parcels.feature is no element name: F F"),
+        ({"parcels": {"path": "p", "feature": "F", "fields": {"id": "i", "area": "a", "geometry": "g", "x": "y"}}}, "hb: parcels.fields.x is unknown"),
+        ({"parcels": {"path": "p", "feature": "F", "fields": {"id": "i", "area": "2a", "geometry": "g"}}}, "hb: parcels.fields.area is no element name: 2a"),
+        ({"addresses": {"kind": "wfs"}}, "hb: addresses.kind must be one of flat, components, geojson, houses, texts"),
+        ({"addresses": {"kind": "houses"}}, "hb: addresses.path is missing"),
+        ({"addresses": {"kind": "geojson", "path": "q", "zone": 1}}, "hb: addresses.zone is unknown for geojson"),
+        ({"addresses": {"kind": "texts"}}, "hb: addresses of kind texts need parcels.fields.lagebez and gemeinde"),
+        ({"buildings": {"path": "b", "feature": "B", "fields": {"id": "i", "geometry": "g", "lagebez": "l"}}}, "hb: buildings are read with addresses of kind texts only"),
+        ({"gates": {"max_unmatched": 1.5}}, "hb: gates.max_unmatched must be between 0 and 1"),
+        ({"gates": {"most": 1}}, "hb: gates.most is unknown"),
+        ({"cell": 0}, "hb: cell must be above 0 and at most a million metres"),
+    ],
+)
+def test_each_fault_of_a_configuration_has_one_message(change, message):
+    assert configured.faults({"sources": [GOOD]}) == []
+    assert configured.faults({"sources": [GOOD | change]}, ("taken",)) == [message]
+    with pytest.raises(configured.ConfigurationError, match="no JSON"):
+        configured.sources("{")
+    with pytest.raises(configured.ConfigurationError, match="used twice"):
+        configured.sources(json.dumps({"sources": [GOOD, GOOD]}))
+
+
+def test_configured_sources_give_the_rows_of_their_mappings(spark):
+    """All kinds of addresses that need no XML of their own, through a configuration and through the readers."""
+    sf = "/root/testdata/sf0.001"
+    parcels = {"path": files.landed_parcels(spark, sf), "feature": "Flurstueck", "fields": files.FIELDS}
+    own = lambda addresses, **more: configured.sources(json.dumps({"sources": [{"id": "x", "epsg": 25832, "parcels": parcels, "addresses": addresses, **more}]}))["x"]
+    path = files.landed_geojson(spark, sf)
+    geojson = own({"kind": "geojson", "path": path})
+    assert sorted(map(repr, geojson.read_addresses(spark).collect())) == sorted(map(repr, documents.addresses(spark, path).select("str", "hnr", "hnr_zus", "plz", "ort", "gemeinde", "x", "y").collect()))
+    fetched = Fetched()
+    assert geojson.rows(spark, fetched).where("flaeche_amtl IS NULL OR lat IS NULL").isEmpty() and [n for n, _ in fetched.gates] == ["join"]
+    texts = own({"kind": "texts"}, buildings={"path": parcels["path"], "feature": "Flurstueck", "fields": {"id": "oid", "geometry": "geometrie", "lagebez": "lagebeztxt"}})
+    got = texts.rows(spark, Fetched())
+    assert got.count() == geocode.exploded(texts.read_parcels(spark)).count() and {r["str"] for r in got.collect()} == {"Am Tor"} and got.where("lat IS NULL").isEmpty()
+
+
+def test_the_box_of_a_zone_is_reprojected_and_editions_need_files(spark):
+    square_ = lambda x, y: {"type": "Polygon", "coordinates": [[[x, y], [x + 0.05, y], [x + 0.05, y + 0.05], [x, y + 0.05], [x, y]]]}
+    body = json.dumps({"features": [{"properties": {"postcode": c}, "geometry": square_(x, y)} for c, x, y in (("10001", 9.0, 52.0), ("10002", 9.6, 52.0), ("10003", 9.0, 53.0))]})
+    path = put("areas.json", body)
+    corner = geo.to_utm(F.lit(25832), F.lit(9.0), F.lit(52.0))
+    x, y = spark.range(1).select(corner.alias("p")).select("p.x", "p.y").first()
+    kept = lambda **more: sorted(r["plz"] for r in documents.postcode_areas(spark, path, (x, y, x + 1000, y + 1000), **more).collect())
+    assert kept(epsg=25832) == ["10001"] and kept(epsg=25832, margin=0.7) == ["10001", "10002"]
+    with pytest.raises(ValueError):
+        kept(epsg=4326)
+    top = tempfile.mkdtemp(prefix="spark-")
+    for k, files_ in enumerate(([], [{"name": "a", "timestamp": "2024-01-01T00:00:00"}])):
+        with open(f"{top}/{k}.json", "w", encoding="utf-8") as f:
+            f.write(json.dumps({"datasets": [{"name": "d", "files": files_}]}))
+    assert [r["file"] for r in documents.latest_edition(spark, top).collect()] == ["a"]
+    with pytest.raises(Exception, match="dataset without files: e"):
+        documents.latest_edition(spark, put("m.json", '{"datasets":[{"name":"e","files":[]}]}')).collect()
+
+
+def test_members_of_one_archive_are_dealt_to_many_tasks(spark):
+    top = tempfile.mkdtemp(prefix="spark-")
+    with zipfile.ZipFile(f"{top}/one.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(40):
+            z.writestr(f"part{k}.csv", "".join(f"{k};{n}\n" for n in range(50)))
+        z.writestr("read.txt", "no")
+    got = documents.zip_lines(spark, top, "*.CSV", portion=200)
+    assert got.rdd.getNumPartitions() > 5 and got.count() == 2000 and got.select("member").distinct().count() == 40
+    assert documents.zip_lines(spark, top, "*.pdf").count() == 0
+
+
 def test_landed_documents_grow_in_number_not_in_size(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     names = ("resolve_components", "admin_unit_pick", "ingest_geojson_addresses", "latest_edition", "latest_listing_entry")
