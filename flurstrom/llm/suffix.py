@@ -402,16 +402,16 @@ def split(parts: DataFrame, length: int, stride: int) -> DataFrame:
     return parts.select("key", "s0", "h", "part", "shared").mapInPandas(of, "key binary, s0 long, n long, h long, part binary, part_id binary, shared long")
 
 
-def crowded_hashes(parts: DataFrame, bucket_windows: int) -> DataFrame:
+def crowded_hashes(parts: DataFrame, length: int, bucket_windows: int) -> DataFrame:
     """h of those whose different parts have more windows, or bytes, than a bucket may."""
-    each = parts.groupBy("h", "part_id").agg(F.first("n").alias("n"), F.first(F.octet_length("part")).alias("bytes"))
-    return each.groupBy("h").agg(F.sum("n").alias("w"), F.sum("bytes").alias("bytes"), F.count("*").alias("c")).where((F.col("c") > 1) & ((F.col("w") > bucket_windows) | (F.col("bytes") > WINDOW_BYTES * bucket_windows))).select("h")
+    each = parts.groupBy("h", "part_id").agg(F.first("n").alias("n"))
+    return each.groupBy("h").agg(F.sum("n").alias("w"), F.sum(F.col("n") + length - 1).alias("bytes"), F.count("*").alias("c")).where((F.col("c") > 1) & ((F.col("w") > bucket_windows) | (F.col("bytes") > WINDOW_BYTES * bucket_windows))).select("h")
 
 
 def marked_parts(parts: DataFrame, length: int, bucket_windows: int) -> DataFrame:
     """part_id and the ranges that its repeated windows cover: of equal parts all, of others those that sorting finds."""
     one = parts.groupBy("h", "part_id").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.count("*").alias("c"))
-    size = one.agg(F.sum("n").alias("windows"), F.sum(F.octet_length("part")).alias("bytes")).first()
+    size = parts.agg(F.sum("n").alias("windows"), F.sum(F.col("n") + length - 1).alias("bytes")).first()
     buckets = max(1, (size["windows"] or 0) // bucket_windows, (size["bytes"] or 0) // (WINDOW_BYTES * bucket_windows))
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
@@ -503,7 +503,7 @@ def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None
     # of equal parts one is sorted; what is still too large for a bucket is filed anew, until nothing but equal windows would be together
     parts = found.withColumn("shared", F.lit(-1).cast("long"))
     for stride in STRIDES:
-        crowded = cut(crowded_hashes(parts, bucket_windows))
+        crowded = cut(crowded_hashes(parts, length, bucket_windows))
         if crowded.isEmpty():
             break
         before, parts = found, cut(parts.join(crowded, "h", "left_anti").unionByName(split(parts.join(crowded, "h"), length, min(stride, length - length // 2 + 1))), large=True)
