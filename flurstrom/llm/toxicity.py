@@ -9,9 +9,10 @@ are scored in one pass.
 
 Defined cases: null and empty texts get the score of an empty bag (the bias
 alone); rows without label or text are never learnt from; with labels of one kind
-only, or none, every score is that kind's share (0 without labels); repeated rows
-are scored alike; an empty table gives no rows; columns besides id and text are
-ignored.
+only, or none, every score is that kind's share (0 without labels); of rows with
+one id one is learnt from; repeated rows are scored alike; texts that the sample's
+bytes have no room for aren't learnt from, and are scored whole like any other; an
+empty table gives no rows; columns besides id and text are ignored.
 """
 
 import re
@@ -27,6 +28,8 @@ from .common import bounded, give_back, spans
 
 #: Rows of each label to learn from, at most; sampled by hash. More of label 0 keeps clean texts clean.
 SAMPLE_ROWS = {1: 1800, 0: 3400}
+#: Bytes of the texts of each label's sample, at most: texts beyond are left out whole.
+SAMPLE_BYTES = 48 << 20
 BUCKETS = 1 << 16
 DIM = 8
 #: Passes over the sample: as many as make STEPS batches, within these bounds.
@@ -182,7 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     by = F.xxhash64("doc_id", F.lit(5))
     most = most or SAMPLE_ROWS
     chosen = F.broadcast(sample(known, "label", most, by))  # ids and labels, as many as ``most`` allows
-    rows = chosen.join(bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id").select("doc_id", "text", "label")
+    rows = chosen.join(bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()), "doc_id")
+    # of an id's rows one, however many there are, and of the texts as many as there is room for
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(by, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("doc_id", "text", "label")
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "label", "text"])

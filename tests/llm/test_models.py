@@ -70,6 +70,18 @@ def test_toxicity_shares_subwords_with_misspellings(spark):
     assert abs(same - got[7]["score"]) < 1e-9
 
 
+def test_a_sampled_id_that_repeats_is_learnt_from_once(spark, monkeypatch):
+    rows = [(k, "good words here" if k % 2 else "bad words there") for k in range(40)]
+    docs = spark.createDataFrame(rows + [(1, f"good again {n}") for n in range(3000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)] * 3, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: toxicity.Model(np.full(1, len(texts), np.float32), float(sum(map(len, texts)))))
+    whole = toxicity.fit(docs, marks, F.lit(False))
+    assert whole.weight.tolist() == [40.0]
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100)
+    some = toxicity.fit(docs, marks, F.lit(False))
+    assert 10 <= some.weight[0] <= 14 and some.bias <= 200
+
+
 def test_pages_of_unseen_layouts(spark):
     model = pages.learnt()
     rng = random.Random(77)
