@@ -127,7 +127,8 @@ def candidate_pairs(addresses: DataFrame, buildings: DataFrame, reach: float) ->
     wide = F.col("tight")
     own = own.withColumn("box", F.struct((wide["min_x"] - reach).alias("min_x"), (wide["min_y"] - reach).alias("min_y"), (wide["max_x"] + reach).alias("max_x"), (wide["max_y"] + reach).alias("max_y")))
     own, named = (d.withColumn("level", level_of(F.col("box"), size)).where("level IS NOT NULL") for d in (own, named))
-    levels = own.select("level").unionByName(named.select("level")).agg(F.collect_set("level").alias("levels"))
+    theirs = buildings.where("lagebez IS NOT NULL").select(level_of(geo.envelope(F.col("geometry")), size).alias("level"))  # without reading texts
+    levels = own.select("level").unionByName(theirs.where("level IS NOT NULL")).agg(F.collect_set("level").alias("levels"))
     left = on_own_and_higher(own, levels, size).withColumnsRenamed({"box": "reached", "level": "own_level"})
     met = left.join(on_own_and_higher(named, levels, size), ["str", "hnr", "suffix", "on", "cx", "cy"]).where(F.col("on") == F.greatest("own_level", "level"))
     r, box = F.col("reached"), F.col("box")
