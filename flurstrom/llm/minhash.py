@@ -2,7 +2,7 @@
 
 A text's set of word shingles has a signature of COORDS minima. Texts with equal
 sets are one class. A pair of sets as similar as the threshold agrees in at least
-MATCHES coordinates (but for one pair in some ten million at the threshold
+MATCHES coordinates (but for eight pairs in some ten million at the threshold
 itself), so it shares at least one of the COORDS - MATCHES + 1 coordinate values
 that are rarest in either: only this prefix is posted, values that one class alone
 has need no posting, and classes with fewer than MATCHES other values drop out. The
@@ -16,9 +16,9 @@ the triangle inequality of the Jaccard distance asks that their differences to t
 hub's set overlap, in so many elements that the rarest of a's and b's differences
 must meet: prefixes of differences are joined on (hub, element), and a pair is made
 only where sizes and places leave it a chance. Copies of one text with edits of
-their own have differences that don't meet, so no group makes all its pairs. All
-pairs, however found, have their agreeing coordinates counted, are retained with
-MATCHES or more, and are confirmed on the full sets. Components come from
+their own have differences that don't meet, so no group makes all its pairs. Pairs
+of short lists have their agreeing coordinates counted and are retained with MATCHES
+or more; those, and the pairs found by way of a hub, are confirmed on the full sets. Components come from
 alternating large-star and small-star steps over the links.
 
 Defined cases: null text is empty; a text without words has no set and is linked
