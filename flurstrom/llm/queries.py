@@ -71,5 +71,6 @@ ORACLE_SQL = {
     "op1_license_scan": licenses.sql(),
     "op8_decontaminate": decontaminate.SQL,
     "op9_chat_format": chat.SQL,
+    "op12_conversation_repair": repair.sql(),
     "op13_document_fingerprints": fingerprint.sql(),
 }

@@ -271,3 +271,46 @@ def damaged(conversations: DataFrame) -> DataFrame:
     text = F.when(F.col("c") == 1, "").when(F.col("c") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
     role = F.when(F.col("c") == 4, "user").otherwise(F.col("role"))
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), F.when(F.col("c") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def sql() -> str:
+    """The query's report in DuckDB's SQL: edits by recursion over a conversation's rows from the last to the first, whose
+    costs and letters are one string that compares like both, then over the audit's letters."""
+    said = "coalesce(CAST({} AS VARCHAR), ' ')".format
+    step = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(w, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: {step}), 4294967295)"
+    add = lambda v, n, letter: f"(lpad(CAST(CAST({v}[:9] AS BIGINT) + {n} AS VARCHAR), 9, '0') || '{letter}' || {v}[10:])"
+    none = "'099999999'"
+    rough = f"(CASE WHEN fault = {TRUNCATED} THEN {ROUGH} ELSE 0 END)"
+    options = []
+    for s, own in enumerate(NEXT):
+        keeps = "".join(f" WHEN '{c}' THEN {add(f'p{t}', f'{KEEP} + {rough}', 'K')}" for c, t in own.items())
+        options.append(f"least({add(f'p{s}', DELETE, 'D')}, CASE WHEN fault IN ({SOUND}, {TRUNCATED}) THEN least(CASE initial{keeps} END, {add(f'p{TURN[s][0]}', f'{REROLE} + {rough}', 'R')}) END) AS x{s}")
+    # of two states whose inserted turns lead to each other, one insertion is enough
+    settle = f"SELECT conv_id, n, least(x0, {add('q2', INSERT, 'I')}) AS p0, least(x1, {add('q2', INSERT, 'I')}) AS p1, q2 AS p2, q3 AS p3 FROM (SELECT *, least(x2, {add('x3', INSERT, 'I')}) AS q2, least(x3, {add('x2', INSERT, 'I')}) AS q3 FROM ({{}}) x) q"
+    first = settle.format(f"SELECT conv_id, max(pos) AS n, '000000000' AS x0, {none} AS x1, {none} AS x2, '000000000' AS x3 FROM marks GROUP BY conv_id")
+    then = settle.format(f"SELECT prices.conv_id, n - 1 AS n, {', '.join(options)} FROM prices JOIN marks ON marks.conv_id IS NOT DISTINCT FROM prices.conv_id AND pos = n")
+    turned = "CASE state " + " ".join(f"WHEN {s} THEN {t}" for s, (t, _) in enumerate(TURN)) + " END"
+    role_of = "CASE state " + " ".join(f"WHEN {s} THEN '{r}'" for s, (_, r) in enumerate(TURN)) + " END"
+    kept = "CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END"
+    white = " || ".join(f"chr({ord(c)})" for c in WHITE)
+    return f"""
+WITH RECURSIVE damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE r END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS text
+  FROM (SELECT conv_id, turn, r, t, d, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM
+    (SELECT conv_id, turn, {said("role")} AS r, {said("text")} AS t, {crc} % 20 AS d FROM (SELECT *, {said("conv_id")} || ':' || {said("turn")} AS w FROM conversations) a) b) c),
+marks AS (SELECT *, CASE WHEN ending = '' THEN {BLANK} WHEN again > 1 THEN {DUPLICATE} WHEN right(ending, 1) NOT IN ('.', '!', '?') THEN {TRUNCATED} ELSE {SOUND} END AS fault FROM
+  (SELECT *, role[:1] AS initial, rtrim(text, {white}) AS ending, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS again FROM
+    (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS pos FROM damaged) o) a),
+prices AS ({first} UNION ALL {then}),
+audits AS (SELECT conv_id, CAST(p0[:9] AS BIGINT) AS cost, p0[10:] AS audit FROM prices WHERE n = 0),
+replay AS (SELECT conv_id, audit, 0 AS k, 0 AS j, 0 AS state, CAST(NULL AS VARCHAR) AS said FROM audits
+  UNION ALL SELECT r.conv_id, audit, k + 1, CASE letter WHEN 'I' THEN j ELSE j + 1 END, CASE letter WHEN 'D' THEN state WHEN 'K' THEN {kept} ELSE {turned} END,
+    CASE WHEN letter = 'D' THEN said ELSE concat_ws(chr(10), said, CASE letter WHEN 'I' THEN {role_of} || ':' WHEN 'R' THEN {role_of} || ':' || text ELSE role || ':' || text END) END
+  FROM (SELECT *, audit[k + 1 : k + 1] AS letter FROM replay WHERE k < length(audit)) r LEFT JOIN marks ON marks.conv_id IS NOT DISTINCT FROM r.conv_id AND pos = j + 1),
+pairs AS (SELECT conv_id, initial, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM marks),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = {BLANK}) AS blank, count(*) FILTER (fault = {DUPLICATE}) AS duplicate, count(*) FILTER (fault = {TRUNCATED}) AS truncated FROM marks GROUP BY conv_id),
+breaks AS (SELECT conv_id, count(*) FILTER (before || initial NOT IN ({", ".join(f"'{x}'" for x in sorted(LEGAL))})) AS illegal FROM pairs GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(a.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN breaks b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
+  LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN replay r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND k = length(a.audit)
+"""

@@ -196,6 +196,15 @@ def test_repair_of_odd_conversations_equals_brute_force(spark):
     assert reports(repair.repair(repair.damaged(df), df)) == plainly_repaired(table)
 
 
+def test_repair_sql_gives_the_same_reports():
+    rng = random.Random(15)
+    table = [(conv, rng.choice([turn, turn, None, 0]), rng.choice(["user", "assistant", "assistant", "system", None, "uncle"]), rng.choice(["Hi.", "Hi", None, "", " \n", "No?\t", "same.", f"t{turn}."])) for conv in [None, *range(150)] for turn in range(rng.randint(1, 9))]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", table)
+    assert {r[0]: tuple(r[1:]) for r in c.execute(repair.sql()).fetchall()} == plainly_repaired(table)
+
+
 def test_repair_without_rows_and_of_nothing(spark):
     gone = next(k for k in range(10**6) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
     df = spark.createDataFrame([(gone, 0, "user", "Hi.")], CONVERSATIONS)
