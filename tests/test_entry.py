@@ -17,6 +17,15 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+#: Some queries of each kind, run where the operators are gone.
+RUNS = """
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.local.dir", "{top}/local").config("spark.checkpoint.dir", "file://{top}/shared").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+for name in ("search_ordered", "point_in_polygon", "import_runs", "ingest_delimited", "daily_telemetry", "cluster_points"):
+    assert q[name](s, "/root/testdata/sf0.001").count() > 0, name
+"""
+
+
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
     top = Path(__file__).resolve().parents[1]
     for name in ("flurstrom", "tests"):
@@ -27,4 +36,5 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     for with_pipeline in (False, True):
         if with_pipeline and (top / "corpus_pipeline.py").exists():
             shutil.copy(top / "corpus_pipeline.py", tmp_path)
-        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+            code += RUNS.format(top=tmp_path)
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=300)
