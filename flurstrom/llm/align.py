@@ -225,8 +225,8 @@ def aligner(a_file: str, b_file: str) -> Aligner:
     return Aligner(a_file, b_file)
 
 
-def figures_of(rows: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """id, the figures and the distinct linked pairs (with how often) of each row (id, text)."""
+def figures_of(rows: DataFrame, a_file: str, b_file: str, groups: bool = False) -> DataFrame:
+    """id, the figures and the distinct linked pairs (with how often) of each row (id, text); with groups, these as text too."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_file, b_file)
@@ -235,7 +235,8 @@ def figures_of(rows: DataFrame, a_file: str, b_file: str) -> DataFrame:
             n = np.array([len(p) for p in parts], np.int64)
             every, doc = np.concatenate(parts), np.repeat(np.arange(len(parts)), n)
             figures = [np.bincount(doc, own.figures[every, k], len(parts)).astype(np.int64) for k in range(1, 5)]
-            told = [hashlib.sha256(";".join(map(own.groups.__getitem__, p.tolist())).encode()).hexdigest() if len(p) else "" for p in parts]
+            said = [";".join(map(own.groups.__getitem__, p.tolist())) for p in parts]
+            told = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in said]
             # pairs as small numbers, so that a text and a pair are one number
             which, at = np.unique(every, return_inverse=True)
             links, each = own.links_of(which)
@@ -246,10 +247,11 @@ def figures_of(rows: DataFrame, a_file: str, b_file: str) -> DataFrame:
             owner, pair = both // max(1, len(pairs)), pairs[both % max(1, len(pairs))]
             ends = np.searchsorted(owner, np.arange(len(parts) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(t))) for v, t in ((pair >> 32, np.int32), (pair & 0xFFFFFFFF, np.int32), (times, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, figures), pa.array(told, pa.string()), *lists], names=["id", *FIGURES, "a", "b", "times"])
+            more = [pa.array(said, pa.string())] * groups
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, figures), pa.array(told, pa.string()), *more, *lists], names=["id", *FIGURES, *["groups"] * groups, "a", "b", "times"])
         give_back()
 
-    return rows.mapInArrow(of, f"id {dict(rows.dtypes)['id']}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<long>")
+    return rows.mapInArrow(of, f"id {dict(rows.dtypes)['id']}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, {'groups string, ' * groups}a array<int>, b array<int>, times array<long>")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -272,6 +274,7 @@ def with_sums(found: DataFrame, counts: DataFrame, most_pairs: int) -> DataFrame
     codes, n, best = (c.to_numpy() for c in own.columns)
     order = np.argsort(codes)
     shared = found.sparkSession.sparkContext.broadcast((codes[order], n[order], best[order].astype(np.int64)))
+    carried = [(c, t) for c, t in found.dtypes if c not in ("a", "b", "times")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, *values = shared.value
@@ -283,17 +286,19 @@ def with_sums(found: DataFrame, counts: DataFrame, most_pairs: int) -> DataFrame
             # by differences of running sums, as integers
             upto = [np.r_[0, np.cumsum(v[at] * times.flatten().to_numpy())] for v in values]
             count_sum, n_best = (pa.array(u[end] - u[begin]) for u in upto)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", *FIGURES)] + [n_best, count_sum], names=["id", *FIGURES, "n_best", "count_sum"])
+            names = [c for c, _ in carried]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [n_best, count_sum], names=[*names, "n_best", "count_sum"])
         give_back()
 
-    return found.mapInArrow(of, f"id {dict(found.dtypes)['id']}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
+    return found.mapInArrow(of, ", ".join(f"{c} {t}" for c, t in carried) + ", n_best long, count_sum long")
 
 
-def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """doc_id, numbers of tokens, groups and links, best links, sum of their counts and the groups' hash of every row.
+def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", most_pairs: int = MOST_PAIRS, groups: bool = False) -> DataFrame:
+    """doc_id, numbers of tokens, groups and links, best links, sum of their counts and the groups' hash of every row; with
+    groups also these themselves, as text: A's ids and B's of each (``a1,a2|b1;a3|b2,b3``).
 
     a_file and b_file name files of the public vocabularies; each worker finds its own copies."""
     rows = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = cut(figures_of(rows, a_file, b_file))
+    found = cut(figures_of(rows, a_file, b_file, groups))
     out = with_sums(found, cut(pair_counts(found)), most_pairs)
-    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *["groups"] * groups)

@@ -81,6 +81,8 @@ def test_alignment_of_null_ids_repeated_rows_and_nothing(spark):
     assert sorted((r["doc_id"] or 0, r["n_a"] > 0) for r in rows) == [(0, True), (0, True), (1, False), (1, True)]
     assert [r["count_sum"] for r in rows if r["n_links"]] == [3 * r["n_links"] for r in rows if r["n_links"]]
     assert align.align(docs.limit(0)).collect() == []
+    told = {r["groups"]: r["groups_sha256"] for r in align.align(docs, groups=True).collect()}
+    assert len(told) == 2 and told[""] == "" and all(hashlib.sha256(k.encode()).hexdigest() == v for k, v in told.items() if k)
 
 
 def test_a_worker_forgets_and_learns_anew(monkeypatch):
