@@ -15,8 +15,10 @@ CELL = 100.0
 
 
 def parcels(spark, sf_dir):
+    """Parcels as squares; one whose edge is below 0 holds nothing, so its square is a point."""
     v = view(spark, sf_dir, "v_parcels")
-    return v.withColumn("geometry", geo.rectangle(F.col("min_x"), F.col("min_y"), F.col("min_x") + F.col("edge"), F.col("min_y") + F.col("edge")))
+    edge = F.greatest("edge", F.lit(0.0))
+    return v.withColumn("geometry", geo.rectangle(F.col("min_x"), F.col("min_y"), F.col("min_x") + edge, F.col("min_y") + edge))
 
 
 def areas(spark, sf_dir):
