@@ -25,9 +25,15 @@ MANIFEST = "datasets array<struct<name:string,title:string,files:array<struct<na
 LISTING = "searchresult struct<downloads:array<struct<name:string,fileExtension:string,creationDate:string,downloadLink:struct<uri:string>>>>"
 
 
+#: Control characters, which JSON never has as they are: so no document holds it, and a file is one line.
+NOWHERE = "\x00\x00\x01\x01"
+
+
 def documents(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
-    """Files read whole, each one document; one without the field fails the job."""
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    """Files read whole, each one document; one without the field fails the job.
+
+    With multiLine each number or list that is read as a string would be looked up in the file by a read of its own."""
+    rows = spark.read.schema(schema).option("lineSep", NOWHERE).json(path)
     return rows.where(F.when(F.col(field).isNull(), F.raise_error(F.lit(f"a document has no {field}"))).otherwise(F.lit(True)))
 
 
