@@ -293,6 +293,17 @@ def test_landed_documents_grow_in_number_not_in_size(spark, monkeypatch):
         assert len(sizes) > 10 and max(sizes) <= (50 * 10 if name == "manifests" else 40), (name, sizes)
 
 
+def test_documents_are_read_once_and_as_they_are(spark):
+    body = json.dumps({"features": [{"properties": {"STN": "Weg", "HNR": k, "XCOORD": 32_000_000.0 + k, "YCOORD": 1.0, "PLZ": 10_000}} for k in range(5000)]}, indent=1)
+    path = put("a.json", body)
+    seen = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    began = seen()
+    got = documents.feature_tally(documents.features(spark, path)).collect()[0]
+    assert tuple(got) == (5000, 0) and seen() - began < 3 * len(body)
+    odd = put("b.json", '\ufeff[{"features": [{"properties":\n\n{"HNR": 1.50, "PLZ": "01234", "XCOORD": 1, "YCOORD": 2}}]},\r\n{"features": []}]\n\n')
+    assert [(r["hnr"], r["plz"]) for r in documents.addresses(spark, odd).collect()] == [("1.50", "01234")]
+
+
 def test_manifests_of_one_dataset(spark):
     top = tempfile.mkdtemp(prefix="spark-")
     one = lambda *f: '{"datasets":[{"name":"d","files":[' + ",".join(f'{{"name":"{n}","timestamp":"{t}"}}' for n, t in f) + "]}]}"
