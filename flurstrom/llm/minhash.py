@@ -9,9 +9,10 @@ has need no posting, and classes with fewer than MATCHES other values drop out.
 longer posting lists are skipped; what they would add is counted from eight bits of
 each coordinate, which a class keeps beside its id.
 
-A list of up to SMALL members makes its pairs, at most SMALL - 1 for a member. In a
-longer list every member meets the hub only, the class of the list's least hash:
-members linked to the hub are connected. For any other link of two members a and b
+A list of up to SMALL members makes its pairs, at most SMALL - 1 for a member. Longer
+lists with the same class of least hash are a group, in which every member meets the hub
+only, the member whose signature is most like the group's commonest one: members linked
+to the hub are connected. For any other link of two members a and b
 the triangle inequality of the Jaccard distance asks that their differences to the
 hub's set overlap, in so many elements that the rarest of a's and b's differences
 must meet: prefixes of differences are joined on (hub, element), and a pair is made
@@ -146,6 +147,21 @@ def posted(classes: DataFrame) -> DataFrame:
     return out
 
 
+def central(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and hub, the central member of each group (id, hub): the one whose symbols agree with most of the group's commonest ones.
+
+    Any member may be the hub. Differences to one at the margin hold in every member what the others have in common, so that all meet."""
+    own = cut(members.join(classes.select("id", *MARKS), "id"))
+    symbol = lambda m, j: F.shiftrightunsigned(m, 8 * j).bitwiseAND(F.lit(255))
+    usual = own.groupBy("hub").agg(*(F.mode(symbol(m, j), True).alias(f"{m}_{j}") for m in MARKS for j in range(8)))
+    usual = usual.select("hub", *(reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(f"{m}_{j}", 8 * j) for j in range(8))).alias(f"usual_{m}") for m in MARKS))
+    apart = reduce(add, (unequal(F.col(m), F.col(f"usual_{m}")) for m in MARKS))
+    centres = own.join(usual, "hub").groupBy("hub").agg(F.min(F.struct(apart.alias("apart"), F.xxhash64("id").alias("h"), "id"))["id"].alias("centre"))
+    out = cut(members.join(centres, "hub").where("id <> centre").select("id", F.col("centre").alias("hub")).distinct())
+    discard(own)
+    return out
+
+
 def unequal(a: Column, b: Column) -> Column:
     """How many of the eight bytes of a and b differ."""
     x = a.bitwiseXOR(b)
@@ -256,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     few, many = posts.where(F.col("c") <= SMALL), posts.where(F.col("c") > SMALL)
     a, b = (few.select("value", F.col("id").alias(x)) for x in "ab")
     found = cut(retained(ordered(a.join(b, "value").where("a < b")), classes, percent), large=True)
-    spokes = cut(many.where("id <> hub").select("id", "hub").distinct())
+    spokes = central(many.select("id", "hub").distinct(), classes)
     needed = reduce(DataFrame.union, [found.select("u"), found.select("v"), spokes.select("id"), spokes.select("hub")]).distinct().toDF("id")
     needed = cut(needed.join(classes.select("id", "key"), "id"))
     sets = sets_of(rows, needed, words)

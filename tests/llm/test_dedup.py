@@ -102,6 +102,21 @@ def test_pairs_that_meet_are_few_and_complete(spark):
     assert linked <= met and len(met) < 0.05 * len(sets) ** 2 / 2
 
 
+def test_hubs_are_central(spark, monkeypatch):
+    """A hub at the margin of its group (the least hash of this one) makes 823 pairs of these rows."""
+    rng, rows, met, meeting = random.Random(5), [], [], minhash.meeting
+    base = [f"b{k}" for k in range(100)]
+    for i in range(500):
+        w = list(base)
+        for p in rng.sample(range(100), rng.randint(0, 30)):
+            w[p] = f"e{i}-{p}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(minhash, "meeting", lambda *a: met.append(meeting(*a)) or met[0])
+    monkeypatch.setattr(minhash, "discard", lambda *a: None)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(table(spark, rows), words=2).collect()), key=str)
+    assert got == brute_components(rows, 2, 80) and met[0].count() < 300
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, []), words=2).count() == 0
     docs = table(spark, [(1, "a b c d"), (2, "a b c d"), (2, "q r s t")])
