@@ -291,6 +291,14 @@ def test_points_of_a_key_are_clustered_in_order(spark):
     assert got["u"] == [(5.0, 5.0)] and [p[0] for p in got["k"]] == [0.0, 2.0]
 
 
+def test_parcel_texts_are_read_once_for_pins(spark):
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+    parcels = spark.createDataFrame([(1, "Weg 1", shape(0.0, 0.0, 10.0)), (2, "Weg 2, 3b", shape(100.0, 0.0, 10.0))], f"parcel_id int, lagebez string, geometry {geo.GEOMETRY}")
+    houses = spark.createDataFrame([(1, "Weg 2", shape(102.0, 2.0, 2.0))], f"building_id int, lagebez string, geometry {geo.GEOMETRY}")
+    assert buildings.pinned(parcels.withColumn("lagebez", told("lagebez")), houses).count() == 3 and seen.value == 2
+
+
 def test_pins_by_parcel_and_nearest_building(spark):
     parcels = spark.createDataFrame([(1, "Weg 1", shape(0.0, 0.0, 10.0)), (2, "Weg 2, 3b", shape(100.0, 0.0, 10.0)), (3, None, shape(0.0, 0.0, 1.0))], f"parcel_id int, lagebez string, geometry {geo.GEOMETRY}")
     houses = spark.createDataFrame([(1, "Weg 2", shape(102.0, 2.0, 2.0)), (2, "Weg 2", shape(104.0, 4.0, 4.0)), (3, "Weg 3 B", shape(300.0, 0.0, 5.0)), (4, "Weg 3b", shape(209.0, 0.0, 5.0))], f"building_id int, lagebez string, geometry {geo.GEOMETRY}")
