@@ -42,9 +42,11 @@ def point_in_polygon(spark, sf_dir):
 
 @query(f"SELECT * FROM {PIP}")
 def dealt_point_in_polygon(spark, sf_dir):
-    """The same with points dealt by a quadtree, so that crowded places are many cells."""
-    own = points(spark, sf_dir)
-    return spatial.containing(own, parcels(spark, sf_dir), "address_id", "parcel_id", 1.0, ("area_m2",), limit=2000, levels=12)
+    """The same with points dealt by a quadtree, so that crowded places are many cells; points on one place, however many, are one of its points."""
+    own = points(spark, sf_dir).select("address_id", "x", "y").distinct()
+    places = own.groupBy("x", "y").agg(F.min("address_id").alias("place"))
+    met = spatial.containing(places, parcels(spark, sf_dir), "place", "parcel_id", 1.0, ("area_m2",), limit=2000, levels=12)
+    return own.join(places.join(met, "place"), ["x", "y"]).select("address_id", "parcel_id", "area_m2")
 
 
 def round_areas(spark, sf_dir):

@@ -34,6 +34,17 @@ def test_queries_equal_their_sql(spark, folder, name):
     assert Counter(map(tuple, df.collect())) == Counter(said) and said
 
 
+def test_more_points_on_one_place_than_a_cell_holds(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CAST(c_custkey % 3 + 1000 * (i * 150 + c_custkey) AS BIGINT) AS c_custkey) FROM '{SMALL}/customer.parquet', range(50) r(i)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * REPLACE (CAST(s_suppkey + 10 * i AS BIGINT) AS s_suppkey) FROM '{SMALL}/supplier.parquet', range(10) r(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = QUERIES["dealt_point_in_polygon"](spark, str(tmp_path))
+    said = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL['dealt_point_in_polygon']}) o").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(said) and len(said) > 4000
+
+
 def test_boxes_the_wrong_way_round_are_filed_nowhere(spark, monkeypatch):
     filed, layered = [], spatial.layered
     monkeypatch.setattr(spatial, "layered", lambda *a: filed.append(layered(*a)) or filed[0])
