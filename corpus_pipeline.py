@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from flurstrom.llm import decontaminate as leaks
 from flurstrom.llm import minhash, packing, suffix
 from flurstrom.llm import toxicity as tox
-from flurstrom.llm.common import cut, table
+from flurstrom.llm.common import bounded, cut, table
+
+#: Bytes of a batch of rows for Python: an executor keeps the buffers of one stage beside the memory of the next.
+BATCH = "2m"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
-    model = tox.fit(docs, table(spark, sf_dir, "labels"), tox.held(0, 5))
+    model = tox.fit(bounded(docs, BATCH), table(spark, sf_dir, "labels"), tox.held(0, 5))
     return docs.where(tox.score_of(F.col("text"), model, spark) < 0.5)
 
 

@@ -63,11 +63,11 @@ def discard(*stored: DataFrame) -> None:
 BATCH = "8m"
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, most: str = BATCH) -> DataFrame:
     """df, whose session from now on sends Python small batches; batches exist several times over, in the JVM and in each worker."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == "67108864b":
-        conf.set(key, BATCH)
+        conf.set(key, most)
     return df
 
 

@@ -28,6 +28,8 @@ from .common import bounded, byte_slices, cut, ragged
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of texts whose words a worker holds at once, about.
+SLICE = 1 << 18
 #: Code points below this take the fast path; texts with others go to the tokenizer whole.
 SIMPLE = 0x250
 
@@ -44,17 +46,17 @@ class Encoder:
     """Token ids of texts, equal to the tokenizer's own, by way of its pre-tokens.
 
     Ids of a pre-token don't depend on its neighbours, so each distinct one is
-    encoded once and kept while the cache has room. A text that the pattern can't
+    encoded once and kept while the cache has room (some 250 bytes a word). A text that the pattern can't
     split as the tokenizer does, or that names one of its added tokens, is given to
     the tokenizer whole.
     """
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 50_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
-        self.words = Tokenizer(Tokenizer.from_file(path).model)
+        self.words = Tokenizer(self.whole.model)  # one copy for both
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -123,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         import public_tokenizers
 
         encoder = Encoder(public_tokenizers.path(tokenizer))
-        for rows in byte_slices(batches, "text", 1 << 20):
+        for rows in byte_slices(batches, "text", SLICE):
             which, columns = [], {name: [] for name in ("piece", "start", "length", "ids_crc32")}
             for k, ids in enumerate(encoder.encode([t or "" for t in rows.column("text").to_pylist()])):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")

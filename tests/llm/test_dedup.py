@@ -4,9 +4,10 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, islice, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,15 @@ def test_ids_of_any_characters_equal_the_tokenizers():
     for k in range(0, len(texts), 300):
         for t, ids in zip(texts[k : k + 300], encoder.encode(texts[k : k + 300])):
             assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_an_encoder_keeps_few_words():
+    import public_tokenizers
+
+    encoder, letters, most = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), "abcdefghijklmnop", 0
+    text = lambda k: " ".join("".join(c) for c in islice(product(letters, repeat=5), k * 10_000, (k + 1) * 10_000))
+    batch = pa.RecordBatch.from_pydict({"text": [text(k) for k in range(30)]})
+    for rows in packing.byte_slices([batch], "text", packing.SLICE):
+        encoder.encode(rows.column("text").to_pylist())
+        most = max(most, len(encoder.index))
+    assert 50_000 < most < 110_000

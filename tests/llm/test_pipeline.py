@@ -126,3 +126,14 @@ def test_long_texts_in_pieces(monkeypatch):
     ends = lambda t: [(m.start(), m.end()) for m in re.finditer(rb"\S+", t)]
     got = [(a + at, b + at) for at, part in suffix.pieces(body, 51) for (a, _), (_, b) in zip(ends(part), ends(part)[50:])]
     assert got == [(a, b) for (a, _), (_, b) in zip(ends(body), ends(body)[50:])]
+
+
+def test_the_pipeline_sends_python_small_batches(spark, folder):
+    top, key = folder[0], "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        corpus_pipeline.toxicity(spark, spark.read.parquet(f"{top}/documents.parquet"), top).count()
+        assert spark.conf.get(key) == corpus_pipeline.BATCH == "2m"
+    finally:
+        spark.conf.set(key, before)
