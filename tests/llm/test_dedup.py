@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations, islice, product
@@ -281,3 +282,48 @@ def test_an_encoder_keeps_few_words():
         encoder.encode(rows.column("text").to_pylist())
         most = max(most, len(encoder.index))
     assert 50_000 < most < 110_000
+
+
+def test_new_words_cost_a_part_of_the_tokenizers_time():
+    import time
+
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(7)
+    encoder, letters, ratios = packing.Encoder(path), "etaoinshrdlucmfwypvbgkjqxz", []
+    for _ in range(5):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(5, 12))) for _ in range(20_000))
+        begin = time.process_time()
+        want = encoder.whole.encode(text, add_special_tokens=False).ids
+        middle = time.process_time()
+        words = list(dict.fromkeys(text.split(" ")))
+        encoder.forget()
+        encoder.learn(words)
+        ratios.append((time.process_time() - middle) / (middle - begin))
+        assert encoder.encode([text])[0].tolist() == want
+    assert min(ratios) < 0.25
+
+
+def test_ranks_join_what_the_merges_join():
+    import json
+
+    import public_tokenizers
+    from tokenizers import models
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    with open(path) as f:
+        own = json.load(f)["model"]
+    vocab, merges = own["vocab"], [tuple(m) for m in own["merges"]]
+    assert len({"".join(m) for m in merges}) == len(merges)
+    inner, final = models.BPE(vocab, merges), models.BPE(vocab, merges, end_of_word_suffix=packing.END)
+    tokens = [w for w in vocab if not w.startswith("<|")]
+    for w in tokens:
+        model = final if w.endswith(packing.END) else inner
+        assert [t.id for t in model.tokenize(w.removesuffix(packing.END))] == [vocab[w]], w
+    # words of tokens on end, and words of any length
+    encoder = packing.Encoder(path)
+    plain = [w.removesuffix(packing.END) for w in tokens if re.fullmatch("[a-z]+", w.removesuffix(packing.END))]
+    words = ["".join(rng.choices(plain, k=rng.randint(1, 6))) for _ in range(20_000)] + [c * k for c in "aeoz" for k in (*range(1, 40), 99, 100, 101, 499, 500, 501, 5000)]
+    words = list(dict.fromkeys(words))
+    for word, ids in zip(words, encoder.encode(words)):
+        assert ids.tolist() == [t.id for t in final.tokenize(word)], word
