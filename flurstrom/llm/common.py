@@ -54,9 +54,9 @@ def cut(df: DataFrame, large: bool = False) -> DataFrame:
 def discard(*stored: DataFrame) -> None:
     """Deletes the files of tables that cut() made, once all that was read from them is stored elsewhere."""
     for df in stored:
-        jvm, path = df.sparkSession._jvm, df.stored_at
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        for path in [df.stored_at] if isinstance(df.stored_at, str) else df.stored_at:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Bytes of a batch of rows between the JVM and Python, at most, where the session has Spark's default of 64 MB.
@@ -115,6 +115,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that must not broadcast. Spark sizes a table by its files and its columns' types, which says too
+    little by far of exploded rows, of lists and of columns that compress well; such a table may be sent to the driver."""
+    return df.hint("merge")
+
+
 def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """df as a table bucketed by key in the shared folder, whose joins on the key don't shuffle it; and the table's name, to drop it by."""
     spark = df.sparkSession

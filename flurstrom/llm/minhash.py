@@ -33,23 +33,30 @@ kept false); an empty table gives no rows; columns besides id and text are ignor
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_slices, cut, discard, free, once
+from .common import bounded, bucketed, byte_slices, cut, discard, drop_bucketed, free, give_back, shuffled, spans
 
 COORDS, MATCHES = 48, 24
 #: Members of a posting list whose pairs are made directly, at most.
 SMALL = 16
+#: Groups are listed anew while at most this share of their members is left in long lists.
+LESSER = 0.7
 #: Columns of eight symbols of eight bits.
 MARKS = [f"s{k}" for k in range(COORDS // 8)]
 #: Keys of texts whose sets are needed that are broadcast, at most (some 100 bytes each); more are joined by a shuffle.
 SMALL_KEYS = 500_000
+#: Pairs are confirmed in portions, the texts of whose one side have at most this part of the shingles of all classes.
+PART = 0.5
 #: Bytes of text that a task works on at once.
 PORTION = 1 << 19
 ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -135,29 +142,60 @@ def signed(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(of, schema)
 
 
-def posted(classes: DataFrame) -> DataFrame:
-    """value, id, c (members of the value's list) and hub, of the values in each class's prefix that others have posted too."""
-    pairs = classes.select("id", F.explode("values").alias("value"))
-    shared = pairs.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    own = pairs.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("own")).where(F.size("own") >= MATCHES)
-    posts = cut(own.select("id", F.explode(F.slice("own.value", 1, F.size("own") - (MATCHES - 1))).alias("value")), large=True)
-    lists = posts.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub")).where("c > 1")
-    out = cut(posts.join(lists, "value"))
+def posted(classes: DataFrame, *group: str) -> DataFrame:
+    """value, id, c (members of the value's list) and hub, of the values in each class's prefix that others have posted too.
+
+    With a group column, which stays, classes (id, values) are alone with the others of their group."""
+    pairs = classes.select(*group, "id", F.explode("values").alias("value"))
+    shared = pairs.groupBy(*group, "value").agg(F.count("*").alias("f")).where("f > 1")
+    met = pairs.join(shared, [*group, "value"])
+    own = met.groupBy(*group, "id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("own")).where(F.size("own") >= MATCHES)
+    posts = cut(own.select(*group, "id", F.explode(F.slice("own.value", 1, F.size("own") - (MATCHES - 1))).alias("value")), large=True)
+    lists = posts.groupBy(*group, "value").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub")).where("c > 1")
+    out = cut(posts.join(lists, [*group, "value"]))
     discard(posts)
     return out
 
 
+def listed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of members of short lists, and (id, hub) of the members of long ones; both stored.
+
+    A long list is mostly one value that many texts have by chance. Its group is listed anew by itself, where values
+    are rare again and members without enough of them drop out, as long as that leaves a lesser part in long lists."""
+    rows, group, pairs, stored, members, least, before = classes.select("id", "values"), [], [], [], None, 0, None
+    while True:
+        stored.append(posts := posted(rows, *group))
+        few, many = posts.where(F.col("c") <= SMALL), posts.where(F.col("c") > SMALL)
+        a, b = (few.select(*group, "value", F.col("id").alias(x)) for x in "ab")
+        pairs.append(a.join(b, [*group, "value"]).where("a < b").select("a", "b"))
+        here = cut(many.select("id", "hub").distinct())
+        now = here.count()
+        if members is None or now < least:
+            members, least, here = here, now, members
+        else:  # the groups as they were have all those pairs
+            pairs.pop()
+        if here is not None:
+            discard(here)
+        if not now or before is not None and now > LESSER * before:
+            break
+        before, group = now, ["within"]
+        rows = members.withColumnRenamed("hub", "within").join(classes.select("id", "values"), "id")
+    out = cut(ordered(reduce(DataFrame.unionAll, pairs)), large=True)
+    discard(*stored)
+    return out, members
+
+
 def central(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """id and hub, the central member of each group (id, hub): the one whose symbols agree with most of the group's commonest ones.
+    """id, n (the size of its set) and hub, the central member of each group (id, hub): the one whose symbols agree with most of the group's commonest ones.
 
     Any member may be the hub. Differences to one at the margin hold in every member what the others have in common, so that all meet."""
-    own = cut(members.join(classes.select("id", *MARKS), "id"))
+    own = cut(members.join(classes.select("id", "n", *MARKS), "id"))
     symbol = lambda m, j: F.shiftrightunsigned(m, 8 * j).bitwiseAND(F.lit(255))
     usual = own.groupBy("hub").agg(*(F.mode(symbol(m, j), True).alias(f"{m}_{j}") for m in MARKS for j in range(8)))
     usual = usual.select("hub", *(reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(f"{m}_{j}", 8 * j) for j in range(8))).alias(f"usual_{m}") for m in MARKS))
     apart = reduce(add, (unequal(F.col(m), F.col(f"usual_{m}")) for m in MARKS))
     centres = own.join(usual, "hub").groupBy("hub").agg(F.min(F.struct(apart.alias("apart"), F.xxhash64("id").alias("h"), "id"))["id"].alias("centre"))
-    out = cut(members.join(centres, "hub").where("id <> centre").select("id", F.col("centre").alias("hub")).distinct())
+    out = cut(own.select("id", "n", "hub").join(centres, "hub").where("id <> centre").select("id", "n", F.col("centre").alias("hub")).distinct())
     discard(own)
     return out
 
@@ -171,46 +209,85 @@ def unequal(a: Column, b: Column) -> Column:
 
 
 def retained(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that agree in MATCHES coordinates and whose sizes leave them a chance."""
+    """The pairs (u, v) that agree in MATCHES coordinates and whose sizes leave them a chance, and un, the size of u's set."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), *(F.col(m).alias(f"{x}{m}") for m in MARKS))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     agree = COORDS - reduce(add, (unequal(F.col(f"u{m}"), F.col(f"v{m}")) for m in MARKS))
-    return both.where((F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent) & (agree >= MATCHES)).select("u", "v")
+    return both.where((F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent) & (agree >= MATCHES)).select("u", "v", "un")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are as similar as asked."""
-    left = sets.select(F.col("id").alias("u"), F.col("own").alias("x"))
-    right = sets.select(F.col("id").alias("v"), F.col("own").alias("y"))
-    both = once(pairs.join(left, "u").join(right, "v"), both=F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v")
-
-
-def sets_of(rows: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """id and own (the whole set) of each needed class (id, key), from a text that has it."""
-    schema = "id long, own array<long>"
+def texts_of(rows: DataFrame, needed: DataFrame) -> tuple[DataFrame, str]:
+    """id and body, a text of each needed class (id, key), as a table bucketed by id, whose joins don't shuffle it; and its name."""
+    few = needed.count() <= SMALL_KEYS
+    texts = rows.select(F.unhex(F.md5("body")).alias("key"), "body").join(F.broadcast(needed) if few else shuffled(needed), "key")
+    return bucketed(texts.groupBy("id").agg(F.first("body").alias("body")), "id")
+
+
+def side_by_side(pairs: DataFrame, texts: DataFrame, n: str, total: int) -> Iterator[DataFrame]:
+    """The stored pairs (u, v, n) with their texts x and y, in portions by hash: the texts of u in one, which are shuffled,
+    have at most PART of the shingles of all classes, the total."""
+    held = pairs.agg(F.sum(n)).first()[0] or 0
+    parts = max(1, math.ceil(held / (PART * max(1, total))))
+    side = lambda x, text: shuffled(texts.select(F.col("id").alias(x), F.col("body").alias(text)))
+    for p in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == p) if parts > 1 else pairs
+        yield some.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y")
+
+
+def pairs_of_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Some pairs (u, v, x, y) at a time, with the sets of their texts; a text that comes again in them is shingled once."""
+    for batch in batches:
+        x, y = (batch.column(batch.schema.get_field_index(c)) for c in "xy")
+        sizes = pc.add(pc.binary_length(x), pc.binary_length(y)).to_pylist()
+        for part in spans(sizes, PORTION, rows=2000):
+            some, sets = batch.slice(part.start, part.stop - part.start), []
+            for at, text in ("ux", "vy"):
+                ids = some.column(some.schema.get_field_index(at)).to_numpy()
+                _, first, which = np.unique(ids, return_index=True, return_inverse=True)
+                own = shingle_sets(some.column(some.schema.get_field_index(text)).take(pa.array(first)).to_pylist(), words)
+                sets.append([own[k] for k in which])
+            yield some, *sets
+    give_back()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, total: int) -> DataFrame:
+    """The stored pairs (u, v, un) whose sets are as similar as asked; stored."""
 
     def of(batches):
-        for part in byte_slices(batches, "body", PORTION):
-            sets = shingle_sets(part.column("body").to_pylist(), words)
-            ends = np.cumsum([0] + [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "own"])
+        for some, xs, ys in pairs_of_sets(batches, words):
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys)])
+            every = np.array([len(x) + len(y) for x, y in zip(xs, ys)])
+            yield some.select(["u", "v"]).filter(pa.array(100 * both >= percent * (every - both)))
 
-    few = needed.count() <= SMALL_KEYS
-    texts = rows.select(F.unhex(F.md5("body")).alias("key"), "body").join(F.broadcast(needed) if few else needed, "key")
-    return cut(texts.groupBy("id").agg(F.first("body").alias("body")).mapInArrow(of, schema), large=True)
+    done = [cut(part.mapInArrow(of, "u long, v long"), large=True) for part in side_by_side(pairs, texts, "un", total)]
+    return joined(done)
 
 
-def differences(spokes: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, hub, n, m (sizes of the sets of both) and d, the elements that one of both sets has alone."""
-    left = sets.select("id", F.col("own").alias("x"))
-    right = sets.select(F.col("id").alias("hub"), F.col("own").alias("y"))
-    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    return cut(spokes.join(left, "id").join(right, "hub").select("id", "hub", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), apart.alias("d")))
+def differences(spokes: DataFrame, texts: DataFrame, words: int, total: int) -> DataFrame:
+    """id, hub, n, m (sizes of the sets of both) and d, the elements that one of both sets has alone, of the stored spokes; stored."""
+
+    def of(batches):
+        for some, xs, ys in pairs_of_sets(batches, words):
+            apart = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(xs, ys)]
+            ends = np.cumsum([0] + [len(d) for d in apart])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(apart).view(np.int64)))
+            sizes = (pa.array([len(s) for s in own], pa.int64()) for own in (xs, ys))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *sizes, lists], names=["id", "hub", "n", "m", "d"])
+
+    pairs = spokes.withColumnsRenamed({"id": "u", "hub": "v"})
+    done = [cut(part.mapInArrow(of, "id long, hub long, n long, m long, d array<long>"), large=True) for part in side_by_side(pairs, texts, "n", total)]
+    return joined(done)
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """Tables that cut() made as one, which discard() takes for all of them."""
+    out = reduce(DataFrame.unionAll, parts)
+    out.stored_at = [p.stored_at for p in parts]
+    return out
 
 
 def meeting(spokes: DataFrame, percent: int) -> DataFrame:
@@ -267,24 +344,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = lambda *names: [F.first(c).alias(c) for c in names]
     classes = sigs.where("cls IS NOT NULL").groupBy("cls").agg(*first("n", "key", "values", *MARKS), F.min("doc_id").alias("least"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), large=True)
-    posts = posted(classes)
-
-    few, many = posts.where(F.col("c") <= SMALL), posts.where(F.col("c") > SMALL)
-    a, b = (few.select("value", F.col("id").alias(x)) for x in "ab")
-    found = cut(retained(ordered(a.join(b, "value").where("a < b")), classes, percent), large=True)
-    spokes = central(many.select("id", "hub").distinct(), classes)
+    pairs, members = listed(classes)
+    found = cut(retained(pairs, classes, percent), large=True)
+    spokes = central(members, classes)
+    discard(pairs, members)
     needed = reduce(DataFrame.union, [found.select("u"), found.select("v"), spokes.select("id"), spokes.select("hub")]).distinct().toDF("id")
     needed = cut(needed.join(classes.select("id", "key"), "id"))
-    sets = sets_of(rows, needed, words)
-    apart = differences(spokes, sets)
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    texts, name = texts_of(rows, needed)
+    apart = differences(spokes, texts, words, total)
     # x + y elements, of which d lie in one of both sets only
     to_hub = apart.where((F.col("n") + F.col("m")) * (100 - percent) >= F.size("d") * (100 + percent)).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v"))
-    tree = components(confirmed(found, sets, percent).unionByName(to_hub))
+    linked = confirmed(found, texts, percent, words, total)
+    tree = components(linked.unionByName(to_hub))
 
     roots = cut(with_root(apart, tree))
     several = roots.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("hub")
     met = meeting(roots.join(several, "hub"), percent)
-    more = cut(confirmed(retained(met, classes, percent), sets, percent))
+    likely = cut(retained(met, classes, percent))
+    more = confirmed(likely, texts, percent, words, total)
     if not more.isEmpty():
         last, tree = tree, components(tree.unionByName(more))
         discard(last)
@@ -296,6 +374,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = mine.where("cls IS NOT NULL").join(named, "cls").select("doc_id", "n_shingles", "component_id")
     alone = mine.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = cut(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
-    discard(sigs, classes, posts, found, spokes, needed, sets, apart, roots, met, more, tree)
+    discard(sigs, classes, found, spokes, needed, apart, linked, roots, met, likely, more, tree)
+    drop_bucketed(docs.sparkSession, name)
     free(docs.sparkSession)
     return out
