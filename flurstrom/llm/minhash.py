@@ -148,11 +148,11 @@ def posted(classes: DataFrame, *group: str) -> DataFrame:
     With a group column, which stays, classes (id, values) are alone with the others of their group."""
     pairs = classes.select(*group, "id", F.explode("values").alias("value"))
     shared = pairs.groupBy(*group, "value").agg(F.count("*").alias("f")).where("f > 1")
-    met = pairs.join(shared, [*group, "value"])
+    met = shuffled(pairs).join(shared, [*group, "value"])
     own = met.groupBy(*group, "id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("own")).where(F.size("own") >= MATCHES)
     posts = cut(own.select(*group, "id", F.explode(F.slice("own.value", 1, F.size("own") - (MATCHES - 1))).alias("value")), large=True)
     lists = posts.groupBy(*group, "value").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub")).where("c > 1")
-    out = cut(posts.join(lists, [*group, "value"]))
+    out = cut(shuffled(posts).join(lists, [*group, "value"]))
     discard(posts)
     return out
 
@@ -167,7 +167,7 @@ def listed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         stored.append(posts := posted(rows, *group))
         few, many = posts.where(F.col("c") <= SMALL), posts.where(F.col("c") > SMALL)
         a, b = (few.select(*group, "value", F.col("id").alias(x)) for x in "ab")
-        pairs.append(a.join(b, [*group, "value"]).where("a < b").select("a", "b"))
+        pairs.append(shuffled(a).join(b, [*group, "value"]).where("a < b").select("a", "b"))
         here = cut(many.select("id", "hub").distinct())
         now = here.count()
         if members is None or now < least:
@@ -298,7 +298,7 @@ def meeting(spokes: DataFrame, percent: int) -> DataFrame:
     one order, rarest elements first; then the prefixes of those that share so much meet."""
     elements = spokes.select("hub", "id", "n", "root", F.size("d").cast("long").alias("k"), F.explode("d").alias("e"))
     shared = elements.groupBy("hub", "e").agg(F.count("*").alias("f")).where("f > 1")
-    own = elements.join(shared, ["hub", "e"]).groupBy("hub", "id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("f", "e"))).alias("own"))
+    own = shuffled(elements).join(shared, ["hub", "e"]).groupBy("hub", "id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("f", "e"))).alias("own"))
     placed = own.select("hub", "id", "n", "root", "k", F.posexplode("own.e").alias("p", "e"), F.size("own").alias("size"))
     placed = placed.withColumn("p", F.col("k") - F.col("size") + F.col("p") + 1).drop("size")
     # with a partner of fewer elements in its difference, and with one of as many or more
@@ -309,7 +309,7 @@ def meeting(spokes: DataFrame, percent: int) -> DataFrame:
     first = (F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
     asked = (F.col("a.k") + F.col("b.k")) - (F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent)
     chance = 2 * (1 + F.least(F.col("a.k") - F.col("a.p"), F.col("b.k") - F.col("b.p"))) >= asked - 1e-6
-    met = a.join(b, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root")) & first & chance)
+    met = shuffled(a).join(b, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.root") != F.col("b.root")) & first & chance)
     out = cut(ordered(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))))
     discard(placed)
     return out

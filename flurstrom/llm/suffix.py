@@ -46,7 +46,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_slices, cut, discard, distinct_texts, drop_bucketed, give_back
+from .common import bounded, byte_slices, cut, discard, distinct_texts, drop_bucketed, give_back, shuffled
 from .common import spans as spans_of
 
 LENGTH = 400
@@ -480,15 +480,15 @@ def passages(texts: DataFrame, words: int) -> DataFrame:
     own = texts.select("key", "body").where(F.octet_length("body") >= 2 * words - 1)
     every = cut(own.mapInArrow(filed_words, "key binary, s0 long, e0 long, h long, x long, y long"))
     shared = every.groupBy("h").count().where("count > 1").select("h")
-    met = cut(every.join(shared, "h"), large=True)
+    met = cut(every.join(shuffled(shared), "h"), large=True)
     discard(every)
     kinds = cut(met.groupBy("h", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("key", "s0", "e0")).alias("one")))
-    whole = met.join(kinds.where("n > 1").select("h", "x", "y"), ["h", "x", "y"]).select("key", F.array(F.array("s0", "e0")).alias("spans"))
+    whole = met.join(shuffled(kinds.where("n > 1").select("h", "x", "y")), ["h", "x", "y"]).select("key", F.array(F.array("s0", "e0")).alias("spans"))
     several = kinds.groupBy("h").count().where("count > 1").select("h")
     lists = kinds.join(several, "h").groupBy("one.key").agg(F.collect_list(F.struct("one.s0", "one.e0")).alias("runs"))
     rows = cut(own.join(lists, "key").mapInArrow(windows, "key binary, s long, e long, x long, y long"), large=True)
     twice = rows.groupBy("x", "y").count().where("count > 1").select("x", "y")
-    out = cut(rows.join(twice, ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans")).unionByName(whole), large=True)
+    out = cut(rows.join(shuffled(twice), ["x", "y"]).select("key", F.array(F.array("s", "e")).alias("spans")).unionByName(whole), large=True)
     discard(met, kinds, rows)
     return out
 
@@ -498,7 +498,7 @@ def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None
     texts, name = distinct_texts(bounded(docs))
     every = cut(filed(texts, length))
     shared = every.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 OR s").select("h")
-    found = cut(with_bytes(texts, every.join(shared, "h").select("key", "s0", "n", "h"), length), large=True)
+    found = cut(with_bytes(texts, every.join(shuffled(shared), "h").select("key", "s0", "n", "h"), length), large=True)
     discard(every)
     # of equal parts one is sorted; what is still too large for a bucket is filed anew, until nothing but equal windows would be together
     parts = found.withColumn("shared", F.lit(-1).cast("long"))
@@ -518,7 +518,7 @@ def repeats(docs: DataFrame, length: int, bucket_windows: int, words: int | None
         stored.append(passages(texts, words))
         kinds.append(stored[-1].select("key", F.lit(None).cast("array<array<long>>").alias("spans"), F.col("spans").alias("passages")))
     lists = functools.reduce(DataFrame.unionByName, kinds).groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")))
-    out = cut(texts.select("key", "copies").join(lists, "key", "left").where("copies > 1 OR spans IS NOT NULL"), large=True)
+    out = cut(texts.select("key", "copies").join(shuffled(lists), "key", "left").where("copies > 1 OR spans IS NOT NULL"), large=True)
     discard(*stored)
     drop_bucketed(docs.sparkSession, name)  # all that is needed of it is stored
     return out
@@ -560,7 +560,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept_text"])
         give_back()
 
-    met = rows.withColumn("key", F.unhex(F.md5("body"))).join(lists, "key", "left")
+    met = rows.withColumn("key", F.unhex(F.md5("body"))).join(shuffled(lists), "key", "left")
     done = met.select("doc_id", "row", F.octet_length("body").cast("long").alias("n_bytes"), of("body", F.coalesce("copies", F.lit(1)), "spans", "passages").alias("r"))
     extra = ["n_passage_bytes"] * bool(words) + ["kept_text"] * with_text
     return done.select("doc_id", "row", "n_bytes", *(f"r.{c}" for c in ("n_removed", "n_spans", "kept_sha256", *extra)))

@@ -9,6 +9,16 @@ from flurstrom.llm import minhash
 CLASSES = "id long, values array<long>"
 
 
+def test_exploded_values_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """By its files the table is small enough; as an explode's result it was sent to the driver."""
+    plans, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df, **options: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, **options))
+    spark.createDataFrame([(i, list(range(100 * (i // 2), 100 * (i // 2) + minhash.COORDS))) for i in range(40)], CLASSES).write.parquet(f"{tmp_path}/classes")
+    out = minhash.posted(spark.read.parquet(f"{tmp_path}/classes"))
+    assert out.count() == 40 * (minhash.COORDS - minhash.MATCHES + 1)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
 def test_long_lists_of_chance_are_listed_anew(spark):
     """Each value stands in some 40 classes, so that lists are long, but within a group few members share it."""
     rng = random.Random(1)
